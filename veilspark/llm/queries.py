@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import packing, pii
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_packing": op2_packing}
 ORACLE_SQL: dict[str, str] = {}
