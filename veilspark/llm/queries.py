@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii
+from . import packing, pii, warc
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +22,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_packing": op2_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+     f AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 1000
+"""
+
+QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
