@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, warc
+from . import language, packing, pii, warc
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +36,16 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 1000
 """
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    told = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return told.select("doc_id", (~language.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
