@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pii, warc
-from .common import documents
+from . import fingerprint, language, lines, mixing, packing, pii, simhash, substring, topk, warc
+from .common import documents, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,16 +36,58 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 1000
 """
 
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     told = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return told.select("doc_id", (~language.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = kept(documents(spark, sf_dir).select("doc_id", "source", mixing.size(F.col("text")).alias("size")), "sized")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
+    "op5_substring": op5_substring,
+    "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_lines": op8_lines,
+    "op9_topk": op9_topk,
+    "op10_fingerprint": op10_fingerprint,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_topk": OP9_SQL}
