@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import address_lumps
 from ..functions.patterns import SPAN, candidates, located
-from ..storage import small
+from ..storage import kept, small
 from . import codebook
 from .mask import UNIT, Masked, apply_spans
 from .registry import FOLLOWS, addresses, dictionary
@@ -86,10 +86,10 @@ def find_spans(units: DataFrame, registry: DataFrame) -> DataFrame:
 def mask(units: DataFrame, registry: DataFrame, book: DataFrame) -> Masked:
     """Mask names, registered addresses and shapes. Given names, aliases and readings hang on the code
     of their person, which is allocated first."""
-    spans = find_spans(units, registry)
+    spans = kept(find_spans(units, registry), "spans")
     hanging = {"下": "の名", "別": "の呼び名", "読": "の読み"}
     base = spans.withColumn("orig", F.when(F.col("space").isin(*hanging), F.col("person")).otherwise(F.col("orig"))).withColumn("space", F.when(F.col("space").isin(*hanging), "名").otherwise(F.col("space")))
-    delta = codebook.allocate(base, book)
+    delta = kept(codebook.allocate(base, book), "codebook")
     whole = book.unionByName(delta)
     for space, suffix in hanging.items():
         own = spans.filter(F.col("space") == space)
