@@ -150,7 +150,7 @@ def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, languages
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and rejected added (dropping columns of these names)."""
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    rows = docs.drop(*(f.name for f in added))
+    rows = docs.drop("_letters", *(f.name for f in added))
     schema = T.StructType([*rows.schema.fields, *added])
     rows = rows.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 

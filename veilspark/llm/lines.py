@@ -9,9 +9,10 @@ documents.
 
 Copies of a document make all its lines recur, and are not what this operator is for. So documents
 with equal texts count once, and a template's support is its number of different anchors: an anchor
-is the smallest line hash of the document other than the template's. Near copies share their
-anchor. A template is dropped if it has `least` anchors and these are at least `variety` of its
-documents.
+is the smallest line hash of the document other than the template's. Near copies share most of their
+anchors. Anchors are counted in several hash orders, as another recurring line may be everybody's
+anchor in one of them, and the median counts. A template is dropped if it has `least` anchors and
+these are at least `variety` of its documents.
 
 All is DataFrame functions. Tokens of lines are kept as one-byte hashes, which only decide whether a
 position is constant. The rows of a hot template or leaf are dealt over many tasks.
@@ -30,7 +31,9 @@ from .common import kept, salted_join
 
 #: Leading tokens of the tree; anchors that make a template recur; their share of its documents;
 #: agreement that makes a position constant; share of constant positions that makes a leaf a template.
-DEPTH, LEAST, VARIETY, AGREE, CONSTANT = 3, 5, 0.34, 0.8, 0.5
+DEPTH, LEAST, VARIETY, AGREE, CONSTANT = 3, 5, 0.5, 0.8, 0.5
+#: Orders in which anchors are taken; the median of their numbers counts.
+ORDERS = 3
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -38,7 +41,7 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row for each line that reaches a leaf: doc_id, h (of the text), pos, leaf, line, tokens."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
-    lines = lines.withColumn("t", F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")).filter(F.size("t") >= depth)
+    lines = lines.withColumn("t", F.split(F.btrim(masked, F.lit(" \t\r\x0b\x0c")), r"\s+")).filter(F.size("t") >= depth)
     leaf = F.xxhash64(F.size("t"), *[F.col("t")[i] for i in range(depth)])
     return lines.select("doc_id", "h", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), F.transform("t", lambda x: (F.pmod(F.xxhash64(x), F.lit(256)) - 128).cast("byte")).alias("tokens"))
 
@@ -60,23 +63,29 @@ def recurring(lines: DataFrame, least: int = LEAST, variety: float = VARIETY, ag
     fitted = salted_join(lines, leaves, ["leaf"], F.col("line"), "left", salts=16)
     fits = F.coalesce(F.forall("constants", lambda c: F.col("tokens")[c["pos"]] == c["token"]), F.lit(False))
     found = kept(fitted.select("doc_id", "h", "pos", F.when(fits, F.col("leaf")).otherwise(F.col("line")).alias("template")), "templates")
-    # The two smallest templates of each text are its anchors.
+    # In each order the two smallest templates of a text are its anchors.
     texts = found.select("h", "template").distinct()
-    anchors = texts.groupBy("h").agg(F.min("template").alias("first"))
-    both = texts.join(anchors, "h").groupBy("h", "first").agg(F.min(F.when(F.col("template") != F.col("first"), F.col("template"))).alias("second"))
-    support = texts.join(both, "h").select("template", F.coalesce(F.when(F.col("template") != F.col("first"), F.col("first")).otherwise(F.col("second")), F.lit(0)).alias("anchor"))
-    support = support.groupBy("template", "anchor").agg(F.count("*").alias("texts")).groupBy("template").agg(F.count("*").alias("anchors"), F.sum("texts").alias("texts"))
+    for k in range(ORDERS):
+        texts = texts.withColumn(f"x{k}", F.xxhash64("template", F.lit(k)))
+    orders = [f"x{k}" for k in range(ORDERS)]
+    first = texts.groupBy("h").agg(*[F.min(x).alias(f"first_{x}") for x in orders])
+    second = texts.join(first, "h").groupBy("h").agg(*[F.first(f"first_{x}").alias(f"first_{x}") for x in orders], *[F.min(F.when(F.col(x) != F.col(f"first_{x}"), F.col(x))).alias(f"second_{x}") for x in orders])
+    anchors = F.array(*[F.coalesce(F.when(F.col(x) != F.col(f"first_{x}"), F.col(f"first_{x}")).otherwise(F.col(f"second_{x}")), F.lit(0)) for x in orders])
+    support = texts.join(second, "h").select("template", F.posexplode(anchors).alias("order", "anchor")).groupBy("template", "order", "anchor").agg(F.count("*").alias("texts"))
+    support = support.groupBy("template", "order").agg(F.count("*").alias("anchors"), F.sum("texts").alias("texts")).groupBy("template").agg(F.element_at(F.sort_array(F.collect_list("anchors")), (ORDERS + 1) // 2).alias("anchors"), F.max("texts").alias("texts"))
     dropped = support.filter((F.col("anchors") >= least) & (F.col("anchors") >= variety * F.col("texts"))).select("template")
     return salted_join(found, dropped, ["template"], F.struct("h", "pos"), salts=16).select("doc_id", "h", "pos")
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, variety: float = VARIETY, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
-    """docs with the recurring lines gone from text; adds n_lines and n_dropped."""
+    """docs with the recurring lines gone from text; adds n_lines and n_dropped, in place of columns of
+    these names."""
+    docs = docs.drop("n_lines", "n_dropped", "_g_id", "_g_h", "_gone")
     lines = kept(parsed(docs.select("doc_id", "text"), depth), "lines")
-    gone = recurring(lines, least, variety, agree, constant).groupBy(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).agg(F.collect_set("pos").alias("gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_h")), "left")
+    gone = recurring(lines, least, variety, agree, constant).groupBy(F.col("doc_id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("pos").alias("_gone"))
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.xxhash64("text") == F.col("_g_h")), "left")
     parts = F.split("text", "\n", -1)
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)))
-    rows = rows.withColumn("text", F.when(F.col("gone").isNotNull(), stay).otherwise(F.col("text"))).drop("g_id", "g_h", "gone")
+    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
+    rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), stay).otherwise(F.col("text"))).drop("_g_id", "_g_h", "_gone")
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows

@@ -27,6 +27,7 @@ CAP = 3
 #: Hash buckets of the documents of one source and size.
 BUCKETS = 64
 NEWTON_STEPS, FITTING_STEPS = 12, 4
+_OWN = ("_key", "_bucket", "_before", "_n", "_all")
 
 
 def size(text: Column) -> Column:
@@ -97,16 +98,19 @@ def copies(cells: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """rows (with doc_id, source and size) with source_size, target, rate, copies and taken added."""
+    """rows (with doc_id, source and size) with source_size, target, rate, copies and taken added, in place
+    of columns of these names."""
+    rows = rows.drop("source_size", "target", "rate", "copies", "taken", *_OWN)
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-    held = kept(rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("held")), "sizes")
+    rows = rows.withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    held = kept(rows.groupBy(F.col("_key").alias("key"), "size", F.col("_bucket").alias("bucket")).agg(F.count("*").alias("held")), "sizes")
     cells = held.groupBy("key", "size").agg(F.sum("held").alias("n"))
     sources = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     shares = kept(targets(sources.select("key", "source_size"), weights, cap), "targets").join(sources.select("key", "docs"), "key")
     cells = copies(rates(cells.join(shares, "key"), cap), cap)
     before = F.coalesce(F.sum("held").over(W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     dealt = held.withColumn("before", before).drop("held").join(cells.select("key", "size", "n", "source_size", "target", "rate", F.col("copies").alias("all_copies")), ["key", "size"])
-    place = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) + F.col("before")
-    got = rows.join(dealt, ["key", "size", "bucket"]).withColumn("copies", (F.floor(F.col("all_copies") / F.col("n")) + F.when(place <= F.col("all_copies") % F.col("n"), 1).otherwise(0)).cast("int"))
-    return got.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "bucket", "before", "n", "all_copies")
+    dealt = dealt.select(F.col("key").alias("_key"), "size", F.col("bucket").alias("_bucket"), F.col("before").alias("_before"), F.col("n").alias("_n"), F.col("all_copies").alias("_all"), "source_size", "target", "rate")
+    place = F.row_number().over(W.partitionBy("_key", "size", "_bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) + F.col("_before")
+    got = rows.join(dealt, ["_key", "size", "_bucket"]).withColumn("copies", (F.floor(F.col("_all") / F.col("_n")) + F.when(place <= F.col("_all") % F.col("_n"), 1).otherwise(0)).cast("int"))
+    return got.withColumn("taken", F.col("copies") * F.col("size")).drop(*_OWN)
