@@ -1,45 +1,24 @@
-"""Helpers that the corpus operators share: shared storage, salted joins, distributed ranks."""
+"""Helpers that the corpus operators share, beside those of the library's storage."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
-LOCAL_FOLDER = "file:///tmp/checkpoints"
+from ..storage import kept, salted_join, shared_folder
+
+__all__ = ["SPACE", "WORD", "documents", "kept", "ranked", "salted_join", "shared_folder"]
+
 #: What the corpus tables count as white space between words: space and 0x09 to 0x0D.
 SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
-
-
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost
-    executor costs no more than a read of these files."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 64) -> DataFrame:
-    """Join in which no task gets all rows of a hot key: the rows of `big` are dealt over `salts`
-    parts of their key by `spread`, and `small`, with one row for a key, is repeated for each part."""
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(small, [*keys, "_salt"], how).drop("_salt")
-
-
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add `name`, 0 for the first row in `order`, without a window over all rows: rows are dealt by
     range, counted in each part, and only the counts of the parts meet on the driver."""
