@@ -36,8 +36,31 @@ def dimension_join(facts: DataFrame, dimension: DataFrame, on, how: str = "inner
     return facts.join(F.broadcast(dimension) if small(dimension) else dimension, on, how)
 
 
+#: A key is hot if it has more than this share of the rows; so there are at most as many hot keys.
+HOT_KEYS = 1024
+
+
+def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of more than 1 / HOT_KEYS of the rows of big: at most HOT_KEYS rows."""
+    counts = kept(big.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("_n") * HOT_KEYS > total).select(*keys)
+
+
+def skewed_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join in which only hot keys are salted. `hot` (the keys alone) has at most HOT_KEYS rows however
+    large the tables are, so it is broadcast; `one` has one row for a key and is repeated for hot ones."""
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    big = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = one.join(marked, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return big.join(one, [*keys, "_salt"], how).drop("_salt")
+
+
 def salted_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join in which no task gets all rows of a hot key. `one` has one row for a key."""
+    """Join in which no task gets all rows of a hot key. `one` has one row for a key and is repeated for
+    each of `salts` parts, so it should be small beside `big`."""
     big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.join(one, [*keys, "_salt"], how).drop("_salt")
