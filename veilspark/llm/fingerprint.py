@@ -131,11 +131,12 @@ def edited(docs: DataFrame) -> DataFrame:
     order = kept(ranked(order, [F.col("doc_id").isNull(), F.col("doc_id")], "place").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "n", "place"), "order")
     before = order.select(F.col("key").alias("previous"), F.col("n").alias("previous_n"), F.pmod(F.col("place") + 1, F.lit(max(1, total))).alias("place"))
     order = order.join(before, "place").select("key", "previous", "previous_n")
-    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "doc_id", "text", digests(F.col("text")).alias("own")).join(order, "key")
+    # Both uses of `own` below need the same columns, so that they share one exchange of the texts.
+    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", digests(F.col("text")).alias("own")).join(order, "key")
     given = own.select(F.col("previous").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("previous_n") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
     n = F.length("text")
     text = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head"))
-    met = own.join(given, "key").select("key", "doc_id", n.cast("long").alias("n_chars"), text.alias("edited"), "own", "next")
+    met = own.join(given, "key").select("key", F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), text.alias("edited"), "own", "next")
     return met.select("key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("edited"), "next")
 
 
