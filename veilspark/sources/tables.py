@@ -95,9 +95,9 @@ def write_codebook(book: DataFrame, path: str) -> None:
 def registry_of(rows: DataFrame) -> DataFrame:
     """Registry from delimited rows (n, cells) whose first row is the header: kind, name, aliases and, if
     the fourth header says so, reading."""
-    head = rows.filter("n = 0").select(F.coalesce(F.try_element_at("cells", F.lit(4)).rlike("読|フリガナ|ふりがな|カナ"), F.lit(False)).alias("has"))
+    head = rows.filter("n = 0").select("path", F.coalesce(F.try_element_at("cells", F.lit(4)).rlike("読|フリガナ|ふりがな|カナ"), F.lit(False)).alias("has"))
     cell = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.lit(i)), F.lit("")))
-    body = rows.filter("n > 0").crossJoin(F.broadcast(head.limit(1)))  # one row
+    body = rows.filter("n > 0").join(head, "path")
     return body.filter(cell(2) != "").select(F.col("n").alias("row_no"), F.when(cell(1) == "", "人物").otherwise(cell(1)).alias("kind"), cell(2).alias("name"), alias_list(cell(3)).alias("aliases"), F.when(F.col("has"), cell(4)).otherwise("").alias("reading"))
 
 
