@@ -52,7 +52,8 @@ def name_candidates(units: DataFrame, entries: DataFrame) -> DataFrame:
                 found = located(text, "|".join(map(re.escape, words)))
                 parts.append(F.transform(F.filter(found, _keep(text, need)), _as_span(prio)))
         return units.withColumn("names", F.concat(*parts).cast(SPAN) if parts else F.array().cast(SPAN))
-    lengths = [r[0] for r in entries.select(F.length("surface").alias("n")).distinct().orderBy("n").limit(64).collect()]
+    # One row for each length of a surface, so as many as the longest has characters.
+    lengths = [r[0] for r in entries.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
     places = units.select(*UNIT, "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("st")).filter("text <> ''")
     grams = places.select(*UNIT, "text", "st", F.explode(F.array(*[F.substring("text", F.col("st") + 1, F.lit(n)) for n in lengths])).alias("surface")).filter(F.col("st") + F.length("surface") <= F.length("text"))
     met = grams.distinct().join(entries.select("surface", "needs"), "surface").filter(_ok(F.col("text"), F.col("st"), F.col("surface"), F.col("needs")))
