@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import kept, salted_join, shared_folder
+from ..storage import HOT_KEYS, kept, salted_join, shared_folder, skewed_join
 
-__all__ = ["SPACE", "WORD", "documents", "kept", "ranked", "salted_join", "shared_folder"]
+__all__ = ["HOT_KEYS", "SPACE", "WORD", "documents", "kept", "ranked", "salted_join", "shared_folder", "skewed_join"]
 
 #: What the corpus tables count as white space between words: space and 0x09 to 0x0D.
 SPACE = r"[ \t-\r]"

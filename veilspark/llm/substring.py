@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, salted_join
+from .common import HOT_KEYS, kept, skewed_join
 
 #: A sentence with its ending and the white space after it; together they are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
@@ -67,9 +67,12 @@ def place() -> Column:
 def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """doc_id, h, covered: the runs of each document that aren't the first of their kind, as
     (pos, n), counting sentences."""
-    found = kept(spans(keyed(docs), sentences, words), "spans")
-    first = found.groupBy("a", "b").agg(F.min(place()).alias("first"), F.count("*").alias("runs")).filter("runs > 1").drop("runs")
-    again = salted_join(found, first, ["a", "b"], F.struct("doc_id", "h", "pos"), salts=48).filter(~place().eqNullSafe(F.col("first")))
+    # Runs are cut twice rather than written: they take as much room as the texts.
+    found = spans(keyed(docs), sentences, words)
+    first = kept(found.groupBy("a", "b").agg(F.min(place()).alias("first"), F.count("*").alias("runs")).filter("runs > 1"), "runs")
+    repeats = first.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
+    hot = first.filter(F.col("runs") * HOT_KEYS > repeats).select("a", "b")
+    again = skewed_join(found, first.drop("runs"), ["a", "b"], F.struct("doc_id", "h", "pos"), hot).filter(~place().eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "n")).alias("covered"))
 
 
