@@ -32,8 +32,12 @@ def _script_ok(before: Column, surface: Column, after: Column) -> Column:
     return ~(in_hira | in_kata)
 
 
-def _ok(text: Column, st: Column, surface: Column, needs: Column) -> Column:
-    before, after = F.substring(text, st, F.when(st > 0, 1).otherwise(0)), F.substring(text, st + F.length(surface) + 1, F.lit(4))
+def _around(text: Column, st: Column, surface: Column) -> tuple[Column, Column]:
+    """The character before a surface and the four after it."""
+    return F.substring(text, st, F.when(st > 0, 1).otherwise(0)), F.substring(text, st + F.length(surface) + 1, F.lit(4))
+
+
+def _ok(before: Column, surface: Column, after: Column, needs: Column) -> Column:
     follows = F.lit(True)
     for need, regex in FOLLOWS.items():
         follows = F.when(needs == need, after.rlike(regex)).otherwise(follows)
@@ -54,15 +58,22 @@ def name_candidates(units: DataFrame, entries: DataFrame) -> DataFrame:
         return units.withColumn("names", F.concat(*parts).cast(SPAN) if parts else F.array().cast(SPAN))
     # One row for each length of a surface, so as many as the longest has characters.
     lengths = [r[0] for r in entries.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
-    places = units.select(*UNIT, "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("st")).filter("text <> ''")
+    places = units.filter("text <> ''").select(*UNIT, "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("st"))
     grams = places.select(*UNIT, "text", "st", F.explode(F.array(*[F.substring("text", F.col("st") + 1, F.lit(n)) for n in lengths])).alias("surface")).filter(F.col("st") + F.length("surface") <= F.length("text"))
-    met = grams.distinct().join(entries.select("surface", "needs"), "surface").filter(_ok(F.col("text"), F.col("st"), F.col("surface"), F.col("needs")))
+    before, after = _around(F.col("text"), F.col("st"), F.col("surface"))
+    # Texts stay where they are: a place goes on with its surface and the characters around it.
+    grams = grams.select(*UNIT, "st", "surface", before.alias("before"), after.alias("after")).dropDuplicates([*UNIT, "st", "surface"])
+    met = grams.join(entries.select("surface", "needs"), "surface").filter(_ok(F.col("before"), F.col("surface"), F.col("after"), F.col("needs")))
     spans = met.groupBy(*UNIT).agg(F.collect_list(_span(F.col("st"), F.col("surface"), 1, NAME)).alias("names"))
     return units.join(spans, list(UNIT), "left").withColumn("names", F.coalesce("names", F.array().cast(SPAN)))
 
 
 def _keep(text: Column, need: str):
-    return lambda m: _ok(text, m["st"], m["orig"], F.lit(need))
+    def keep(m: Column) -> Column:
+        before, after = _around(text, m["st"], m["orig"])
+        return _ok(before, m["orig"], after, F.lit(need))
+
+    return keep
 
 
 def _as_span(prio: int):
