@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, salted_join
+from .common import HOT_KEYS, kept, skewed_join
 from .components import components
 
 SHINGLE, DISTANCE, BLOCKS, SEED = 4, 4, 7, 42
@@ -79,13 +79,14 @@ def links(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) ->
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, print and component_id, the smallest doc_id reachable over links."""
     rows = kept(fingerprints(docs, shingle), "prints")
-    classes = kept(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
+    classes = kept(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     pairs = kept(links(classes.select("print"), blocks, distance), "links")
     roots = components(pairs).select(F.col("node").alias("print"), "root")
-    rooted = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = classes.select("print", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("print", "component_id")
-    return salted_join(rows, named, ["print"], F.col("doc_id"), salts=32).select("doc_id", "print", "component_id")
+    hot = classes.filter(F.col("n") * HOT_KEYS > rows.count()).select("print")
+    return skewed_join(rows, named, ["print"], F.col("doc_id"), hot).select("doc_id", "print", "component_id")
 
 
 def keepers(docs: DataFrame, **settings: int) -> DataFrame:
