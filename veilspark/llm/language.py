@@ -127,17 +127,18 @@ def learnable(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, languages: int = 200, text_bytes: int = 20_000) -> tuple[list[bytes], list[str]]:
     """At most `rows` labelled texts, and per_language of each of the most frequent languages, of at
     most text_bytes each (longer ones aren't drawn), by the order of a hash of their id."""
-    usable = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= text_bytes))
-    usable = usable.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
-    seen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    labelled = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
+    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not seen:
         return [], []
     per_language = max(1, min(per_language, rows // len(seen)))
+    usable = labelled.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
+    usable = usable.filter(F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= text_bytes))
     # Twice the wanted share is drawn by hash, so that nearly always enough rows pass.
     pick = F.lit(False)
     for r in seen:
         pick = pick | ((F.col("lang") == r["lang"]) & (F.col("draw") < min(1 << 20, 1 + 2 * per_language * (1 << 20) // r["count"])))
-    drawn = usable.filter(pick).orderBy("draw", "doc_id", "text").limit(2 * per_language * len(seen)).collect()
+    drawn = usable.filter(pick).orderBy("draw", "doc_id", "text").limit(3 * per_language * len(seen)).collect()
     texts, labels, taken = [], [], dict.fromkeys((r["lang"] for r in seen), 0)
     for r in drawn:
         if taken[r["lang"]] < per_language:
