@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import CODE, TOKEN, located
 from ..functions.text import norm_name, sanitize_prefix
-from ..storage import dimension_join, hot_keys, ranked_within, skewed_join, small
+from ..storage import dimension_join, hot_keys, kept, ranked_within, skewed_join, small
 from .spans import replaced
 
 SCHEMA = "key string, prefix string, n long, code string, orig string, restore string, is_name boolean, is_numeric boolean"
@@ -59,7 +59,10 @@ def with_codes(spans: DataFrame, book: DataFrame) -> DataFrame:
     """spans with the code of each; a value that fills a third of all spans is dealt over many tasks."""
     keyed = spans.withColumn("key", key_of(F.col("space"), F.col("kind"), F.col("orig")))
     codes = book.select("key", "code")
-    return keyed.join(F.broadcast(codes), "key") if small(codes) else skewed_join(keyed, codes, ["key"], F.struct(*ORDER), hot_keys(keyed, ["key"]))
+    if small(codes):
+        return keyed.join(F.broadcast(codes), "key")
+    keyed = kept(keyed, "keyed")
+    return skewed_join(keyed, codes, ["key"], F.struct(*ORDER), hot_keys(keyed, ["key"]))
 
 
 def tokens_in(units: DataFrame, text: str = "text") -> DataFrame:

@@ -41,10 +41,10 @@ HOT_KEYS = 1024
 
 
 def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of more than 1 / HOT_KEYS of the rows of big: at most HOT_KEYS rows."""
-    counts = kept(big.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return counts.filter(F.col("_n") * HOT_KEYS > total).select(*keys)
+    """The keys of more than 1 / HOT_KEYS of the rows of big: at most HOT_KEYS rows. big is read twice, so
+    it should be a table."""
+    least = big.count() / HOT_KEYS
+    return kept(big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*keys), "hot-keys")
 
 
 def skewed_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
