@@ -24,10 +24,10 @@ rewritten alike. Columns other than text and n_chars are passed on; n_chars, if
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, salted_join
+from .common import hot_keys, kept, skewed_join
 
 #: Leading tokens of the tree; anchors that make a template recur; their share of its documents;
 #: agreement that makes a position constant; share of constant positions that makes a leaf a template.
@@ -46,11 +46,12 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return lines.select("doc_id", "h", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), F.transform("t", lambda x: (F.pmod(F.xxhash64(x), F.lit(256)) - 128).cast("byte")).alias("tokens"))
 
 
-def generalised(lines: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
-    """leaf and constants (array of pos, token) of the leaves that are templates."""
+def generalised(lines: DataFrame, hot: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
+    """leaf and constants (array of pos, token) of the leaves that are templates. hot: leaves that many
+    lines reach."""
     distinct = lines.select("leaf", "line").distinct()
     several = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
-    seen = salted_join(lines.select("leaf", "line", "tokens"), several, ["leaf"], F.col("line"), salts=16).distinct()
+    seen = skewed_join(lines.select("leaf", "line", "tokens"), several, ["leaf"], F.col("line"), hot).distinct()
     counts = seen.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
     best = counts.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
     steady = F.collect_list(F.when(F.col("best.n") >= agree * F.col("all"), F.struct("pos", F.col("best.token").alias("token"))))
@@ -59,22 +60,30 @@ def generalised(lines: DataFrame, least: int = LEAST, agree: float = AGREE, cons
 
 def recurring(lines: DataFrame, least: int = LEAST, variety: float = VARIETY, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
     """doc_id, h, pos of the lines whose template recurs."""
-    leaves = kept(generalised(lines, least, agree, constant), "leaves")
-    fitted = salted_join(lines, leaves, ["leaf"], F.col("line"), "left", salts=16)
+    hot = hot_keys(lines, ["leaf"])
+    leaves = kept(generalised(lines, hot, least, agree, constant), "leaves")
+    fitted = skewed_join(lines, leaves, ["leaf"], F.col("line"), hot, "left")
     fits = F.coalesce(F.forall("constants", lambda c: F.col("tokens")[c["pos"]] == c["token"]), F.lit(False))
     found = kept(fitted.select("doc_id", "h", "pos", F.when(fits, F.col("leaf")).otherwise(F.col("line")).alias("template")), "templates")
+    hot = hot_keys(found, ["template"])
+    texts = kept(found.select("h", "template").distinct(), "texts")
     # In each order the two smallest templates of a text are its anchors.
-    texts = found.select("h", "template").distinct()
-    for k in range(ORDERS):
-        texts = texts.withColumn(f"x{k}", F.xxhash64("template", F.lit(k)))
     orders = [f"x{k}" for k in range(ORDERS)]
-    first = texts.groupBy("h").agg(*[F.min(x).alias(f"first_{x}") for x in orders])
-    second = texts.join(first, "h").groupBy("h").agg(*[F.first(f"first_{x}").alias(f"first_{x}") for x in orders], *[F.min(F.when(F.col(x) != F.col(f"first_{x}"), F.col(x))).alias(f"second_{x}") for x in orders])
-    anchors = F.array(*[F.coalesce(F.when(F.col(x) != F.col(f"first_{x}"), F.col(f"first_{x}")).otherwise(F.col(f"second_{x}")), F.lit(0)) for x in orders])
-    support = texts.join(second, "h").select("template", F.posexplode(anchors).alias("order", "anchor")).groupBy("template", "order", "anchor").agg(F.count("*").alias("texts"))
-    support = support.groupBy("template", "order").agg(F.count("*").alias("anchors"), F.sum("texts").alias("texts")).groupBy("template").agg(F.element_at(F.sort_array(F.collect_list("anchors")), (ORDERS + 1) // 2).alias("anchors"), F.max("texts").alias("texts"))
+    hashed = texts.select("h", *[F.xxhash64("template", F.lit(k)).alias(x) for k, x in enumerate(orders)])
+    first = hashed.groupBy("h").agg(*[F.min(x).alias(f"first_{x}") for x in orders])
+    second = hashed.join(first, "h").groupBy("h").agg(*[F.first(f"first_{x}").alias(f"first_{x}") for x in orders], *[F.min(F.when(F.col(x) != F.col(f"first_{x}"), F.col(x))).alias(f"second_{x}") for x in orders])
+    # Only templates of enough texts are worth their anchors.
+    often = texts.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    often = skewed_join(texts, often, ["template"], F.col("h"), hot)
+
+    def anchor(k: int) -> Column:
+        x = F.xxhash64("template", F.lit(k))
+        return F.coalesce(F.when(x != F.col(f"first_x{k}"), F.col(f"first_x{k}")).otherwise(F.col(f"second_x{k}")), F.lit(0))
+
+    support = often.join(second, "h").select("template", "texts", F.posexplode(F.array(*map(anchor, range(ORDERS)))).alias("order", "anchor")).distinct()
+    support = support.groupBy("template", "texts", "order").agg(F.count("*").alias("anchors")).groupBy("template", "texts").agg(F.element_at(F.sort_array(F.collect_list("anchors")), (ORDERS + 1) // 2).alias("anchors"))
     dropped = support.filter((F.col("anchors") >= least) & (F.col("anchors") >= variety * F.col("texts"))).select("template")
-    return salted_join(found, dropped, ["template"], F.struct("h", "pos"), salts=16).select("doc_id", "h", "pos")
+    return skewed_join(found, dropped, ["template"], F.struct("h", "pos"), hot).select("doc_id", "h", "pos")
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, variety: float = VARIETY, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
