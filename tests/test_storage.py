@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilspark.operators import codebook
-from veilspark.storage import hot_keys, ranked_within, skewed_join
+from veilspark.storage import clean, hot_keys, kept, ranked_within, skewed_join, work_folder
 
 
 def test_skewed_join_equals_join(spark):
@@ -31,3 +31,12 @@ def test_codes_of_a_large_book(spark, monkeypatch):
     want = key(codebook.with_codes(spans, book))
     monkeypatch.setattr(codebook, "small", lambda df: False)
     assert key(codebook.with_codes(spans, book)) == want
+
+
+def test_clean_removes_what_was_kept(spark, monkeypatch, tmp_path):
+    from veilspark import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert kept(spark.range(3), "x").count() == 3
+    folder = tmp_path / work_folder(spark).rpartition("/")[2]
+    assert folder.exists() and clean(spark) and not folder.exists()

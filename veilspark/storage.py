@@ -19,9 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Remove what this application kept; for when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor
+    costs no more than a read of these files."""
+    path = f"{work_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
