@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, salted_join, shared_folder
+from .common import kept, salted_join, work_folder
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -191,6 +191,6 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE) -
 
 def round_trip(spark: SparkSession, pages: DataFrame, revisit_bytes: int = 1000, range_bytes: int = RANGE) -> DataFrame:
     """Write the pages as archives in the shared folder and read the archives back."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
     files = kept(write_warc(typed(pages, revisit_bytes), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"), "warc-files")
     return read_warc(spark, files, range_bytes)
