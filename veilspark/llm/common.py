@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from ..storage import HOT_KEYS, hot_keys, kept, salted_join, skewed_join, work_folder
 
-__all__ = ["HOT_KEYS", "SPACE", "WORD", "documents", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "work_folder"]
+__all__ = ["HOT_KEYS", "WORD", "documents", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "work_folder"]
 
-#: What the corpus tables count as white space between words: space and 0x09 to 0x0D.
-SPACE = r"[ \t-\r]"
+#: A word: what stands between white space, that is space and 0x09 to 0x0D.
 WORD = r"[^ \t-\r]+"
 
 
