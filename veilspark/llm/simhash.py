@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t or b"", shingle) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            prints = [fingerprint(t.as_py() or b"", shingle) for t in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["doc_id", "print"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches_of, "doc_id long, print long")
