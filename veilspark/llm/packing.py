@@ -26,7 +26,7 @@ CAPACITY = 1024
 #: Rows of a packing group, about.
 GROUP_ROWS = 1024
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 
