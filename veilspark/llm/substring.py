@@ -25,6 +25,8 @@ from .common import HOT_KEYS, kept, skewed_join
 #: A sentence with its ending and the white space after it; together they are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 SENTENCES, WORDS = 2, 20
+#: Runs, and texts, that a task holds before it passes them on.
+HELD, TEXTS = 20_000, 500
 SPANS = "doc_id long, h long, a long, b long, pos int, n int"
 CLEAN = "doc_id long, text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>"
 
@@ -48,10 +50,18 @@ def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
 
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")]).astype({"doc_id": "Int64"})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(doc_id, h, *run) for doc_id, h, text in zip(batch["doc_id"].astype("Int64"), batch["h"], batch["text"], strict=True) for run in runs(text, sentences, words)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")]).astype({"doc_id": "Int64"})
+            out: list[tuple] = []
+            for doc_id, h, text in zip(batch["doc_id"].astype("Int64"), batch["h"], batch["text"], strict=True):
+                out += [(doc_id, h, *run) for run in runs(text, sentences, words)]
+                if len(out) >= HELD:
+                    yield table(out)
+                    out = []
+            yield table(out)
 
     return docs.select("doc_id", "h", "text").filter("text is not null").mapInPandas(cut, SPANS)
 
@@ -82,24 +92,27 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     covered = repeated(docs, sentences, words).select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "covered")
     rows = keyed(docs).join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").select("doc_id", "text", "covered")
 
+    def rewritten(doc_id: int, text: str | None, covered) -> tuple:
+        parts = [] if text is None else SENTENCE.findall(text)
+        if covered is None:
+            return doc_id, text, len(parts), 0, []
+        gone = {i for c in covered for i in range(c["pos"], c["pos"] + c["n"])}
+        places, at = [], 0
+        for i, part in enumerate(parts):
+            if i in gone:
+                if places and places[-1]["end"] == at:
+                    places[-1]["end"] = at + len(part)
+                else:
+                    places.append({"start": at, "end": at + len(part)})
+            at += len(part)
+        return doc_id, "".join(p for i, p in enumerate(parts) if i not in gone), len(parts), len(gone), places
+
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text, covered in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["covered"], strict=True):
-                parts = [] if text is None else SENTENCE.findall(text)
-                if covered is None:
-                    out.append((doc_id, text, len(parts), 0, []))
-                    continue
-                gone = {i for c in covered for i in range(c["pos"], c["pos"] + c["n"])}
-                places, at = [], 0
-                for i, part in enumerate(parts):
-                    if i in gone:
-                        if places and places[-1]["end"] == at:
-                            places[-1]["end"] = at + len(part)
-                        else:
-                            places.append({"start": at, "end": at + len(part)})
-                    at += len(part)
-                out.append((doc_id, "".join(p for i, p in enumerate(parts) if i not in gone), len(parts), len(gone), places))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_sentences", "n_removed", "removed"]).astype({"doc_id": "Int64"})
+            ids = batch["doc_id"].astype("Int64")
+            for at in range(0, len(batch), TEXTS):
+                part = slice(at, at + TEXTS)
+                out = [rewritten(*row) for row in zip(ids[part], batch["text"][part], batch["covered"][part], strict=True)]
+                yield pd.DataFrame(out, columns=["doc_id", "text", "n_sentences", "n_removed", "removed"]).astype({"doc_id": "Int64"})
 
     return rows.mapInPandas(rewrite, CLEAN)
