@@ -86,7 +86,7 @@ def copies(cells: DataFrame, cap: int = CAP) -> DataFrame:
     expected = F.col("n") * F.col("rate")
     cells = cells.withColumn("upto", F.sum(expected).over(order.rowsBetween(W.unboundedPreceding, 0)))
     before = F.lag("upto", 1, 0.0).over(order)
-    cells = cells.withColumn("copies", (F.floor(F.col("upto") + 0.5) - F.floor(before + 0.5)).cast("long")).drop("upto")
+    cells = cells.withColumn("copies", F.least(F.floor(F.col("upto") + 0.5) - F.floor(before + 0.5), F.col("n") * cap).cast("long")).drop("upto")
     for _ in range(FITTING_STEPS):
         cells = cells.withColumn("off", F.round(F.col("target")).cast("long") - F.sum(F.col("copies") * F.col("size")).over(whole))
         room = F.when(F.col("off") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
