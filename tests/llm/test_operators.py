@@ -217,7 +217,7 @@ def brute_substring(rows):
     for doc_id, text in rows:
         if text is None:
             continue
-        parts = [" ".join(s.split()) for s in substring.SENTENCE.findall(text)]
+        parts = [" ".join(s.split()) for s in substring.sentences_of(text)]
         for i in range(len(parts)):
             for j in range(i + 2, len(parts) + 1):
                 if sum(len(p.split()) for p in parts[i:j]) >= 20:
@@ -227,7 +227,7 @@ def brute_substring(rows):
     for at in places.values():
         for doc_id, i, n in sorted(set(at))[1:]:
             gone[doc_id] |= set(range(i, i + n))
-    return {i: t if t is None else "".join(s for k, s in enumerate(substring.SENTENCE.findall(t)) if k not in gone[i]) for i, t in rows}
+    return {i: t if t is None else "".join(s for k, s in enumerate(substring.sentences_of(t)) if k not in gone[i]) for i, t in rows}
 
 
 def test_substring(spark, docs, texts):
@@ -245,6 +245,25 @@ def test_substring(spark, docs, texts):
     assert again == {(i, r["text"]) for i, r in got.items()}
 
 
+def test_sentences_are_the_text(texts):
+    for text in [*(t for t in texts.values() if t), "", " ", "a b\n\n c", "no mark " * 40, " \u2003x,y " * 30 + "\n "]:
+        parts = substring.sentences_of(text)
+        assert "".join(parts) == text and all(len(p.split()) <= substring.LONG for p in parts)
+
+
+def test_long_passages_inside_sentences_are_found(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    passages = [words(60) for _ in range(40)]
+    rows = [(2 * i + k, f"{words(9)} {p} {words(9)}.") for i, p in enumerate(passages) for k in range(2)]
+    got = {r["doc_id"]: r["text"] for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == text if i % 2 == 0 else 18 <= len(got[i].split()) < 18 + 60 - substring.WORDS + 1
+
+
 # --- 6: mixing
 
 

@@ -1,6 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences. From each sentence the shortest run of at least `sentences` sentences
+Texts are cut into sentences, and sentences of more than LONG words into shorter ones: after words
+that end in a comma, colon or semicolon or that a hash picks, and at LONG words at the latest. So a
+cut depends on the words near it, and a passage of more than 50 words holds a run wherever it stands
+in the sentences around it. From each sentence the shortest run of at least `sentences` sentences
 and `words` words is hashed; runs that occur more than once in the corpus meet by their hash, and
 every sentence that a run other than the first covers is removed. First is the smallest document id,
 then the earlier place. The hashes are aggregated before anything is joined, and the rows of a hot
@@ -14,7 +17,9 @@ and don't repeat each other. A null doc_id comes last. Other columns are ignored
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,18 +29,42 @@ from .common import HOT_KEYS, kept, skewed_join
 
 #: A sentence with its ending and the white space after it; together they are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+SPACED = re.compile(r"\s*\S+\s*")
 SENTENCES, WORDS = 2, 20
+#: Words of a sentence that isn't cut further, and one in how many words ends a part of a longer one.
+LONG, PICKED = 15, 8
 #: Runs, and texts, that a task holds before it passes them on.
 HELD, TEXTS = 20_000, 500
 SPANS = "doc_id long, h long, a long, b long, pos int, n int"
 CLEAN = "doc_id long, text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>"
 
 
+@lru_cache(1 << 16)
+def ends(word: str) -> bool:
+    return word[-1] in ",;:" or zlib.crc32(word.encode()) % PICKED == 0
+
+
+def sentences_of(text: str) -> list[str]:
+    """The sentences of a text, parts of long ones for themselves; together they are the text."""
+    out = []
+    for sentence in SENTENCE.findall(text):
+        words = sentence.split()
+        if len(words) <= LONG:
+            out.append(sentence)
+            continue
+        spaced, start = SPACED.findall(sentence), 0
+        for at, word in enumerate(words, 1):
+            if at - start == LONG or at == len(words) or ends(word):
+                out.append("".join(spaced[start:at]))
+                start = at
+    return out
+
+
 def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, int, int]]:
     """(two halves of the run's hash, first sentence, number of sentences) of each run."""
     import xxhash
 
-    parts = [s.split() for s in SENTENCE.findall(text)]
+    parts = [s.split() for s in sentences_of(text)]
     sizes, joined = [len(p) for p in parts], [" ".join(p) for p in parts]
     end, held = 0, 0
     for at in range(len(parts)):
@@ -93,7 +122,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     rows = keyed(docs).join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").select("doc_id", "text", "covered")
 
     def rewritten(doc_id: int, text: str | None, covered) -> tuple:
-        parts = [] if text is None else SENTENCE.findall(text)
+        parts = [] if text is None else sentences_of(text)
         if covered is None:
             return doc_id, text, len(parts), 0, []
         gone = {i for c in covered for i in range(c["pos"], c["pos"] + c["n"])}
