@@ -44,19 +44,31 @@ def ends(word: str) -> bool:
     return word[-1] in ",;:" or zlib.crc32(word.encode()) % PICKED == 0
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Where the parts of a sentence end, counting its words."""
+    n = len(words)
+    if n <= LONG:
+        return [n]
+    out, start = [], 0
+    for at, picked in enumerate(map(ends, words), 1):
+        if picked or at - start == LONG or at == n:
+            out.append(at)
+            start = at
+    return out
+
+
 def sentences_of(text: str) -> list[str]:
     """The sentences of a text, parts of long ones for themselves; together they are the text."""
     out = []
     for sentence in SENTENCE.findall(text):
-        words = sentence.split()
-        if len(words) <= LONG:
+        found = cuts(sentence.split())
+        if len(found) == 1:
             out.append(sentence)
             continue
         spaced, start = SPACED.findall(sentence), 0
-        for at, word in enumerate(words, 1):
-            if at - start == LONG or at == len(words) or ends(word):
-                out.append("".join(spaced[start:at]))
-                start = at
+        for at in found:
+            out.append("".join(spaced[start:at]))
+            start = at
     return out
 
 
@@ -64,11 +76,16 @@ def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
     """(two halves of the run's hash, first sentence, number of sentences) of each run."""
     import xxhash
 
-    parts = [s.split() for s in sentences_of(text)]
-    sizes, joined = [len(p) for p in parts], [" ".join(p) for p in parts]
+    sizes, joined = [], []
+    for sentence in SENTENCE.findall(text):
+        said, start = sentence.split(), 0
+        for at in cuts(said):
+            sizes.append(at - start)
+            joined.append(" ".join(said[start:at]))
+            start = at
     end, held = 0, 0
-    for at in range(len(parts)):
-        while end < len(parts) and (held < words or end - at < sentences):
+    for at in range(len(sizes)):
+        while end < len(sizes) and (held < words or end - at < sentences):
             held += sizes[end]
             end += 1
         if held < words or end - at < sentences:
@@ -122,9 +139,9 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     rows = keyed(docs).join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").select("doc_id", "text", "covered")
 
     def rewritten(doc_id: int, text: str | None, covered) -> tuple:
-        parts = [] if text is None else sentences_of(text)
         if covered is None:
-            return doc_id, text, len(parts), 0, []
+            return doc_id, text, sum(len(cuts(s.split())) for s in SENTENCE.findall(text or "")), 0, []
+        parts = sentences_of(text)
         gone = {i for c in covered for i in range(c["pos"], c["pos"] + c["n"])}
         places, at = [], 0
         for i, part in enumerate(parts):
