@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,8 @@ def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     def table(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")]).astype({"doc_id": "Int64"})
+        names, columns = [c.split()[0] for c in SPANS.split(", ")], zip(*rows, strict=True) if rows else [()] * 6
+        return pd.DataFrame({n: pd.array(c, dtype="Int64") if n == "doc_id" else np.array(c, dtype="int64") for n, c in zip(names, columns, strict=True)})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
