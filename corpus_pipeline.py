@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import language, lines, mixing, packing, simhash
+from veilspark.llm import language, lines, minhash, mixing, packing
 from veilspark.llm.common import kept
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,8 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return simhash.keepers(docs.select(*DOCUMENT)).select(*DOCUMENT)
+    """Of each group of near copies, by five-word shingles at a similarity of 0.8 or more, the document
+    with the smallest id."""
+    return minhash.keepers(docs.select(*DOCUMENT)).select(*DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

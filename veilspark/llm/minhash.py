@@ -1,0 +1,145 @@
+"""Near-dedup by the Jaccard similarity of word shingles: MinHash bands propose, exact sets decide.
+
+A sketch has the smallest of the shingles' hashes in BANDS x ROWS orders. Texts that agree in all
+orders of a band are candidates: of pairs at similarity s, 1 - (1 - s ** ROWS) ** BANDS meet, at 0.8
+all but three in a million. Texts with equal sets are one class first, and only classes are compared.
+
+A band's bucket isn't crossed with itself: its classes are verified against three leaders, what these
+link is united, and only classes of a bucket that are still apart are verified pair by pair, as no
+other pair can unite anything.
+
+Defined cases: a text of fewer words than a shingle is one shingle; texts without words (or null) are
+equal to each other. A null doc_id is never the smallest unless alone. Rows that share a doc_id are one
+document for `keepers`. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import HOT_KEYS, hot_keys, kept, skewed_join
+from .components import components
+
+SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 4, 42
+#: Shingles of which all orders are computed at a time.
+STEP = 1 << 12
+SKETCH = "doc_id long, h long, class long, n int, bands array<long>"
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the different shingles of the lower-cased text, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], last)), dtype=np.uint64, count=len(last)))  # noqa: B905
+
+
+def minima(hashes: np.ndarray, orders: int) -> np.ndarray:
+    """The smallest hash in each order."""
+    rng = np.random.default_rng(SEED)
+    by, plus = rng.integers(0, 1 << 63, size=(2, orders, 1), dtype=np.uint64)
+    least = np.full(orders, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), STEP):
+        least = np.minimum(least, (hashes[at : at + STEP] * (2 * by + 1) + plus).min(axis=1))
+    return least
+
+
+def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each row of docs its doc_id, the hash of its text, the hash and size of its set of shingles,
+    and a key for each band."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            classes, sizes, keys = [], [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                found = shingles(text.as_py() or b"", shingle)
+                least = minima(found, bands * rows)
+                classes.append(xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                keys += [xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)]
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32)), signed(keys))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), signed(classes), pa.array(sizes, pa.int32()), lists], names=["doc_id", "h", "class", "n", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(batches_of, SKETCH)
+
+
+def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """class and shingles of the classes in chosen (class, c_id, c_h: a row of docs that stands for it)."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 1000):
+                part = batch.slice(row, 1000)
+                found = [shingles(t.as_py() or b"", shingle).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "shingles"])
+
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    rows = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h"))).select("class", "text")
+    return rows.mapInArrow(batches_of, "class long, shingles array<long>").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b of classes whose sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = kept(sets_of(docs, classes.join(wanted, "class").select("class", "row.c_id", "row.c_h"), shingle), "sets")
+    met = skewed_join(pairs, sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), ["a"], F.col("b"), hot_keys(pairs, ["a"]))
+    met = skewed_join(met, sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), ["b"], F.col("a"), hot_keys(pairs, ["b"]))
+    both = F.size(F.array_intersect("x", "y"))
+    return met.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over pairs of at least that similarity."""
+    found = kept(sketches(docs, shingle, bands, rows), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"))
+    classes = kept(found.groupBy("class").agg(F.min(row).alias("row"), F.count("*").alias("copies")), "classes")
+    keyed = found.select("class", "n", F.explode("bands").alias("key"))
+    me = F.struct("class", "n")
+    buckets = keyed.groupBy("key").agg(F.min(me).alias("l0"), F.max(me).alias("l1"), F.min(F.struct(F.xxhash64("class").alias("x"), me.alias("l"))).alias("l2"), F.count("*").alias("rows"))
+    buckets = kept(buckets.filter("l0.class <> l1.class").select("key", F.array("l0", "l1", "l2.l").alias("leaders"), "rows"), "buckets")
+    hot = buckets.filter(F.col("rows") * HOT_KEYS > found.count()).orderBy(F.desc("rows")).limit(HOT_KEYS).select("key")
+    members = kept(skewed_join(keyed, buckets.drop("rows"), ["key"], F.col("class"), hot).distinct(), "members")
+
+    def fit(n: str, m: str):
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    stars = members.select("class", "n", F.explode("leaders").alias("l")).filter((F.col("class") != F.col("l.class")) & fit("n", "l.n"))
+    stars = kept(stars.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct(), "stars")
+    links = kept(verified(stars, docs, classes, shingle, similarity), "links")
+    united = kept(components(links), "united")
+    # Only a bucket with classes of several components can still unite something.
+    placed = kept(members.select("class", "n", "key").join(united.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")), "placed")
+    apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    placed = kept(skewed_join(placed, apart, ["key"], F.col("class"), hot), "apart")
+    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "root")]) for side in "xy")
+    rest = x.join(y, "key").filter((F.col("class_x") < F.col("class_y")) & (F.col("root_x") != F.col("root_y")) & fit("n_x", "n_y")).select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct()
+    rest = kept(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    links = links.union(verified(rest, docs, classes, shingle, similarity))
+    roots = components(kept(links, "links")).select(F.col("node").alias("class"), "root")
+    rooted = classes.select("class", "row").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    smallest = rooted.groupBy("root").agg(F.min("row").alias("row")).select("root", F.col("row.c_id").alias("component_id"))
+    named = rooted.join(smallest, "root").select("class", "component_id")
+    hot = classes.filter(F.col("copies") * HOT_KEYS > found.count()).select("class")
+    return skewed_join(found.select("doc_id", "class"), named, ["class"], F.col("doc_id"), hot).select("doc_id", "component_id")
+
+
+def keepers(docs: DataFrame, **settings: float) -> DataFrame:
+    """docs without those whose group has a smaller doc_id; rows without doc_id stay."""
+    gone = near_groups(docs, **settings).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
