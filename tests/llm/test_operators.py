@@ -392,6 +392,16 @@ def test_lines_drop_templates_and_keep_copies(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_short_lines_that_recur_are_dropped(spark):
+    rng = random.Random(18)
+    own = lambda n: "\n".join(" ".join(rng.choice(LOREM) for _ in range(14)) for _ in range(n))
+    rows = [(i, f"{own(3)}\nLes.\n\n{own(2)}\nRead more\nPage {i}\n{1900 + i}") for i in range(12)] + [(50, "Les."), (51, "Once only")]
+    got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        gone = [x for x in text.split("\n") if x in ("Les.", "Read more", f"Page {i}")]
+        assert got[i]["text"] == "\n".join(x for x in text.split("\n") if x not in gone) and got[i]["n_dropped"] == len(gone)
+
+
 # --- 9: search
 
 

@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree.
 
-Lines are parsed down a tree of fixed depth: by their number of tokens, then by their leading tokens;
-tokens with a digit are variable from the start. In a leaf that several different lines reach, the
+Lines are parsed down a tree of fixed depth: by their number of tokens, then by their leading tokens,
+as many as they have; tokens with a digit are variable from the start, unless a short line has no others. In a leaf that several different lines reach, the
 positions at which nearly all of them agree are constant and the others are variable fields; if
 enough positions are constant the leaf is one template for the lines that fit it, and other lines
 are templates by themselves. Lines of templates that recur across documents are dropped, in all
@@ -17,8 +17,8 @@ these are at least `variety` of its documents.
 All is DataFrame functions. Tokens of lines are kept as one-byte hashes, which only decide whether a
 position is constant. The rows of a hot template or leaf are dealt over many tasks.
 
-Defined cases: a null text stays null. Lines with fewer tokens than the tree is deep reach no leaf
-and stay. A text of dropped lines only becomes empty. Rows that agree in doc_id and text are
+Defined cases: a null text stays null. Lines without tokens reach no leaf and
+stay. A text of dropped lines only becomes empty. Rows that agree in doc_id and text are
 rewritten alike. Columns other than text and n_chars are passed on; n_chars, if there, follows.
 """
 
@@ -41,8 +41,12 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row for each line that reaches a leaf: doc_id, h (of the text), pos, leaf, line, tokens."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
-    lines = lines.withColumn("t", F.split(F.btrim(masked, F.lit(" \t\r\x0b\x0c")), r"\s+")).filter(F.size("t") >= depth)
-    leaf = F.xxhash64(F.size("t"), *[F.col("t")[i] for i in range(depth)])
+    trim = F.lit(" \t\r\x0b\x0c")
+    lines = lines.withColumn("t", F.split(F.btrim(masked, trim), r"\s+")).filter(F.col("t")[0] != "")
+    # A short line of variable tokens only, such as a number, has nothing constant: it stands for itself.
+    bare = (F.size("t") < depth) & ~F.exists("t", lambda x: x != "<*>")
+    lines = lines.withColumn("t", F.when(bare, F.split(F.btrim("raw", trim), r"\s+")).otherwise(F.col("t")))
+    leaf = F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(depth)])
     return lines.select("doc_id", "h", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), F.transform("t", lambda x: (F.pmod(F.xxhash64(x), F.lit(256)) - 128).cast("byte")).alias("tokens"))
 
 
