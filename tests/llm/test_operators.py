@@ -402,6 +402,16 @@ def test_short_lines_that_recur_are_dropped(spark):
         assert got[i]["text"] == "\n".join(x for x in text.split("\n") if x not in gone) and got[i]["n_dropped"] == len(gone)
 
 
+@pytest.mark.parametrize(("block", "n"), [(10, 6), (10, 3), (3, 1), (3, 2), (20, 12)])
+def test_blocks_of_recurring_lines_are_dropped(spark, block, n):
+    rng = random.Random(block * n)
+    line = lambda: " ".join(rng.choice(LOREM) for _ in range(14))
+    header = [line() for _ in range(block)]
+    rows = [(i, "\n".join(header + [line() for _ in range(n)])) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(t.split("\n")[block:]) for i, t in rows}
+
+
 # --- 9: search
 
 

@@ -8,10 +8,12 @@ are templates by themselves. Lines of templates that recur across documents are
 documents.
 
 Copies of a document make all its lines recur, and are not what this operator is for. So documents
-with equal texts count once, and a template's support is its number of different anchors: an anchor
-is the smallest line hash of the document other than the template's. Near copies share most of their
-anchors. Anchors are counted in several hash orders, as another recurring line may be everybody's
-anchor in one of them, and the median counts. A template is dropped if it has `least` anchors and
+with equal texts count once, and a template's support is its number of different anchors. A document's
+other lines are ordered by how many texts have them, in powers of two; the anchor is the smallest hash
+in the power that is reached after a share of SHARED of the lines. So a header or footer of many lines
+isn't its own anchor while the document has more lines of its own than that share, and documents that
+have fewer are near copies, which share their anchors. Anchors are counted in several hash orders, and
+the median counts. A template is dropped if it has `least` anchors and
 these are at least `variety` of its documents.
 
 All is DataFrame functions. Tokens of lines are kept as one-byte hashes, which only decide whether a
@@ -34,6 +36,8 @@ from .common import hot_keys, kept, skewed_join
 DEPTH, LEAST, VARIETY, AGREE, CONSTANT = 3, 5, 0.5, 0.8, 0.5
 #: Orders in which anchors are taken; the median of their numbers counts.
 ORDERS = 3
+#: Share of own lines up to which documents are copies of each other.
+SHARED = 0.2
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -71,20 +75,24 @@ def recurring(lines: DataFrame, least: int = LEAST, variety: float = VARIETY, ag
     found = kept(fitted.select("doc_id", "h", "pos", F.when(fits, F.col("leaf")).otherwise(F.col("line")).alias("template")), "templates")
     hot = hot_keys(found, ["template"])
     texts = kept(found.select("h", "template").distinct(), "texts")
-    # In each order the two smallest templates of a text are its anchors.
-    orders = [f"x{k}" for k in range(ORDERS)]
-    hashed = texts.select("h", *[F.xxhash64("template", F.lit(k)).alias(x) for k, x in enumerate(orders)])
-    first = hashed.groupBy("h").agg(*[F.min(x).alias(f"first_{x}") for x in orders])
-    second = hashed.join(first, "h").groupBy("h").agg(*[F.first(f"first_{x}").alias(f"first_{x}") for x in orders], *[F.min(F.when(F.col(x) != F.col(f"first_{x}"), F.col(x))).alias(f"second_{x}") for x in orders])
-    # Only templates of enough texts are worth their anchors.
-    often = texts.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    often = skewed_join(texts, often, ["template"], F.col("h"), hot)
-
-    def anchor(k: int) -> Column:
-        x = F.xxhash64("template", F.lit(k))
-        return F.coalesce(F.when(x != F.col(f"first_x{k}"), F.col(f"first_x{k}")).otherwise(F.col(f"second_x{k}")), F.lit(0))
-
-    support = often.join(second, "h").select("template", "texts", F.posexplode(F.array(*map(anchor, range(ORDERS)))).alias("order", "anchor")).distinct()
+    # Templates of one text need no row.
+    counts = texts.groupBy("template").agg(F.count("*").alias("texts")).filter("texts > 1")
+    counted = skewed_join(texts, counts, ["template"], F.col("h"), hot, "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    rare = F.floor(F.log2("texts")).cast("int").alias("rare")
+    by_text = counted.groupBy("h").agg(F.array_sort(F.collect_list(F.struct(rare, "template", "texts"))).alias("all"))
+    # A template's anchor is taken at this place of the others, so at the next one if it stands before it.
+    place = F.floor(F.lit(SHARED) * F.size("all")).cast("int")
+    classes = F.array(*[F.get("all", place + i)["rare"] for i in range(2)])
+
+    def least_two(k: int) -> Column:
+        return F.slice(F.array_sort(F.transform("peers", lambda t: F.struct(F.xxhash64(t, F.lit(k)), t))), 1, 2).cast("array<struct<x:long,template:long>>")
+
+    peers = F.transform(classes, lambda c: F.transform(F.filter("all", lambda t: t["rare"] == c), lambda t: t["template"]))
+    often = by_text.filter(F.exists("all", lambda t: t["texts"] >= least)).select("h", place.alias("place"), "all", F.posexplode(peers).alias("side", "peers"))
+    often = often.select("place", "side", F.array(*map(least_two, range(ORDERS))).alias("two"), F.posexplode("all").alias("at", "t"))
+    often = often.filter((F.col("t.texts") >= least) & (F.col("side") == (F.col("at") <= F.col("place")).cast("int")))
+    anchors = F.transform("two", lambda two: F.coalesce(F.get(F.filter(two, lambda x: x["template"] != F.col("t.template")), F.lit(0))["x"], F.lit(0)))
+    support = often.select("t.template", "t.texts", F.posexplode(anchors).alias("order", "anchor")).distinct()
     support = support.groupBy("template", "texts", "order").agg(F.count("*").alias("anchors")).groupBy("template", "texts").agg(F.element_at(F.sort_array(F.collect_list("anchors")), (ORDERS + 1) // 2).alias("anchors"))
     dropped = support.filter((F.col("anchors") >= least) & (F.col("anchors") >= variety * F.col("texts"))).select("template")
     return skewed_join(found, dropped, ["template"], F.struct("h", "pos"), hot).select("doc_id", "h", "pos")
