@@ -344,9 +344,7 @@ def test_simhash(spark, docs, texts):
     prints = {i: brute_print(t) for i, t in texts.items()}
     assert {i: r["print"] & (1 << 64) - 1 for i, r in got.items()} == prints
     assert {i: r["component_id"] for i, r in got.items()} == grouped(prints)
-    left = {r["doc_id"] for r in simhash.keepers(docs).collect()}
-    assert left == set(grouped(prints).values())
-    assert simhash.keepers(docs.limit(0)).count() == 0
+    assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
 def test_links_lose_nothing(spark):
@@ -355,9 +353,15 @@ def test_links_lose_nothing(spark):
     for _ in range(40):
         a = rng.getrandbits(64)
         prints |= {a} | {a ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 7)}
-    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "print long")).collect()}
-    assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(prints)]
+    near = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    for blocks in (7, 8, 9):
+        met = {m: {} for m in simhash.masks(blocks)}
+        for m, seen in met.items():
+            for x in signed:
+                seen.setdefault(x & m, []).append(x)
+        assert near <= {(min(a, b), max(a, b)) for seen in met.values() for s in seen.values() for a in s for b in s}
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**12)] == [7, 7, 9, 9]
 
 
 def test_components_of_paths_and_stars(spark):

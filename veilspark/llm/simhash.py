@@ -1,51 +1,90 @@
-"""SimHash near-dedup: 64-bit fingerprints over word shingles, joined on pigeonhole blocks.
+"""SimHash near-dedup: fingerprints over word shingles, joined on pigeonhole blocks.
 
-A fingerprint is cut into `blocks` parts. Two fingerprints that differ in at most `distance` bits
-agree in at least `blocks - distance` parts, so all such pairs meet on some choice of that many
-parts; candidates are verified by their Hamming distance. Equal fingerprints are one class first:
-only classes are joined, and copies cost one row each. More blocks mean longer keys and fewer
-candidates for more rows; 7 blocks and distance 4 give 35 keys of 27 bits or more.
+A fingerprint's bit is the majority of that bit in the hashes of a text's shingles. There are two uses:
 
-Defined cases: a text of fewer words than a shingle is one shingle; one without words (or null) has
-fingerprint 0 and links like any other. A null doc_id is never the smallest unless alone. Rows that
-share a doc_id are one document for `keepers`. An empty table gives an empty result.
+- `near_groups`: 64 bits, links at a Hamming distance. A fingerprint is cut into `blocks` parts. Two
+  fingerprints that differ in at most `distance` bits agree in at least `blocks - distance` parts, so
+  all such pairs meet on some choice of that many parts. The number of parts grows with the number of
+  different fingerprints (`blocks_for`), so that chance meetings per fingerprint stay bounded.
+- `similar_groups` and `keepers`: links at a Jaccard similarity of the shingle sets. At 0.8 about 15 %
+  of the bits differ, which 64 bits can't tell from chance, so a fingerprint has BITS bits and TABLES
+  blocks of `width_for` of its bits. A pair at 0.8 shares a block with a probability of 0.97 or more,
+  at 0.85 of 0.99 or more. Candidates are verified by the Hamming distance, of a part of the
+  fingerprint and then of the whole, and what is left by the sets themselves.
+
+Equal fingerprints (or sets) are one class first: only classes are joined, copies cost a row each. A
+block's classes aren't crossed: they are verified against three leaders, what these link is united,
+and only blocks of four or more classes that are still apart are compared pair by pair, hot ones dealt
+over many tasks; no other pair can unite anything.
+
+Defined cases: a text of fewer words than a shingle is one shingle; texts without words (or null) have
+fingerprint 0 and the empty set, and link like any other. A null doc_id is never the smallest unless
+alone. Rows that share a doc_id are judged by their own texts: `keepers` keeps one row of each group,
+the one of the smallest doc_id, and one of rows that are equal in all columns. Other columns are passed
+on by `keepers` and ignored elsewhere. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, kept, skewed_join
+from .common import HOT_KEYS, dimension_join, hot_keys, kept, skewed_join
 from .components import components
 
-SHINGLE, DISTANCE, BLOCKS, SEED = 4, 4, 7, 42
-#: Shingles that are hashed before their bits are counted.
-STEP = 1 << 15
+SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Of the use by similarity: words of a shingle, similarity, bits, tables of blocks.
+SIMILAR_SHINGLE, SIMILARITY, BITS, TABLES = 5, 0.8, 1024, 96
+#: Bits that a fingerprint's carried part has, and the share of bits in which a pair at SIMILARITY differs.
+CARRIED, DIFFERING = 128, 0.1515
+#: Shingles whose bits are counted at a time.
+STEP = 1 << 12
+SKETCH = "doc_id long, h long, class long, n int, print binary"
+KEYED = "class long, n int, w0 long, w1 long, key long"
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit by bit the majority of the hashes of all shingles of the lower-cased text."""
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of all shingles of the lower-cased text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, STEP):
-        h = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + STEP], last[at : at + STEP])], dtype="<u8")  # noqa: B905
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], last)), dtype="<u8", count=len(last))  # noqa: B905
+
+
+def widened(h: np.ndarray, words: int) -> np.ndarray:
+    """`words` hashes for each hash: itself, and mixes of it."""
+    if words == 1:
+        return h[:, None]
+    z = h[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    z ^= z >> np.uint64(31)
+    z[:, 0] = h
+    return z
+
+
+def majority(h: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The fingerprint of the hashes, as bytes: bit by bit what more than half of them have."""
+    ones = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(h), STEP):
+        spread = np.unpackbits(np.ascontiguousarray(widened(h[at : at + STEP], bits // 64)).view(np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little")
+        for part in range(0, len(spread), 255):
+            ones += spread[part : part + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return int(majority(hashes(text, shingle)).view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -59,7 +98,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches_of, "doc_id long, print long")
 
 
-def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """Parts of a 64-bit fingerprint for n of them: the fewest whose choices meet by chance less than
+    about four times for each, or distance + 5."""
+    for blocks in range(distance + 3, distance + 5):
+        choices = masks(blocks, distance)
+        if len(choices) * n >> 64 * (blocks - distance) // blocks <= 4:
+            return blocks
+    return distance + 5
+
+
+def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """The choices of parts, as bit masks (signed 64 bits)."""
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << hi) - 1) & ~((1 << lo) - 1) for lo, hi in zip(bounds, bounds[1:], strict=False)]
@@ -67,29 +116,186 @@ def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def links(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in prints that differ in at most `distance` bits."""
-    choices = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("print").bitwiseAND(F.lit(m)).alias("block")) for i, m in enumerate(masks(blocks, distance))])
-    keyed = prints.select("print", F.explode(choices).alias("c")).select("print", "c.choice", "c.block")
-    a, b = keyed.withColumnRenamed("print", "a"), keyed.withColumnRenamed("print", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return a.join(b, (a["choice"] == b["choice"]) & (a["block"] == b["block"]) & near).select("a", "b").distinct()
+def united(keyed: DataFrame, carried: list[str], near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """node and root of the classes that links join. keyed: key, class and the carried columns, a row for
+    each class and block; near(x, y): whether structs x and y of class and carried columns are candidates;
+    verified: the links among pairs (a, b)."""
+    shared = kept(keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = shared.filter(F.col("rows") * HOT_KEYS > total).select("key")
+    me = F.struct("class", *carried)
+    members = kept(skewed_join(keyed.select("key", me.alias("me")), shared, ["key"], F.col("me.class"), hot), "members")
+    leaders = members.groupBy("key").agg(F.min("me").alias("l0"), F.max("me").alias("l1"), F.min(F.struct(F.xxhash64("me.class").alias("x"), F.col("me").alias("l"))).alias("l2"))
+    leaders = leaders.select("key", F.array("l0", "l1", "l2.l").alias("leaders"))
 
+    def pairs_of(met: DataFrame, x: str, y: str) -> DataFrame:
+        a, b = F.col(f"{x}.class"), F.col(f"{y}.class")
+        return met.filter((a != b) & near(x, y)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, print and component_id, the smallest doc_id reachable over links."""
-    rows = kept(fingerprints(docs, shingle), "prints")
-    classes = kept(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    pairs = kept(links(classes.select("print"), blocks, distance), "links")
-    roots = components(pairs).select(F.col("node").alias("print"), "root")
-    rooted = classes.select("print", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    met = skewed_join(members.select("key", "me"), leaders, ["key"], F.col("me.class"), hot).select("me", F.explode("leaders").alias("l"))
+    stars = kept(pairs_of(met, "me", "l"), "stars")
+    links = kept(verified(stars), "links")
+    roots = kept(components(links), "united")
+    # Leaders meet everybody, so a block of up to three classes has no other pairs.
+    large = members.filter("rows > 3").select("key", "me").join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
+    placed = kept(large.select("key", "me", F.coalesce("root", "me.class").alias("root")), "placed")
+    apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    placed = kept(skewed_join(placed, apart, ["key"], F.col("me.class"), hot), "apart")
+    x, y = (placed.select("key", F.col("me").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy")
+    rest = skewed_join(x, y, ["key"], F.col("x.class"), hot).filter("x.class < y.class and root_x <> root_y")
+    rest = kept(pairs_of(rest, "x", "y").join(stars, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return roots
+    return components(kept(links.union(verified(rest)), "links"))
+
+
+def grouped(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (doc_id, class, ...) with component_id, the smallest doc_id of the group. classes: class, least
+    and copies."""
+    rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("print", "component_id")
-    hot = classes.filter(F.col("n") * HOT_KEYS > rows.count()).select("print")
-    return skewed_join(rows, named, ["print"], F.col("doc_id"), hot).select("doc_id", "print", "component_id")
+    named = rooted.join(smallest, "root").select("class", "root", "component_id")
+    hot = classes.filter(F.col("copies") * HOT_KEYS > rows.count()).select("class")
+    return skewed_join(rows, named, ["class"], F.col("doc_id"), hot)
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """doc_id, print and component_id, the smallest doc_id reachable over links of at most `distance` bits."""
+    rows = kept(fingerprints(docs, shingle).withColumnRenamed("print", "class"), "prints")
+    classes = kept(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    choices = masks(blocks or blocks_for(classes.count(), distance), distance)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("class").bitwiseAND(F.lit(m))) for i, m in enumerate(choices)])
+    keyed = classes.select("class", F.explode(keys).alias("key"))
+    roots = united(keyed, [], lambda x, y: F.bit_count(F.col(f"{x}.class").bitwiseXOR(F.col(f"{y}.class"))) <= distance)
+    return grouped(rows, classes, roots).select("doc_id", F.col("class").alias("print"), "component_id")
+
+
+def width_for(n: int) -> int:
+    """Bits of a block for n classes: 20 up to a million of them, 4 more for each 16 times as many."""
+    width = 20
+    while n > 1 << width:
+        width += 4
+    return width
+
+
+def tables_for(width: int, tables: int = TABLES) -> int:
+    """Tables that find as many pairs at SIMILARITY as `tables` of 20 bits do."""
+    share = 1 - DIFFERING
+    return -(-tables * np.log1p(-(share**20)) // np.log1p(-(share**width))).astype(int)
+
+
+def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, bits: int = BITS) -> DataFrame:
+    """For each row of docs its doc_id, the hash of all its columns, the hash and size of its set of
+    shingles, and its fingerprint."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            classes, sizes, prints = [], [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                found = np.unique(hashes(text.as_py() or b"", shingle))
+                classes.append(xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                prints.append(majority(found, bits).tobytes())
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "class", "n", "print"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns).alias("h"), "text").mapInArrow(batches_of, SKETCH)
+
+
+def keyed_by_blocks(classes: DataFrame, width: int, tables: int, bits: int = BITS) -> DataFrame:
+    """A row for each class and table: its block there, with the size and the carried part."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(SEED)
+        places = np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
+        powers = 1 << np.arange(width, dtype=np.int64)
+        table = np.arange(tables, dtype=np.int64) << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                whole = np.frombuffer(b"".join(part.column("print").to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
+                spread = np.unpackbits(whole, axis=1, bitorder="little")
+                keys = np.stack([spread[:, p].astype(np.int64) @ powers for p in places], axis=1) + table
+                words = whole.view("<i8")
+                again = [np.repeat(c, tables) for c in (part.column("class").to_numpy(), part.column("n").to_numpy(), words[:, 0], words[:, 1])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, again), pa.array(keys.ravel())], names=["class", "n", "w0", "w1", "key"])
+
+    return classes.select("class", "n", "print").mapInArrow(batches_of, KEYED)
+
+
+def within(bits: int) -> int:
+    """The distance that all but one in thousands of pairs at SIMILARITY keep over so many bits."""
+    return int(bits * DIFFERING + 3.5 * (bits * DIFFERING * (1 - DIFFERING)) ** 0.5)
+
+
+def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """class and shingles of the classes in chosen (class, h: a row of docs that stands for it)."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 1000):
+                part = batch.slice(row, 1000)
+                found = [np.unique(hashes(t.as_py() or b"", shingle)).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "shingles"])
+
+    rows = dimension_join(docs.select(F.xxhash64(*docs.columns).alias("h"), "text"), chosen, "h").select("class", "text")
+    return rows.mapInArrow(batches_of, "class long, shingles array<long>").dropDuplicates(["class"])
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, h (of the row), class, root (of the group) and component_id, for groups over links of at
+    least `similarity`, which is SIMILARITY or more."""
+    found = kept(sketches(docs, shingle), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n", "print")
+    classes = kept(found.groupBy("class").agg(F.min(row).alias("row"), F.count("*").alias("copies")).select("class", "copies", F.col("row.doc_id").alias("least"), "row.h", "row.n", "row.print"), "classes")
+    width = width_for(classes.count())
+    # Texts without words are one class and similar to nothing else.
+    keyed = keyed_by_blocks(classes.filter("n > 0"), width, tables_for(width))
+
+    def fit(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def near(x: str, y: str) -> Column:
+        differ = [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in ("w0", "w1")]
+        return fit(F.col(f"{x}.n"), F.col(f"{y}.n")) & (differ[0] + differ[1] <= within(CARRIED))
+
+    def with_class(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
+        other = "b" if side == "a" else "a"
+        return skewed_join(pairs, table.withColumnRenamed("class", side), [side], F.col(other), hot_keys(pairs, [side]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        longs = [F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
+        prints = classes.select("class", F.array(*longs).alias("words"))
+        met = with_class(with_class(pairs, prints.withColumnRenamed("words", "p"), "a"), prints.withColumnRenamed("words", "q"), "b")
+        differ = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+        close = kept(met.filter(differ <= within(BITS)).select("a", "b"), "close")
+        wanted = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
+        sets = kept(sets_of(docs, classes.select("class", "h").join(wanted, "class"), shingle), "sets")
+        met = with_class(with_class(close, sets.withColumnRenamed("shingles", "x"), "a"), sets.withColumnRenamed("shingles", "y"), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return met.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+
+    roots = united(keyed, ["n", "w0", "w1"], near, verified)
+    return grouped(found.select("doc_id", "h", "class"), classes.select("class", "least", "copies"), roots)
 
 
-def keepers(docs: DataFrame, **settings: int) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; rows without doc_id stay."""
-    gone = near_groups(docs, **settings).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def keepers(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each group of near copies."""
+    rows = kept(similar_groups(docs, shingle, similarity).select("root", "doc_id", "h"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    stays = rows.groupBy("root").agg(F.min(order).alias("stays"), F.count("*").alias("rows"))
+    stays = kept(stays.filter("rows > 1").select("root", F.col("stays.h").alias("stays")), "stays")
+    hot = hot_keys(rows, ["root"])
+    # A row for each hash in a group of several: it goes, or it stays and is there `rows` times.
+    marks = skewed_join(rows, stays, ["root"], F.col("h"), hot).groupBy("h").agg(F.max(F.col("h") == F.col("stays")).alias("stays"), F.count("*").alias("rows"))
+    marks = kept(marks.filter("not stays or rows > 1").select("h", "stays"), "marks")
+    columns, own, mark = docs.columns, "_h", "_stays"
+    while own in columns or mark in columns:
+        own, mark = f"_{own}", f"_{mark}"
+    marks = marks.select(F.col("h").alias(own), F.col("stays").alias(mark))
+    marked = dimension_join(docs.withColumn(own, F.xxhash64(*columns)), marks, own, "left")
+    return marked.filter(F.col(mark).isNull()).select(columns).unionByName(marked.filter(mark).select(columns).dropDuplicates())
