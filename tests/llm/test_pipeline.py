@@ -36,11 +36,10 @@ def test_clean_documents_stay(stages):
 
 
 def test_one_of_each_group_stays(spark, stages):
-    from test_operators import brute_print, grouped
+    from test_simhash import brute_groups
 
     before, after = stages["near_dedup"]
-    prints = {r["doc_id"]: brute_print(r["text"]) for r in before.collect()}
-    assert ids(after) == sorted(set(grouped(prints).values()))
+    assert ids(after) == sorted(set(brute_groups({r["doc_id"]: r["text"] for r in before.collect()}).values()))
 
 
 def test_mix_repeats_and_drops(stages):
