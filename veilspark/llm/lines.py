@@ -3,9 +3,10 @@
 Lines are parsed down a tree of fixed depth: by their number of tokens, then by their leading tokens,
 as many as they have; tokens with a digit are variable from the start, unless a short line has no others. In a leaf that several different lines reach, the
 positions at which nearly all of them agree are constant and the others are variable fields; if
-enough positions are constant the leaf is one template for the lines that fit it, and other lines
-are templates by themselves. Lines of templates that recur across documents are dropped, in all
-documents.
+enough positions are constant the leaf has a template for the lines that fit it. The lines that don't
+are dealt to leaves of their own by their token at the position of fewest different tokens, and tried
+again, up to LEVELS times, so a leaf may hold several templates; lines that fit none are templates by
+themselves. Lines of templates that recur across documents are dropped, in all documents.
 
 Copies of a document make all its lines recur, and are not what this operator is for. So documents
 with equal texts count once, and a template's support is its number of different anchors. A document's
@@ -16,8 +17,11 @@ have fewer are near copies, which share their anchors. Anchors are counted in se
 the median counts. A template is dropped if it has `least` anchors and
 these are at least `variety` of its documents.
 
-All is DataFrame functions. Tokens of lines are kept as one-byte hashes, which only decide whether a
-position is constant. The rows of a hot template or leaf are dealt over many tasks.
+All is DataFrame functions. Tokens of lines are kept as 32-bit hashes. The rows of a hot template or
+leaf are dealt over many tasks.
+
+A word without a digit among the leading tokens is taken as constant, so templates that vary there
+without one are as many templates.
 
 Defined cases: a null text stays null. Lines without tokens reach no leaf and
 stay. A text of dropped lines only becomes empty. Rows that agree in doc_id and text are
@@ -26,6 +30,8 @@ rewritten alike. Columns other than text and n_chars are passed on; n_chars, if
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,8 @@ from .common import hot_keys, kept, skewed_join
 DEPTH, LEAST, VARIETY, AGREE, CONSTANT = 3, 5, 0.5, 0.8, 0.5
 #: Orders in which anchors are taken; the median of their numbers counts.
 ORDERS = 3
+#: Times that a leaf's lines are tried for a template, dealt by a further token after each.
+LEVELS = 3
 #: Share of own lines up to which documents are copies of each other.
 SHARED = 0.2
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
@@ -51,28 +59,44 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     bare = (F.size("t") < depth) & ~F.exists("t", lambda x: x != "<*>")
     lines = lines.withColumn("t", F.when(bare, F.split(F.btrim("raw", trim), r"\s+")).otherwise(F.col("t")))
     leaf = F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(depth)])
-    return lines.select("doc_id", "h", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), F.transform("t", lambda x: (F.pmod(F.xxhash64(x), F.lit(256)) - 128).cast("byte")).alias("tokens"))
+    return lines.select("doc_id", "h", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), F.transform("t", lambda x: F.hash(x)).alias("tokens"))
 
 
-def generalised(lines: DataFrame, hot: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
-    """leaf and constants (array of pos, token) of the leaves that are templates. hot: leaves that many
-    lines reach."""
-    distinct = lines.select("leaf", "line").distinct()
-    several = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
-    seen = skewed_join(lines.select("leaf", "line", "tokens"), several, ["leaf"], F.col("line"), hot).distinct()
+def generalised(seen: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
+    """leaf, constants (array of pos, token; null if the leaf is no template) and split (the position by
+    which its other lines are dealt) of leaves that at least `least` different lines reach."""
     counts = seen.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
-    best = counts.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
+    best = counts.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"), F.count("*").alias("different")).filter(F.col("all") >= least)
     steady = F.collect_list(F.when(F.col("best.n") >= agree * F.col("all"), F.struct("pos", F.col("best.token").alias("token"))))
-    return best.groupBy("leaf").agg(steady.alias("constants"), F.count("*").alias("width")).filter(F.size("constants") >= constant * F.col("width")).filter(F.size("constants") < F.col("width")).select("leaf", "constants")
+    leaves = best.groupBy("leaf").agg(steady.alias("constants"), F.count("*").alias("width"), F.min(F.when(F.col("different") > 1, F.struct("different", "pos"))).alias("split"))
+    is_template = (F.size("constants") >= constant * F.col("width")) & (F.size("constants") < F.col("width"))
+    return leaves.select("leaf", F.when(is_template, F.col("constants")).alias("constants"), F.col("split.pos").alias("split"))
+
+
+def templates(lines: DataFrame, hot: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT, levels: int = LEVELS) -> DataFrame:
+    """line and template of the different lines that fit a template of their leaf. hot: leaves that many
+    lines reach."""
+    several = lines.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
+    seen = kept(skewed_join(lines.select("leaf", "line", "tokens"), several, ["leaf"], F.col("line"), hot).distinct(), "seen")
+    found = []
+    for level in range(levels):
+        leaves = kept(generalised(seen, least, agree, constant), "leaves")
+        met = skewed_join(seen, leaves, ["leaf"], F.col("line"), hot if level == 0 else hot_keys(seen, ["leaf"]))
+        fits = F.coalesce(F.forall("constants", lambda c: F.col("tokens")[c["pos"]] == c["token"]), F.lit(False))
+        met = kept(met.withColumn("fits", fits), "fitted")
+        found.append(met.filter("fits").select("line", F.xxhash64("leaf", F.lit(level)).alias("template")))
+        if level + 1 < levels:
+            # A token at the split deals the others; without a split all lines are one, and one doesn't come back.
+            seen = met.filter("not fits and split is not null").select(F.xxhash64("leaf", F.lit(level), F.col("tokens")[F.col("split")]).alias("leaf"), "line", "tokens")
+            seen = kept(seen, "seen")
+    return reduce(DataFrame.unionAll, found)
 
 
 def recurring(lines: DataFrame, least: int = LEAST, variety: float = VARIETY, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
     """doc_id, h, pos of the lines whose template recurs."""
-    hot = hot_keys(lines, ["leaf"])
-    leaves = kept(generalised(lines, hot, least, agree, constant), "leaves")
-    fitted = skewed_join(lines, leaves, ["leaf"], F.col("line"), hot, "left")
-    fits = F.coalesce(F.forall("constants", lambda c: F.col("tokens")[c["pos"]] == c["token"]), F.lit(False))
-    found = kept(fitted.select("doc_id", "h", "pos", F.when(fits, F.col("leaf")).otherwise(F.col("line")).alias("template")), "templates")
+    fitted = kept(templates(lines, hot_keys(lines, ["leaf"]), least, agree, constant), "fits")
+    fitted = skewed_join(lines.select("doc_id", "h", "pos", "line"), fitted, ["line"], F.struct("h", "pos"), hot_keys(lines, ["line"]), "left")
+    found = kept(fitted.select("doc_id", "h", "pos", F.coalesce("template", "line").alias("template")), "templates")
     hot = hot_keys(found, ["template"])
     texts = kept(found.select("h", "template").distinct(), "texts")
     # Templates of one text need no row.
