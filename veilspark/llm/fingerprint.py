@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A document is cut into paragraphs, at line breaks and after sentences that end in certain letters,
-so that a cut depends on the text around it only. Each paragraph's 64-bit digest goes into one cell
+A document is cut into paragraphs, at line breaks and after a word that, with the one before it, a hash
+picks, so a cut depends on the text around it only, in any script; where a script has no spaces, its
+characters are the words. Each paragraph's 64-bit digest goes into one cell
 of each of three tables; a cell holds a count, the xor of its digests and the xor of their checks.
 Sketches subtract cell by cell. What two versions don't share is peeled from the difference: a cell
 with one digest gives it away, taking it out of its other cells gives more. Where peeling sticks,
@@ -13,9 +14,9 @@ DataFrame functions; each document's sketch is made in its own row, and a retry
 to the digests that it deals.
 
 Defined cases: a null text is empty. A text without paragraphs has the sketch of none; two of these
-are alike (1), one of them and another text are not (0). Repeated paragraphs count once. Rows that
-share a doc_id are one document, the one of the smallest text. A null doc_id comes last. A lone
-document is its own next. Other columns are ignored.
+are alike (1), one of them and another text are not (0). Repeated paragraphs count once. Every row has
+its result: rows that share a doc_id follow each other by a hash of their texts, equal rows one by one.
+A null doc_id comes last. A lone document is its own next. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import kept, ranked
 
-PARAGRAPH = r"\n+|(?<=[a-h][.!?])\s+"
+#: Where a word ends, with the white space after it; characters of scripts without spaces are words.
+WORD_END = r"(?<=\s)(?=\S)|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF])"
+#: One pair of words in how many ends a paragraph.
+PICKED = 32
 TABLES, CELLS = 3, 8
 #: Rounds of peeling, and retries before what is left of a part is compared directly.
 ROUNDS, RETRIES = 8, 14
@@ -43,7 +47,15 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    def ends(words: Column, i: Column) -> Column:
+        pair = F.xxhash64(F.coalesce(F.get(words, i - 1), F.lit("")), F.get(words, i))
+        return (F.pmod(pair, F.lit(PICKED)) == 0) | F.contains(F.get(words, i), F.lit("\n")) | (i == F.size(words) - 1)
+
+    def cut(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ends(words, i))
+        return let(places, lambda at: F.array_distinct(F.transform(at, lambda e, j: let(F.coalesce(F.get(at, j - 1), F.lit(-1)), lambda last: F.xxhash64(F.slice(words, last + 2, e - last))))))
+
+    return F.when(text.rlike(r"\S"), let(F.split(text, WORD_END, -1), cut)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _check(digest: Column) -> Column:
@@ -53,13 +65,13 @@ def _check(digest: Column) -> Column:
 def _marked(digest: Column, n: Column) -> Column:
     """A digest with its sign, its check and its cell in each table."""
     mixed = F.xxhash64(digest, F.lit(2))
-    cells = [(F.shiftrightunsigned(mixed, 8 * t).bitwiseAND(F.lit(CELLS - 1)) + t * CELLS).cast("int").alias(f"c{t}") for t in range(TABLES)]
-    return F.struct(n.cast("int").alias("n"), digest.alias("digest"), _check(digest).alias("check"), *cells)
+    cells = [(F.shiftrightunsigned(mixed, 8 * t).bitwiseAND(F.lit(CELLS - 1)) + t * CELLS).cast("int") for t in range(TABLES)]
+    return F.struct(n.cast("int").alias("n"), digest.alias("digest"), _check(digest).alias("check"), F.array(*cells).alias("cells"))
 
 
 def _taken(cell: Column, marked: Column, i: Column, sign: int) -> Column:
     """The cell with the digests that belong to it added or taken out."""
-    own = F.filter(marked, lambda m: reduce(lambda a, b: a | b, [m[f"c{t}"] == i for t in range(TABLES)]))
+    own = F.filter(marked, lambda m: F.get(m["cells"], F.floor(i / CELLS).cast("int")) == i)
     return F.aggregate(own, cell, lambda c, m: F.struct((c["n"] + sign * m["n"]).alias("n"), c["digest"].bitwiseXOR(m["digest"]).alias("digest"), c["check"].bitwiseXOR(m["check"]).alias("check")).cast(CELL))
 
 
@@ -120,24 +132,30 @@ def differing(pairs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """key, doc_id, n_chars, edited_sha256 and the digests of the text, the edited text and the next
-    document's text. A text is dealt once, and half of it at most goes on to the document before."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = kept(rows.select("doc_id", F.length("text").alias("n")), "lengths")
-    if not order.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-        order = kept(rows.select("doc_id", F.length("text").alias("n")), "lengths")
-    total = order.count()
-    order = kept(ranked(order, [F.col("doc_id").isNull(), F.col("doc_id")], "place").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "n", "place"), "order")
-    before = order.select(F.col("key").alias("previous"), F.col("n").alias("previous_n"), F.pmod(F.col("place") + 1, F.lit(max(1, total))).alias("place"))
-    order = order.join(before, "place").select("key", "previous", "previous_n")
+    """key, times, doc_id, n_chars, edited_sha256 and the digests of the text, the edited text and the
+    next document's text, for each row of docs; equal rows that also have the same next are one row here,
+    with their number as `times`. A text is dealt once, and half of it at most goes on to the document before."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = kept(rows.select("id", "h", F.length("text").alias("n")), "lengths")
+    groups = order.groupBy("id", "h").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    if not groups.filter("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "h"])
+    total = groups.count()
+    # The id that stands for null comes last.
+    order = kept(ranked(groups, [F.col("id") == NO_ID, F.col("id"), F.col("h")], "place"), "order")
+    before = order.select(F.col("id").alias("p_id"), F.col("h").alias("p_h"), F.col("n").alias("p_n"), F.pmod(F.col("place") + 1, F.lit(max(1, total))).alias("place"))
+    order = order.drop("n").join(before, "place")
     # Both uses of `own` below need the same columns, so that they share one exchange of the texts.
-    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", digests(F.col("text")).alias("own")).join(order, "key")
-    given = own.select(F.col("previous").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("previous_n") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
+    own = rows.withColumn("own", digests(F.col("text"))).join(order, ["id", "h"]).select("id", "h", "text", "own", "place", "rows", "p_id", "p_h", "p_n")
+    given = own.select(F.col("p_id").alias("id"), F.col("p_h").alias("h"), F.substring("text", F.lit(1), F.floor(F.col("p_n") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
     n = F.length("text")
-    text = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head"))
-    met = own.join(given, "key").select("key", F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), text.alias("edited"), "own", "next")
-    return met.select("key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("edited"), "next")
+    half = F.floor(n / 2).cast("int")
+    # Of equal rows all but the last are followed by their own text.
+    nexts = F.array(F.struct(F.lit(0).alias("self"), F.lit(1).cast("long").alias("times"), "head", "next"), F.struct(F.lit(1).alias("self"), (F.col("rows") - 1).alias("times"), F.substring("text", F.lit(1), half).alias("head"), F.col("own").alias("next")))
+    met = own.join(given, ["id", "h"]).select("id", "place", "text", "own", F.explode(F.when(F.col("rows") > 1, nexts).otherwise(F.slice(nexts, 1, 1))).alias("x"))
+    text = F.concat(F.substring("text", F.lit(1), n - half), F.col("x.head"))
+    met = met.select((2 * F.col("place") + F.col("x.self")).alias("key"), "x.times", F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), text.alias("edited"), "own", "x.next")
+    return met.select("key", "times", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("edited"), "next")
 
 
 def likeness(only_left: Column, only_right: Column, size: Column) -> Column:
@@ -151,7 +169,8 @@ def compared(docs: DataFrame) -> DataFrame:
     counts = differing(pairs)
     two = counts.groupBy("key").agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in ("edited", "next") for c in ("only_left", "only_right")])
     size = F.size("own")
-    return rows.join(two, "key").select(
+    every = rows.join(two, "key").withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return every.select(
         "doc_id", "n_chars", "edited_sha256", shown(sketch(F.col("own"))).alias("fingerprint"), shown(sketch(F.col("edited"))).alias("edited_fingerprint"),
         *[likeness(F.col(f"{w}_only_left"), F.col(f"{w}_only_right"), size).alias(f"near_{w}") for w in ("edited", "next")],
     )
