@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import small
 from .common import kept, salted_join, work_folder
 
 MAGIC = b"\x1f\x8b\x08"
@@ -33,6 +34,8 @@ FILES = "path string, bytes long"
 RECORD = "path string, member_at long, record_type string, page_id long, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"
 #: Bytes of a reader's range, of a read, fed to a decoder at once, and decoded of a candidate to know it.
 RANGE, READ, BITE, HEAD = 16 << 20, 1 << 20, 8192, 512
+#: Tasks of a reader at most; beyond, a task takes several ranges.
+TASKS = 50_000
 
 
 def opened(path: str):
@@ -133,35 +136,39 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
 
 
 def typed(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, record_type, refers_to. Only digests meet in the aggregation, and
-    the rows of a hot payload are dealt over many tasks."""
+    """page_id, url, html, digest, record_type, refers_to. Only digests meet in the aggregation. Pages are
+    shuffled only if the repeated payloads are too many to broadcast, and then the rows of a hot payload
+    are dealt over many tasks."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
     groups = rows.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    seen = salted_join(rows, groups, ["digest"], F.struct("page_id", "url"), "left", salts=16)
+    groups = kept(groups, "repeated")
+    if small(groups):
+        seen = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        seen = salted_join(rows, groups, ["digest"], F.struct("page_id", "url"), "left", salts=16)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return seen.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Write an archive for each partition; returns path and bytes of each. A repeated task writes
-    the same name again: a file appears whole, by renaming."""
+    another name; only the names that are returned count."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():05d}.warc.gz"
+        path = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
         store, name = opened(path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
-        size, draft = 0, f"{name}.{task.taskAttemptId()}"
-        with store.open_output_stream(draft, compression=None) as out:
+        size = 0
+        with store.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 for page_id, refers_to, url, html, digest, kind in zip(*(batch[c].astype("Int64") for c in ("page_id", "refers_to")), *(batch[c] for c in ("url", "html", "digest", "record_type")), strict=True):
                     data = member(kind, None if page_id is pd.NA else page_id, None if refers_to is pd.NA else refers_to, url, html.encode(), digest)
                     out.write(data)
                     size += len(data)
-        store.move(draft, name)
         yield pd.DataFrame({"path": [path], "bytes": [size]})
 
     return records.mapInPandas(write, FILES)
@@ -186,7 +193,9 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE) -
                 yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     starts = files.filter("bytes > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))))
-    return starts.repartition(F.col("path"), F.col("start")).mapInPandas(read, RECORD)
+    # A number of partitions that is given isn't coalesced: a range is small as a row and large to read.
+    tasks = min(TASKS, files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / range_bytes)), F.lit(0))).first()[0])
+    return starts.repartition(max(1, tasks), "path", "start").mapInPandas(read, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, revisit_bytes: int = 1000, range_bytes: int = RANGE) -> DataFrame:
