@@ -168,6 +168,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_ranges_are_read_by_as_many_tasks(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 300)).alias("html")).repartition(2)
+    files = common.kept(warc.write_warc(warc.typed(pages), f"{common.work_folder(spark)}/archives"), "files")
+    ranges = sum(-(-r["bytes"] // 20_000) for r in files.collect())
+    read = warc.read_warc(spark, files, 20_000)
+    tasks = read.groupBy(F.spark_partition_id()).count().count()
+    assert ranges >= 10 and tasks > ranges // 3 and read.count() == 400
+
+
 def test_warc_members_are_standard_gzip():
     import gzip
 
@@ -309,8 +318,8 @@ def test_mixing_rates_are_entropy_balanced(spark):
         rows += [(name, s, n, size, sum(n for _, n in own), ratio * size) for s, n in own]
     df = spark.createDataFrame(rows, "key string, size long, n long, source_size long, docs long, target double")
     for name in "ab":
-        own = [r for r in mixing.rates(df).collect() if r["key"] == name]
-        assert sum(r["rate"] * r["size"] * r["n"] for r in own) == pytest.approx(own[0]["target"], rel=1e-9)
+        own = [r for r in mixing.rates(df.select("key", "size", "n"), df.drop("size", "n").distinct()).collect() if r["key"] == name]
+        assert sum(r["rate"] * r["size"] * r["n"] for r in own) == pytest.approx(own[0]["target"], rel=1e-6)
         tilt = {round(float(np.log(r["rate"])) / r["size"], 9) for r in own if r["rate"] < 3}
         assert len(tilt) == 1
 
@@ -420,7 +429,7 @@ def test_blocks_of_recurring_lines_are_dropped(spark, block, n):
 
 
 def brute_top(vectors, k=20):
-    usable = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in vectors.items() if v and all(x is not None and np.isfinite(x) for x in v)}
+    usable = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in vectors.items() if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     width = max(map(len, usable.values()))
     full = {i: np.pad(v, (0, width - len(v))) for i, v in usable.items()}
     out = set()
@@ -444,6 +453,26 @@ def test_search_is_exact(spark, monkeypatch, n, shard, queries, block):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_query_rows_that_share_an_id_have_their_own_results(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.25, 0.75]), (2, [0.0, 0.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=2).collect()
+    assert Counter((r["rank"], r["vec_id"], r["score"]) for r in got) == Counter({(1, 1, 32 * 64): 1, (1, 1, 48 * 64): 2, (2, 1, 16 * 64): 3})
+
+
+def test_essential_postings_are_a_part_of_all(spark):
+    """Where few terms carry the score, most postings aren't touched; the result is that of all."""
+    rng = np.random.default_rng(1)
+    vectors = np.floor(rng.normal(0, 1, (4000, 32)) * 64 * 0.6 ** np.arange(32)).astype(np.int64)
+    ids = np.arange(4000)
+    rows, found, score, touched = topk.max_score(vectors[:50], ids[:50], vectors, ids, 20)
+    full = vectors[:50] @ vectors.T
+    full[np.arange(50), np.arange(50)] = -(1 << 40)
+    for q in range(50):
+        best = np.lexsort((ids, -full[q]))[:20]
+        assert found[rows == q].tolist() == best.tolist() and score[rows == q].tolist() == full[q][best].tolist()
+    assert touched < 0.6 * 50 * 4000 * 32
+
+
 # --- 10: fingerprints
 
 
@@ -502,7 +531,7 @@ def test_half_of_a_text_is_seen_in_any_script(spark):
     words = [[a + b for a in x for b in x] for x in ("éèàoui", [chr(0x4E00 + 7 * i) for i in range(40)], "añeñíd")]
     texts = [("" if i % 3 == 1 else " ").join(rng.choice(words[i % 3]) for _ in range(900)) for i in range(30)]
     got = fingerprint.compared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert all(0.15 < r["near_edited"] < 0.6 for r in got) and all(r["near_next"] < 0.15 for r in got)
+    assert all(0.1 < r["near_edited"] < 0.6 for r in got) and all(r["near_next"] < 0.15 for r in got)
 
 
 def test_peeling_recovers_large_differences(spark):

@@ -11,10 +11,11 @@ threshold. The best k of all shards are merged.
 Queries and candidates meet in cells of a shard and a block of queries, so a task's memory is
 bounded; the only rows that meet are a stated query set and all candidates, in blocks.
 
-Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part.
-A shorter vector counts as padded with zeros. Ties go to the smaller vec_id. Rows with the query's
-vec_id are no candidates; other rows that share a vec_id are candidates each. Fewer than k
-candidates are all returned.
+Defined cases: vectors that are null or hold a null or a non-finite component take no part, nor do rows
+without vec_id. A shorter vector counts as padded with zeros, an empty one too. Ties go to the smaller
+vec_id. Rows with the query's vec_id are no candidates; other rows that share a vec_id are candidates
+each. Each query row has its own k, also among rows that share a vec_id. Fewer than k candidates are
+all returned. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 K, SCALE = 20, 64
 #: Candidates of a shard and queries of a block, about; candidates of a block within a shard.
-SHARD, QUERIES, BLOCK = 16_384, 1024, 2048
+SHARD, QUERIES, BLOCK = 16_384, 4096, 2048
+#: Candidates of a shard's first block, which gives the first thresholds.
+FIRST = 128
 #: Terms that are probed between two looks at the threshold.
 PROBES = 4
 
@@ -35,7 +38,7 @@ PROBES = 4
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id and the integer components; floats are widened before they are scaled."""
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & finite)
     return rows.select(F.col("vec_id").cast("long"), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
@@ -46,8 +49,9 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def max_score(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of the k best candidates of each query. ids ascend."""
+def max_score(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, candidate id, score) of the k best candidates of each query, and the number of postings
+    that were touched. ids ascend."""
     limit = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * queries.shape[1]
     kind = np.float64 if limit < 2**52 else np.int64  # floats hold these sums exactly
     queries, postings = queries.astype(kind), np.ascontiguousarray(candidates.T).astype(kind)
@@ -60,20 +64,29 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
     rest = np.concatenate([np.cumsum(ordered[:, ::-1], axis=1)[:, ::-1], none], axis=1)
     alone = np.concatenate([np.cumsum(np.maximum(ordered, 0)[:, ::-1], axis=1)[:, ::-1], none], axis=1)
     rows, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
-    threshold = np.full(n, -np.inf)
-    for at in range(0, len(ids), BLOCK):
-        block = postings[:, at : at + BLOCK]
+    threshold, touched = np.full(n, -np.inf), 0
+    starts = [0, *range(min(FIRST, len(ids)), len(ids), BLOCK)] if len(ids) else []
+    for at, end in zip(starts, [*starts[1:], len(ids)], strict=True):
+        block = postings[:, at:end]
         # Essential: terms before the first position from which the rest alone can't pass the threshold.
         essential = (alone[:, :width] > threshold[:, None]).sum(axis=1)
-        weights = np.zeros_like(queries)
-        np.put_along_axis(weights, order, np.where(np.arange(width) < essential[:, None], np.take_along_axis(queries, order, axis=1), 0), axis=1)
-        part = weights @ block
+        part = np.zeros((n, end - at), dtype=kind)
+        few = essential <= width // 2
+        for i in np.flatnonzero(few & (essential > 0)):
+            terms = order[i, : essential[i]]
+            part[i] = queries[i, terms] @ block[terms]
+        many = np.flatnonzero(~few)
+        weights = np.zeros((len(many), width), dtype=kind)
+        np.put_along_axis(weights, order[many], np.where(np.arange(width) < essential[many, None], np.take_along_axis(queries[many], order[many], axis=1), 0), axis=1)
+        part[many] = weights @ block
+        touched += int(essential.sum()) * (end - at)
         row, column = np.nonzero(part + rest[np.arange(n), essential][:, None] > threshold[:, None])
         other = ids[at + column] != query_ids[row]
         row, column = row[other], column[other]
         part = part[row, column]
         for i in range(int(essential.min(initial=width)), width):
             probed = essential[row] <= i
+            touched += int(probed.sum())
             term = order[row[probed], i]
             part[probed] += queries[row[probed], term] * block[term, column[probed]]
             if i % PROBES == 0:
@@ -86,7 +99,7 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
         rows, found, score = rows[place < k], found[place < k], score[place < k]
         full = np.flatnonzero(np.bincount(rows, minlength=n) == k)
         threshold[full] = score[np.searchsorted(rows, full, side="right") - 1]
-    return rows, found, score.astype(np.int64)
+    return rows, found, score.astype(np.int64), touched
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embedding") -> DataFrame:
@@ -102,17 +115,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embe
         return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     candidates = repeated(dealt(rows, shards, "shard"), blocks, "block")
-    queries = repeated(dealt(rows.filter(is_query), blocks, "block"), shards, "shard")
+    # Equal query rows are asked once.
+    asked = rows.filter(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("row", F.xxhash64("vec_id", "v"))
+    queries = repeated(dealt(asked, blocks, "block"), shards, "shard")
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({name: [] for name in columns}, dtype="int64")
         held = held.sort_values("vec_id", kind="stable")
-        width = max(asked["v"].map(len).max(), held["v"].map(len).max())
+        width = max(1, asked["v"].map(len).max(), held["v"].map(len).max())
         ids = asked["vec_id"].to_numpy()
-        row, found, score = max_score(matrix(asked["v"], width), ids, matrix(held["v"], width), held["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": ids[row], "vec_id": found, "score": score})
-
-    best = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        row, found, score, _ = max_score(matrix(asked["v"], width), ids, matrix(held["v"], width), held["vec_id"].to_numpy(), k)
+        return pd.DataFrame(dict(zip(columns, (ids[row], asked["row"].to_numpy()[row], asked["times"].to_numpy()[row], found, score), strict=True)))
+
+    columns = ("query_id", "row", "times", "vec_id", "score")
+    best = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInPandas(cell, ", ".join(f"{c} long" for c in columns))
+    rank = F.row_number().over(W.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
+    top = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return top.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("query_id", "rank", "vec_id", "score")
