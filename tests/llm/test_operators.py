@@ -65,7 +65,7 @@ def base(text):
 
 PII_TEXTS = [
     None, "", "a@b.c_d@e.f, x@y and .@a.b..c@d.e-f.g", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.004 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 79927398713 0000000000000000", "+1 (555) 555-0100 +1 +12 3456789 +1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6",
-    "日本😀 mail é@x.yz ok@ex.com😀1.1.1.1", "a" * 3000 + "@b.c" + "1." * 4000 + "@" * 2000, "9" * 5000, "+" + "(" * 3000 + "1", "no data here at all",
+    "日本😀 mail é@x.yz ok@ex.com😀1.1.1.1", "a" * 3000 + "@b.c" + "1." * 4000 + "@" * 2000, "9" * 5000, "+" + "(" * 3000 + "1", "no data here at all", " ".join(f"10.0.{i % 256}.{i // 256} +1 555 {1000000 + i}" for i in range(9000)),
 ]
 
 
@@ -84,13 +84,46 @@ def test_pii_base_spans(spark):
     assert sorted((tuple(r)[:7] for r in got), key=key) == sorted((expected(*r) for r in rows), key=key)
 
 
+def pii_of(spark, texts):
+    return {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+
+
 def test_pii_contexts_add_unseen_identifiers(spark):
     rows = [f"the account is user{i}@mail.example for now" for i in range(12)] + ["the account is key-99AB77 for now", "it is plainly version 123456 of it", "the account is nothing for now"]
-    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    got = pii_of(spark, rows)
     assert got[12]["spans"] == "context:15:25" and got[12]["n_context"] == 1
     assert all(got[i]["n_context"] == 0 for i in (0, 13, 14))
 
 
+def test_pii_discovers_over_several_hops(spark):
+    """Values found in the seeds' contexts induce a pattern that has no seed at all."""
+    ids = [f"ref-{i}XK{i * 7}" for i in range(8)]
+    rows = [f"reply to user{i}@mail.example please" for i in range(9)] + [f"reply to {x} please" for x in ids] + [f"ticket number {x} open" for x in ids] + ["ticket number QQ-5561 open", 'ticket number "plainwords" open', "number 1234567 of the ticket"]
+    got = pii_of(spark, rows)
+    assert all(got[i]["n_context"] == 0 for i in range(9)) and all(got[i]["n_context"] == 1 for i in range(9, 27))
+    assert got[25]["spans"] == "context:14:21" and got[26]["spans"] == "context:15:25" and got[27]["n_context"] == 0
+
+
+def test_pii_precision_and_recall_on_identifiers_left_out(spark):
+    """Identifiers of forms that no seed has, behind cues that seeds share, among numbers in common words."""
+    rng = random.Random(2)
+    cues, texts, planted = ["iban:", "passport no", "staff id"], [], set()
+    for i in range(240):
+        words = [rng.choice(LOREM) for _ in range(30)]
+        at = rng.randrange(2, 28)
+        if i % 3 == 0:
+            words[at:at] = [rng.choice(cues), f"u{i}@mail.example" if i % 2 else "".join(rng.choice("0123456789abcdef") for _ in range(40))]
+        elif i % 3 == 1:
+            words[at:at] = [rng.choice(cues), f"{rng.choice('ABCDE')}{rng.randrange(10**6, 10**7)}{rng.choice('XYZ')}"]
+            planted.add(i)
+        else:
+            words[at:at] = [f"{rng.randrange(10**15, 10**16)}" if i % 2 else f"model{i}{rng.randrange(100, 999)}"]
+        texts.append(" ".join(words))
+    got = pii_of(spark, texts)
+    found = {i for i, r in got.items() if i % 3 and r["n_context"]}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found - planted) <= 0.02 * len(texts)
+
+
 # --- 2: packing
 
 
