@@ -1,17 +1,18 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences, and sentences of more than LONG words into shorter ones: after words
-that end in a comma, colon or semicolon or that a hash picks, and at LONG words at the latest. So a
-cut depends on the words near it, and a passage of more than 50 words holds a run wherever it stands
-in the sentences around it. From each sentence the shortest run of at least `sentences` sentences
-and `words` words is hashed; runs that occur more than once in the corpus meet by their hash, and
-every sentence that a run other than the first covers is removed. First is the smallest document id,
-then the earlier place. The hashes are aggregated before anything is joined, and the rows of a hot
-run are dealt over many tasks.
-
-Defined cases: a null text stays null and has no sentences. Texts with fewer words or sentences than
-a run are left alone. Rows that agree in doc_id and text are one document: they are rewritten alike
-and don't repeat each other. A null doc_id comes last. Other columns are ignored.
+Texts are cut into sentences, and sentences of more than LONG words into shorter ones: after each word
+that has the least hash of some WINDOW neighbouring words of its sentence. So a cut depends on the words
+within WINDOW of it only, parts have at most WINDOW words, and two places that share 51 words share a run
+of at least WORDS words, wherever the 51 stand in the sentences around them. From each sentence the
+shortest run of at least `sentences` sentences and `words` words is hashed; runs that occur more than
+once in the corpus meet by their hash, and every sentence that a run other than the first covers is
+removed. First is the smallest document id, then the earlier place. The hashes are counted before
+anything is joined, places are looked up for repeated runs only, and the rows of a hot run are dealt
+over many tasks.
+
+Defined cases: a null text stays null. Texts with fewer words or sentences than a run are left alone.
+Rows that agree in doc_id and text are one document: they are rewritten alike and don't repeat each
+other. A null doc_id comes last. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,17 @@ from .common import HOT_KEYS, kept, skewed_join
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 SPACED = re.compile(r"\s*\S+\s*")
 SENTENCES, WORDS = 2, 20
-#: Words of a sentence that isn't cut further, and one in how many words ends a part of a longer one.
-LONG, PICKED = 15, 8
-#: Runs, and texts, that a task holds before it passes them on.
-HELD, TEXTS = 20_000, 500
-SPANS = "doc_id long, h long, a long, b long, pos int, n int"
-CLEAN = "doc_id long, text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>"
+#: Words of a sentence that isn't cut further, and words among which one ends a part of a longer one:
+#: 4 * (WINDOW - 1) + WORDS is less than 51.
+LONG, WINDOW = 15, 8
+#: Texts that a task rewrites before it passes them on, and runs that it holds.
+TEXTS, HELD = 500, 50_000
+CLEAN = "doc_id long, text string, n_removed int, removed array<struct<start:int,end:int>>"
 
 
 @lru_cache(1 << 16)
-def ends(word: str) -> bool:
-    return word[-1] in ",;:" or zlib.crc32(word.encode()) % PICKED == 0
+def mark(word: str) -> int:
+    return zlib.crc32(word.encode()) * 0x9E3779B1 & 0xFFFFFFFF
 
 
 def cuts(words: list[str]) -> list[int]:
@@ -50,11 +52,17 @@ def cuts(words: list[str]) -> list[int]:
     n = len(words)
     if n <= LONG:
         return [n]
-    out, start = [], 0
-    for at, picked in enumerate(map(ends, words), 1):
-        if picked or at - start == LONG or at == n:
-            out.append(at)
-            start = at
+    marks, out, best = list(map(mark, words)), [], -1
+    for end in range(WINDOW - 1, n):
+        if best <= end - WINDOW:
+            window = marks[end - WINDOW + 1 : end + 1]
+            best = end - window[::-1].index(min(window))
+            out.append(best + 1)
+        elif marks[end] <= marks[best]:
+            best = end
+            out.append(best + 1)
+    if out[-1] != n:
+        out.append(n)
     return out
 
 
@@ -73,45 +81,61 @@ def sentences_of(text: str) -> list[str]:
     return out
 
 
-def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(two halves of the run's hash, first sentence, number of sentences) of each run."""
-    import xxhash
+def runs(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[bytearray, list[int]]:
+    """The hashes of the runs, 16 bytes each, and how many sentences each has. The i-th starts at the i-th
+    sentence."""
+    from xxhash import xxh3_64_digest, xxh3_128_digest
 
-    sizes, joined = [], []
+    sizes, hashed = [], bytearray()
     for sentence in SENTENCE.findall(text):
         said, start = sentence.split(), 0
         for at in cuts(said):
             sizes.append(at - start)
-            joined.append(" ".join(said[start:at]))
+            hashed += xxh3_64_digest(" ".join(said[start:at]))
             start = at
-    end, held = 0, 0
-    for at in range(len(sizes)):
-        while end < len(sizes) and (held < words or end - at < sentences):
+    out, numbers, end, held, all_sizes = bytearray(), [], 0, 0, len(sizes)
+    for at in range(all_sizes):
+        while end < all_sizes and (held < words or end - at < sentences):
             held += sizes[end]
             end += 1
         if held < words or end - at < sentences:
-            return
-        whole = xxhash.xxh3_128_intdigest("\n".join(joined[at:end]))
-        yield (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), at, end - at
+            break
+        out += xxh3_128_digest(hashed[8 * at : 8 * end])
+        numbers.append(end - at)
         held -= sizes[at]
+    return out, numbers
 
 
-def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    def table(rows: list[tuple]) -> pd.DataFrame:
-        names, columns = [c.split()[0] for c in SPANS.split(", ")], zip(*rows, strict=True) if rows else [()] * 6
-        return pd.DataFrame({n: pd.array(c, dtype="Int64") if n == "doc_id" else np.array(c, dtype="int64") for n, c in zip(names, columns, strict=True)})
+def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, places: bool = True) -> DataFrame:
+    """a and b (the hash) of each run of docs (doc_id, h, text); with places also doc_id, h, pos and n."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, h, text in zip(batch["doc_id"].astype("Int64"), batch["h"], batch["text"], strict=True):
-                out += [(doc_id, h, *run) for run in runs(text, sentences, words)]
-                if len(out) >= HELD:
-                    yield table(out)
-                    out = []
-            yield table(out)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(hashed: bytearray, ids: list, hs: list, counts: list[int], numbers: list[int]) -> pa.RecordBatch:
+            ab = np.frombuffer(bytes(hashed), dtype="<i8").reshape(-1, 2)
+            columns, names = [pa.array(np.ascontiguousarray(ab[:, i])) for i in range(2)], ["a", "b"]
+            if places:
+                row = np.repeat(np.arange(len(counts)), counts)
+                pos = np.arange(len(ab)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
+                columns += [pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(hs, pa.int64()).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(numbers, pa.int32())]
+                names += ["doc_id", "h", "pos", "n"]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "h", "text").filter("text is not null").mapInPandas(cut, SPANS)
+        for batch in batches:
+            hashed, ids, hs, counts, numbers = bytearray(), [], [], [], []
+            for doc_id, h, text in zip(batch.column("doc_id"), batch.column("h"), batch.column("text"), strict=True):
+                found, n = runs(text.as_py(), sentences, words)
+                hashed += found
+                ids.append(doc_id.as_py())
+                hs.append(h.as_py())
+                counts.append(len(n))
+                numbers += n
+                if len(numbers) >= HELD:
+                    yield batch_of(hashed, ids, hs, counts, numbers)
+                    hashed, ids, hs, counts, numbers = bytearray(), [], [], [], []
+            yield batch_of(hashed, ids, hs, counts, numbers)
+
+    schema = "a long, b long" + ", doc_id long, h long, pos int, n int" * places
+    return docs.select("doc_id", "h", "text").filter("text is not null").mapInArrow(cut, schema)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -126,12 +150,15 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     """doc_id, h, covered: the runs of each document that aren't the first of their kind, as
     (pos, n), counting sentences."""
     # Runs are cut twice rather than written: they take as much room as the texts.
-    found = spans(keyed(docs), sentences, words)
-    first = kept(found.groupBy("a", "b").agg(F.min(place()).alias("first"), F.count("*").alias("runs")).filter("runs > 1"), "runs")
-    repeats = first.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
-    hot = first.filter(F.col("runs") * HOT_KEYS > repeats).select("a", "b")
-    again = skewed_join(found, first.drop("runs"), ["a", "b"], F.struct("doc_id", "h", "pos"), hot).filter(~place().eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "n")).alias("covered"))
+    counts = spans(keyed(docs), sentences, words, places=False).groupBy("a", "b").agg(F.count("*").alias("runs")).filter("runs > 1")
+    counts = kept(counts, "counts")
+    total = counts.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("runs") * HOT_KEYS > total).select("a", "b")
+    spread = F.struct("doc_id", "h", "pos")
+    again = kept(skewed_join(spans(keyed(docs), sentences, words), counts.drop("runs"), ["a", "b"], spread, hot), "runs")
+    first = again.groupBy("a", "b").agg(F.min(place()).alias("first"))
+    others = skewed_join(again, first, ["a", "b"], spread, hot).filter(~place().eqNullSafe(F.col("first")))
+    return others.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "n")).alias("covered"))
 
 
 def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -142,7 +169,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
 
     def rewritten(doc_id: int, text: str | None, covered) -> tuple:
         if covered is None:
-            return doc_id, text, sum(len(cuts(s.split())) for s in SENTENCE.findall(text or "")), 0, []
+            return doc_id, text, 0, []
         parts = sentences_of(text)
         gone = {i for c in covered for i in range(c["pos"], c["pos"] + c["n"])}
         places, at = [], 0
@@ -153,7 +180,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
                 else:
                     places.append({"start": at, "end": at + len(part)})
             at += len(part)
-        return doc_id, "".join(p for i, p in enumerate(parts) if i not in gone), len(parts), len(gone), places
+        return doc_id, "".join(p for i, p in enumerate(parts) if i not in gone), len(gone), places
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,6 +188,6 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
             for at in range(0, len(batch), TEXTS):
                 part = slice(at, at + TEXTS)
                 out = [rewritten(*row) for row in zip(ids[part], batch["text"][part], batch["covered"][part], strict=True)]
-                yield pd.DataFrame(out, columns=["doc_id", "text", "n_sentences", "n_removed", "removed"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "text", "n_removed", "removed"]).astype({"doc_id": "Int64"})
 
     return rows.mapInPandas(rewrite, CLEAN)
