@@ -241,12 +241,22 @@ def test_language_held_out_and_defined_cases(spark):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_rejects_junk_of_letters_and_foreign_text(spark):
+    rng = random.Random(4)
+    junk = ["".join(rng.choice("qxzvjkwpyf ") for _ in range(80)) for _ in range(20)] + ["Привет мир и всем добрый день вам", "今日は良い天気ですね、明日も晴れます", "kzxqv wqzzk vvxqj"]
+    rows = [*languages(), *((5000 + i, t, None) for i, t in enumerate(junk)), (6000, "the " * 20_000 + "water of", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["rejected"] for r in language.identify(docs, language.fit(docs)).collect()}
+    assert all(got[5000 + i] for i in range(len(junk))) and not any(got[i] for i in got if i < 5000 or i == 6000)
+
+
 def test_language_scores_equal_counts(spark):
     import pyarrow as pa
 
     model = language.train([t.encode() for _, t, _ in languages()], [x for *_, x in languages()])
     texts = ["the of", "", "x", "é" * (language.SLICE // 2 + 7), "der und " * 70_000, "a"]
-    got = language.scores(pa.array([None, *texts])[1:].cast(pa.string()), np.arange(len(texts)), model.table)
+    got, share = language.scores(pa.array([None, *texts])[1:].cast(pa.string()), np.arange(len(texts)), model)
+    assert share[4] > 0.9 and (share > 0).all() and (share <= 1).all()
     for t, s in zip(texts, got, strict=True):
         assert np.allclose(s, language.counts(t.encode()) @ model.table, atol=1e-9)
 
@@ -254,22 +264,50 @@ def test_language_scores_equal_counts(spark):
 # --- 5: substrings
 
 
+def plain_parts(text):
+    """(part, its words) of a text, by a scan of characters and by all windows."""
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] not in ".!?\n":
+            end += 1
+        if end < len(text):
+            while end < len(text) and text[end] in ".!?\n":
+                end += 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+        sentence, at = text[at:end], end
+        words = sentence.split()
+        marks = [zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in words]
+        cut = {max(range(i, i + 8), key=lambda k: (-marks[k], k)) for i in range(len(words) - 7)} if len(words) > 15 else set()
+        spaced = re.findall(r"\s*\S+\s*", sentence)
+        held = []
+        for i, w in enumerate(spaced):
+            held.append(w)
+            if i in cut or i == len(spaced) - 1:
+                out.append("".join(held))
+                held = []
+        if not words:
+            out.append(sentence)
+    return out
+
+
 def brute_substring(rows):
     places = defaultdict(list)
     for doc_id, text in rows:
         if text is None:
             continue
-        parts = [" ".join(s.split()) for s in substring.sentences_of(text)]
+        parts = [" ".join(s.split()) for s in plain_parts(text)]
         for i in range(len(parts)):
             for j in range(i + 2, len(parts) + 1):
                 if sum(len(p.split()) for p in parts[i:j]) >= 20:
-                    places["\n".join(parts[i:j])].append((doc_id, i, j - i))
+                    places["\n".join(parts[i:j])].append((doc_id is None, doc_id or 0, text, i, j - i))
                     break
     gone = defaultdict(set)
     for at in places.values():
-        for doc_id, i, n in sorted(set(at))[1:]:
-            gone[doc_id] |= set(range(i, i + n))
-    return {i: t if t is None else "".join(s for k, s in enumerate(substring.sentences_of(t)) if k not in gone[i]) for i, t in rows}
+        for last, doc_id, text, i, n in sorted(set(at))[1:]:
+            gone[None if last else doc_id, text] |= set(range(i, i + n))
+    return {(i, t): t if t is None else "".join(s for k, s in enumerate(plain_parts(t)) if k not in gone[i, t]) for i, t in rows}
 
 
 def test_substring(spark, docs, texts):
@@ -277,7 +315,7 @@ def test_substring(spark, docs, texts):
     rows = [*texts.items(), (900, f"Start here. {passage} End."), (901, f"Other words come first.\n{passage}\nThen more."), (902, passage), (903, passage + " " + passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in substring.dedup(df).collect()}
-    assert {i: r["text"] for i, r in got.items()} == brute_substring(rows)
+    assert {i: r["text"] for i, r in got.items()} == {i: t for (i, _), t in brute_substring(rows).items()}
     assert got[900]["n_removed"] == 0 and got[902]["text"] == "" and passage not in got[901]["text"] and "Other words" in got[901]["text"]
     for i, t in rows:
         if t is not None:
@@ -293,17 +331,30 @@ def test_sentences_are_the_text(texts):
         assert "".join(parts) == text and all(len(p.split()) <= substring.LONG for p in parts)
 
 
-def test_long_passages_inside_sentences_are_found(spark):
+def test_passages_of_51_words_hold_a_run_wherever_they_stand(spark):
     rng = random.Random(5)
 
-    def words(n):
-        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    def words(n, ends=0.0):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + "." * (rng.random() < ends) for _ in range(n))
 
-    passages = [words(60) for _ in range(40)]
-    rows = [(2 * i + k, f"{words(9)} {p} {words(9)}.") for i, p in enumerate(passages) for k in range(2)]
+    rows = []
+    for i in range(1500):
+        p = words(51, (0, 0.02, 0.06, 0.2)[i % 4])
+        rows += [(2 * i + k, f"{words(rng.randrange(30), 0.03)} {p} {words(rng.randrange(30), 0.03)}".strip()) for k in range(2)]
     got = {r["doc_id"]: r["text"] for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
-        assert got[i] == text if i % 2 == 0 else 18 <= len(got[i].split()) < 18 + 60 - substring.WORDS + 1
+        gone = len(text.split()) - len(got[i].split())
+        assert gone == 0 if i % 2 == 0 else 20 <= gone <= 51
+
+
+def test_substring_of_empty_null_and_clashing_columns(spark):
+    line = " ".join(f"w{i}" for i in range(60)) + ". "
+    df = spark.createDataFrame([(None, line), (3, line), (3, "x " + line), (4, None)], "doc_id long, text string").withColumn("h", F.lit("z")).withColumn("covered", F.lit(1))
+    assert substring.dedup(df.limit(0)).count() == 0
+    got = Counter((r["doc_id"], r["text"]) for r in substring.dedup(df).collect())
+    want = brute_substring([(None, line), (3, line), (3, "x " + line), (4, None)])
+    assert {i for i, _ in got} == {None, 3, 4} and sum(got.values()) == 4 and got[None, want[None, line]] == 1 and got[4, None] == 1
+    assert substring.dedup(df).schema == substring.dedup(df.drop("h", "covered")).schema
 
 
 # --- 6: mixing

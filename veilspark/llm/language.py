@@ -4,8 +4,10 @@ A text's bytes are folded (A-Z lower, other ASCII that is no letter as a space)
 4 bytes hashed into buckets. Each bucket has an embedding; a text is the average of those of its
 runs, and a linear softmax over that average gives the languages. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows. On a part of
-the sample that training leaves out, a temperature calibrates the probabilities and a quantile of
-the true language's probability becomes the threshold below which a text is rejected.
+the sample that training leaves out, a temperature calibrates the probabilities, and a quantile of the
+true language's probability becomes the threshold below which a text is rejected. A softmax is sure of
+anything, so a text is rejected too if too few of its runs of three bytes occur in the sample, as are
+those of other languages and of junk; that threshold comes from the texts left out as well.
 
 As the model is linear after the average, prediction adds a row of language scores for each run:
 tasks work on Arrow buffers a slice at a time, so the length of a text doesn't matter.
@@ -30,6 +32,9 @@ BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 #: Bytes that a task hashes at once.
 SLICE = 1 << 18
 UNKNOWN = "und"
+#: Share of a text's runs of three bytes that the sample must know, at most, and as a part of what its
+#: least familiar hundredth of texts has; runs that every text gets as if they were such.
+FAMILIAR, PART, SMOOTHED = 0.6, 0.75, 5
 #: Bytes as the features see them.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], dtype=np.uint32)
 
@@ -58,6 +63,12 @@ def counts(text: bytes) -> np.ndarray:
     return total / max(1.0, total.sum())
 
 
+def runs_of_three(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes below 2 ** 24 of the runs of three folded bytes, and which are more than spaces."""
+    code = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+    return code, code != 0x202020
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -66,6 +77,9 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: A bit for each run of three bytes that the sample holds, and the share of them that a text needs.
+    known: np.ndarray
+    familiar: float
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = (x + self.bias) / self.temperature
@@ -74,7 +88,7 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float = 20.0, held: int = 5, lost: float = 0.001, seed: int = 7) -> Model:
+def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float = 20.0, held: int = 5, lost: float = 0.005, seed: int = 7) -> Model:
     """Fit to texts and labels in the order given; every `held`-th text calibrates only. `lost` is the
     share of true texts that the threshold may reject."""
     languages = sorted(set(labels))
@@ -105,7 +119,10 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float =
             bias -= step / 200 * p.sum(axis=0)
             used = np.flatnonzero(rows.any(axis=0))
             embedding[used] -= step * rows[:, used].T @ back
-    model = Model(languages, embedding @ softmax, bias, 1.0, 0.0)
+    known = np.zeros(1 << 24, dtype=bool)
+    for i in fit:
+        known[runs_of_three(FOLD[np.frombuffer(texts[i] + b"  ", dtype=np.uint8)])[0]] = True
+    model = Model(languages, embedding @ softmax, bias, 1.0, 0.0, np.packbits(known), 0.0)
     check = np.flatnonzero(left_out) if left_out.any() else fit
     z = x[check] @ model.table
 
@@ -116,6 +133,8 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float =
     model.temperature = min(np.geomspace(0.2, 5, 40), key=loss)
     true = np.sort(model.probabilities(z)[np.arange(len(check)), y[check]])
     model.threshold = min(0.5, float(true[int(lost * len(true))]))
+    _, share = scores(pa.array([texts[i] for i in check], pa.large_binary()), np.arange(len(check)), model)
+    model.familiar = min(FAMILIAR, PART * float(np.sort(share)[len(share) // 100]))
     return model
 
 
@@ -125,15 +144,18 @@ def learnable(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, languages: int = 200, text_bytes: int = 20_000) -> tuple[list[bytes], list[str]]:
-    """At most `rows` labelled texts, and per_language of each of the most frequent languages, of at
-    most text_bytes each (longer ones aren't drawn), by the order of a hash of their id."""
+    """At most `rows` labelled texts, and per_language of each of the most frequent languages, by the order
+    of a hash of their id. Of a text over text_bytes only a window of text_bytes / 4 characters, at a
+    place that the hash gives, is learned."""
     labelled = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
     seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not seen:
         return [], []
     per_language = max(1, min(per_language, rows // len(seen)))
     usable = labelled.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
-    usable = usable.filter(F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= text_bytes))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - text_bytes // 4)) + 1
+    window = F.when(F.octet_length("text") <= text_bytes, F.col("text")).otherwise(F.substring("text", start.cast("int"), F.lit(text_bytes // 4)))
+    usable = usable.withColumn("text", window).filter(F.col("text").rlike(r"\p{L}"))
     # Twice the wanted share is drawn by hash, so that nearly always enough rows pass.
     pick = F.lit(False)
     for r in seen:
@@ -156,17 +178,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = rows.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if model is None else np.ascontiguousarray(model.table)
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             languages, score, rejected = np.full(len(letters), UNKNOWN, dtype=object), np.zeros(len(letters)), np.ones(len(letters), dtype=bool)
-            if table is not None and letters.any():
+            if model is not None and letters.any():
                 which = np.flatnonzero(letters)
-                p = model.probabilities(scores(batch.column("text"), which, table))
+                x, share = scores(batch.column("text"), which, model)
+                p = model.probabilities(x)
                 best = p.argmax(axis=1)
                 languages[which] = np.array(model.languages, dtype=object)[best]
                 score[which] = p.max(axis=1)
-                rejected[which] = score[which] < model.threshold
+                rejected[which] = (score[which] < model.threshold) | (share < model.familiar)
             columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_letters"]
             names = [f.name for f in batch.schema if f.name != "_letters"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *(f.name for f in added)])
@@ -174,13 +196,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(predict, schema)
 
 
-def scores(texts: pa.Array, which: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Mean row of the table over each text's runs, for the texts at `which`. Short texts share a
-    slice; a long one takes several."""
+def scores(texts: pa.Array, which: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Mean row of the model's table over each text's runs, and the share of its runs of three bytes that
+    the model knows, for the texts at `which`. Short texts share a slice; a long one takes several."""
+    table, known = np.ascontiguousarray(model.table), np.unpackbits(model.known)
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-    out, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
+    out, n, met, seen = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
@@ -200,10 +223,13 @@ def scores(texts: pa.Array, which: np.ndarray, table: np.ndarray) -> np.ndarray:
                 keep = np.flatnonzero(real[:m] & (position[:m] + order <= ends[:m]))
                 at_row, at_bucket = row[keep] - first, bucket[keep]
                 n[first:last] += np.bincount(at_row, minlength=last - first)
+                if order == 3:
+                    seen[first:last] += np.bincount(at_row, minlength=last - first)
+                    met[first:last] += np.bincount(at_row, weights=known[runs_of_three(folded)[0][keep]], minlength=last - first)
                 for k in range(table.shape[1]):
                     out[first:last, k] += np.bincount(at_row, weights=table[at_bucket, k], minlength=last - first)
         first = last
-    return out[which] / np.maximum(1.0, n[which])[:, None]
+    return out[which] / np.maximum(1.0, n[which])[:, None], (met[which] + SMOOTHED) / (seen[which] + SMOOTHED)
 
 
 def fit(docs: DataFrame, **bounds: int) -> Model | None:
