@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import kept, ranked
 
-#: Where a word ends, with the white space after it; characters of scripts without spaces are words.
+#: Characters for a space at most in a text whose words are what stands between spaces; in others words
+#: end after white space and after each character of a script without spaces.
+SPACED = 40
 WORD_END = r"(?<=\s)(?=\S)|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF])"
 #: One pair of words in how many ends a paragraph.
-PICKED = 32
+PICKED = 32  # a power of two
 TABLES, CELLS = 3, 8
 #: Rounds of peeling, and retries before what is left of a part is compared directly.
 ROUNDS, RETRIES = 8, 14
@@ -47,15 +49,18 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    def ends(words: Column, i: Column) -> Column:
-        pair = F.xxhash64(F.coalesce(F.get(words, i - 1), F.lit("")), F.get(words, i))
-        return (F.pmod(pair, F.lit(PICKED)) == 0) | F.contains(F.get(words, i), F.lit("\n")) | (i == F.size(words) - 1)
-
     def cut(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ends(words, i))
+        def ends(i: Column) -> Column:
+            pair = F.xxhash64(F.get(words, i - 1), F.get(words, i))
+            return (pair.bitwiseAND(F.lit(PICKED - 1)) == 0) | F.contains(F.get(words, i), F.lit("\n")) | (i == F.size(words) - 1)
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), ends)
         return let(places, lambda at: F.array_distinct(F.transform(at, lambda e, j: let(F.coalesce(F.get(at, j - 1), F.lit(-1)), lambda last: F.xxhash64(F.slice(words, last + 2, e - last))))))
 
-    return F.when(text.rlike(r"\S"), let(F.split(text, WORD_END, -1), cut)).otherwise(F.array().cast("array<bigint>"))
+    def worded(plain: Column) -> Column:
+        return F.when(F.size(plain) * SPACED >= F.length(text), plain).otherwise(F.split(text, WORD_END, -1))
+
+    return F.when(text.rlike(r"\S"), let(let(F.split(text, " ", -1), worded), cut)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _check(digest: Column) -> Column:
