@@ -100,3 +100,22 @@ def test_status_and_leftovers(spark):
     assert [r["status"] for r in mask.file_status(rows, out.spans, none, none).collect()] == ["ok"]
     assert [r["status"] for r in mask.file_status(rows, out.spans, rows, none).collect()] == ["held"]
     assert [r["status"] for r in mask.file_status(rows, out.spans, rows, left).collect()] == ["err"]
+
+
+def test_both_dictionary_paths_agree(spark):
+    """Random texts over few characters, surfaces that overlap and need something after them."""
+    import random
+
+    rng = random.Random(5)
+    letters = "田中花さん様アイうえ"
+    surfaces = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(40)})
+    entries = spark.createDataFrame([(s, ("free", "titled", "housed")[i % 3]) for i, s in enumerate(surfaces)], "surface string, needs string")
+    rows = units(spark, "", *["".join(rng.choice(letters) for _ in range(30)) for _ in range(60)])
+    span = lambda df: sorted((r["seq"], *(tuple(s) for s in sorted(r["names"]))) for r in df.select("seq", "names").collect())
+    one, other = names.name_candidates(rows, entries), names.name_candidates(rows, entries, expression_surfaces=0)
+    assert span(one) == span(other)
+    text = [r["text"] for r in rows.orderBy("seq").collect()]
+    for seq, *found in span(one):
+        assert all(text[seq][s[0] : s[0] + s[1]] == s[4] for s in found)
+    whole = [n.select("seq", fold(F.col("names"), F.col("text")).alias("n")) for n in (one, other)]
+    assert [sorted(map(str, w.collect())) for w in whole][0] == [sorted(map(str, w.collect())) for w in whole][1]

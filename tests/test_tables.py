@@ -131,7 +131,7 @@ def test_small_tables(spark, tmp_path):
     assert [tuple(r) for r in tables.read_intake(spark, f"file://{tmp_path}/state.json").collect()] == [("src", "a", "t", "x", 2)]
     (tmp_path / "r.md").write_text("# 依頼\n- 状態: 未\n- 場所：A\n- 状態: 済\n", "utf-8")
     assert {(r["field"], r["value"]) for r in tables.requests(spark, f"file://{tmp_path}/r.md").collect()} == {("状態", "済"), ("場所", "A")}
-    rows = spark.createDataFrame([("p", 0, "utf-8", ["区分", "氏名", "呼び名", "フリガナ"]), ("p", 1, "utf-8", ["", "見本 太郎", "a/b", "みほん"]), ("p", 2, "utf-8", ["家族", ""])], tables.ROWS)
+    rows = spark.createDataFrame([("p", 0, "utf-8", ["区分", "氏名", "呼び名", "フリガナ"]), ("p", 1, "utf-8", ["", "見本 太郎", "a/b", "みほん"]), ("p", 2, "utf-8", ["家族", ""])], tables.ROWS.removesuffix(", reason string"))
     assert [tuple(r) for r in tables.registry_of(rows).collect()] == [(1, "人物", "見本 太郎", ["a", "b"], "みほん")]
     config = spark.createDataFrame([("S", "氏名", "$A$1、B2 C3")], "sheet string, label string, cells string")
     assert [r["ref"] for r in cells.target_list(config).collect()] == ["A1", "B2", "C3"]

@@ -1,74 +1,66 @@
-"""Japanese addresses: shapes, tails, and what isn't one, as column expressions."""
+"""Japanese addresses as column expressions.
+
+An address is a municipality, the rest of the place, and a lot. The rest is of kanji and katakana, or
+holds one word of hiragana that can't be the particles of a sentence; the grammar is put together from
+these parts below.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import DIGIT, HYPHEN, located
+from .patterns import DIGIT, HYPHEN, matches
 from .text import addr_canon
 
-# Municipalities whose names hold kana, north to south, and the forms of their names.
+# Municipalities with kana in their names, by their number in the national register of
+# local governments.
 KANA_MUNICIPALITIES = (
-    "ニセコ町 せたな町 むかわ町 えりも町 新ひだか町 つがる市 むつ市 おいらせ町 にかほ市 いわき市 ひたちなか市 かすみがうら市 つくばみらい市 つくば市 "
-    "さくら市 みどり市 みなかみ町 さいたま市 ふじみ野市 ときがわ町 いすみ市 あきる野市 南アルプス市 かほく市 あわら市 おおい町 伊豆の国市 みよし市 あま市 "
-    "いなべ市 たつの市 南あわじ市 かつらぎ町 みなべ町 上ノ国町 さぬき市 東かがわ市 まんのう町 つるぎ町 東みよし町 いの町 うきは市 みやま市 みやこ町 "
+    "上ノ国町 せたな町 ニセコ町 むかわ町 えりも町 新ひだか町 むつ市 つがる市 おいらせ町 にかほ市 いわき市 つくば市 ひたちなか市 かすみがうら市 つくばみらい市 "
+    "さくら市 みどり市 みなかみ町 さいたま市 ふじみ野市 ときがわ町 いすみ市 あきる野市 かほく市 あわら市 おおい町 南アルプス市 伊豆の国市 みよし市 あま市 "
+    "いなべ市 南あわじ市 たつの市 かつらぎ町 みなべ町 つるぎ町 東みよし町 さぬき市 東かがわ市 まんのう町 いの町 うきは市 みやま市 みやこ町 "
     "みやき町 あさぎり町 えびの市 いちき串木野市 南さつま市 さつま町 うるま市"
 ).split()
-PREFECTURE = r"(?:東京都|北海道|(?:京都|大阪)府|[\p{IsHan}]{2,3}県)"
 HAN = r"[\p{IsHan}ヶケ]"
-LOT = (
-    rf"(?:(?:{DIGIT}+|[一二三四五六七八九十]+)丁目\s?{DIGIT}+(?:\s?番地?)?(?:\s?(?:の|{HYPHEN})?\s?{DIGIT}+)?(?:\s?号)?"
-    rf"|{DIGIT}+\s?番\s?{DIGIT}+\s?号|{DIGIT}+\s?番地(?:\s?の?\s?{DIGIT}+)?|{DIGIT}+[ 　]?(?:{HYPHEN}|の)[ 　]?{DIGIT}+(?:(?:{HYPHEN}|の){DIGIT}+){{0,2}})"
-)
-_KANA = "|".join(sorted(KANA_MUNICIPALITIES, key=len, reverse=True))
-_WIDE = rf"{PREFECTURE}[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ーヶケノ]{{1,8}}?[市区町村郡]"
-#: With a municipality; the town is of kanji or katakana.
-ADDRESS = rf"(?:{_WIDE}|{PREFECTURE}?(?:{_KANA}|{HAN}{{1,5}}[市区町村郡]))[\p{{IsHan}}\p{{IsKatakana}}ヶケノの]{{0,8}}{LOT}"
-#: With a municipality of a clear form and a town that may hold hiragana; the town is checked apart.
-KANA_ADDRESS = rf"((?:{_WIDE}|{PREFECTURE}?(?:{_KANA}|{HAN}{{2,5}}[市区町村郡])){HAN}{{0,6}}?)((?:[\p{{IsHan}}\p{{IsKatakana}}\p{{IsHiragana}}ヶケーノ]){{1,10}}?){LOT}"
-#: Words of sentences that no town name holds, endings and joints that particles make.
-NOT_TOWN = "を|から|まで|より|さん|さま|ちゃん|くん|など|ほど|では|には|とは"
-PARTICLE_END, PARTICLE_JOINT = "[はにでへともやがか]$", r"[はにでへともや][\p{IsHan}\p{IsKatakana}]"
+SOLID = r"[\p{IsHan}\p{IsKatakana}ーヶケノ]"
+HIRAGANA = r"\p{IsHiragana}"
+PREFECTURE = r"(?:東京都|北海道|京都府|大阪府|\p{IsHan}{2,3}県)"
+LEVEL = "[市区町村郡]"
+#: In a prefecture any word can be a municipality; without one, kanji or a registered name.
+MUNICIPALITY = rf"(?:{PREFECTURE}(?:{SOLID}|{HIRAGANA}){{1,8}}?{LEVEL}|(?:{PREFECTURE})?(?:{'|'.join(sorted(KANA_MUNICIPALITIES, key=len, reverse=True))}|{HAN}{{1,5}}{LEVEL}))"
+#: How the hiragana of a sentence begins or ends where that of a town doesn't.
+PARTICLES_FIRST = "の|から|まで|より|では|には|とは|など|ほど|だけ|ごろ|くらい|ぐらい|さん|さま"
+PARTICLES_LAST = "[はにでへがともやか]|さん|さま"
+KANA_WORD = rf"(?!{PARTICLES_FIRST})(?:(?!を){HIRAGANA}){{2,8}}(?<!{PARTICLES_LAST})"
+TOWN = rf"(?:{SOLID}{{0,8}}(?:の{SOLID}{{1,7}})?|{SOLID}{{0,6}}{KANA_WORD}(?:が(?={SOLID}))?{SOLID}{{0,4}})"
+_MORE = rf"(?:[ 　]?(?:丁目|番地|番|号)[ 　]?(?:の|{HYPHEN})?|[ 　]?(?:の|{HYPHEN}))[ 　]?{DIGIT}++"
+#: Two to four numbers, or one with the word for a lot.
+LOT = rf"(?:(?:{DIGIT}++|[一二三四五六七八九十]++(?=丁目))(?:{_MORE}){{1,3}}(?:[ 　]?(?:番地|番|号))?|{DIGIT}++[ 　]?番地)"
+ADDRESS = f"{MUNICIPALITY}{TOWN}{LOT}"
 BUILDING = "ハイツ|コーポ|マンション|アパート|荘|ビル|住宅|団地|レジデンス|メゾン|ハウス|寮|館|棟"
 ROOM = rf"(?:[A-Za-zＡ-Ｚ]?[-－‐]?{DIGIT}{{1,4}}(?:号室|号|室)?)"
-TAIL = rf"(?:[ 　]{{1,2}}[^\s　、。（）()【】]{{0,12}}(?:{BUILDING})[^\s　、。（）()【】]{{0,8}}(?:[ 　]{ROOM})?|[ 　]{{1,2}}{ROOM}(?=$|[\s　、。）)]))"
+_NAME_PART = r"[^\s　、。（）()【】]"
+TAIL = rf"(?:[ 　]{{1,2}}{_NAME_PART}{{0,12}}(?:{BUILDING}){_NAME_PART}{{0,8}}(?:[ 　]{ROOM})?|[ 　]{{1,2}}{ROOM}(?=$|[\s　、。）)]))"
 POSTAL = rf"〒?{DIGIT}{{3}}{HYPHEN}{DIGIT}{{4}}[ 　]{{0,2}}"
 
 
-def town_ok(town: Column) -> Column:
-    """Whether the part before the lot number may be a town name with hiragana."""
-    hiragana = F.regexp_replace(town, "の", "").rlike(r"\p{IsHiragana}")
-    return hiragana & ~town.rlike(NOT_TOWN) & ~town.rlike(PARTICLE_END) & ~town.rlike(PARTICLE_JOINT)
-
-
 def address_spans(text: Column) -> Column:
-    """Addresses with municipality and lot number, earliest first and long before short, apart:
-    array<struct<st, orig>>."""
-    plain = located(text, ADDRESS)
-    kana = F.filter(located(text, KANA_ADDRESS), lambda m: town_ok(F.regexp_extract(m["orig"], f"^{KANA_ADDRESS}$", 2)))
-    keyed = F.array_sort(F.transform(F.concat(plain, kana), lambda m: F.struct(m["st"].alias("st"), (-F.length(m["orig"])).alias("neg"), m["orig"].alias("orig"))))
-    none = F.array().cast("array<struct<st:int,orig:string>>")
-
-    def step(acc: Column, m: Column) -> Column:
-        return F.when(m["st"] >= acc["upto"], F.struct((m["st"] - m["neg"]).alias("upto"), F.concat(acc["out"], F.array(F.struct(m["st"].alias("st"), m["orig"].alias("orig")))).alias("out"))).otherwise(acc)
-
-    found = F.aggregate(keyed, F.struct(F.lit(0).alias("upto"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(DIGIT), found).otherwise(none)
+    """Addresses with municipality and lot: array<struct<st, orig, before, after>>."""
+    none = F.array().cast("array<struct<st:int,orig:string,before:string,after:string>>")
+    return F.when(text.rlike(f"{LEVEL}.*{DIGIT}"), matches(text, ADDRESS)).otherwise(none)
 
 
-def with_tail(text: Column, span: Column) -> Column:
-    """An address span with the building and room that follow it."""
-    after = F.substring(text, span["st"] + F.length(span["orig"]) + 1, F.lit(60))
-    return F.struct(span["st"].alias("st"), F.concat(span["orig"], F.regexp_extract(after, f"^{TAIL}", 0)).alias("orig"))
+def with_tail(span: Column) -> Column:
+    """An address span with the building and room that follow it: struct<st, orig>."""
+    return F.struct(span["st"].alias("st"), F.concat(span["orig"], F.regexp_extract(span["after"], f"^{TAIL}", 0)).alias("orig"))
 
 
 def address_lumps(text: Column) -> Column:
     """Address spans with their tails and a postal code directly before them, with the canonical form
-    of the part up to the lot number: array<struct<st, len, core>>."""
+    of the part up to the lot: array<struct<st, len, core>>."""
     def lump(span: Column) -> Column:
-        head = F.regexp_extract(F.substring(text, F.greatest(span["st"] - 12, F.lit(0)) + 1, F.least(span["st"], F.lit(12))), f"{POSTAL}$", 0)
-        return F.struct((span["st"] - F.length(head)).alias("st"), (F.length(head) + F.length(with_tail(text, span)["orig"])).alias("len"), addr_canon(span["orig"]).alias("core"))
+        head = F.length(F.regexp_extract(span["before"], f"{POSTAL}$", 0))
+        return F.struct((span["st"] - head).alias("st"), (head + F.length(with_tail(span)["orig"])).alias("len"), addr_canon(span["orig"]).alias("core"))
 
     return F.transform(address_spans(text), lump)
 
@@ -78,6 +70,6 @@ def has_lot(c: Column) -> Column:
 
 
 def registered_core(c: Column) -> Column:
-    """Canonical form of a registered address up to its lot number, null without one."""
+    """Canonical form of a registered address up to its lot, null without one."""
     found = F.regexp_extract(c, f"^.*?{LOT}", 0)
     return F.when(found != "", addr_canon(found))

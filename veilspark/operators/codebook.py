@@ -6,12 +6,14 @@ numbered within their prefix in the order of first appearance; the book only gro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CODE, TOKEN, located
 from ..functions.text import norm_name, sanitize_prefix
-from ..storage import dimension_join, hot_keys, kept, ranked_within, skewed_join, small
+from ..storage import dimension_join, hot_keys, kept, ranked_within, salted_join, skewed_join, small
 from .spans import replaced
 
 SCHEMA = "key string, prefix string, n long, code string, orig string, restore string, is_name boolean, is_numeric boolean"
@@ -80,18 +82,43 @@ def restore(units: DataFrame, book: DataFrame, text: str = "text", unit: tuple[s
         F.array_sort(F.collect_list(F.when(F.col("orig").isNotNull(), F.struct("st", F.length("code").alias("len"), F.col("orig").alias("code"))))).alias("spans"),
         F.array_sort(F.collect_set(F.when(F.col("orig").isNull() & F.col("code").rlike(f"^{CODE}$"), F.col("code")))).alias("unknown"),
     )
-    joined = units.join(spans, list(unit), "left")
+    # A text without a code is passed on; only the others meet their codes.
+    coded = F.coalesce(F.col(text).contains("【"), F.lit(False))
+    joined = units.filter(coded).join(spans, list(unit), "left")
     restored = F.when(F.col("spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("spans")))
-    return joined.withColumn("restored", restored).withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>"))).drop("spans")
-
-
-def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", at_least: int = 6) -> DataFrame:
-    """Units in which an original of a shape's code still stands: unit columns and orig.
-
-    Originals of at least `at_least` characters are looked up through the text's shape spans, so the
-    book is joined by value and never crossed with the texts. Runs of one digit are forgiven."""
-    from ..functions.patterns import candidates
-
-    found = units.select("doc_id", "part_no", "seq", F.explode(candidates(F.col(text))).alias("s")).select("doc_id", "part_no", "seq", F.col("s.orig").alias("orig"))
-    known = book.filter(F.col("key").startswith("型|") & (F.length("orig") >= at_least)).select("orig").distinct()
-    return found.filter(~F.col("orig").rlike(r"^(\d)\1{5,}$")).distinct().join(known, "orig", "left_semi")
+    none = F.array().cast("array<string>")
+    out = joined.withColumn("restored", restored).withColumn("unknown", F.coalesce("unknown", none)).drop("spans")
+    return out.unionByName(units.filter(~coded).withColumn("restored", F.col(text)).withColumn("unknown", none))
+
+
+#: Characters of an original that the gate looks it up by.
+KEY_CHARS = 6
+
+
+def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", registry: DataFrame | None = None, at_least: int = KEY_CHARS) -> DataFrame:
+    """What still stands in the texts of units (doc_id, part_no, seq, text): their keys and orig, once each.
+
+    That are mail addresses, names and addresses of the registry, and originals of shapes in the book that
+    have `at_least` characters, wherever they stand, also inside other words; runs of one digit are
+    forgiven. Originals meet the texts by their first characters, as do all runs of so many characters of a
+    text with a digit or an at sign, and are then looked for in full."""
+    from ..functions.patterns import SHAPES, shape_spans
+    from . import names
+
+    unit = ["doc_id", "part_no", "seq"]
+    rows = units.select(*unit, F.col(text).alias("text"))
+    mail = next(s for s in SHAPES if s.guard == "@")
+    found = [rows.filter(F.col("text").contains("@")).select(*unit, F.explode(shape_spans(F.col("text"), mail)).alias("s")).select(*unit, "s.orig")]
+    if registry is not None:
+        spans = names.find_spans(rows, registry).filter(F.col("space") != "型")
+        found.append(spans.select(*unit, F.col("matched").alias("orig")))
+    known = book.filter(F.col("key").startswith("型|") & (F.length("orig") >= at_least) & ~F.col("orig").rlike(r"^(\d)\1*$")).select("orig").distinct()
+    known = known.withColumn("gram", F.left("orig", F.lit(at_least)))
+    with_shape = rows.filter(F.col("text").rlike("[0-9０-９@]"))
+    grams = with_shape.select(*unit, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{at_least}}}))"), F.lit(1)))).alias("gram"))
+    keys = known.select("gram").distinct()
+    met = grams.join(F.broadcast(keys), "gram", "left_semi") if small(keys) else salted_join(grams, keys, ["gram"], F.struct(*unit), salts=8)
+    near = with_shape.join(met.groupBy(*unit).agg(F.collect_set("gram").alias("grams")), unit).select(*unit, "text", F.explode("grams").alias("gram"))
+    near = dimension_join(near, known, "gram").filter(F.col("text").contains(F.col("orig")))
+    found.append(near.select(*unit, "orig"))
+    return reduce(DataFrame.unionByName, found).distinct()

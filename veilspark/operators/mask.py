@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import KINDS, candidates
@@ -29,27 +29,33 @@ def find_spans(units: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     return found.select(*UNIT, "s.st", "s.len", "s.kind", "s.orig", F.lit("型").alias("space"))
 
 
-def apply_spans(units: DataFrame, coded: DataFrame) -> DataFrame:
-    """units with `masked`: their text with each coded span replaced."""
+def apply_spans(units: DataFrame, coded: DataFrame, some: Column | None = None) -> DataFrame:
+    """units with `masked`: their text with each coded span replaced. some: whether a row can have spans at
+    all; the other rows then take no part in the join."""
     by_unit = coded.groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("st", "len", "code"))).alias("spans"))
-    joined = units.join(by_unit, list(UNIT), "left")
-    return joined.withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("spans")))).drop("spans")
+    joined = (units if some is None else units.filter(some)).join(by_unit, list(UNIT), "left")
+    out = joined.withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("spans")))).drop("spans")
+    return out if some is None else out.unionByName(units.filter(~F.coalesce(some, F.lit(False))).withColumn("masked", F.col("text")))
+
+
+def has_spans(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """Whether a text has spans of these kinds: cheaper than a shuffle of the text."""
+    return F.coalesce(F.size(candidates(text, kinds)) > 0, F.lit(False))
 
 
 def mask(units: DataFrame, book: DataFrame, kinds: tuple[str, ...] = KINDS) -> Masked:
     spans = find_spans(units, kinds)
     delta = codebook.allocate(spans, book)
-    return Masked(apply_spans(units, codebook.with_codes(spans, book.unionByName(delta))), spans, delta)
+    return Masked(apply_spans(units, codebook.with_codes(spans, book.unionByName(delta)), has_spans(F.col("text"), kinds)), spans, delta)
 
 
 def file_status(units: DataFrame, spans: DataFrame, suspects: DataFrame, left: DataFrame) -> DataFrame:
     """doc_id, status and counts: a leftover makes a document `err`, a suspect holds it, else it is `ok`."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.count("*").alias(name))
-
-    out = units.select("doc_id").distinct()
-    for df, name in ((spans, "n_repl"), (suspects, "n_sus"), (left, "n_left")):
-        out = out.join(counted(df, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    names = ("n_repl", "n_sus", "n_left")
+    rows = units.select("doc_id", *[F.lit(0).alias(n) for n in names])
+    for df, name in zip((spans, suspects, left), names, strict=True):
+        rows = rows.unionByName(df.select("doc_id", *[F.lit(int(n == name)).alias(n) for n in names]))
+    out = rows.groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in names])
     return out.withColumn("status", F.when(F.col("n_left") > 0, "err").when(F.col("n_sus") > 0, "held").otherwise("ok"))
 
 

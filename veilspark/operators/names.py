@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import address_lumps
-from ..functions.patterns import SPAN, candidates, located
-from ..storage import kept, small
+from ..functions.patterns import SPAN, candidates, let
+from ..storage import kept, salted_join, small
 from . import codebook
 from .mask import UNIT, Masked, apply_spans
 from .registry import FOLLOWS, addresses, dictionary
@@ -20,8 +20,8 @@ EXPRESSION_SURFACES = 3000
 NAME, ADDRESS = "氏名", "住所"
 
 
-def _span(st: Column, orig: Column, prio: int, kind: str) -> Column:
-    return F.struct(st.cast("int").alias("st"), F.length(orig).alias("len"), F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), orig.alias("orig"))
+def _span(st: Column, orig: Column, prio: Column, kind: str) -> Column:
+    return F.struct(st.cast("int").alias("st"), F.length(orig).alias("len"), prio.alias("prio"), F.lit(kind).alias("kind"), orig.alias("orig"))
 
 
 def _script_ok(before: Column, surface: Column, after: Column) -> Column:
@@ -44,27 +44,53 @@ def _ok(before: Column, surface: Column, after: Column, needs: Column) -> Column
     return follows & _script_ok(before, surface, after)
 
 
-def name_candidates(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """units with `names`, the candidate spans of dictionary surfaces."""
-    if small(entries, EXPRESSION_SURFACES):
-        # The size is checked: at most EXPRESSION_SURFACES short rows reach the driver.
-        rows = sorted((r["surface"], r["needs"]) for r in entries.select("surface", "needs").collect())
-        text, parts = F.col("text"), []
-        for prio, need in enumerate(("free", "housed", "titled"), 1):
-            words = sorted((s for s, n in rows if n == need), key=lambda s: (-len(s), s))
-            if words:
-                found = located(text, "|".join(map(re.escape, words)))
-                parts.append(F.transform(F.filter(found, _keep(text, need)), _as_span(prio)))
+def _priority(needs: Column) -> Column:
+    """Surfaces that need nothing after them come before those that do."""
+    rank = F.lit(1)
+    for i, need in enumerate(FOLLOWS, 2):
+        rank = F.when(needs == need, i).otherwise(rank)
+    return rank
+
+
+def _everywhere(text: Column, words: list[str]) -> Column:
+    """All places of the words, which are of one length, also where they overlap: array<struct<st, orig>>."""
+    ahead = "(?=(" + "|".join(map(re.escape, words)) + "))"
+    none = F.array().cast("array<struct<st:int,orig:string>>")
+    both = F.struct(F.split(text, ahead, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(ahead), F.lit(1)).alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct((acc["at"] + F.length(p["piece"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["piece"])).alias("st"), p["v"].alias("orig")))).alias("out"))
+
+    def placed(b: Column) -> Column:
+        # A split drops the empty piece before a match at the start.
+        pieces = F.when(F.size(b["pieces"]) > F.size(b["found"]), b["pieces"]).otherwise(F.concat(F.array(F.lit("")), b["pieces"]))
+        pairs = F.zip_with(F.slice(pieces, 1, F.size(b["found"])), b["found"], lambda p, v: F.struct(p.alias("piece"), v.alias("v")))
+        return F.when(F.size(b["found"]) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+
+    return let(both, placed)
+
+
+def name_candidates(units: DataFrame, entries: DataFrame, expression_surfaces: int = EXPRESSION_SURFACES) -> DataFrame:
+    """units with `names`, the spans of all dictionary surfaces at all places where their rules hold, also
+    overlapping ones. A dictionary of at most expression_surfaces becomes expressions, a larger one is
+    joined; the spans are the same."""
+    text = F.col("text")
+    if small(entries, expression_surfaces):
+        # The size is checked: at most expression_surfaces short rows reach the driver.
+        groups: dict[tuple[str, int], list[str]] = {}
+        for r in entries.select("surface", "needs").collect():
+            groups.setdefault((r["needs"], len(r["surface"])), []).append(r["surface"])
+        parts = [F.transform(F.filter(_everywhere(text, sorted(words)), _keep(text, need)), _as_span(need)) for (need, _), words in sorted(groups.items())]
         return units.withColumn("names", F.concat(*parts).cast(SPAN) if parts else F.array().cast(SPAN))
     # One row for each length of a surface, so as many as the longest has characters.
     lengths = [r[0] for r in entries.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
     places = units.filter("text <> ''").select(*UNIT, "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("st"))
     grams = places.select(*UNIT, "text", "st", F.explode(F.array(*[F.substring("text", F.col("st") + 1, F.lit(n)) for n in lengths])).alias("surface")).filter(F.col("st") + F.length("surface") <= F.length("text"))
-    before, after = _around(F.col("text"), F.col("st"), F.col("surface"))
+    before, after = _around(text, F.col("st"), F.col("surface"))
     # Texts stay where they are: a place goes on with its surface and the characters around it.
     grams = grams.select(*UNIT, "st", "surface", before.alias("before"), after.alias("after")).dropDuplicates([*UNIT, "st", "surface"])
-    met = grams.join(entries.select("surface", "needs"), "surface").filter(_ok(F.col("before"), F.col("surface"), F.col("after"), F.col("needs")))
-    spans = met.groupBy(*UNIT).agg(F.collect_list(_span(F.col("st"), F.col("surface"), 1, NAME)).alias("names"))
+    met = salted_join(grams, entries.select("surface", "needs"), ["surface"], F.struct(*UNIT, "st"), salts=8).filter(_ok(F.col("before"), F.col("surface"), F.col("after"), F.col("needs")))
+    spans = met.groupBy(*UNIT).agg(F.collect_list(_span(F.col("st"), F.col("surface"), _priority(F.col("needs")), NAME)).alias("names"))
     return units.join(spans, list(UNIT), "left").withColumn("names", F.coalesce("names", F.array().cast(SPAN)))
 
 
@@ -76,8 +102,8 @@ def _keep(text: Column, need: str):
     return keep
 
 
-def _as_span(prio: int):
-    return lambda m: _span(m["st"], m["orig"], prio, NAME)
+def _as_span(need: str):
+    return lambda m: _span(m["st"], m["orig"], _priority(F.lit(need)), NAME)
 
 
 def find_spans(units: DataFrame, registry: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.address import address_spans, with_tail
-from ..functions.patterns import DATE, located
+from ..functions.patterns import DATE, located, matches
 from ..functions.text import norm_name
 from .mask import UNIT
 from .registry import near_names
@@ -26,8 +26,28 @@ DRUG_WORDS = ("錠", "カプセル", "散", "軟膏", "内服", "外用", "食
 DOSE = r"[0-9０-９]+\s?(?:mg|ｍｇ|ml|錠|包|カプセル|滴)"
 
 HAN = r"[\p{IsHan}々〆ヶ]"
-HONOURED = rf"(?:{HAN}{{1,6}}|[\p{{IsKatakana}}ー]{{2,8}})[ 　]?(?:様|さん|氏|ちゃん|くん|先生|医師)|\p{{IsHiragana}}{{2,4}}(?:ちゃん|くん|様)"
-TITLE = "(?:様|さん|氏|ちゃん|くん|先生|医師)$"
+#: Titles that make the word before them a name, and the words that a name can be: kanji, katakana, or
+#: hiragana before a familiar title.
+TITLES = ("様", "さん", "氏", "ちゃん", "くん", "先生", "医師")
+FAMILIAR = ("様", "ちゃん", "くん")
+TITLE = "(?:" + "|".join(TITLES) + ")$"
+NAME_BEFORE_TITLE = rf"(?:{HAN}{{1,6}}|[\p{{IsKatakana}}ー]{{2,8}})[ 　]?$"
+HIRAGANA_BEFORE_TITLE = r"\p{IsHiragana}{2,4}$"
+
+
+def titled(text: Column) -> Column:
+    """Names with their title: array<struct<st, orig, after>>. Titles are found first, and then the word
+    that each stands after."""
+    def name(m: Column) -> Column:
+        plain, kana = F.regexp_extract(m["before"], NAME_BEFORE_TITLE, 0), F.regexp_extract(m["before"], HIRAGANA_BEFORE_TITLE, 0)
+        return F.when(plain != "", plain).when(m["orig"].isin(*FAMILIAR), kana).otherwise("")
+
+    def whole(m: Column) -> Column:
+        return F.struct((m["st"] - F.length(name(m))).alias("st"), F.concat(name(m), m["orig"]).alias("orig"), F.left(m["after"], F.lit(1)).alias("after"))
+
+    found = matches(text, "|".join(TITLES))
+    # Of titles in a row the first is the one that a name stands before.
+    return F.transform(F.filter(found, lambda m: (name(m) != "") & ~m["before"].isin(*TITLES)), whole)
 
 
 def _out(units: DataFrame, found: Column, rule: str, reason: str) -> DataFrame:
@@ -45,17 +65,17 @@ def honoured(units: DataFrame, common: tuple[str, ...] = COMMON_HONORIFIC_WORDS,
 
     def name_like(m: Column) -> Column:
         stem = F.regexp_replace(m["orig"], rf"[ 　]?{TITLE}", "")
-        around = F.concat(m["orig"], F.substring(text, m["st"] + F.length(m["orig"]) + 1, F.lit(1)))
+        around = F.concat(m["orig"], m["after"])
         return ~around.rlike(_any(common)) & ~stem.rlike(f"{_any(nouns)}$") & ~stem.rlike(f"{_any(JOBS)}$") & ~(m["orig"].endswith("氏") & stem.rlike("[町村区市郡県都府道丁]"))
 
-    guard = text.rlike("様|さん|氏|ちゃん|くん|先生|医師")
-    return _out(units.filter(guard), F.filter(located(text, HONOURED), name_like), "honoured", "敬称の付いた名前らしき語")
+    guard = text.rlike("|".join(TITLES))
+    return _out(units.filter(guard), F.filter(titled(text), name_like), "honoured", "敬称の付いた名前らしき語")
 
 
 def unregistered_addresses(units: DataFrame) -> DataFrame:
     """Addresses with a lot number that are still there, with the building and room after them."""
     text = F.col("text")
-    return _out(units.filter(text.rlike("[0-9０-９]")), F.transform(address_spans(text), lambda s: with_tail(text, s)), "address", "番地まである住所")
+    return _out(units.filter(text.rlike("[0-9０-９]")), F.transform(address_spans(text), with_tail), "address", "番地まである住所")
 
 
 def labelled_names(units: DataFrame, labels: tuple[str, ...] = NAME_LABELS) -> DataFrame:
@@ -109,7 +129,7 @@ def drug_documents(units: DataFrame, words: tuple[str, ...] = DRUG_WORDS, at_lea
 
 def honoured_words(units: DataFrame) -> DataFrame:
     """Per document the words seen before an honorific, with all their endings of 1 to 4 characters."""
-    stems = units.select("doc_id", F.explode(located(F.col("text"), HONOURED)).alias("m")).select("doc_id", F.regexp_replace("m.orig", rf"[ 　]?{TITLE}", "").alias("stem"))
+    stems = units.select("doc_id", F.explode(titled(F.col("text"))).alias("m")).select("doc_id", F.regexp_replace("m.orig", rf"[ 　]?{TITLE}", "").alias("stem"))
     ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("stem"))), lambda n: F.right("stem", n))
     return stems.filter("stem <> ''").select("doc_id", F.explode(ends).alias("word")).distinct()
 
@@ -130,23 +150,26 @@ def merge_contained(suspects: DataFrame) -> DataFrame:
     return by.select(*UNIT, F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("s")).select(*UNIT, "s.rule", "s.word", "s.st", "s.context", "s.reason")
 
 
-def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:
-    """All detectors over masked units, merged, without excluded words (`word`), and in drug documents
-    without name suspects that are drug words."""
+def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = None, scanned: bool = False) -> DataFrame:
+    """All detectors over masked units, with those for scanned texts if they are, merged, without excluded
+    words (`word`), and in drug documents without name suspects that are drug words."""
+    from .suspect_rules import OCR_RULES, RULES
+
     rules = [labelled_names(units), unregistered_addresses(units), honoured(units), leftover_dates(units), beside_dates(units), after_label(units), unhonoured(units)]
     if surfaces is not None:
         rules.insert(5, near_registered(units, surfaces))
+    rules += [rule(units) for rule in RULES + OCR_RULES * scanned]
     every = reduce(DataFrame.unionByName, [r.withColumn("prio", F.lit(i)) for i, r in enumerate(rules)])
     every = every.filter(~F.col("word").contains("【"))
     merged = merge_contained(every)
     bare = F.regexp_replace(norm_name(F.col("word")), TITLE, "")
     kept = merged.withColumn("bare", bare).join(excluded.select(norm_name(F.col("word")).alias("bare")).distinct(), "bare", "left_anti")
     drug = drug_documents(units).withColumn("drug", F.lit(True))
-    named = F.col("rule").isin("honoured", "label", "unhonoured", "date", "near")
+    named = F.col("rule").isin("honoured", "label", "unhonoured", "date", "near", "glued label", "nurse", "contact", "kin", "given", "job", "dated", "stuck")
     drugs = "|".join(DRUG_WORDS)
     return kept.join(drug, "doc_id", "left").filter(~(F.coalesce("drug", F.lit(False)) & named & (F.col("bare").rlike(drugs) | (F.length("bare") == 1)))).drop("drug", "bare")
 
 
 def category(reason: Column) -> Column:
     """What a suspect's reason says it is: name, addr or other."""
-    return F.when(reason.rlike("^(?:敬称|氏名|日付のすぐ後ろ|1字違い)"), "name").when(reason.startswith("番地"), "addr").otherwise("other")
+    return F.when(reason.rlike("^(?:敬称|氏名|日付のすぐ後ろ|1字違い|看護師|職名|記号)"), "name").when(reason.startswith("番地"), "addr").otherwise("other")

@@ -1,8 +1,10 @@
 """Text units and cells of word-processor and spreadsheet packages, and packages with new texts.
 
 Packages are read from their bytes in Arrow batches: one row of units for a paragraph, one row of cells
-for a cell. Rewriting puts a unit's new text into its first run and empties its other runs; parts
-without a changed unit are passed on as they are.
+for a cell. A paragraph's text is that of its own runs: text boxes in it are paragraphs for themselves,
+and settings such as tab stops are no text. Rewriting puts a unit's new text into its first run and
+empties its other runs; parts without a changed unit are passed on as they are. A package that can't be
+read is one row with the reason in `err`.
 """
 
 from __future__ import annotations
@@ -19,22 +21,41 @@ from pyspark.sql import DataFrame
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-UNITS = "doc_id long, part_no int, seq int, part string, text string, sus_ok boolean, hdr boolean, visible boolean"
-CELLS = "doc_id long, sheet string, hidden boolean, ref string, type string, text string, formula string"
+UNITS = "doc_id long, part_no int, seq int, part string, text string, sus_ok boolean, hdr boolean, visible boolean, visible_text string, err string"
+CELLS = "doc_id long, sheet string, hidden boolean, ref string, type string, text string, formula string, err string"
 WORD_PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")
 
 
-def paragraphs(data: bytes) -> Iterator[tuple[str, ElementTree.Element, str, bool]]:
-    """(part, paragraph, text, visible) of a word-processor package, in the order of its parts."""
+DAMAGE = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, EOFError, NotImplementedError)
+MARKS = {f"{W_NS}tab": "\t", f"{W_NS}br": "\n", f"{W_NS}cr": "\n"}
+
+
+def own_runs(p: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The runs of a paragraph, without those of paragraphs inside it."""
+    for e in p:
+        if e.tag == f"{W_NS}r":
+            yield e
+        if e.tag != f"{W_NS}p":
+            yield from own_runs(e)
+
+
+def run_text(run: ElementTree.Element) -> str:
+    return "".join((e.text or "") if e.tag == f"{W_NS}t" else MARKS.get(e.tag, "") for e in run)
+
+
+def hidden(run: ElementTree.Element) -> bool:
+    mark = run.find(f"{W_NS}rPr/{W_NS}vanish")
+    return mark is not None and mark.get(f"{W_NS}val", "1") not in ("0", "false", "off")
+
+
+def paragraphs(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """(part, text, text of the visible runs) of a word-processor package's paragraphs, in the order of its
+    parts."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for part in sorted(filter(WORD_PART.match, z.namelist()), key=lambda n: ("document" not in n, n)):
             for p in ElementTree.fromstring(z.read(part)).iter(f"{W_NS}p"):
-                yield part, p, paragraph_text(p), p.find(f".//{W_NS}vanish") is None
-
-
-def paragraph_text(p: ElementTree.Element) -> str:
-    marks = {f"{W_NS}tab": "\t", f"{W_NS}br": "\n", f"{W_NS}cr": "\n"}
-    return "".join((e.text or "") if e.tag == f"{W_NS}t" else marks.get(e.tag, "") for e in p.iter())
+                runs = list(own_runs(p))
+                yield part, "".join(map(run_text, runs)), "".join(run_text(r) for r in runs if not hidden(r))
 
 
 def sheet_cells(data: bytes) -> Iterator[tuple[str, bool, str, str, str, str | None]]:
@@ -72,10 +93,13 @@ def document_units(files: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 rows, parts = [], []
-                for part, _, text, visible in paragraphs(content):
-                    if part not in parts:
-                        parts.append(part)
-                    rows.append((doc_id, parts.index(part), len(rows), part, text, True, "header" in part or "footer" in part, visible))
+                try:
+                    for part, text, shown in paragraphs(content):
+                        if part not in parts:
+                            parts.append(part)
+                        rows.append((doc_id, parts.index(part), len(rows), part, text, True, "header" in part or "footer" in part, bool(shown) or not text, shown, None))
+                except DAMAGE as e:
+                    rows = [(doc_id, 0, 0, None, None, False, False, False, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")])
 
     return files.select("doc_id", "content").mapInPandas(read, UNITS)
@@ -87,7 +111,11 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                yield pd.DataFrame([(doc_id, *c) for c in sheet_cells(content)], columns=[c.split()[0] for c in CELLS.split(", ")])
+                try:
+                    rows = [(doc_id, *c, None) for c in sheet_cells(content)]
+                except DAMAGE as e:
+                    rows = [(doc_id, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
 
     return files.select("doc_id", "content").mapInPandas(read, CELLS)
 
@@ -101,7 +129,7 @@ def rewritten(content: bytes, texts: dict[int, str]) -> bytes:
             root = ElementTree.fromstring(z.read(part))
             for p in root.iter(f"{W_NS}p"):
                 if seq in texts:
-                    runs = list(p.iter(f"{W_NS}t"))
+                    runs = [t for r in own_runs(p) for t in r.iter(f"{W_NS}t")]
                     for i, t in enumerate(runs):
                         t.text = texts[seq] if i == 0 else ""
                         t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")

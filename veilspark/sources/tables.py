@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alias_list, tsv_escape, tsv_unescape
 
-ROWS = "path string, n int, encoding string, cells array<string>"
-#: Bytes above which a delimited file isn't read.
+ROWS = "path string, n int, encoding string, cells array<string>, reason string"
+#: Bytes above which a delimited file isn't read; its row says so.
 MOST_BYTES = 64 << 20
+TOO_LARGE, DAMAGED = "too large", "damaged"
 PERSON, CERTIFICATE = ("氏名", "生年月日"), ("氏名", "要介護", "開始")
 
 
@@ -35,18 +36,26 @@ def delimiter(line: str) -> str:
     return max(",\t;", key=line.count)
 
 
-def delimited(files: DataFrame) -> DataFrame:
-    """Rows of the delimited files in `files` (path, bytes, content), ragged as they are; blank rows go."""
+def delimited(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Rows of the delimited files in `files` (path, bytes, content), ragged as they are; blank rows go. A
+    file that is too large or can't be parsed is one row without cells, with the reason."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(most_bytes)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                text, encoding = decoded(content)
-                reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text.partition("\n")[0]))
-                rows = [(path, n, encoding, row) for n, row in enumerate(reader) if any(c.strip() for c in row)]
-                yield pd.DataFrame(rows, columns=["path", "n", "encoding", "cells"])
-
-    return files.filter(F.col("bytes") <= MOST_BYTES).select("path", "content").mapInPandas(parse, ROWS)
+                if content is None:
+                    rows = [(path, 0, None, None, TOO_LARGE)]
+                else:
+                    text, encoding = decoded(content)
+                    try:
+                        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text.partition("\n")[0]))
+                        rows = [(path, n, encoding, row, None) for n, row in enumerate(reader) if any(c.strip() for c in row)]
+                    except csv.Error as e:
+                        rows = [(path, 0, encoding, None, f"{DAMAGED}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "n", "encoding", "cells", "reason"])
+
+    return files.select("path", F.when(F.col("bytes") <= most_bytes, F.col("content")).alias("content")).mapInPandas(parse, ROWS)
 
 
 def column_of(header: Column, token: str) -> Column:

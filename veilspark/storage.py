@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only where the session names no shared folder and runs on one machine.
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 #: Rows up to which a dimension is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -16,7 +16,10 @@ BROADCAST_ROWS = 20_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that they share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
 
 
 def work_folder(spark: SparkSession) -> str:
