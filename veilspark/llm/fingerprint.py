@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, ranked
 
-#: Characters for a space at most in a text whose words are what stands between spaces; in others words
-#: end after white space and after each character of a script without spaces.
-SPACED = 40
+#: Words are what stands between spaces; those of more characters than this are cut further, after white
+#: space and after each character of a script without spaces.
+LONG = 40
 WORD_END = r"(?<=\s)(?=\S)|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF])"
 #: One pair of words in how many ends a paragraph.
 PICKED = 32  # a power of two
@@ -58,7 +58,8 @@ def digests(text: Column) -> Column:
         return let(places, lambda at: F.array_distinct(F.transform(at, lambda e, j: let(F.coalesce(F.get(at, j - 1), F.lit(-1)), lambda last: F.xxhash64(F.slice(words, last + 2, e - last))))))
 
     def worded(plain: Column) -> Column:
-        return F.when(F.size(plain) * SPACED >= F.length(text), plain).otherwise(F.split(text, WORD_END, -1))
+        parts = F.flatten(F.transform(plain, lambda w: F.when(F.length(w) > LONG, F.split(w, WORD_END, -1)).otherwise(F.array(w))))
+        return F.when(F.exists(plain, lambda w: F.length(w) > LONG), parts).otherwise(plain)
 
     return F.when(text.rlike(r"\S"), let(let(F.split(text, " ", -1), worded), cut)).otherwise(F.array().cast("array<bigint>"))
 
