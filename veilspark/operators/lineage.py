@@ -64,9 +64,13 @@ def tree_signature(files: DataFrame) -> DataFrame:
 
 
 def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that a and b don't hold equally often: side, and the columns of a."""
-    left = a.exceptAll(b.select(*a.columns)).withColumn("side", F.lit("left"))
-    return left.unionByName(b.select(*a.columns).exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that a and b don't hold equally often, as often as they are too many: side, and the columns of
+    a. Both sides meet in one signed count."""
+    columns = a.columns
+    signed = a.withColumn("_n", F.lit(1)).unionByName(b.select(*columns).withColumn("_n", F.lit(-1)))
+    off = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    rows = off.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_one", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))))
+    return rows.select(*columns, "side")
 
 
 def send_gate(files: DataFrame) -> DataFrame:

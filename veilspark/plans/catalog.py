@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.patterns import SHAPES, candidates, located, shape_spans
-from ..operators import cells, codebook, lineage, lookup, mask, records, registry, spans, suspects
+from ..operators import adjacent, cells, codebook, lineage, lookup, mask, records, registry, spans, suspects
 from ..storage import kept
+from . import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHAPE = {s.kind: s for s in SHAPES}
@@ -115,13 +116,17 @@ SELECT doc_id, s.orig, code, count(*) AS n FROM ({_SPANS_SQL.format(r=MAIL_RE)})
 
 
 def leftover_gate(spark, sf_dir):
-    """Unmasked documents against the codebook of their own mails: what the gate must find."""
+    """Unmasked documents against the codebook of all mails and numbers: what the gate must find, also
+    inside other words."""
     rows, _, book = _masked_mails(spark, sf_dir)
-    left = codebook.leftovers(rows, book.filter("key like '型|メール|%'"), "text")
-    return left.groupBy("doc_id").agg(F.count("*").alias("n_left"))
+    return codebook.leftovers(rows, book, "text").groupBy("doc_id").agg(F.count("*").alias("n_left"))
 
 
-LEFT_SQL = f"SELECT doc_id, count(DISTINCT orig) AS n_left FROM ({_SPANS_SQL.format(r=MAIL_RE)}) GROUP BY doc_id"
+LEFT_SQL = f"""
+WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '{MAIL_RE}', '@', 'g'), '{NUMBER_RE}')) AS orig FROM documents),
+     o AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{MAIL_RE}')) AS orig FROM documents UNION SELECT orig FROM n WHERE replace(orig, orig[1], '') <> '')
+SELECT doc_id, count(*) AS n_left FROM documents JOIN o ON contains(text, orig) GROUP BY doc_id
+"""
 
 
 def document_status(spark, sf_dir):
@@ -177,10 +182,8 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY abs(s - seq), s DES
 
 def previous_turn(spark, sf_dir):
     """Turns whose directly preceding turn ends with a question mark or period."""
-    w = W.partitionBy("doc_id", "part_no").orderBy("seq")
-    rows = turns(spark, sf_dir).dropDuplicates(["doc_id", "seq"])
-    before = F.when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("text").over(w))
-    return rows.withColumn("before", before).filter(F.col("before").rlike(r"[.?]$")).select("doc_id", "seq", F.length("before").cast("long").alias("n_before"))
+    rows = adjacent.with_previous(turns(spark, sf_dir).dropDuplicates(["doc_id", "seq"]))
+    return rows.filter(F.col("before").rlike(r"[.?]$")).select("doc_id", "seq", F.length("before").cast("long").alias("n_before"))
 
 
 PREVIOUS_SQL = """
@@ -376,6 +379,13 @@ def segments_of_mails(spark, sf_dir):
     return rows.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("s.text")).alias("n_chars"))
 
 
+SEGMENTS_SQL = f"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '{MAIL_RE}') AS v, list_filter(regexp_split_to_array(text, '{MAIL_RE}'), lambda x: x <> '') AS g FROM documents WHERE contains(text, '@'))
+SELECT doc_id, 'plain' AS kind, CAST(len(g) AS BIGINT) AS n, CAST(list_sum(list_transform(g, lambda x: length(x))) AS BIGINT) AS n_chars FROM m WHERE len(g) > 0
+UNION ALL SELECT doc_id, 'メール', CAST(len(v) AS BIGINT), CAST(list_sum(list_transform(v, lambda x: length(x))) AS BIGINT) FROM m WHERE len(v) > 0
+"""
+
+
 def merged_customers(spark, sf_dir):
     """Customers as a registry: duplicates of kind and first part of the name merged, aliases in order."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("row_no"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").cast("string").alias("name"), F.array(F.col("c_name")).alias("aliases"), F.lit("").alias("reading"))
@@ -409,8 +419,11 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "mail_spans": _SPANS_SQL.format(r=MAIL_RE), "number_spans": _SPANS_SQL.format(r=NUMBER_RE), "exact_locations": _SPANS_SQL.format(r=r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), "overlap_fold": FOLD_SQL,
     "mail_codebook": CODEBOOK_SQL, "mask_restore": MASK_SQL, "replacement_counts": COUNTS_SQL, "leftover_gate": LEFT_SQL, "document_status": STATUS_SQL,
-    "flagged_documents": FLAG_SQL, "duplicate_texts": DUPLICATE_SQL, "nearest_turn": NEAREST_SQL, "previous_turn": PREVIOUS_SQL,
+    "flagged_documents": FLAG_SQL, "segments_of_mails": SEGMENTS_SQL, "duplicate_texts": DUPLICATE_SQL, "nearest_turn": NEAREST_SQL, "previous_turn": PREVIOUS_SQL,
     "valid_orders": VALID_SQL, "formula_closure": CLOSURE_SQL, "owned_sources": OWNED_SQL, "clean_plan": CLEAN_SQL, "newest_orders": NEWEST_SQL,
     "multiset_difference": MULTISET_SQL, "near_words": NEAR_SQL, "users_of_conversations": USERS_SQL, "status_board": BOARD_SQL, "era_dates": ERA_SQL,
     "token_multiset": TOKENS_SQL, "interval_join": INTERVAL_SQL, "new_contents": NEW_SQL, "merged_customers": MERGED_SQL, "years_of_orders": YEARS_SQL,
 }
+# Small invented frames, for what the tables can't feed.
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL
