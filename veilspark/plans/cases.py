@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import address, ocr, predicates
 from ..functions import text as tx
 from ..functions.patterns import SHAPES, shape_spans
-from ..operators import adjacent, cells, codebook, edits, forms, lineage, lookup, names, records, registry, spans, suspect_rules, suspects
+from ..operators import adjacent, cells, codebook, edits, forms, lineage, lookup, names, records, registry, reports, spans, suspect_rules, suspects
 from ..sources import ooxml, tables
 
 UNITS = "doc_id long, part_no int, seq int, text string"
@@ -418,6 +418,89 @@ def repaired_scans(spark):
     return df.select(ocr.repaired(ocr.joined_wide(F.col("t"))).alias("fixed"))
 
 
+# --- reports
+
+
+@case("word surface", [("髙﨑太郎", "高崎太郎"), ("渡邊", "渡辺")])
+def names_in_other_glyphs(spark):
+    words = spark.createDataFrame([("髙﨑太郎",), ("渡邊",), ("渡辺",), ("例田",)], "word string")
+    return reports.variant_names(words, spark.createDataFrame([("高崎太郎",), ("渡辺",)], "surface string"))
+
+
+@case("seq orig owner", [(0, "昭和15年3月2日", "見本太郎"), (1, "1940/3/2", "見本太郎"), (2, "S15.3.2", "見本太郎")])
+def registered_dates_in_any_spelling(spark):
+    dates = spark.createDataFrame([(dt.date(1940, 3, 2), "見本太郎")], "date date, owner string")
+    return reports.registered_dates(units(spark, "生 昭和15年3月2日", "1940/3/2生", "S15.3.2", "昭和15年3月3日"), dates)
+
+
+@case("seq surface label", [(1, "星降クリニック", "医院")])
+def workbook_names_in_texts(spark):
+    rows = [("S", False, "A1", "s", "星降 クリニック", None), ("S", False, "A2", "n", "1234", None), ("S", False, "A3", "s", "他", None)]
+    found = spark.createDataFrame([(1, "S", "A1", "医院"), (1, "S", "A2", "番号"), (1, "S", "A3", "x")], "doc_id long, sheet string, ref string, label string")
+    return reports.later_mentions(units(spark, "他の医院", "星降クリニックへ"), reports.workbook_names(cell_rows(spark, *rows), found))
+
+
+@case("category n place", [("addr", 1, 1), ("name", 2, 2)])
+def suspects_by_category(spark):
+    rows = [(1, 0, 3, 0, "敬称の付いた名前らしき語"), (1, 0, 1, 0, "番地まである住所"), (1, 0, 2, 5, "氏名欄の名前らしき語")]
+    return reports.suspect_counts(spark.createDataFrame(rows, "doc_id long, part_no int, seq int, st int, reason string"))
+
+
+@case("kind n registered place", [("メール", 1, False, 1), ("氏名", 2, True, 2)])
+def guides_of_leftovers(spark):
+    return reports.leftover_guides(spark.createDataFrame([("氏名", 2, False), ("メール", 1, False), ("氏名", 3, True)], "kind string, at int, registered boolean"))
+
+
+@case("row_no code n_same", [(1, "【利用者001】", 1), (2, None, 2), (3, None, 2)])
+def registry_with_codes(spark):
+    rows = spark.createDataFrame([(1, "利用者", "見本 太郎", [], ""), (2, "家族", "見本 花子", [], ""), (3, "家族", "見本花子", [], "")], REGISTRY)
+    book = spark.createDataFrame([("名|利用者|見本太郎", "利用者", 1, "【利用者001】", "見本太郎", "見本太郎", True, False)], codebook.SCHEMA)
+    return reports.rows_with_codes(rows, book)
+
+
+@case("added", [("ハナ",)])
+def aliases_that_are_new(spark):
+    return reports.new_aliases(spark.createDataFrame([(["見本 花子"], ["見本花子", "ハナ"])], "old array<string>, target array<string>"))
+
+
+@case("dir from to n", [("d", "a", "x", 2), ("d", "b", "x", 2), ("d", "c", "z", 2)])
+def colliding_renames(spark):
+    rows = [("d", "a", "x"), ("d", "b", "x"), ("d", "c", "z"), ("d", "z", "z"), ("e", "a", "x"), ("e", "y", "y")]
+    return reports.rename_collisions(spark.createDataFrame(rows, "dir string, from string, to string"))
+
+
+@case("user name", [("u", "2024-04-01_3"), ("v", "2024-04-01")])
+def names_of_new_jobs(spark):
+    wanted = spark.createDataFrame([("u", dt.date(2024, 4, 1)), ("v", dt.date(2024, 4, 1))], "user string, day date")
+    return reports.free_job_names(wanted, spark.createDataFrame([("u", "2024-04-01"), ("u", "2024-04-01_2")], "user string, name string"))
+
+
+@case("job n", [("j2", 2)])
+def jobs_without_results(spark):
+    rows = [("S", "s1", None, "j1"), ("S", "s2", None, "j2"), ("S", "s3", None, "j2"), ("R", "r1", "j1", "x")]
+    return reports.unfinished_jobs(spark.createDataFrame(rows, "kind string, h1 string, h2 string, ref string"))
+
+
+@case("doc_id n_units n_unknown unknown", [(1, 1, 2, "【家族009】|【番号009】"), (2, 0, 0, "")])
+def counts_of_restoring(spark):
+    rows = [(1, "【利用者001】", "見本", ["【番号009】"]), (1, "x", "x", ["【家族009】"]), (2, "y", "y", [])]
+    return reports.restored_counts(spark.createDataFrame(rows, "doc_id long, text string, restored string, unknown array<string>"))
+
+
+@case("date nth body is_new row", [("2024-04-03", 1, "n", True, 1), ("2024-04-02", 1, "r", True, 2), ("2024-04-01", 1, "a", False, 3)])
+def records_inserted_into_books(spark):
+    schema = "book string, date date, nth int, body string"
+    book = spark.createDataFrame([("b", dt.date(2024, 4, 1), 1, "a"), ("b", dt.date(2024, 4, 2), 1, "o")], schema)
+    return reports.inserted_newest_first(book, spark.createDataFrame([("b", dt.date(2024, 4, 3), 1, "n"), ("b", dt.date(2024, 4, 2), 1, "r")], schema))
+
+
+@case("body nth sheet", [("x", 2, "4.1②"), ("y", 3, "4.1③"), ("z", 1, "4.2")])
+def sheets_of_new_records(spark):
+    book = spark.createDataFrame([("b", dt.date(2024, 4, 1), 1, "a")], "book string, date date, nth int, body string")
+    new = spark.createDataFrame([("b", dt.date(2024, 4, 1), "x"), ("b", dt.date(2024, 4, 1), "y"), ("b", dt.date(2024, 4, 2), "z")], "book string, date date, body string")
+    return reports.next_in_day(book, new)
+
+
 # --- sources
 
 
