@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import address_lumps
 from ..functions.patterns import SPAN, candidates, let
-from ..storage import kept, salted_join, small
+from ..storage import kept, salted_join, small, spread_join
 from . import codebook
 from .mask import UNIT, Masked, apply_spans
 from .registry import FOLLOWS, addresses, dictionary
@@ -110,14 +110,15 @@ def find_spans(units: DataFrame, registry: DataFrame) -> DataFrame:
     """Accepted spans of names, registered addresses and shapes: UNIT, st, len, kind, orig, space."""
     entries, cores = dictionary(registry), addresses(registry)
     named = name_candidates(units, entries)
-    lumps = units.select(*UNIT, F.explode(address_lumps(F.col("text"))).alias("l")).select(*UNIT, "l.*").join(cores.select("core"), "core")
+    lumps = units.select(*UNIT, F.explode(address_lumps(F.col("text"))).alias("l")).select(*UNIT, "l.*")
+    lumps = spread_join(lumps, cores.select("core"), ["core"], F.struct(*UNIT, "st"))
     lumps = lumps.groupBy(*UNIT).agg(F.collect_list(F.struct("st", "len", "core")).alias("lumps"))
     both = named.join(lumps, list(UNIT), "left")
     address = F.transform(F.coalesce("lumps", F.array().cast("array<struct<st:int,len:int,core:string>>")), lambda s: F.struct(s["st"].alias("st"), s["len"].alias("len"), F.lit(0).alias("prio"), F.lit(ADDRESS).alias("kind"), s["core"].alias("orig")))
     chosen = fold(F.concat(address.cast(SPAN), F.col("names"), candidates(F.col("text"))), F.col("text"))
     spans = both.select(*UNIT, F.explode(chosen).alias("s")).select(*UNIT, "s.st", "s.len", "s.kind", "s.orig")
     known = entries.select(F.col("surface").alias("orig"), F.lit(NAME).alias("kind"), "space", "prefix", F.col("orig").alias("value"), "person")
-    found = spans.join(known, ["orig", "kind"], "left")
+    found = spread_join(spans, known, ["orig", "kind"], F.struct(*UNIT, "st"), "left")
     return found.select(*UNIT, "st", "len", F.when(F.col("space") == "姓", "姓").otherwise(F.coalesce("prefix", "kind")).alias("kind"), F.coalesce("value", "orig").alias("orig"), F.coalesce("space", F.when(F.col("kind") == ADDRESS, "住").otherwise("型")).alias("space"), "person", F.col("orig").alias("matched"))
 
 
@@ -132,7 +133,8 @@ def mask(units: DataFrame, registry: DataFrame, book: DataFrame) -> Masked:
     for space, suffix in hanging.items():
         own = spans.filter(F.col("space") == space)
         person = whole.filter(F.col("key").startswith("名|")).select(F.col("key").alias("p_key"), F.col("code").alias("base_code"))
-        own = own.withColumn("p_key", codebook.key_of(F.lit("名"), F.col("kind"), F.col("person"))).join(person, "p_key")
+        own = own.withColumn("p_key", codebook.key_of(F.lit("名"), F.col("kind"), F.col("person")))
+        own = spread_join(own, person, ["p_key"], F.struct(*codebook.ORDER))
         keyed = own.select("base_code", codebook.key_of(F.lit(space), F.col("kind"), F.col("orig")).alias("key"), "orig", F.struct(*codebook.ORDER).alias("at"))
         if space == "下":
             new = keyed.groupBy("base_code", "key", "orig").agg(F.min("at").alias("at")).join(whole.select("key"), "key", "left_anti")

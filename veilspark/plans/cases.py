@@ -4,6 +4,8 @@ texts, registries, workbooks, books of records. Each has its expected rows, whic
 from __future__ import annotations
 
 import datetime as dt
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -515,6 +517,54 @@ def rewritten_packages(spark):
     return ooxml.document_units(new.unionByName(spark.createDataFrame([(8, bytearray(b"no zip"))], "doc_id long, content binary")))
 
 
+def _workbook() -> bytearray:
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="表" sheetId="1" r:id="r1"/><sheet name="裏" sheetId="2" state="hidden" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>見本</t><rPh sb="0" eb="2"><t>ミホン</t></rPh></si></sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f t="shared" si="0" ref="B1:B2">A1+$A$1</f><v>1</v></c></row><row r="2"><c r="B2"><f t="shared" si="0"/><v>2</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>隠</t></is></c></row></sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    return bytearray(out.getvalue())
+
+
+@case("doc_id sheet hidden ref type text formula", [
+    (1, "表", False, "A1", "s", "見本", None), (1, "表", False, "B1", "n", "1", "A1+$A$1"), (1, "表", False, "B2", "n", "2", "A2+$A$1"), (1, "裏", True, "A1", "inlineStr", "隠", None),
+    (2, "表", False, "A1", "inlineStr", "【利用者001】", None), (2, "表", False, "B1", "n", "1", "A1+$A$1"), (2, "表", False, "B2", "n", "2", "A2+$A$1"), (2, "裏", True, "A1", "inlineStr", "隠", None),
+])
+def rewritten_workbooks(spark):
+    files = spark.createDataFrame([(1, _workbook()), (2, _workbook())], "doc_id long, content binary")
+    return ooxml.workbook_cells(ooxml.rewritten_workbooks(files, spark.createDataFrame([(2, "表", "A1", "【利用者001】")], "doc_id long, sheet string, ref string, text string")))
+
+
+def _nested() -> bytearray:
+    """A paragraph with a tab stop, a hidden run and a text box, and a package inside the package."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    box = "<w:r><w:pict><w:txbxContent><w:p><w:r><w:t>箱</w:t></w:r></w:p></w:txbxContent></w:pict></w:r>"
+    body = f'<w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>見</w:t><w:tab/></w:r><w:r><w:rPr><w:vanish/></w:rPr><w:t>隠</w:t></w:r>{box}</w:p>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/embeddings/inner.docx", ooxml.simple_document("中", []))
+    return bytearray(out.getvalue())
+
+
+@case("seq part text visible_text visible", [(0, "word/document.xml", "見\t隠", "見\t", True), (1, "word/document.xml", "箱", "箱", True), (2, "word/embeddings/inner.docx!word/document.xml", "中", "中", True)])
+def nested_packages(spark):
+    return ooxml.document_units(spark.createDataFrame([(1, _nested())], "doc_id long, content binary"))
+
+
+@case("seq text", [(0, "見\t隠"), (1, "【箱】"), (2, "【中】")])
+def rewritten_nested_packages(spark):
+    files = spark.createDataFrame([(1, _nested())], "doc_id long, content binary")
+    return ooxml.document_units(ooxml.rewritten_documents(files, spark.createDataFrame([(1, 1, "【箱】"), (1, 2, "【中】")], "doc_id long, seq int, text string")))
+
+
 @case("path n encoding cells reason", [
     ("a", 0, "cp932", "氏名|生年月日", None), ("a", 1, "cp932", "見本 太郎|昭和15年3月2日|余り", None), ("b", 0, "utf-8-sig", "氏名|開始日", None), ("b", 1, "utf-8-sig", "x|2", None), ("c", 0, None, None, "too large"),
 ])

@@ -81,6 +81,12 @@ def salted_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column,
     return big.join(one, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join with a table of one row for a key, whose keys may be hot in `big`: broadcast if its counted size
+    allows it, else salted."""
+    return big.join(F.broadcast(one), keys, how) if small(one) else salted_join(big, one, keys, spread, how, salts=8)
+
+
 def ranked_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Add `name`, counting from 1 within each value of `group` in `order`. Groups may be few and
     large: rows are dealt by range, numbered in each part, and the parts' counts are added up."""
