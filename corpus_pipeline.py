@@ -2,6 +2,12 @@
 
 Each stage takes the documents that its predecessor kept and returns the columns of documents; the
 last returns the packed pieces. Every stage's result is written and read again before the next.
+
+Defined cases: columns beside those of documents are dropped by the first stage. Language ID drops
+documents whose text is null or has no letter, and all if none is labelled. Rows that share a doc_id, or
+have none, are judged by their own texts; of rows that are equal in all columns near-dedup keeps one.
+Mixing repeats a row for each copy that it takes and drops rows of none; a null source is a source, and a
+document left without words weighs nothing and stays once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
