@@ -62,3 +62,23 @@ def test_rejects_what_has_no_language(spark):
     odd = spark.createDataFrame([(10**6, None, None, "s", 0), (10**6 + 1, "12 34", "en", "s", 5), (10**6 + 2, "", "en", "s", 0)], docs.schema)
     got = ids(corpus_pipeline.language_id(spark, docs.unionByName(odd), SF))
     assert got == ids(docs)
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Null and repeated ids, equal rows, null and very long texts, clashing columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = ["the of and with this that from house water".split(), "der die und nicht mit schön für über straße".split()]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(40)), ("en", "de")[i % 2], None if i % 7 == 0 else f"s{i % 3}", 0) for i in range(60)]
+    rows += [(None, rows[3][1], None, None, None), (5, rows[8][1] + " house water", None, "s1", 0), rows[4], rows[4], (70, None, "en", "s0", 0), (71, "the water of " * 30_000, None, "s2", 0), (72, "", None, None, None)]
+    docs = spark.createDataFrame(rows, schema).withColumn("h", F.lit(1)).withColumn("size", F.lit("x")).withColumn("rejected", F.lit(None).cast("int"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        kept[name] = docs.count()
+    assert kept["language_id"] == len(rows) - 2 and kept["line_dedup"] == kept["language_id"]
+    assert kept["near_dedup"] == kept["language_id"] - 3 and kept["packing"] >= kept["mixing"] > 0
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+        assert none.count() == 0
