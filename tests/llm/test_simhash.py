@@ -87,15 +87,15 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
 def test_recall_of_blocks(spark):
     """Of pairs at a similarity of about 0.8 nearly all share a block, and chance pairs of no block are rare."""
     rng = np.random.default_rng(3)
-    width = simhash.width_for(100_000)
-    assert (width, simhash.width_for(5 * 10**6), simhash.tables_for(20)) == (20, 24, simhash.TABLES)
+    width = simhash.width_for(60_000)
+    assert (width, simhash.width_for(10**6), simhash.tables_for(20)) == (20, 24, simhash.TABLES)
     rows, n = [], 300
     for i in range(n):
         base = rng.integers(0, 1 << 63, 360, dtype=np.uint64)
         copy = np.concatenate([base[:320], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
         for k, h in enumerate((base, copy)):
-            rows.append((2 * i + k, 360, bytearray(simhash.majority(h, simhash.BITS).tobytes())))
-    keyed = simhash.keyed_by_blocks(spark.createDataFrame(rows, "class long, n int, print binary"), width, simhash.TABLES).select("class", "key")
+            rows.append((2 * i + k, 360, simhash.majority(h, simhash.BITS).view("<i8").tolist()))
+    keyed = simhash.keyed_by_blocks(spark.createDataFrame(rows, "class long, n int, print array<long>"), width, simhash.TABLES).select("class", "key")
     met = keyed.join(keyed.withColumnRenamed("class", "other"), "key").filter("class < other").select("class", "other").distinct().collect()
     found = sum(r["other"] == r["class"] + 1 and r["class"] % 2 == 0 for r in met)
     assert found >= 0.93 * n

@@ -7,15 +7,16 @@ A fingerprint's bit is the majority of that bit in the hashes of a text's shingl
   all such pairs meet on some choice of that many parts. The number of parts grows with the number of
   different fingerprints (`blocks_for`), so that chance meetings per fingerprint stay bounded.
 - `similar_groups` and `keepers`: links at a Jaccard similarity of the shingle sets. At 0.8 about 15 %
-  of the bits differ, which 64 bits can't tell from chance, so a fingerprint has BITS bits and TABLES
-  blocks of `width_for` of its bits. A pair at 0.8 shares a block with a probability of 0.97 or more,
-  at 0.85 of 0.99 or more. Candidates are verified by the Hamming distance, of a part of the
-  fingerprint and then of the whole, and what is left by the sets themselves.
+  of the bits differ, which 64 bits can't tell from chance, so a fingerprint has BITS bits and `tables_for`
+  blocks of `width_for` of its bits; both grow with the number of texts, so that chance meetings of a text
+  stay few. A pair at 0.8 shares a block with a probability of 0.97 or more, at 0.85 of 0.99 or more.
+  Candidates are verified by the Hamming distance, of the first 64 bits and then of all, and what is left
+  by the sets themselves.
 
 Equal fingerprints (or sets) are one class first: only classes are joined, copies cost a row each. A
-block's classes aren't crossed: they are verified against three leaders, what these link is united,
-and only blocks of four or more classes that are still apart are compared pair by pair, hot ones dealt
-over many tasks; no other pair can unite anything.
+block's classes aren't crossed: they are verified against one of them, what these link is united, and
+only blocks of three or more classes that are still apart are compared pair by pair by their whole
+fingerprints, hot ones dealt over many tasks; no other pair can unite anything.
 
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words (or null) have
 fingerprint 0 and the empty set, and link like any other. A null doc_id is never the smallest unless
@@ -27,6 +28,7 @@ on by `keepers` and ignored elsewhere. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -38,14 +40,16 @@ from .common import HOT_KEYS, dimension_join, hot_keys, kept, skewed_join
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-#: Of the use by similarity: words of a shingle, similarity, bits, tables of blocks.
+#: Of the use by similarity: words of a shingle, similarity, bits, tables of blocks of 20 bits.
 SIMILAR_SHINGLE, SIMILARITY, BITS, TABLES = 5, 0.8, 1024, 96
 #: Bits that a fingerprint's carried part has, and the share of bits in which a pair at SIMILARITY differs.
-CARRIED, DIFFERING = 128, 0.1515
+CARRIED, DIFFERING = 64, 0.1515
+#: Values of a block for each text.
+ROOMY = 16
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 12
-SKETCH = "doc_id long, h long, class long, n int, print binary"
-KEYED = "class long, n int, w0 long, w1 long, key long"
+SKETCH = "doc_id long, h long, class long, n int, print array<long>"
+KEYED = "class long, w0 long, key long"
 
 
 def hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -116,34 +120,37 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def united(keyed: DataFrame, carried: list[str], near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+Near = Callable[[str, str], Column]
+
+
+def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, refined: Callable[[DataFrame], DataFrame] = lambda rows: rows, nearer: Near | None = None) -> DataFrame:
     """node and root of the classes that links join. keyed: key, class and the carried columns, a row for
     each class and block; near(x, y): whether structs x and y of class and carried columns are candidates;
-    verified: the links among pairs (a, b)."""
+    verified: the links among pairs (a, b). Where a block is compared pair by pair, refined gives rows (with
+    `me`) larger structs, which `nearer` judges."""
     shared = kept(keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared")
     total = shared.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = shared.filter(F.col("rows") * HOT_KEYS > total).select("key")
     me = F.struct("class", *carried)
     members = kept(skewed_join(keyed.select("key", me.alias("me")), shared, ["key"], F.col("me.class"), hot), "members")
-    leaders = members.groupBy("key").agg(F.min("me").alias("l0"), F.max("me").alias("l1"), F.min(F.struct(F.xxhash64("me.class").alias("x"), F.col("me").alias("l"))).alias("l2"))
-    leaders = leaders.select("key", F.array("l0", "l1", "l2.l").alias("leaders"))
+    leaders = members.groupBy("key").agg(F.min("me").alias("leader"))
 
-    def pairs_of(met: DataFrame, x: str, y: str) -> DataFrame:
+    def pairs_of(met: DataFrame, x: str, y: str, close: Near) -> DataFrame:
         a, b = F.col(f"{x}.class"), F.col(f"{y}.class")
-        return met.filter((a != b) & near(x, y)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return met.filter((a != b) & close(x, y)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    met = skewed_join(members.select("key", "me"), leaders, ["key"], F.col("me.class"), hot).select("me", F.explode("leaders").alias("l"))
-    stars = kept(pairs_of(met, "me", "l"), "stars")
+    met = skewed_join(members.select("key", "me"), leaders, ["key"], F.col("me.class"), hot)
+    stars = kept(pairs_of(met, "me", "leader", near), "stars")
     links = kept(verified(stars), "links")
     roots = kept(components(links), "united")
-    # Leaders meet everybody, so a block of up to three classes has no other pairs.
-    large = members.filter("rows > 3").select("key", "me").join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
+    # The leader meets everybody, so a block of two classes has no other pair.
+    large = members.filter("rows > 2").select("key", "me").join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
     placed = kept(large.select("key", "me", F.coalesce("root", "me.class").alias("root")), "placed")
     apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    placed = kept(skewed_join(placed, apart, ["key"], F.col("me.class"), hot), "apart")
+    placed = kept(refined(skewed_join(placed, apart, ["key"], F.col("me.class"), hot)), "apart")
     x, y = (placed.select("key", F.col("me").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy")
     rest = skewed_join(x, y, ["key"], F.col("x.class"), hot).filter("x.class < y.class and root_x <> root_y")
-    rest = kept(pairs_of(rest, "x", "y").join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = kept(pairs_of(rest, "x", "y", nearer or near).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     return components(kept(links.union(verified(rest)), "links"))
@@ -171,17 +178,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
 
 
 def width_for(n: int) -> int:
-    """Bits of a block for n classes: 20 up to a million of them, 4 more for each 16 times as many."""
-    width = 20
-    while n > 1 << width:
-        width += 4
-    return width
+    """Bits of a block for n classes: as many as have ROOMY values for each."""
+    return max(16, (ROOMY * max(1, n) - 1).bit_length())
 
 
 def tables_for(width: int, tables: int = TABLES) -> int:
-    """Tables that find as many pairs at SIMILARITY as `tables` of 20 bits do."""
+    """Tables that find as many pairs at SIMILARITY as `tables` of 20 bits do, and not fewer than these."""
     share = 1 - DIFFERING
-    return -(-tables * np.log1p(-(share**20)) // np.log1p(-(share**width))).astype(int)
+    return max(tables, int(np.ceil(tables * np.log1p(-(share**20)) / np.log1p(-(share**width)))))
 
 
 def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, bits: int = BITS) -> DataFrame:
@@ -197,15 +201,17 @@ def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, bits: int = BITS)
                 found = np.unique(hashes(text.as_py() or b"", shingle))
                 classes.append(xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                prints.append(majority(found, bits).tobytes())
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())]
+                prints.append(majority(found, bits).view("<i8"))
+            ends = pa.array(np.arange(0, len(prints) * (bits // 64) + 1, bits // 64, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64)))
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "class", "n", "print"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns).alias("h"), "text").mapInArrow(batches_of, SKETCH)
 
 
 def keyed_by_blocks(classes: DataFrame, width: int, tables: int, bits: int = BITS) -> DataFrame:
-    """A row for each class and table: its block there, with the size and the carried part."""
+    """A row for each class and table: its block there, with the carried part."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
@@ -215,14 +221,13 @@ def keyed_by_blocks(classes: DataFrame, width: int, tables: int, bits: int = BIT
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                whole = np.frombuffer(b"".join(part.column("print").to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
-                spread = np.unpackbits(whole, axis=1, bitorder="little")
+                words = part.column("print").flatten().to_numpy().reshape(-1, bits // 64)
+                spread = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little")
                 keys = np.stack([spread[:, p].astype(np.int64) @ powers for p in places], axis=1) + table
-                words = whole.view("<i8")
-                again = [np.repeat(c, tables) for c in (part.column("class").to_numpy(), part.column("n").to_numpy(), words[:, 0], words[:, 1])]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, again), pa.array(keys.ravel())], names=["class", "n", "w0", "w1", "key"])
+                again = [np.repeat(c, tables) for c in (part.column("class").to_numpy(), words[:, 0])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, again), pa.array(keys.ravel())], names=["class", "w0", "key"])
 
-    return classes.select("class", "n", "print").mapInArrow(batches_of, KEYED)
+    return classes.select("class", "print").mapInArrow(batches_of, KEYED)
 
 
 def within(bits: int) -> int:
@@ -260,26 +265,35 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
     def near(x: str, y: str) -> Column:
-        differ = [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in ("w0", "w1")]
-        return fit(F.col(f"{x}.n"), F.col(f"{y}.n")) & (differ[0] + differ[1] <= within(CARRIED))
+        return F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))) <= within(CARRIED)
+
+    words = [f"p{i}" for i in range(BITS // 64)]
+
+    def differ(x: str, y: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words])
+
+    def nearer(x: str, y: str) -> Column:
+        return fit(F.col(f"{x}.n"), F.col(f"{y}.n")) & (differ(x, y) <= within(BITS))
+
+    prints = classes.select("class", F.struct("class", "n", *[F.col("print")[i].alias(w) for i, w in enumerate(words)]).alias("whole"))
+
+    def refined(rows: DataFrame) -> DataFrame:
+        return rows.join(prints, F.col("me.class") == prints["class"]).drop("me", "class").withColumnRenamed("whole", "me")
 
     def with_class(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
         other = "b" if side == "a" else "a"
         return skewed_join(pairs, table.withColumnRenamed("class", side), [side], F.col(other), hot_keys(pairs, [side]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        longs = [F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
-        prints = classes.select("class", F.array(*longs).alias("words"))
-        met = with_class(with_class(pairs, prints.withColumnRenamed("words", "p"), "a"), prints.withColumnRenamed("words", "q"), "b")
-        differ = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
-        close = kept(met.filter(differ <= within(BITS)).select("a", "b"), "close")
+        met = with_class(with_class(pairs, prints.withColumnRenamed("whole", "p"), "a"), prints.withColumnRenamed("whole", "q"), "b")
+        close = kept(met.filter(nearer("p", "q")).select("a", "b"), "close")
         wanted = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
         sets = kept(sets_of(docs, classes.select("class", "h").join(wanted, "class"), shingle), "sets")
         met = with_class(with_class(close, sets.withColumnRenamed("shingles", "x"), "a"), sets.withColumnRenamed("shingles", "y"), "b")
         both = F.size(F.array_intersect("x", "y"))
         return met.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
-    roots = united(keyed, ["n", "w0", "w1"], near, verified)
+    roots = united(keyed, ["w0"], near, verified, refined, nearer)
     return grouped(found.select("doc_id", "h", "class"), classes.select("class", "least", "copies"), roots)
 
 
