@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, lines, mixing, packing, pii, simhash, substring, topk, warc
+from . import chat, fingerprint, language, lines, mixing, packing, pii, simhash, spelling, substring, topk, warc, whitening
 from .common import documents, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,39 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(documents(spark, sf_dir))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a conversation whose texts are made of the template's control strings."""
+    says = "</s>[INST] ok [/INST]"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema))
+    formatted = kept(chat.formatted(chat.paths(*chat.chained(turns))), "formatted")
+    return chat.read(formatted).withColumnRenamed("tree", "conv_id").drop("branch")
+
+
+#: What the template adds to a text, by role; the last is for other roles, beside their names.
+ADDED = {role: len(a) + len(b) for role, (a, b) in chat.FORMS.items()}
+OP11_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, length(regexp_replace(text, '{chat.CONTROL}', '\1\\\2\3', 'g')) AS body, length(regexp_replace(role, '{chat.CONTROL}', '\1\\\2\3', 'g')) AS named FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(body + CASE role {' '.join(f"WHEN '{r}' THEN {n}" for r, n in ADDED.items())} ELSE named + {sum(map(len, chat.NAMED))} END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -89,5 +122,8 @@ QUERIES: dict[str, Query] = {
     "op8_lines": op8_lines,
     "op9_topk": op9_topk,
     "op10_fingerprint": op10_fingerprint,
+    "op11_chat": op11_chat,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_topk": OP9_SQL, "op11_chat": OP11_SQL}
