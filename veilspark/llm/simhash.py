@@ -14,9 +14,11 @@ A fingerprint's bit is the majority of that bit in the hashes of a text's shingl
   by the sets themselves.
 
 Equal fingerprints (or sets) are one class first: only classes are joined, copies cost a row each. A
-block's classes aren't crossed: they are verified against one of them, what these link is united, and
-only blocks of three or more classes that are still apart are compared pair by pair by their whole
-fingerprints, hot ones dealt over many tasks; no other pair can unite anything.
+block's classes aren't crossed: they are verified against one of them and what this links is united. Blocks
+whose classes are still in different groups get further leaders (by similarity, about log2 of their rows),
+and only what these leave in different groups is compared pair by pair, hot blocks dealt over many tasks; no
+other pair can unite anything. By similarity both steps compare fingerprints of WIDE bits, so that hardly a
+pair below it leaves the join.
 
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words (or null) have
 fingerprint 0 and the empty set, and link like any other. A null doc_id is never the smallest unless
@@ -42,6 +44,8 @@ from .components import components
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Of the use by similarity: words of a shingle, similarity, bits, tables of blocks of 20 bits.
 SIMILAR_SHINGLE, SIMILARITY, BITS, TABLES = 5, 0.8, 1024, 96
+#: Bits of the fingerprints by which a block's pairs are told apart: at 0.7 some 7 % of pairs pass, at 0.66 one in a thousand.
+WIDE = 2048
 #: Bits that a fingerprint's carried part has, and the share of bits in which a pair at SIMILARITY differs.
 CARRIED, DIFFERING = 64, 0.1515
 #: Values of a block for each text.
@@ -123,11 +127,12 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
 Near = Callable[[str, str], Column]
 
 
-def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, refined: Callable[[DataFrame], DataFrame] = lambda rows: rows, nearer: Near | None = None) -> DataFrame:
+def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, refined: Callable[[DataFrame], DataFrame] = lambda rows: rows, nearer: Near | None = None, leading: Column | None = None) -> DataFrame:
     """node and root of the classes that links join. keyed: key, class and the carried columns, a row for
     each class and block; near(x, y): whether structs x and y of class and carried columns are candidates;
     verified: the links among pairs (a, b). Where a block is compared pair by pair, refined gives rows (with
-    `me`) larger structs, which `nearer` judges."""
+    `me`) larger structs, which `nearer` judges. leading: over `rows` of a block, how many further leaders it
+    then has, about."""
     shared = kept(keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared")
     total = shared.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = shared.filter(F.col("rows") * HOT_KEYS > total).select("key")
@@ -139,18 +144,33 @@ def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[
         a, b = F.col(f"{x}.class"), F.col(f"{y}.class")
         return met.filter((a != b) & close(x, y)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    met = skewed_join(members.select("key", "me"), leaders, ["key"], F.col("me.class"), hot)
-    stars = kept(pairs_of(met, "me", "leader", near), "stars")
-    links = kept(verified(stars), "links")
+    def met_in_blocks(rows: DataFrame, other: DataFrame) -> DataFrame:
+        return skewed_join(rows, other, ["key"], F.col("me.class"), hot)
+
+    def still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """rows with their roots, of blocks in which these differ."""
+        named = rows.join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
+        placed = kept(named.select("key", "rows", "me", F.coalesce("root", "me.class").alias("root")), "placed")
+        apart = kept(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "blocks")
+        return kept(met_in_blocks(placed, apart), "apart")
+
+    judged = kept(pairs_of(met_in_blocks(members.select("key", "me"), leaders), "me", "leader", near), "stars")
+    links = kept(verified(judged), "links")
     roots = kept(components(links), "united")
     # The leader meets everybody, so a block of two classes has no other pair.
-    large = members.filter("rows > 2").select("key", "me").join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
-    placed = kept(large.select("key", "me", F.coalesce("root", "me.class").alias("root")), "placed")
-    apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    placed = kept(refined(skewed_join(placed, apart, ["key"], F.col("me.class"), hot)), "apart")
+    placed = still_apart(members.filter("rows > 2"), roots)
+    if placed.isEmpty():
+        return roots
+    near, placed = nearer or near, kept(refined(placed), "whole")
+    if leading is not None:
+        more = placed.filter(F.pmod(F.xxhash64("key", "me.class"), F.col("rows")) < leading).select("key", F.col("me").alias("leader"), F.col("root").alias("led"))
+        stars = kept(pairs_of(met_in_blocks(placed, more).filter("root <> led"), "me", "leader", near).join(judged, ["a", "b"], "left_anti"), "stars")
+        links, judged = kept(links.union(verified(stars)), "links"), judged.union(stars)
+        roots = kept(components(links), "united")
+        placed = still_apart(placed.drop("root"), roots)
     x, y = (placed.select("key", F.col("me").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy")
     rest = skewed_join(x, y, ["key"], F.col("x.class"), hot).filter("x.class < y.class and root_x <> root_y")
-    rest = kept(pairs_of(rest, "x", "y", nearer or near).join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = kept(pairs_of(rest, "x", "y", near).join(judged, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     return components(kept(links.union(verified(rest)), "links"))
@@ -235,14 +255,16 @@ def within(bits: int) -> int:
     return int(bits * DIFFERING + 3.5 * (bits * DIFFERING * (1 - DIFFERING)) ** 0.5)
 
 
-def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """class and shingles of the classes in chosen (class, h: a row of docs that stands for it)."""
+def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int = SIMILAR_SHINGLE, bits: int | None = None) -> DataFrame:
+    """class and shingles of the classes in chosen (class, h: a row of docs that stands for it); or, instead of
+    the shingles, a fingerprint of so many bits."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, batch.num_rows, 1000):
                 part = batch.slice(row, 1000)
-                found = [np.unique(hashes(t.as_py() or b"", shingle)).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
+                found = [np.unique(hashes(t.as_py() or b"", shingle)) for t in part.column("text").cast(pa.large_binary())]
+                found = [majority(f, bits).view("<i8") if bits else f.view(np.int64) for f in found]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "shingles"])
@@ -267,18 +289,24 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     def near(x: str, y: str) -> Column:
         return F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))) <= within(CARRIED)
 
-    words = [f"p{i}" for i in range(BITS // 64)]
+    def nearer_by(bits: int) -> Near:
+        def judge(x: str, y: str) -> Column:
+            differ = [F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(bits // 64)]
+            return fit(F.col(f"{x}.n"), F.col(f"{y}.n")) & (reduce(lambda a, b: a + b, differ) <= within(bits))
 
-    def differ(x: str, y: str) -> Column:
-        return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words])
+        return judge
 
-    def nearer(x: str, y: str) -> Column:
-        return fit(F.col(f"{x}.n"), F.col(f"{y}.n")) & (differ(x, y) <= within(BITS))
+    def whole(table: DataFrame, bits: int) -> DataFrame:
+        return table.select("class", F.struct("class", "n", *[F.col("print")[i].alias(f"p{i}") for i in range(bits // 64)]).alias("whole"))
 
-    prints = classes.select("class", F.struct("class", "n", *[F.col("print")[i].alias(w) for i, w in enumerate(words)]).alias("whole"))
+    prints, nearer = whole(classes, BITS), nearer_by(BITS)
 
     def refined(rows: DataFrame) -> DataFrame:
-        return rows.join(prints, F.col("me.class") == prints["class"]).drop("me", "class").withColumnRenamed("whole", "me")
+        """Fingerprints of WIDE bits, made for these classes only."""
+        chosen = kept(classes.select("class", "h", "n").join(rows.select(F.col("me.class").alias("class")).distinct(), "class"), "chosen")
+        wide = sets_of(docs, chosen.select("class", "h"), shingle, WIDE).withColumnRenamed("shingles", "print")
+        wide = whole(wide.join(chosen.select("class", "n"), "class"), WIDE)
+        return rows.join(wide, F.col("me.class") == wide["class"]).drop("me", "class").withColumnRenamed("whole", "me")
 
     def with_class(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
         other = "b" if side == "a" else "a"
@@ -293,7 +321,7 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
         both = F.size(F.array_intersect("x", "y"))
         return met.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
-    roots = united(keyed, ["w0"], near, verified, refined, nearer)
+    roots = united(keyed, ["w0"], near, verified, refined, nearer_by(WIDE), F.log2("rows"))
     return grouped(found.select("doc_id", "h", "class"), classes.select("class", "least", "copies"), roots)
 
 
