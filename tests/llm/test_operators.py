@@ -634,3 +634,23 @@ def test_ranks_without_a_global_window(spark):
     rows = common.ranked(df, [F.col("v"), F.col("id")], "place").collect()
     assert [r["id"] for r in sorted(rows, key=lambda r: r["place"])] == [r["id"] for r in sorted(rows, key=lambda r: (r["v"], r["id"]))]
     assert sorted(r["place"] for r in rows) == list(range(1000))
+
+
+# --- columns of the user's that are named as the operators' own
+
+
+def test_private_names_are_not_taken(spark):
+    own = ("_key", "_h", "_bucket", "_before", "_n", "_all", "_letters", "_g_id", "_g_h", "_gone", "_id")
+    rows = spark.createDataFrame([(i, f"own line {i}\nwords of text {i % 3}", "en", f"s{i % 2}", 5) for i in range(12)], DOCS)
+    rows = rows.withColumns({c: F.lit(c) for c in own})
+    for out in (mixing.mix(rows.withColumn("size", mixing.size(F.col("text")))), lines.dedup(rows), language.identify(rows, language.fit(rows))):
+        assert {tuple(r) for r in out.select(*own).distinct().collect()} == {own}
+
+
+def test_every_language_is_learned(spark):
+    """Rare languages too, and those of which few rows have letters."""
+    rows = [(i, f"common words number {i} are here", "aa", "s", 0) for i in range(600)] + [(1000 + i, f"rare text {i} xyz", f"r{i % 7}", "s", 0) for i in range(70)]
+    rows += [(2000 + i, "zebra quiz jazz" if i % 40 == 0 else "123", "few", "s", 0) for i in range(800)]
+    texts, labels = language.sample(spark.createDataFrame(rows, DOCS), per_language=8)
+    counts = Counter(labels)
+    assert set(counts) == {"aa", "few", *(f"r{i}" for i in range(7))} and counts["aa"] == counts["few"] == 8 and len(texts) == len(labels)

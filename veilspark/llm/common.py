@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 
 from ..storage import HOT_KEYS, dimension_join, hot_keys, kept, salted_join, skewed_join, work_folder
 
-__all__ = ["HOT_KEYS", "WORD", "dimension_join", "documents", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "work_folder"]
+__all__ = ["HOT_KEYS", "WORD", "dimension_join", "documents", "free_names", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "work_folder"]
 
 #: A word: what stands between white space, that is space and 0x09 to 0x0D.
 WORD = r"[^ \t-\r]+"
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them from being columns."""
+    taken = {c.lower() for c in columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -25,9 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_names
+
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 #: Bytes that a task hashes at once.
 SLICE = 1 << 18
@@ -143,12 +146,12 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, languages: int = 200, text_bytes: int = 20_000) -> tuple[list[bytes], list[str]]:
-    """At most `rows` labelled texts, and per_language of each of the most frequent languages, by the order
-    of a hash of their id. Of a text over text_bytes only a window of text_bytes / 4 characters, at a
+def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, text_bytes: int = 20_000) -> tuple[list[bytes], list[str]]:
+    """At most `rows` labelled texts, per_language of each language and at least one, by the order of a hash of
+    their id. Of a text over text_bytes only a window of text_bytes / 4 characters, at a
     place that the hash gives, is learned."""
     labelled = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
     if not seen:
         return [], []
     per_language = max(1, min(per_language, rows // len(seen)))
@@ -156,30 +159,34 @@ def sample(docs: DataFrame, per_language: int = 400, rows: int = 2400, languages
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - text_bytes // 4)) + 1
     window = F.when(F.octet_length("text") <= text_bytes, F.col("text")).otherwise(F.substring("text", start.cast("int"), F.lit(text_bytes // 4)))
     usable = usable.withColumn("text", window).filter(F.col("text").rlike(r"\p{L}"))
-    # Twice the wanted share is drawn by hash, so that nearly always enough rows pass.
-    pick = F.lit(False)
-    for r in seen:
-        pick = pick | ((F.col("lang") == r["lang"]) & (F.col("draw") < min(1 << 20, 1 + 2 * per_language * (1 << 20) // r["count"])))
-    drawn = usable.filter(pick).orderBy("draw", "doc_id", "text").limit(3 * per_language * len(seen)).collect()
-    texts, labels, taken = [], [], dict.fromkeys((r["lang"] for r in seen), 0)
-    for r in drawn:
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            texts.append(r["text"].encode())
-            labels.append(r["lang"])
-    return texts, labels
+    # The share of a language that is drawn by hash grows until enough rows pass, or it has no more.
+    found: dict[str, list] = {r["lang"]: [] for r in seen}
+    counts, factor = {r["lang"]: r["count"] for r in seen}, 2
+    while short := [name for name in counts if len(found[name]) < per_language]:
+        least = {name: min(1 << 20, 1 + factor * per_language * (1 << 20) // counts[name]) for name in short}
+        pick = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
+        place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+        for name in short:
+            found[name] = []
+        for r in usable.filter(F.col("draw") < pick).withColumn("place", place).filter(F.col("place") <= per_language).orderBy("draw", "doc_id", "text").collect():
+            found[r["lang"]].append(r)
+        counts = {name: counts[name] for name in short if least[name] < 1 << 20}
+        factor *= 8
+    rows_ = sorted((r for own in found.values() for r in own), key=lambda r: (r["draw"], r["doc_id"], r["text"]))
+    return [r["text"].encode() for r in rows_], [r["lang"] for r in rows_]
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and rejected added (dropping columns of these names)."""
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    rows = docs.drop("_letters", *(f.name for f in added))
+    rows = docs.drop(*(f.name for f in added))
+    (own,) = free_names(rows.columns, "_letters")
     schema = T.StructType([*rows.schema.fields, *added])
-    rows = rows.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = rows.withColumn(own, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(own).to_numpy(zero_copy_only=False)
             languages, score, rejected = np.full(len(letters), UNKNOWN, dtype=object), np.zeros(len(letters)), np.ones(len(letters), dtype=bool)
             if model is not None and letters.any():
                 which = np.flatnonzero(letters)
@@ -189,8 +196,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 languages[which] = np.array(model.languages, dtype=object)[best]
                 score[which] = p.max(axis=1)
                 rejected[which] = (score[which] < model.threshold) | (share < model.familiar)
-            columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_letters"]
-            names = [f.name for f in batch.schema if f.name != "_letters"]
+            columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != own]
+            names = [f.name for f in batch.schema if f.name != own]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *(f.name for f in added)])
 
     return rows.mapInArrow(predict, schema)

@@ -5,7 +5,7 @@ as many as they have; tokens with a digit are variable from the start, unless a
 positions at which nearly all of them agree are constant and the others are variable fields; if
 enough positions are constant the leaf has a template for the lines that fit it. The lines that don't
 are dealt to leaves of their own by their token at the position of fewest different tokens, and tried
-again, up to LEVELS times, so a leaf may hold several templates; lines that fit none are templates by
+again, until no leaf has lines enough, so a leaf may hold several templates; lines that fit none are templates by
 themselves. Lines of templates that recur across documents are dropped, in all documents.
 
 Copies of a document make all its lines recur, and are not what this operator is for. So documents
@@ -35,15 +35,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, kept, skewed_join
+from .common import free_names, hot_keys, kept, skewed_join
 
 #: Leading tokens of the tree; anchors that make a template recur; their share of its documents;
 #: agreement that makes a position constant; share of constant positions that makes a leaf a template.
 DEPTH, LEAST, VARIETY, AGREE, CONSTANT = 3, 5, 0.5, 0.8, 0.5
 #: Orders in which anchors are taken; the median of their numbers counts.
 ORDERS = 3
-#: Times that a leaf's lines are tried for a template, dealt by a further token after each.
-LEVELS = 3
 #: Share of own lines up to which documents are copies of each other.
 SHARED = 0.2
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
@@ -73,22 +71,25 @@ def generalised(seen: DataFrame, least: int = LEAST, agree: float = AGREE, const
     return leaves.select("leaf", F.when(is_template, F.col("constants")).alias("constants"), F.col("split.pos").alias("split"))
 
 
-def templates(lines: DataFrame, hot: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT, levels: int = LEVELS) -> DataFrame:
+def templates(lines: DataFrame, hot: DataFrame, least: int = LEAST, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
     """line and template of the different lines that fit a template of their leaf. hot: leaves that many
     lines reach."""
     several = lines.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
     seen = kept(skewed_join(lines.select("leaf", "line", "tokens"), several, ["leaf"], F.col("line"), hot).distinct(), "seen")
-    found = []
-    for level in range(levels):
+    found, level = [], 0
+    while True:
         leaves = kept(generalised(seen, least, agree, constant), "leaves")
         met = skewed_join(seen, leaves, ["leaf"], F.col("line"), hot if level == 0 else hot_keys(seen, ["leaf"]))
         fits = F.coalesce(F.forall("constants", lambda c: F.col("tokens")[c["pos"]] == c["token"]), F.lit(False))
         met = kept(met.withColumn("fits", fits), "fitted")
         found.append(met.filter("fits").select("line", F.xxhash64("leaf", F.lit(level)).alias("template")))
-        if level + 1 < levels:
-            # A token at the split deals the others; without a split all lines are one, and one doesn't come back.
-            seen = met.filter("not fits and split is not null").select(F.xxhash64("leaf", F.lit(level), F.col("tokens")[F.col("split")]).alias("leaf"), "line", "tokens")
-            seen = kept(seen, "seen")
+        # A token at the split deals the others; without a split all lines are one, and one doesn't come back. Each
+        # leaf is split into smaller ones, so this ends.
+        seen = met.filter("not fits and split is not null").select(F.xxhash64("leaf", F.lit(level), F.col("tokens")[F.col("split")]).alias("leaf"), "line", "tokens")
+        several = seen.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
+        seen, level = kept(skewed_join(seen, several, ["leaf"], F.col("line"), hot_keys(seen, ["leaf"])), "seen"), level + 1
+        if seen.isEmpty():
+            break
     return reduce(DataFrame.unionAll, found)
 
 
@@ -125,12 +126,15 @@ def recurring(lines: DataFrame, least: int = LEAST, variety: float = VARIETY, ag
 def dedup(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, variety: float = VARIETY, agree: float = AGREE, constant: float = CONSTANT) -> DataFrame:
     """docs with the recurring lines gone from text; adds n_lines and n_dropped, in place of columns of
     these names."""
-    docs = docs.drop("n_lines", "n_dropped", "_g_id", "_g_h", "_gone")
+    docs = docs.drop("n_lines", "n_dropped")
+    g_id, g_h, own = free_names(docs.columns, "_id", "_h", "_gone")
     lines = kept(parsed(docs.select("doc_id", "text"), depth), "lines")
-    gone = recurring(lines, least, variety, agree, constant).groupBy(F.col("doc_id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.xxhash64("text") == F.col("_g_h")), "left")
+    gone = recurring(lines, least, variety, agree, constant).groupBy(F.col("doc_id").alias(g_id), F.col("h").alias(g_h)).agg(F.collect_set("pos").alias(own))
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64("text") == F.col(g_h)), "left")
     parts = F.split("text", "\n", -1)
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), stay).otherwise(F.col("text"))).drop("_g_id", "_g_h", "_gone")
+    # A set difference, so the work doesn't grow with lines times dropped lines.
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(own))
+    stay = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size(own), F.lit(0)))
+    rows = rows.withColumn("text", F.when(F.col(own).isNotNull(), stay).otherwise(F.col("text"))).drop(g_id, g_h, own)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows

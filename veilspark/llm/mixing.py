@@ -26,16 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import small
-from .common import WORD, kept, ranked
+from .common import WORD, free_names, kept, ranked
 
 CAP = 3
 #: Hash buckets of the documents of one source and size.
 BUCKETS = 4096
-NEWTON_STEPS, FITTING_STEPS = 60, 4
+NEWTON_STEPS = 60
 #: Share of its target by which a source's expected words may be off.
 TOLERANCE = 1e-6
 EXACT = "decimal(38,6)"
-_OWN = ("_key", "_h", "_bucket", "_before", "_n", "_all")
 
 
 def size(text: Column) -> Column:
@@ -116,7 +115,8 @@ def copies(cells: DataFrame, cap: int = CAP) -> DataFrame:
     half = F.lit("0.5").cast(EXACT)
     whole = F.floor(F.col("upto") + half) - F.floor(F.col("upto") - F.col("value") + half)
     cells = kept(cells.withColumn("copies", F.least(whole, F.col("n") * cap).cast("long")).drop("upto", "value"), "copies")
-    for _ in range(FITTING_STEPS):
+    # Each step brings the words that are off nearer to none, until no document fits.
+    while True:
         off = cells.groupBy("key").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
         off = kept(off.filter("off <> 0"), "off")
         room = F.when(F.col("off") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
@@ -134,17 +134,20 @@ def copies(cells: DataFrame, cap: int = CAP) -> DataFrame:
 def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """rows (with doc_id, source and size) with source_size, target, rate, copies and taken added, in place
     of columns of these names."""
-    rows = rows.drop("source_size", "target", "rate", "copies", "taken", *_OWN)
+    rows = rows.drop("source_size", "target", "rate", "copies", "taken")
+    own = free_names(rows.columns, "_key", "_h", "_bucket", "_before", "_n", "_all", "_place")
+    k, h, bucket, before, n, all_, place = own
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = rows.withColumn("_key", key).withColumn("_h", F.xxhash64(*rows.columns)).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    held = kept(rows.groupBy(F.col("_key").alias("key"), "size", F.col("_bucket").alias("bucket")).agg(F.count("*").alias("held")), "sizes")
+    rows = rows.withColumn(k, key).withColumn(h, F.xxhash64(*rows.columns)).withColumn(bucket, F.pmod(F.col(h), F.lit(BUCKETS)).cast("int"))
+    held = kept(rows.groupBy(F.col(k).alias("key"), "size", F.col(bucket).alias("bucket")).agg(F.count("*").alias("held")), "sizes")
     cells = kept(held.groupBy("key", "size").agg(F.sum("held").alias("n")), "cells")
     sources = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     shares = targets(sources.select("key", "source_size"), weights, cap).join(sources.select("key", "docs"), "key")
     cells = copies(rates(cells, kept(shares, "shares"), cap), cap)
-    before = F.coalesce(F.sum("held").over(W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    dealt = held.withColumn("before", before).drop("held").join(cells.select("key", "size", "n", "source_size", "target", "rate", F.col("copies").alias("all_copies")), ["key", "size"])
-    dealt = dealt.select(F.col("key").alias("_key"), "size", F.col("bucket").alias("_bucket"), F.col("before").alias("_before"), F.col("n").alias("_n"), F.col("all_copies").alias("_all"), "source_size", "target", "rate")
-    place = F.row_number().over(W.partitionBy("_key", "size", "_bucket").orderBy(F.xxhash64("_h", F.lit(1)), "_h")) + F.col("_before")
-    got = rows.join(dealt, ["_key", "size", "_bucket"]).withColumn("copies", (F.floor(F.col("_all") / F.col("_n")) + F.when(place <= F.col("_all") % F.col("_n"), 1).otherwise(0)).cast("int"))
-    return got.withColumn("taken", F.col("copies") * F.col("size")).drop(*_OWN)
+    earlier = F.coalesce(F.sum("held").over(W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dealt = held.withColumn("before", earlier).drop("held").join(cells.select("key", "size", "n", "source_size", "target", "rate", F.col("copies").alias("all_copies")), ["key", "size"])
+    dealt = dealt.select(F.col("key").alias(k), "size", F.col("bucket").alias(bucket), F.col("before").alias(before), F.col("n").alias(n), F.col("all_copies").alias(all_), "source_size", "target", "rate")
+    got = rows.join(dealt, [k, "size", bucket])
+    got = got.withColumn(place, F.row_number().over(W.partitionBy(k, "size", bucket).orderBy(F.xxhash64(h, F.lit(1)), h)) + F.col(before))
+    got = got.withColumn("copies", (F.floor(F.col(all_) / F.col(n)) + F.when(F.col(place) <= F.col(all_) % F.col(n), 1).otherwise(0)).cast("int"))
+    return got.withColumn("taken", F.col("copies") * F.col("size")).drop(*own)

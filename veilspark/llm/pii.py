@@ -162,7 +162,7 @@ def occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
     return counts if few else counts.join(words, "word", "left_semi")
 
 
-def bootstrap(edges: DataFrame, rounds: int = 20, min_seeds: int = 3, min_pattern: float = 0.3, min_instance: float = 0.4) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, min_seeds: int = 3, min_pattern: float = 0.3, min_instance: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """Values that the graph accepts, and the patterns that count. edges: pattern, n (places of its rarest
     word), value, seed and refused, one row for a pair.
 
@@ -171,7 +171,8 @@ def bootstrap(edges: DataFrame, rounds: int = 20, min_seeds: int = 3, min_patter
     hot = hot_keys(edges, ["pattern"])
     state = kept(edges.filter("seed = 1").select("value").distinct(), "accepted")
     known = state.count()
-    for _ in range(rounds):
+    # A value that was accepted stays, so this ends.
+    while True:
         support = salted_join(edges, state, ["value"], F.col("pattern"), salts=4)
         patterns = support.groupBy("pattern").agg((F.count("*") / (F.first("n") + 1)).alias("confidence"), F.count("*").alias("support"))
         patterns = kept(patterns.filter((F.col("support") >= min_seeds) & (F.col("confidence") >= min_pattern)).select("pattern", F.least(F.round("confidence", 9), F.lit(0.999999)).alias("confidence")), "patterns")
@@ -185,7 +186,7 @@ def bootstrap(edges: DataFrame, rounds: int = 20, min_seeds: int = 3, min_patter
     return state, patterns
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 20, min_seeds: int = 3, min_pattern: float = 0.3, min_instance: float = 0.4) -> DataFrame:
+def find_personal_data(docs: DataFrame, min_seeds: int = 3, min_pattern: float = 0.3, min_instance: float = 0.4) -> DataFrame:
     """One row for each row of docs: doc_id, base and spans (array<struct<start, kind, end>>, kind
     counting in KINDS)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -207,7 +208,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 20, min_seeds: int = 3, mi
     placed = placed.groupBy("pattern", "able").agg(F.min("n").alias("n")).withColumn("n", F.greatest("n", "able"))
     placed = kept(placed.filter(F.col("able") >= min_pattern * (F.col("n") + 1)).select("pattern", "n"), "able-patterns")
     edges = kept(skewed_join(edges.drop("words"), placed, ["pattern"], F.col("value"), hot_keys(edges, ["pattern"])), "edges")
-    accepted, patterns = bootstrap(edges, rounds, min_seeds, min_pattern, min_instance)
+    accepted, patterns = bootstrap(edges, min_seeds, min_pattern, min_instance)
     # Of seeds that aren't base spans those count that stand in a pattern that counts.
     counted = salted_join(edges.filter("not refused").select("pattern", "value"), accepted, ["value"], F.col("pattern"), salts=4)
     counted = skewed_join(counted, patterns.select("pattern"), ["pattern"], F.col("value"), hot_keys(edges, ["pattern"])).select("value").distinct()
