@@ -131,9 +131,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, variety: floa
     gone = recurring(lines, least, variety, agree, constant).groupBy(F.col("doc_id").alias(g_id), F.col("h").alias(g_h)).agg(F.collect_set("pos").alias(own))
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64("text") == F.col(g_h)), "left")
     parts = F.split("text", "\n", -1)
-    # A set difference, so the work doesn't grow with lines times dropped lines.
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(own))
-    stay = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(own, i)), "\n")
     rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size(own), F.lit(0)))
     rows = rows.withColumn("text", F.when(F.col(own).isNotNull(), stay).otherwise(F.col("text"))).drop(g_id, g_h, own)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
