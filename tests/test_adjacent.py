@@ -20,8 +20,8 @@ def test_birth_label_before(spark):
 
 
 def test_address_goes_on(spark):
-    got = adjacent.address_continuations(units(spark, "住所 【住所001】", "星降ハイツ101号", "次", column="masked"))
-    assert [(r["seq"], r["base_code"], r["orig"]) for r in got.collect()] == [(1, "【住所001】", "星降ハイツ101号")]
+    got = adjacent.address_continuations(units(spark, "住所 【住所001】", "鈴音ハイツ101号", "次", column="masked"))
+    assert [(r["seq"], r["base_code"], r["orig"]) for r in got.collect()] == [(1, "【住所001】", "鈴音ハイツ101号")]
 
 
 def test_single_characters(spark):
@@ -31,27 +31,27 @@ def test_single_characters(spark):
 
 
 def test_people_of_a_document_decide(spark):
-    spans = spark.createDataFrame([(1, "名", "利用者", "見本太郎"), (2, "名", "利用者", "見本太郎"), (2, "名", "家族", "見本花子")], SPANS)
-    people = spark.createDataFrame([("見本太郎", "見本"), ("見本花子", "見本"), ("例田花子", "例田")], "person string, surname string")
-    owners = spark.createDataFrame([("花子", "見本花子", "家族"), ("花子", "例田花子", "家族")], "surface string, person string, kind string")
-    assert [tuple(r) for r in adjacent.sole_bearers(spans, people).collect()] == [(1, "見本", "見本太郎")]
-    assert sorted((r["doc_id"], r["person"]) for r in adjacent.preferred(spans, owners, people).collect()) == [(1, "見本花子"), (2, "見本花子")]
+    spans = spark.createDataFrame([(1, "名", "利用者", "柚木朔也"), (2, "名", "利用者", "柚木朔也"), (2, "名", "家族", "柚木莉央")], SPANS)
+    people = spark.createDataFrame([("柚木朔也", "柚木"), ("柚木莉央", "柚木"), ("例田莉央", "例田")], "person string, surname string")
+    owners = spark.createDataFrame([("莉央", "柚木莉央", "家族"), ("莉央", "例田莉央", "家族")], "surface string, person string, kind string")
+    assert [tuple(r) for r in adjacent.sole_bearers(spans, people).collect()] == [(1, "柚木", "柚木朔也")]
+    assert sorted((r["doc_id"], r["person"]) for r in adjacent.preferred(spans, owners, people).collect()) == [(1, "柚木莉央"), (2, "柚木莉央")]
 
 
 def test_users_boxes_and_board(spark):
     rows = units(spark, "【利用者002】と【利用者001の名】", "【家族001】", column="masked")
     assert adjacent.users_of_documents(rows).first()["users"] == ["【利用者001】", "【利用者002】"]
-    sus = spark.createDataFrame([(1, "太郎", "a【x001】b"), (1, "見本太郎", "a【y002】b"), (1, "太郎", "c")], "doc_id int, word string, context string")
-    assert sorted(r["word"] for r in adjacent.boxes(sus).collect()) == ["太郎", "見本太郎"]
+    sus = spark.createDataFrame([(1, "朔也", "a【x001】b"), (1, "柚木朔也", "a【y002】b"), (1, "朔也", "c")], "doc_id int, word string, context string")
+    assert sorted(r["word"] for r in adjacent.boxes(sus).collect()) == ["朔也", "柚木朔也"]
     reqs = spark.createDataFrame([("j", "済", i) for i in range(5)] + [("j", "未", i) for i in range(12)], "job string, state string, at int")
     assert adjacent.board(reqs).count() == 13
 
 
 def test_readings(spark):
-    got = adjacent.readings_of_people(units(spark, "フリガナ ミホン タロウ", "氏名"), spark.createDataFrame([(1, 1, "見本太郎")], "doc_id long, seq int, person string"))
-    assert [(r["reading"], r["person"]) for r in got.collect()] == [("ミホン タロウ", "見本太郎")]
+    got = adjacent.readings_of_people(units(spark, "フリガナ ユズキ サクヤ", "氏名"), spark.createDataFrame([(1, 1, "柚木朔也")], "doc_id long, seq int, person string"))
+    assert [(r["reading"], r["person"]) for r in got.collect()] == [("ユズキ サクヤ", "柚木朔也")]
 
 
 def test_ocr_repairs(spark):
     df = spark.createDataFrame([("見 本 さ ん O3-l234-5678 と BOOK",)], "t string")
-    assert df.select(ocr.repaired(ocr.joined_wide(F.col("t")))).first()[0] == "見本さん 03-1234-5678 と BOOK"
+    assert df.select(ocr.repaired(ocr.joined_wide(F.col("t")))).first()[0] == "柚木さん 03-1234-5678 と BOOK"

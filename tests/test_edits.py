@@ -13,36 +13,36 @@ REGISTRY = "row_no int, kind string, name string, aliases array<string>, reading
 
 @pytest.fixture(scope="module")
 def registry(spark):
-    return spark.createDataFrame([(1, "利用者", "見本 太郎", ["タロ"], ""), (4, "除外", "手本", [], "")], REGISTRY)
+    return spark.createDataFrame([(1, "利用者", "柚木 朔也", ["タロ"], ""), (4, "除外", "梢田", [], "")], REGISTRY)
 
 
 def test_rows_are_added_once(spark, registry):
-    new = spark.createDataFrame([("利用者", "見本太郎", [], ""), ("家族", "見本 花子", [], ""), ("家族", "見本花子", [], ""), ("家族", "なし", [], ""), ("家族", "  ", [], "")], "kind string, name string, aliases array<string>, reading string")
+    new = spark.createDataFrame([("利用者", "柚木朔也", [], ""), ("家族", "柚木 莉央", [], ""), ("家族", "柚木莉央", [], ""), ("家族", "なし", [], ""), ("家族", "  ", [], "")], "kind string, name string, aliases array<string>, reading string")
     after, refused = edits.added(registry, new)
-    assert sorted((r["row_no"], r["name"]) for r in after.collect())[2:] == [(5, "見本 花子")]
+    assert sorted((r["row_no"], r["name"]) for r in after.collect())[2:] == [(5, "柚木 莉央")]
     assert sorted(r["reason"] for r in refused.collect()) == ["blank", "exists", "given twice", "placeholder"]
 
 
 def test_edits_check_what_was_seen(spark, registry):
-    rows = [(1, "利用者", "見本 太郎", "利用者", "見本 次郎", [], ""), (4, "除外", "別", "除外", "x", [], ""), (9, "a", "b", None, None, None, None)]
+    rows = [(1, "利用者", "柚木 朔也", "利用者", "柚木 次郎", [], ""), (4, "除外", "別", "除外", "x", [], ""), (9, "a", "b", None, None, None, None)]
     after, stale = edits.changed(registry, spark.createDataFrame(rows, "row_no int, old_kind string, old_name string, kind string, name string, aliases array<string>, reading string"))
-    assert sorted(r["name"] for r in after.collect()) == ["手本", "見本 次郎"] and sorted(r["row_no"] for r in stale.collect()) == [4, 9]
+    assert sorted(r["name"] for r in after.collect()) == ["梢田", "柚木 次郎"] and sorted(r["row_no"] for r in stale.collect()) == [4, 9]
 
 
 def test_registered_words_are_never_excluded(spark, registry):
-    good, refused = edits.excludable(spark.createDataFrame([("タロ",), ("見本",), ("新語",), ("手本",)], "word string"), registry)
-    assert [r["word"] for r in good.collect()] == ["新語"] and sorted(r["word"] for r in refused.collect()) == ["タロ", "見本"]
+    good, refused = edits.excludable(spark.createDataFrame([("タロ",), ("柚木",), ("新語",), ("梢田",)], "word string"), registry)
+    assert [r["word"] for r in good.collect()] == ["新語"] and sorted(r["word"] for r in refused.collect()) == ["タロ", "柚木"]
 
 
 def test_aliases(spark):
     book = spark.createDataFrame([("別|利用者|タロ", "", 1, "【利用者001の呼び名1】", "タロ", "タロ", True, False)], codebook.SCHEMA)
-    assert edits.alias_collisions(spark.createDataFrame([("花子", "タロ"), ("花子", "ハナ")], "person string, alias string"), book).count() == 1
-    rows = spark.createDataFrame([(1, ["虹彩市星降町1-2-3", "星降ハイツ", "虹彩市中央4-5"])], "row_no int, aliases array<string>")
-    assert sorted(r["address"] for r in edits.address_aliases(rows).collect()) == ["虹彩市中央4-5", "虹彩市星降町1-2-3　星降ハイツ"]
+    assert edits.alias_collisions(spark.createDataFrame([("莉央", "タロ"), ("莉央", "ハナ")], "person string, alias string"), book).count() == 1
+    rows = spark.createDataFrame([(1, ["瑠璃市鈴音町1-2-3", "鈴音ハイツ", "瑠璃市中央4-5"])], "row_no int, aliases array<string>")
+    assert sorted(r["address"] for r in edits.address_aliases(rows).collect()) == ["瑠璃市中央4-5", "瑠璃市鈴音町1-2-3　鈴音ハイツ"]
 
 
 @pytest.mark.parametrize(("f", "yes", "no"), [
-    (p.is_han, "見本", "見ほん"), (p.is_kana, "みホん", "見"), (p.same_digit_run, "000-0000", "0000012"), (p.is_masked, "〇●", "〇本"), (p.has_mask_and_han, "見〇", "〇〇"), (p.is_organisation, "星降クリニック", "太郎"),
+    (p.is_han, "柚木", "見ほん"), (p.is_kana, "みホん", "見"), (p.same_digit_run, "000-0000", "0000012"), (p.is_masked, "〇●", "〇本"), (p.has_mask_and_han, "柚〇", "〇〇"), (p.is_organisation, "鈴音クリニック", "朔也"),
     (p.has_counter, "3回", "回"), (p.is_kanji_number, "三回", "三郎"), (p.escape_only, "_x000D_", "a_x000D_"), (p.strong_room, "101号", "101"), (p.room_number, "A-101", "A-10100"), (p.safe_name, "a.docx", "../a"),
     (p.safe_path, "a/b.docx", "a/b/c"), (p.is_placeholder, " なし ", "あり"), (p.is_checkbox, "口", "目"),
 ])

@@ -7,8 +7,8 @@ from veilspark.operators import codebook, mask, names
 from veilspark.operators.spans import fold, replaced
 
 REGISTRY = [
-    (1, "利用者", "見本 太郎", ["ミホン タロウ"], ""), (2, "家族", "見本 花子", [], ""), (3, "家族", "見本 一郎", [], ""),
-    (4, "住所", "架空県虹彩市星降町1-2-3", [], ""), (5, "除外", "手本 由紀", [], ""), (6, "その他", "例田", [], ""),
+    (1, "利用者", "柚木 朔也", ["ユズキ サクヤ"], ""), (2, "家族", "柚木 莉央", [], ""), (3, "家族", "柚木 朔斗", [], ""),
+    (4, "住所", "朧月県瑠璃市鈴音町1-2-3", [], ""), (5, "除外", "梢田 美波", [], ""), (6, "その他", "例田", [], ""),
 ]
 SCHEMA = "row_no int, kind string, name string, aliases array<string>, reading string"
 UNITS = "doc_id long, part_no int, seq int, text string"
@@ -30,25 +30,25 @@ def masked(spark, registry, *texts, book=None):
 
 def test_expected_codes(spark, registry):
     got, _ = masked(
-        spark, registry, "見本 太郎", "フリガナ ミホン タロウ", "見本 花子と花子さんが来訪", "〒999-9999 架空県虹彩市星降町1-2-3 星降ハイツ101号", "昭和15年3月2日生まれ", "電話 000-0000-0000、000-1111-2222",
-        "被保険者番号 0000012345", "例田さんと面談", "要介護2 星降クリニック", "一郎さんへ連絡",
+        spark, registry, "柚木 朔也", "フリガナ ユズキ サクヤ", "柚木 莉央と莉央さんが来訪", "〒999-9999 朧月県瑠璃市鈴音町1-2-3 鈴音ハイツ101号", "昭和15年3月2日生まれ", "電話 000-0000-0000、000-1111-2222",
+        "被保険者番号 0000012345", "例田さんと面談", "要介護2 鈴音クリニック", "朔斗さんへ連絡",
     )
     assert got == [
         "【利用者001】", "フリガナ 【利用者001の呼び名1】", "【家族001】と【家族001の名】さんが来訪", "【住所001】", "【生年月日001】生まれ", "電話 【電話001】、【電話002】",
-        "被保険者番号 【番号001】", "【その他001】さんと面談", "要介護2 星降クリニック", "【家族002の名】さんへ連絡",
+        "被保険者番号 【番号001】", "【その他001】さんと面談", "要介護2 鈴音クリニック", "【家族002の名】さんへ連絡",
     ]
 
 
 def test_round_trip_drops_inner_space_of_names(spark, registry):
-    texts = ["見本 太郎は000-1111-2222へ", "花子さん", "なし"]
+    texts = ["柚木 朔也は000-1111-2222へ", "莉央さん", "なし"]
     got, out = masked(spark, registry, *texts)
     back = codebook.restore(out.units.select("doc_id", "part_no", "seq", "masked"), out.delta, "masked").orderBy("seq").collect()
-    assert [r["restored"] for r in back] == ["見本太郎は000-1111-2222へ", "花子さん", "なし"]
+    assert [r["restored"] for r in back] == ["柚木朔也は000-1111-2222へ", "莉央さん", "なし"]
     assert all(not r["unknown"] for r in back)
 
 
 def test_masking_twice_changes_nothing(spark, registry):
-    got, out = masked(spark, registry, "見本 太郎 000-1111-2222", "0000012345")
+    got, out = masked(spark, registry, "柚木 朔也 000-1111-2222", "0000012345")
     again, _ = masked(spark, registry, *got, book=out.delta)
     assert again == got
 
@@ -84,9 +84,9 @@ def test_digit_boundaries(spark):
 
 
 def test_large_dictionary_is_joined(spark, registry, monkeypatch):
-    want, _ = masked(spark, registry, "見本 太郎と花子さん", "例田さん")
+    want, _ = masked(spark, registry, "柚木 朔也と莉央さん", "例田さん")
     monkeypatch.setattr(names, "EXPRESSION_SURFACES", 0)
-    got, _ = masked(spark, registry, "見本 太郎と花子さん", "例田さん")
+    got, _ = masked(spark, registry, "柚木 朔也と莉央さん", "例田さん")
     assert got == want
 
 

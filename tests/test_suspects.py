@@ -22,8 +22,8 @@ def words(df):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("兄の家は埼玉県ふじみ野市上福岡7-8-9です。", "埼玉県ふじみ野市上福岡7-8-9"), ("転居先 うるま市石川2-40-1", "うるま市石川2-40-1"), ("本籍はかすみがうら市稲吉６－７", "かすみがうら市稲吉６－７"),
-    ("送り先：伊豆の国市韮山12-3", "伊豆の国市韮山12-3"), ("架空県あおぞら村東3番地", "架空県あおぞら村東3番地"), ("千葉県いすみ市岬町九丁目10番11号へ送付", "千葉県いすみ市岬町九丁目10番11号"),
-    ("北海道架空郡見本町西4-5", "北海道架空郡見本町西4-5"), ("（月影市くすのき台8-1-2）", "（月影市くすのき台8-1-2）"), ("実家は月影市ゆりの木3丁目2番地の5", "月影市ゆりの木3丁目2番地の5"),
+    ("送り先：伊豆の国市韮山12-3", "伊豆の国市韮山12-3"), ("朧月県あおぞら村東3番地", "朧月県あおぞら村東3番地"), ("千葉県いすみ市岬町九丁目10番11号へ送付", "千葉県いすみ市岬町九丁目10番11号"),
+    ("北海道架空郡柚木町西4-5", "北海道架空郡柚木町西4-5"), ("（月影市くすのき台8-1-2）", "（月影市くすのき台8-1-2）"), ("実家は月影市ゆりの木3丁目2番地の5", "月影市ゆりの木3丁目2番地の5"),
     ("月影市うぐいすが森6-6", "月影市うぐいすが森6-6"), ("横町市から月影市本町2-3へ移った", "月影市本町2-3"), ("月影市はやぶさ11-12-13", "月影市はやぶさ11-12-13"),
 ])
 def test_addresses(spark, text, want):
@@ -65,23 +65,23 @@ def test_label_in_previous_unit(spark):
 
 
 def test_containment_keeps_the_longer(spark):
-    rows = spark.createDataFrame([(1, 0, 0, 0, 0, "a", "太郎さん", "", ""), (1, 0, 0, 1, 0, "b", "見本太郎", "", ""), (1, 0, 0, 2, 5, "c", "本太", "", ""), (1, 0, 0, 3, 9, "d", "花子", "", "")], "doc_id long, part_no int, seq int, prio int, st int, rule string, word string, context string, reason string")
-    assert [r["word"] for r in suspects.merge_contained(rows).collect()] == ["見本太郎", "花子"]
+    rows = spark.createDataFrame([(1, 0, 0, 0, 0, "a", "朔也さん", "", ""), (1, 0, 0, 1, 0, "b", "柚木朔也", "", ""), (1, 0, 0, 2, 5, "c", "本太", "", ""), (1, 0, 0, 3, 9, "d", "莉央", "", "")], "doc_id long, part_no int, seq int, prio int, st int, rule string, word string, context string, reason string")
+    assert [r["word"] for r in suspects.merge_contained(rows).collect()] == ["柚木朔也", "莉央"]
 
 
 def test_excluded_and_drug_words(spark):
-    text = ["手本 由紀", "処方 内服 5mg 1錠 食後", "薬局 用法 眠前", "一包 化様"]
+    text = ["梢田 美波", "処方 内服 5mg 1錠 食後", "薬局 用法 眠前", "一包 化様"]
     rows = units(spark, *text)
     none = spark.createDataFrame([], "word string")
-    assert "手本 由紀" in words(suspects.find(rows, none))
-    assert "手本 由紀" not in words(suspects.find(rows, spark.createDataFrame([("手本由紀",)], "word string")))
+    assert "梢田 美波" in words(suspects.find(rows, none))
+    assert "梢田 美波" not in words(suspects.find(rows, spark.createDataFrame([("梢田美波",)], "word string")))
     assert [r["doc_id"] for r in suspects.drug_documents(rows).collect()] == [1]
 
 
 def test_near_names_substitute_exactly_one(spark):
-    w = spark.createDataFrame([("見木太郎",), ("見本太郎",), ("見本太",), ("目木太郎",)], "word string")
-    s = spark.createDataFrame([("見本太郎",)], "surface string")
-    assert [(r["word"], r["at"]) for r in registry.near_names(w, s).collect()] == [("見木太郎", 1)]
+    w = spark.createDataFrame([("柚本朔也",), ("柚木朔也",), ("柚木太",), ("袖本朔也",)], "word string")
+    s = spark.createDataFrame([("柚木朔也",)], "surface string")
+    assert [(r["word"], r["at"]) for r in registry.near_names(w, s).collect()] == [("柚本朔也", 1)]
 
 
 def test_categories(spark):

@@ -18,8 +18,8 @@ def one(spark, column):
 
 def test_scalars(spark):
     lit = F.lit
-    assert one(spark, tx.addr_canon(lit("〒999－9999　架空県虹彩市星降町１ー２ー３"))) == "虹彩市星降町1-2-3"
-    assert one(spark, tx.hiragana(lit("ミホン"))) == "みほん" and one(spark, tx.katakana(lit("みほん"))) == "ミホン"
+    assert one(spark, tx.addr_canon(lit("〒999－9999　朧月県瑠璃市鈴音町１ー２ー３"))) == "瑠璃市鈴音町1-2-3"
+    assert one(spark, tx.hiragana(lit("ユズキ"))) == "ゆずき" and one(spark, tx.katakana(lit("ゆずき"))) == "ユズキ"
     assert one(spark, tx.clean_alias(lit(" a、b /a／ "))) == "a／b"
     assert [one(spark, tx.column_name(lit(n))) for n in (1, 26, 27, 702, 703, 16384)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert [one(spark, tx.column_number(lit(n))) for n in ("A", "Z", "AA", "ZZ", "AAA", "XFD")] == [1, 26, 27, 702, 703, 16384]
@@ -33,11 +33,11 @@ def test_scalars(spark):
 
 
 def test_registry_merges_and_owners(spark):
-    reg = spark.createDataFrame([(1, "利用者", "見本太郎", ["a"], ""), (2, "利用者", "見本 太郎", ["b", "a"], "みほん"), (3, "家族", "見本 花子", [], "")], REGISTRY)
+    reg = spark.createDataFrame([(1, "利用者", "柚木朔也", ["a"], ""), (2, "利用者", "柚木 朔也", ["b", "a"], "ゆずき"), (3, "家族", "柚木 莉央", [], "")], REGISTRY)
     rows = {r["name"]: r for r in registry.merged(reg).collect()}
-    assert rows["見本 太郎"]["aliases"] == ["a", "b"] and rows["見本 太郎"]["n_rows"] == 2 and registry.duplicates(reg).count() == 1
-    words = spark.createDataFrame([("見本〇郎",), ("●本花子",), ("〇〇",), ("見本次郎",)], "word string")
-    assert {(r["word"], r["person"]) for r in registry.masked_owners(words, reg).collect()} == {("見本〇郎", "見本太郎"), ("●本花子", "見本花子")}
+    assert rows["柚木 朔也"]["aliases"] == ["a", "b"] and rows["柚木 朔也"]["n_rows"] == 2 and registry.duplicates(reg).count() == 1
+    words = spark.createDataFrame([("柚木〇郎",), ("●本莉央",), ("〇〇",), ("柚木次郎",)], "word string")
+    assert {(r["word"], r["person"]) for r in registry.masked_owners(words, reg).collect()} == {("柚木〇郎", "柚木朔也"), ("●本莉央", "柚木莉央")}
 
 
 def test_inferred_years_walk_both_ways(spark):
@@ -83,11 +83,11 @@ def test_send_gate(spark):
 
 def test_lookup(spark):
     d = dt.date
-    certs = spark.createDataFrame([("見本 太郎", "要介護1", d(2020, 1, 1), d(2021, 1, 1)), ("見本太郎", "要介護2", d(2024, 1, 1), d(2025, 1, 1)), ("見本花子", "要介護3", d(2030, 1, 1), d(2031, 1, 1))], "name string, level string, start date, end date")
-    persons = spark.createDataFrame([("見本　太郎", "みほんたろう", "1940-01-01", "x"), ("見本花子", "ア", "1", "x"), ("見本花子", "イ", "1", "x")], "name string, kana string, birth string, address string")
-    out = {r["name"]: r for r in lookup.find(spark.createDataFrame([("見本太郎",), ("見本花子",), ("無名",)], "name string"), persons, certs, F.lit("2025-01-01").cast("date")).collect()}
-    assert out["見本太郎"]["level"] == "要介護2" and out["見本太郎"]["valid"] and out["見本太郎"]["reason"] is None
-    assert out["見本花子"]["reason"] == "ambiguous" and out["無名"]["reason"] == "not found"
+    certs = spark.createDataFrame([("柚木 朔也", "要介護1", d(2020, 1, 1), d(2021, 1, 1)), ("柚木朔也", "要介護2", d(2024, 1, 1), d(2025, 1, 1)), ("柚木莉央", "要介護3", d(2030, 1, 1), d(2031, 1, 1))], "name string, level string, start date, end date")
+    persons = spark.createDataFrame([("柚木　朔也", "ゆずきたろう", "1940-01-01", "x"), ("柚木莉央", "ア", "1", "x"), ("柚木莉央", "イ", "1", "x")], "name string, kana string, birth string, address string")
+    out = {r["name"]: r for r in lookup.find(spark.createDataFrame([("柚木朔也",), ("柚木莉央",), ("無名",)], "name string"), persons, certs, F.lit("2025-01-01").cast("date")).collect()}
+    assert out["柚木朔也"]["level"] == "要介護2" and out["柚木朔也"]["valid"] and out["柚木朔也"]["reason"] is None
+    assert out["柚木莉央"]["reason"] == "ambiguous" and out["無名"]["reason"] == "not found"
 
 
 def test_formula_closure_stops_after_six_rounds(spark):
@@ -106,18 +106,18 @@ def test_cells_beside_a_label(spark):
 
 
 def test_delimited_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("氏名;生年月日\n見本 太郎;昭和15年3月2日;余り\n\n;\n".encode("cp932"))
+    (tmp_path / "a.csv").write_bytes("氏名;生年月日\n柚木 朔也;昭和15年3月2日;余り\n\n;\n".encode("cp932"))
     (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbf" + "氏名\t要介護度\t開始日\nx\t1\t2\n".encode())
     found = files.listing(spark, f"file://{tmp_path}")
     rows = tables.delimited(found)
     got = {(r["path"][-5:], r["n"]): (r["encoding"], r["cells"]) for r in rows.collect()}
-    assert got[("a.csv", 1)] == ("cp932", ["見本 太郎", "昭和15年3月2日", "余り"]) and got[("b.csv", 0)][0] == "utf-8-sig" and len(got) == 4
+    assert got[("a.csv", 1)] == ("cp932", ["柚木 朔也", "昭和15年3月2日", "余り"]) and got[("b.csv", 0)][0] == "utf-8-sig" and len(got) == 4
     kinds = tables.newest_of_kind(rows, found, {"person": tables.PERSON, "certificate": tables.CERTIFICATE})
-    assert {(r["kind"], r["cells"][0]) for r in kinds.collect()} == {("person", "見本 太郎"), ("certificate", "x")}
+    assert {(r["kind"], r["cells"][0]) for r in kinds.collect()} == {("person", "柚木 朔也"), ("certificate", "x")}
 
 
 def test_codebook_file_round_trip(spark, tmp_path):
-    rows = [("型|番号|1\t2", "番号", 1, "【番号001】", "1\t2\\n", "1\t2\\n", False, False), ("名|利用者|見本太郎", "利用者", 12, "【利用者012】", "見本 太郎", "見本太郎", True, False)]
+    rows = [("型|番号|1\t2", "番号", 1, "【番号001】", "1\t2\\n", "1\t2\\n", False, False), ("名|利用者|柚木朔也", "利用者", 12, "【利用者012】", "柚木 朔也", "柚木朔也", True, False)]
     book = spark.createDataFrame(rows, codebook.SCHEMA)
     tables.write_codebook(book, f"file://{tmp_path}/book")
     back = tables.read_codebook(spark, f"file://{tmp_path}/book")
@@ -131,16 +131,16 @@ def test_small_tables(spark, tmp_path):
     assert [tuple(r) for r in tables.read_intake(spark, f"file://{tmp_path}/state.json").collect()] == [("src", "a", "t", "x", 2)]
     (tmp_path / "r.md").write_text("# 依頼\n- 状態: 未\n- 場所：A\n- 状態: 済\n", "utf-8")
     assert {(r["field"], r["value"]) for r in tables.requests(spark, f"file://{tmp_path}/r.md").collect()} == {("状態", "済"), ("場所", "A")}
-    rows = spark.createDataFrame([("p", 0, "utf-8", ["区分", "氏名", "呼び名", "フリガナ"]), ("p", 1, "utf-8", ["", "見本 太郎", "a/b", "みほん"]), ("p", 2, "utf-8", ["家族", ""])], tables.ROWS.removesuffix(", reason string"))
-    assert [tuple(r) for r in tables.registry_of(rows).collect()] == [(1, "人物", "見本 太郎", ["a", "b"], "みほん")]
+    rows = spark.createDataFrame([("p", 0, "utf-8", ["区分", "氏名", "呼び名", "フリガナ"]), ("p", 1, "utf-8", ["", "柚木 朔也", "a/b", "ゆずき"]), ("p", 2, "utf-8", ["家族", ""])], tables.ROWS.removesuffix(", reason string"))
+    assert [tuple(r) for r in tables.registry_of(rows).collect()] == [(1, "人物", "柚木 朔也", ["a", "b"], "ゆずき")]
     config = spark.createDataFrame([("S", "氏名", "$A$1、B2 C3")], "sheet string, label string, cells string")
     assert [r["ref"] for r in cells.target_list(config).collect()] == ["A1", "B2", "C3"]
 
 
 def test_documents_are_read_and_rewritten(spark):
-    content = ooxml.simple_document("題", ["見本 太郎 & 花子", "次"])
+    content = ooxml.simple_document("題", ["柚木 朔也 & 莉央", "次"])
     df = spark.createDataFrame([(7, bytearray(content))], "doc_id long, content binary")
-    assert [r["text"] for r in ooxml.document_units(df).orderBy("seq").collect()] == ["題", "見本 太郎 & 花子", "次"]
+    assert [r["text"] for r in ooxml.document_units(df).orderBy("seq").collect()] == ["題", "柚木 朔也 & 莉央", "次"]
     new = ooxml.rewritten_documents(df, spark.createDataFrame([(7, 1, "【利用者001】 <x>")], "doc_id long, seq int, text string"))
     assert [r["text"] for r in ooxml.document_units(new).orderBy("seq").collect()] == ["題", "【利用者001】 <x>", "次"]
 

@@ -14,7 +14,7 @@ def test_ledger_round_trip(spark, tmp_path):
 
 
 def test_log_shows_shapes_only(spark, tmp_path):
-    writers.append_log(spark.createDataFrame([("t", "mask", "「見本 太郎」 03-1234 【利用者001】")], "at string, screen string, message string"), f"file://{tmp_path}/log")
+    writers.append_log(spark.createDataFrame([("t", "mask", "「柚木 朔也」 03-1234 【利用者001】")], "at string, screen string, message string"), f"file://{tmp_path}/log")
     assert spark.read.text(f"file://{tmp_path}/log").first()[0] == "t\tmask\t「…」 99-9999 「…」"
 
 
