@@ -655,9 +655,9 @@ def registry_rows(spark):
 # --- functions
 
 FUNCTIONS = {
-    "norm_name": (tx.norm_name, "柚木 太　郎", "柚木朔也"), "clean_name": (tx.clean_name, " 柚木 　朔也 ", "柚木 朔也"), "half_digits": (tx.half_digits, "Ｒ６．１", "R6.1"), "half_width": (tx.half_width, "ａＢ １", "AB1"),
+    "norm_name": (tx.norm_name, "柚木 朔　也", "柚木朔也"), "clean_name": (tx.clean_name, " 柚木 　朔也 ", "柚木 朔也"), "half_digits": (tx.half_digits, "Ｒ６．１", "R6.1"), "half_width": (tx.half_width, "ａＢ １", "AB1"),
     "hiragana": (tx.hiragana, "ユズキ", "ゆずき"), "katakana": (tx.katakana, "ゆずき", "ユズキ"), "mask_key": (tx.mask_key, "柚●朔＊", "柚〇朔〇"), "sanitize_prefix": (tx.sanitize_prefix, "利用者 1【x】", "利用者x"), "sanitize_empty": (tx.sanitize_prefix, "【1】", "人物"),
-    "addr_norm": (tx.addr_norm, "瑠璃市１－２ ３", "瑠璃市1-23"), "addr_canon": (tx.addr_canon, "〒999-9999朧月県瑠璃市1-2", "瑠璃市1-2"), "clean_alias": (tx.clean_alias, "a/ b、a,,c", "a／b／c"), "truncated": (lambda c: tx.truncated(c, 2), "柚木太", "柚木…"), "one_line": (tx.one_line, "a\r\nb", "a／b"),
+    "addr_norm": (tx.addr_norm, "瑠璃市１－２ ３", "瑠璃市1-23"), "addr_canon": (tx.addr_canon, "〒999-9999朧月県瑠璃市1-2", "瑠璃市1-2"), "clean_alias": (tx.clean_alias, "a/ b、a,,c", "a／b／c"), "truncated": (lambda c: tx.truncated(c, 2), "柚木朔", "柚木…"), "one_line": (tx.one_line, "a\r\nb", "a／b"),
     "xml_safe": (tx.xml_safe, "a\x01b", "ab"), "note_safe": (tx.note_safe, "a|b\nc", "a｜b／c"), "pasted": (tx.pasted, "a \r\nb", "a\nb"), "tsv_escape": (tx.tsv_escape, "a\tb\\", "a\\tb\\\\"), "tsv_unescape": (tx.tsv_unescape, "a\\tb\\\\", "a\tb\\"),
     "joined_wide": (ocr.joined_wide, "柚 木 a b", "柚木 a b"), "display_width": (lambda c: tx.display_width(c).cast("string"), "aあ", "1.5"), "column_number": (lambda c: tx.column_number(c).cast("string"), "AB", "28"),
 }
