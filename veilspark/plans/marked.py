@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import automaton, markup, views
+from ..streaming import plans
 
 CODE = "【語】"
 
@@ -79,5 +80,25 @@ WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w
 SELECT doc_id, word, CAST(strpos(text, word) - 1 AS BIGINT) AS st FROM documents JOIN w ON contains(text, word)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"grouped_numbers": grouped_numbers, "masked_headers": masked_headers, "masked_pages": masked_pages, "dictionary_words": dictionary_words}
-ORACLE_SQL: dict[str, str] = {"grouped_numbers": GROUPED_SQL, "masked_headers": HEADERS_SQL, "masked_pages": PAGES_SQL, "dictionary_words": WORDS_SQL}
+#: Minutes for which a plan holds in the query.
+HOLDS = 1440
+
+
+def single_use_plans(spark, sf_dir):
+    """Events as a stream of files: views make plans, purchases use them, within a day."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    events = events.select(F.col("user_id").alias("key"), "event_id", "ts", F.col("event_type").alias("kind"))
+    found = plans.run(spark, plans.uses(events, "view", "purchase", HOLDS), "plans")
+    return found.select("key", "event_id", "outcome", "age_s")
+
+
+PLANS_SQL = f"""
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us, lag(event_type) OVER w AS before, epoch_us(lag(ts) OVER w) AS made FROM events
+           WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+     u AS (SELECT *, coalesce(before = 'view' AND us - made <= {HOLDS} * 60000000, false) AS used FROM e WHERE event_type = 'purchase')
+SELECT user_id AS key, event_id, CASE WHEN used THEN 'used' ELSE 'refused' END AS outcome, CASE WHEN used THEN (us - made) // 1000000 END AS age_s FROM u
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"grouped_numbers": grouped_numbers, "masked_headers": masked_headers, "masked_pages": masked_pages, "dictionary_words": dictionary_words, "single_use_plans": single_use_plans}
+ORACLE_SQL: dict[str, str] = {"grouped_numbers": GROUPED_SQL, "masked_headers": HEADERS_SQL, "masked_pages": PAGES_SQL, "dictionary_words": WORDS_SQL, "single_use_plans": PLANS_SQL}
