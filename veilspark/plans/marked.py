@@ -96,7 +96,7 @@ def single_use_plans(spark, sf_dir):
 PLANS_SQL = f"""
 WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us, lag(event_type) OVER w AS before, epoch_us(lag(ts) OVER w) AS made FROM events
            WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-     u AS (SELECT *, coalesce(before = 'view' AND us - made <= {HOLDS} * 60000000, false) AS used FROM e WHERE event_type = 'purchase')
+     u AS (SELECT *, coalesce(before = 'view' AND us - made <= CAST({HOLDS} AS BIGINT) * 60000000, false) AS used FROM e WHERE event_type = 'purchase')
 SELECT user_id AS key, event_id, CASE WHEN used THEN 'used' ELSE 'refused' END AS outcome, CASE WHEN used THEN (us - made) // 1000000 END AS age_s FROM u
 """
 
