@@ -27,19 +27,19 @@ END = r"(?=$|[\s　、。，,）)】／/（(]|様|さん|氏|殿)"
 
 def glued_labels(units: DataFrame, labels: tuple[str, ...] = NAME_LABELS) -> DataFrame:
     """A name right after the label of a name field, with nothing between them."""
-    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), rf"(?<={_any(labels)})(?:{SPACED}|{HAN}{{3,4}}){END}"), "glued label", "氏名欄に続く名前らしき語")
+    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), rf"(?<={_any(labels)})(?:{SPACED}|{HAN}{{3,4}}){END}"), "glued label", "name: stuck to a name label")
 
 
 def beside_nurses(units: DataFrame, titles: tuple[str, ...] = ("Ns", "NS", "Ｎｓ", "看護師")) -> DataFrame:
     """A short kanji word before or after the title of a nurse."""
     shape = rf"(?<!{HAN})(?!{_any(PERSON_NOUNS)}|担当|訪問){HAN}{{1,3}}(?=[ 　]?{_any(titles)})|(?<={_any(titles)}[：: 　]){HAN}{{1,3}}{END}"
-    return _out(units.filter(F.col("text").rlike(_any(titles))), located(F.col("text"), shape), "nurse", "看護師の名前らしき語")
+    return _out(units.filter(F.col("text").rlike(_any(titles))), located(F.col("text"), shape), "nurse", "name: beside a nurse")
 
 
 def kana_with_ko(units: DataFrame) -> DataFrame:
     """Hiragana that ends in the kanji of women's names, with a title."""
     shape = rf"(?<!\p{{IsHiragana}})\p{{IsHiragana}}{{1,3}}子(?:{'|'.join(TITLES)})"
-    return _out(units.filter(F.col("text").contains("子")), located(F.col("text"), shape), "kana ko", "敬称の付いた名前らしき語")
+    return _out(units.filter(F.col("text").contains("子")), located(F.col("text"), shape), "kana ko", "name: before a title")
 
 
 def fields_in_text(units: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -47,43 +47,43 @@ def fields_in_text(units: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFr
     for a reading."""
     shape = rf"(?<={_any(fields)}[：: 　]{{1,2}})[^\s　、。【】：:][^、。【】：:]{{2,30}}"
     found = F.filter(matches(F.col("text"), shape), lambda m: m["orig"].rlike(DIGIT) | m["before"].rlike("(?:フリガナ|ふりがな)[：: 　]{1,2}$") & m["orig"].rlike(r"^[\p{IsHiragana}\p{IsKatakana}ー 　]+$"))
-    return _out(units.filter(F.col("text").rlike(_any(fields))), found, "field", "欄の中身")
+    return _out(units.filter(F.col("text").rlike(_any(fields))), found, "field", "entry of a field")
 
 
 def dashed_lots(units: DataFrame) -> DataFrame:
     """A place with a lot of three numbers, without a municipality."""
     shape = rf"(?<![\p{{IsHan}}\p{{IsKatakana}}])[\p{{IsHan}}\p{{IsKatakana}}ヶケ]{{2,8}}{DIGIT}{{1,4}}{HYPHEN}{DIGIT}{{1,4}}{HYPHEN}{DIGIT}{{1,4}}(?!{DIGIT}|{HYPHEN})"
     found = F.filter(located(F.col("text"), shape), lambda m: ~m["orig"].rlike("^(?:電話|携帯|番号|日付|自宅|連絡先)"))
-    return _out(units.filter(F.col("text").rlike(f"{DIGIT}{HYPHEN}{DIGIT}")), found, "dashed lot", "番地まである住所")
+    return _out(units.filter(F.col("text").rlike(f"{DIGIT}{HYPHEN}{DIGIT}")), found, "dashed lot", "address: down to the lot")
 
 
 def contact_labels(units: DataFrame, labels: tuple[str, ...] = CONTACTS + KIN) -> DataFrame:
     """A name after the label of a contact or of kin and a separator."""
     shape = rf"(?<={_any(labels)}[：:・（(])[ 　]?(?!{_any(PERSON_NOUNS + KIN)})(?:{SPACED}|{NAME}){END}"
-    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), shape), "contact", "氏名欄の名前らしき語")
+    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), shape), "contact", "name: in a name field")
 
 
 def kin_with_names(units: DataFrame, kin: tuple[str, ...] = KIN) -> DataFrame:
     """A spaced full name after a word for kin."""
-    return _out(units.filter(F.col("text").rlike(_any(kin))), located(F.col("text"), rf"(?<={_any(kin)}[の 　]){SPACED}{END}"), "kin", "敬称のない名前らしき語")
+    return _out(units.filter(F.col("text").rlike(_any(kin))), located(F.col("text"), rf"(?<={_any(kin)}[の 　]){SPACED}{END}"), "kin", "name: alone")
 
 
 def given_after_codes(units: DataFrame) -> DataFrame:
     """A short kanji word right after a code of a person, as another given name after a masked surname."""
     found = F.filter(located(F.col("text"), rf"(?<=【[^【】]{{1,40}}】[ 　]?){HAN}{{1,3}}{END}"), lambda m: ~m["orig"].rlike(rf"^(?:{'|'.join((*TITLES, *JOBS, *KIN, *WORK))}|殿|方|宅|家|の|生|歳|頃|分|時|号)"))
-    return _out(units.filter(F.col("text").contains("】")), found, "given", "記号に続く名前らしき語")
+    return _out(units.filter(F.col("text").contains("】")), found, "given", "name: behind a code")
 
 
 def wide_era_dates(units: DataFrame) -> DataFrame:
     """Dates of the two eras before 1989 that still stand."""
-    return _out(units.filter(F.col("text").rlike("大正|昭和")), located(F.col("text"), rf"(?:大正|昭和)[ 　]?(?:{DIGIT}{{1,2}}|元)[ 　]?年(?:[ 　]?{DIGIT}{{1,2}}[ 　]?月(?:[ 　]?{DIGIT}{{1,2}}[ 　]?日)?)?"), "era date", "生年月日らしき日付")
+    return _out(units.filter(F.col("text").rlike("大正|昭和")), located(F.col("text"), rf"(?:大正|昭和)[ 　]?(?:{DIGIT}{{1,2}}|元)[ 　]?年(?:[ 　]?{DIGIT}{{1,2}}[ 　]?月(?:[ 　]?{DIGIT}{{1,2}}[ 　]?日)?)?"), "era date", "date: of birth")
 
 
 def jobs_with_names(units: DataFrame, jobs: tuple[str, ...] = JOBS, surnames: tuple[str, ...] = SURNAMES) -> DataFrame:
     """A kanji word next to a job, if it is a common surname or stands before a title elsewhere in its
     document."""
     shape = rf"(?<={_any(jobs)}[：:の・ 　]?)(?!{_any(jobs)}){HAN}{{1,4}}{END}|(?<!{HAN}){HAN}{{1,4}}?(?=[ 　]?{_any(jobs)})"
-    found = _out(units.filter(F.col("text").rlike(_any(jobs))), located(F.col("text"), shape), "job", "職名に続く名前らしき語")
+    found = _out(units.filter(F.col("text").rlike(_any(jobs))), located(F.col("text"), shape), "job", "name: behind a job")
     known = honoured_words(units).withColumn("known", F.lit(True))
     return found.join(known, ["doc_id", "word"], "left").filter(F.coalesce("known", F.lit(False)) | F.col("word").isin(*surnames)).select(found.columns)
 
@@ -91,24 +91,24 @@ def jobs_with_names(units: DataFrame, jobs: tuple[str, ...] = JOBS, surnames: tu
 def building_after_codes(units: DataFrame) -> DataFrame:
     """A building or room that was left after the code of an address."""
     shape = rf"(?<=【住所[0-9]{{3,6}}(?:の続き[0-9]{{0,3}})?】[ 　]{{0,2}})(?:[^\s　、。（）【】]{{0,12}}(?:{BUILDING})[^\s　、。（）【】]{{0,8}}|[A-Za-z]?{DIGIT}{{1,4}}号室?)"
-    return _out(units.filter(F.col("text").contains("【住所")), located(F.col("text"), shape), "building", "番地まである住所")
+    return _out(units.filter(F.col("text").contains("【住所")), located(F.col("text"), shape), "building", "address: down to the lot")
 
 
 def dated_names(units: DataFrame, work: tuple[str, ...] = WORK) -> DataFrame:
     """OCR: a date, a name, and what was done."""
-    return _out(units.filter(F.col("text").rlike(_any(work))), located(F.col("text"), rf"(?<={DATE}[ 　]{{1,2}})(?!{_any(PERSON_NOUNS)}){HAN}{{2,4}}(?=[ 　]{{1,2}}{_any(work)})"), "dated", "日付のすぐ後ろの語")
+    return _out(units.filter(F.col("text").rlike(_any(work))), located(F.col("text"), rf"(?<={DATE}[ 　]{{1,2}})(?!{_any(PERSON_NOUNS)}){HAN}{{2,4}}(?=[ 　]{{1,2}}{_any(work)})"), "dated", "name: behind a date")
 
 
 def garbled_names(units: DataFrame) -> DataFrame:
     """OCR: a word with a misread glyph before a title."""
     shape = rf"(?:{HAN}{{1,3}}{GARBLE}{{1,2}}{HAN}{{0,2}}|{GARBLE}{{1,2}}{HAN}{{1,3}})[ 　]?(?:{'|'.join(TITLES)})"
-    return _out(units.filter(F.col("text").rlike(GARBLE)), located(F.col("text"), shape), "garbled", "敬称の付いた名前らしき語")
+    return _out(units.filter(F.col("text").rlike(GARBLE)), located(F.col("text"), shape), "garbled", "name: before a title")
 
 
 def beside_codes(units: DataFrame) -> DataFrame:
     """OCR: kanji stuck to a code of a person, as the rest of a name of which a part was known."""
     shape = rf"(?<!{HAN}){HAN}{{1,2}}(?=【(?:利用者|家族|その他|人物)[^【】]{{1,20}}】)"
-    return _out(units.filter(F.col("text").contains("【")), F.filter(located(F.col("text"), shape), lambda m: ~m["orig"].isin(*KIN, "本人", "担当", "主治", "様", "氏")), "stuck", "記号に接した名前らしき語")
+    return _out(units.filter(F.col("text").contains("【")), F.filter(located(F.col("text"), shape), lambda m: ~m["orig"].isin(*KIN, "本人", "担当", "主治", "様", "氏")), "stuck", "name: touching a code")
 
 
 #: Rules for all texts, and those for scanned ones.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.address import address_spans, with_tail
 from ..functions.patterns import DATE, located, matches
 from ..functions.text import norm_name
+from ..storage import dimension_join
 from .mask import UNIT
 from .registry import near_names
 from .spans import context
@@ -25,6 +26,8 @@ JOBS = ("看護師", "介護士", "相談員", "ケアマネジャー", "ヘル
 DRUG_WORDS = ("錠", "カプセル", "散", "軟膏", "内服", "外用", "食後", "食前", "眠前", "朝食", "夕食", "用法", "用量", "処方", "薬局", "調剤", "頓服", "点眼", "湿布", "一包化")
 DOSE = r"[0-9０-９]+\s?(?:mg|ｍｇ|ml|錠|包|カプセル|滴)"
 
+#: Kana, kanji, wide forms and their punctuation.
+JAPANESE = "[\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
 HAN = r"[\p{IsHan}々〆ヶ]"
 #: Titles that make the word before them a name, and the words that a name can be: kanji, katakana, or
 #: hiragana before a familiar title.
@@ -69,35 +72,35 @@ def honoured(units: DataFrame, common: tuple[str, ...] = COMMON_HONORIFIC_WORDS,
         return ~around.rlike(_any(common)) & ~stem.rlike(f"{_any(nouns)}$") & ~stem.rlike(f"{_any(JOBS)}$") & ~(m["orig"].endswith("氏") & stem.rlike("[町村区市郡県都府道丁]"))
 
     guard = text.rlike("|".join(TITLES))
-    return _out(units.filter(guard), F.filter(titled(text), name_like), "honoured", "敬称の付いた名前らしき語")
+    return _out(units.filter(guard), F.filter(titled(text), name_like), "honoured", "name: before a title")
 
 
 def unregistered_addresses(units: DataFrame) -> DataFrame:
     """Addresses with a lot number that are still there, with the building and room after them."""
     text = F.col("text")
-    return _out(units.filter(text.rlike("[0-9０-９]")), F.transform(address_spans(text), with_tail), "address", "番地まである住所")
+    return _out(units.filter(text.rlike("[0-9０-９]")), F.transform(address_spans(text), with_tail), "address", "address: down to the lot")
 
 
 def labelled_names(units: DataFrame, labels: tuple[str, ...] = NAME_LABELS) -> DataFrame:
     """A name-like word right after the label of a name field in the same text."""
     shape = rf"(?<={_any(labels)}[：: 　]{{1,2}}){HAN}{{1,4}}[ 　]?{HAN}{{0,4}}"
-    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), shape), "label", "氏名欄の名前らしき語")
+    return _out(units.filter(F.col("text").rlike(_any(labels))), located(F.col("text"), shape), "label", "name: in a name field")
 
 
 def leftover_dates(units: DataFrame) -> DataFrame:
     """Dates beside the word for birth."""
-    return _out(units.filter(F.col("text").contains("生")), located(F.col("text"), rf"(?<=生年月日[：: 　]{{0,2}}){DATE}"), "birth", "生年月日らしき日付")
+    return _out(units.filter(F.col("text").contains("生")), located(F.col("text"), rf"(?<=生年月日[：: 　]{{0,2}}){DATE}"), "birth", "date: of birth")
 
 
 def unhonoured(units: DataFrame) -> DataFrame:
     """Two short kanji words with one space between them that make up a whole text or stand before a job."""
     shape = rf"(?<!{HAN}){HAN}{{1,3}}[ 　]{HAN}{{1,3}}(?=$|[ 　]?{_any(JOBS)})"
-    return _out(units, located(F.col("text"), shape), "unhonoured", "敬称のない名前らしき語")
+    return _out(units, located(F.col("text"), shape), "unhonoured", "name: alone")
 
 
 def beside_dates(units: DataFrame) -> DataFrame:
     """A date followed by nothing but a short kanji word to the end of the text."""
-    return _out(units, located(F.col("text"), rf"(?<={DATE}[ 　]{{0,2}}){HAN}{{2,4}}(?=[ 　]*$)"), "date", "日付のすぐ後ろの語")
+    return _out(units, located(F.col("text"), rf"(?<={DATE}[ 　]{{0,2}}){HAN}{{2,4}}(?=[ 　]*$)"), "date", "name: behind a date")
 
 
 def near_registered(units: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def near_registered(units: DataFrame, surfaces: DataFrame) -> DataFrame:
     words = units.select(*UNIT, "text", F.explode(located(F.col("text"), f"{HAN}{{2,6}}")).alias("m"))
     found = near_names(words.select(F.col("m.orig").alias("word")), surfaces).select("word").distinct()
     rows = words.withColumn("word", F.col("m.orig")).join(found, "word")
-    return rows.select(*UNIT, F.lit("near").alias("rule"), "word", F.col("m.st").alias("st"), context(F.col("text"), F.col("m.st"), F.length("word")).alias("context"), F.lit("1字違いの名前").alias("reason"))
+    return rows.select(*UNIT, F.lit("near").alias("rule"), "word", F.col("m.st").alias("st"), context(F.col("text"), F.col("m.st"), F.length("word")).alias("context"), F.lit("name: one character from a registered one").alias("reason"))
 
 
 def after_label(units: DataFrame, names: tuple[str, ...] = NAME_LABELS, fields: tuple[str, ...] = FIELD_LABELS) -> DataFrame:
@@ -117,7 +120,7 @@ def after_label(units: DataFrame, names: tuple[str, ...] = NAME_LABELS, fields:
     name = F.col("before").isin(*names) & F.col("text").rlike(rf"^[ 　]*{HAN}{{1,4}}[ 　]?{HAN}{{0,4}}[ 　]*$")
     field = F.col("before").isin(*fields) & F.col("text").rlike("[0-9０-９]")
     hit = rows.filter(name | field)
-    return hit.select(*UNIT, F.when(name, "label cell").otherwise("field cell").alias("rule"), F.trim("text").alias("word"), F.lit(0).alias("st"), F.concat_ws("｜", "before", F.left("text", F.lit(30))).alias("context"), F.when(name, "氏名欄の名前らしき語").otherwise("欄の中身").alias("reason"))
+    return hit.select(*UNIT, F.when(name, "label cell").otherwise("field cell").alias("rule"), F.trim("text").alias("word"), F.lit(0).alias("st"), F.concat_ws("｜", "before", F.left("text", F.lit(30))).alias("context"), F.when(name, "name: in a name field").otherwise("entry of a field").alias("reason"))
 
 
 def drug_documents(units: DataFrame, words: tuple[str, ...] = DRUG_WORDS, at_least: int = 4) -> DataFrame:
@@ -155,7 +158,11 @@ def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = Non
     words (`word`), and in drug documents without name suspects that are drug words."""
     from .suspect_rules import OCR_RULES, RULES
 
-    rules = [labelled_names(units), unregistered_addresses(units), honoured(units), leftover_dates(units), beside_dates(units), after_label(units), unhonoured(units)]
+    # What a rule finds is Japanese or stands beside it; only an entry behind a label may have none itself.
+    labels = units.filter(F.rtrim("text", F.lit(" 　：:")).isin(*NAME_LABELS, *FIELD_LABELS)).select("doc_id").distinct()
+    entries = after_label(dimension_join(units, labels, "doc_id", "left_semi"))
+    units = units.filter(F.col("text").rlike(JAPANESE))
+    rules = [labelled_names(units), unregistered_addresses(units), honoured(units), leftover_dates(units), beside_dates(units), entries, unhonoured(units)]
     if surfaces is not None:
         rules.insert(5, near_registered(units, surfaces))
     rules += [rule(units) for rule in RULES + OCR_RULES * scanned]
@@ -172,4 +179,4 @@ def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = Non
 
 def category(reason: Column) -> Column:
     """What a suspect's reason says it is: name, addr or other."""
-    return F.when(reason.rlike("^(?:敬称|氏名|日付のすぐ後ろ|1字違い|看護師|職名|記号)"), "name").when(reason.startswith("番地"), "addr").otherwise("other")
+    return F.when(reason.startswith("name"), "name").when(reason.startswith("address"), "addr").otherwise("other")

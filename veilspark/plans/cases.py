@@ -270,9 +270,9 @@ def drug_documents_of_units(spark):
     return suspects.drug_documents(spark.createDataFrame(rows, UNITS))
 
 
-@case("reason category", [("敬称の付いた名前らしき語", "name"), ("番地まである住所", "addr"), ("欄の中身", "other"), ("職名に続く名前らしき語", "name")])
+@case("reason category", [("name: before a title", "name"), ("address: down to the lot", "addr"), ("entry of a field", "other"), ("name: behind a job", "name")])
 def suspect_categories(spark):
-    df = spark.createDataFrame([(1, "敬称の付いた名前らしき語"), (1, "番地まである住所"), (1, "欄の中身"), (1, "職名に続く名前らしき語")], "doc_id long, reason string")
+    df = spark.createDataFrame([(1, "name: before a title"), (1, "address: down to the lot"), (1, "entry of a field"), (1, "name: behind a job")], "doc_id long, reason string")
     return df.withColumn("category", suspects.category(F.col("reason")))
 
 
@@ -517,7 +517,7 @@ def workbook_names_in_texts(spark):
 
 @case("category n place", [("addr", 1, 1), ("name", 2, 2)])
 def suspects_by_category(spark):
-    rows = [(1, 0, 3, 0, "敬称の付いた名前らしき語"), (1, 0, 1, 0, "番地まである住所"), (1, 0, 2, 5, "氏名欄の名前らしき語")]
+    rows = [(1, 0, 3, 0, "name: before a title"), (1, 0, 1, 0, "address: down to the lot"), (1, 0, 2, 5, "name: in a name field")]
     return reports.suspect_counts(spark.createDataFrame(rows, "doc_id long, part_no int, seq int, st int, reason string"))
 
 
