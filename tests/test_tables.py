@@ -36,8 +36,8 @@ def test_registry_merges_and_owners(spark):
     reg = spark.createDataFrame([(1, "利用者", "柚木朔也", ["a"], ""), (2, "利用者", "柚木 朔也", ["b", "a"], "ゆずき"), (3, "家族", "柚木 莉央", [], "")], REGISTRY)
     rows = {r["name"]: r for r in registry.merged(reg).collect()}
     assert rows["柚木 朔也"]["aliases"] == ["a", "b"] and rows["柚木 朔也"]["n_rows"] == 2 and registry.duplicates(reg).count() == 1
-    words = spark.createDataFrame([("柚木〇郎",), ("●本莉央",), ("〇〇",), ("柚木次郎",)], "word string")
-    assert {(r["word"], r["person"]) for r in registry.masked_owners(words, reg).collect()} == {("柚木〇郎", "柚木朔也"), ("●本莉央", "柚木莉央")}
+    words = spark.createDataFrame([("柚木〇也",), ("●木莉央",), ("〇〇",), ("柚木次郎",)], "word string")
+    assert {(r["word"], r["person"]) for r in registry.masked_owners(words, reg).collect()} == {("柚木〇也", "柚木朔也"), ("●木莉央", "柚木莉央")}
 
 
 def test_inferred_years_walk_both_ways(spark):
