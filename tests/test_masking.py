@@ -84,10 +84,11 @@ def test_digit_boundaries(spark):
 
 
 def test_large_dictionary_is_joined(spark, registry, monkeypatch):
-    want, _ = masked(spark, registry, "柚木 朔也と莉央さん", "例田さん")
+    texts = ("柚木 朔也と莉央さん", "例田さん", "朧月県瑠璃市鈴音町1-2-3 鈴音ハイツ101号 と瑠璃市本町4-5", "瑠璃市の話", "", None)
+    want, _ = masked(spark, registry, *texts)
     monkeypatch.setattr(names, "EXPRESSION_SURFACES", 0)
-    got, _ = masked(spark, registry, "柚木 朔也と莉央さん", "例田さん")
-    assert got == want
+    got, _ = masked(spark, registry, *texts)
+    assert got == want and want[2] == "【住所001】 と瑠璃市本町4-5" and want[4:] == ["", None]
 
 
 def test_status_and_leftovers(spark):

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import KINDS, candidates
+from ..storage import kept
 from . import codebook
 from .spans import fold, replaced
 
 UNIT = ("doc_id", "part_no", "seq")
+#: Column of a unit's accepted spans.
+FOUND = "_found"
 
 
 @dataclass
@@ -23,10 +26,20 @@ class Masked:
     delta: DataFrame
 
 
+def with_spans(units: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """units with FOUND, the accepted shape spans of each text."""
+    return units.withColumn(FOUND, fold(candidates(F.col("text"), kinds), F.col("text")))
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """The spans in FOUND, a row for each: UNIT, st, len, kind, orig, space."""
+    rows = found.select(*UNIT, F.explode(FOUND).alias("s"))
+    return rows.select(*UNIT, "s.st", "s.len", "s.kind", "s.orig", F.lit("型").alias("space"))
+
+
 def find_spans(units: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Accepted shape spans of units (UNIT and text): UNIT, st, len, kind, orig, space."""
-    found = units.select(*UNIT, F.explode(fold(candidates(F.col("text"), kinds), F.col("text"))).alias("s"))
-    return found.select(*UNIT, "s.st", "s.len", "s.kind", "s.orig", F.lit("型").alias("space"))
+    return spans_of(with_spans(units, kinds))
 
 
 def apply_spans(units: DataFrame, coded: DataFrame, some: Column | None = None) -> DataFrame:
@@ -38,15 +51,17 @@ def apply_spans(units: DataFrame, coded: DataFrame, some: Column | None = None)
     return out if some is None else out.unionByName(units.filter(~F.coalesce(some, F.lit(False))).withColumn("masked", F.col("text")))
 
 
-def has_spans(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
-    """Whether a text has spans of these kinds: cheaper than a shuffle of the text."""
-    return F.coalesce(F.size(candidates(text, kinds)) > 0, F.lit(False))
+def apply_found(found: DataFrame, coded: DataFrame) -> DataFrame:
+    """Units with FOUND and `masked`; only texts with a span meet their codes, the others stay where they are."""
+    return apply_spans(found, coded, F.size(FOUND) > 0).drop(FOUND)
 
 
 def mask(units: DataFrame, book: DataFrame, kinds: tuple[str, ...] = KINDS) -> Masked:
-    spans = find_spans(units, kinds)
-    delta = codebook.allocate(spans, book)
-    return Masked(apply_spans(units, codebook.with_codes(spans, book.unionByName(delta)), has_spans(F.col("text"), kinds)), spans, delta)
+    """Spans are found once and written with their texts."""
+    found = kept(with_spans(units, kinds), "found")
+    spans = spans_of(found)
+    delta = kept(codebook.allocate(spans, book), "codebook")
+    return Masked(apply_found(found, codebook.with_codes(spans, book.unionByName(delta))), spans, delta)
 
 
 def file_status(units: DataFrame, spans: DataFrame, suspects: DataFrame, left: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.address import address_lumps
 from ..functions.patterns import SPAN, candidates, let
 from ..storage import kept, salted_join, small, spread_join
 from . import codebook
-from .mask import UNIT, Masked, apply_spans
+from .mask import FOUND, UNIT, Masked, apply_found
 from .registry import FOLLOWS, addresses, dictionary
 from .spans import fold
 
@@ -106,26 +106,48 @@ def _as_span(need: str):
     return lambda m: _span(m["st"], m["orig"], _priority(F.lit(need)), NAME)
 
 
+def _with_lumps(units: DataFrame, cores: DataFrame, expression_surfaces: int) -> DataFrame:
+    """units with `lumps`, the spans of registered addresses. Few registered addresses are tested in the row;
+    of many, only texts that hold an address at all are joined."""
+    text, kind = F.col("text"), "array<struct<st:int,len:int,core:string>>"
+    lumps, none = address_lumps(text).cast(kind), F.array().cast(kind)
+    if small(cores, expression_surfaces):
+        # The size is checked: at most expression_surfaces short rows reach the driver.
+        known = [r[0] for r in cores.select("core").filter("core IS NOT NULL").distinct().collect()]
+        return units.withColumn("lumps", F.filter(lumps, lambda l: l["core"].isin(*known)) if known else none)
+    found = units.select(*UNIT, F.explode(lumps).alias("l")).select(*UNIT, "l.*")
+    found = spread_join(found, cores.select("core").distinct(), ["core"], F.struct(*UNIT, "st"))
+    found = found.groupBy(*UNIT).agg(F.collect_list(F.struct("st", "len", "core")).alias("lumps"))
+    any_ = F.coalesce(F.size(lumps) > 0, F.lit(False))
+    joined = units.filter(any_).join(found, list(UNIT), "left").withColumn("lumps", F.coalesce("lumps", none))
+    return joined.unionByName(units.filter(~any_).withColumn("lumps", none))
+
+
+def with_spans(units: DataFrame, registry: DataFrame) -> DataFrame:
+    """units with FOUND: the accepted spans of names, registered addresses and shapes."""
+    both = _with_lumps(name_candidates(units, dictionary(registry), EXPRESSION_SURFACES), addresses(registry), EXPRESSION_SURFACES)
+    address = F.transform("lumps", lambda s: F.struct(s["st"].alias("st"), s["len"].alias("len"), F.lit(0).alias("prio"), F.lit(ADDRESS).alias("kind"), s["core"].alias("orig")))
+    return both.withColumn(FOUND, fold(F.concat(address.cast(SPAN), F.col("names"), candidates(F.col("text"))), F.col("text"))).drop("names", "lumps")
+
+
+def spans_of(found: DataFrame, registry: DataFrame) -> DataFrame:
+    """The spans in FOUND with what the registry says of them: UNIT, st, len, kind, orig, space, person, matched."""
+    spans = found.select(*UNIT, F.explode(FOUND).alias("s")).select(*UNIT, "s.st", "s.len", "s.kind", "s.orig")
+    known = dictionary(registry).select(F.col("surface").alias("orig"), F.lit(NAME).alias("kind"), "space", "prefix", F.col("orig").alias("value"), "person")
+    met = spread_join(spans, known, ["orig", "kind"], F.struct(*UNIT, "st"), "left")
+    return met.select(*UNIT, "st", "len", F.when(F.col("space") == "姓", "姓").otherwise(F.coalesce("prefix", "kind")).alias("kind"), F.coalesce("value", "orig").alias("orig"), F.coalesce("space", F.when(F.col("kind") == ADDRESS, "住").otherwise("型")).alias("space"), "person", F.col("orig").alias("matched"))
+
+
 def find_spans(units: DataFrame, registry: DataFrame) -> DataFrame:
     """Accepted spans of names, registered addresses and shapes: UNIT, st, len, kind, orig, space."""
-    entries, cores = dictionary(registry), addresses(registry)
-    named = name_candidates(units, entries)
-    lumps = units.select(*UNIT, F.explode(address_lumps(F.col("text"))).alias("l")).select(*UNIT, "l.*")
-    lumps = spread_join(lumps, cores.select("core"), ["core"], F.struct(*UNIT, "st"))
-    lumps = lumps.groupBy(*UNIT).agg(F.collect_list(F.struct("st", "len", "core")).alias("lumps"))
-    both = named.join(lumps, list(UNIT), "left")
-    address = F.transform(F.coalesce("lumps", F.array().cast("array<struct<st:int,len:int,core:string>>")), lambda s: F.struct(s["st"].alias("st"), s["len"].alias("len"), F.lit(0).alias("prio"), F.lit(ADDRESS).alias("kind"), s["core"].alias("orig")))
-    chosen = fold(F.concat(address.cast(SPAN), F.col("names"), candidates(F.col("text"))), F.col("text"))
-    spans = both.select(*UNIT, F.explode(chosen).alias("s")).select(*UNIT, "s.st", "s.len", "s.kind", "s.orig")
-    known = entries.select(F.col("surface").alias("orig"), F.lit(NAME).alias("kind"), "space", "prefix", F.col("orig").alias("value"), "person")
-    found = spread_join(spans, known, ["orig", "kind"], F.struct(*UNIT, "st"), "left")
-    return found.select(*UNIT, "st", "len", F.when(F.col("space") == "姓", "姓").otherwise(F.coalesce("prefix", "kind")).alias("kind"), F.coalesce("value", "orig").alias("orig"), F.coalesce("space", F.when(F.col("kind") == ADDRESS, "住").otherwise("型")).alias("space"), "person", F.col("orig").alias("matched"))
+    return spans_of(with_spans(units, registry), registry)
 
 
 def mask(units: DataFrame, registry: DataFrame, book: DataFrame) -> Masked:
     """Mask names, registered addresses and shapes. Given names, aliases and readings hang on the code
     of their person, which is allocated first."""
-    spans = kept(find_spans(units, registry), "spans")
+    found = kept(with_spans(units, registry), "found")
+    spans = kept(spans_of(found, registry), "spans")
     hanging = {"下": "の名", "別": "の呼び名", "読": "の読み"}
     base = spans.withColumn("orig", F.when(F.col("space").isin(*hanging), F.col("person")).otherwise(F.col("orig"))).withColumn("space", F.when(F.col("space").isin(*hanging), "名").otherwise(F.col("space")))
     delta = kept(codebook.allocate(base, book), "codebook")
@@ -144,4 +166,4 @@ def mask(units: DataFrame, registry: DataFrame, book: DataFrame) -> Masked:
         else:
             more = codebook.allocate_suffixed(keyed, whole, suffix)
         delta, whole = delta.unionByName(more), whole.unionByName(more)
-    return Masked(apply_spans(units, codebook.with_codes(spans, whole)), spans, delta)
+    return Masked(apply_found(found, codebook.with_codes(spans, whole)), spans, delta)

@@ -91,9 +91,8 @@ def _masked_mails(spark, sf_dir):
 
 def mask_restore(spark, sf_dir):
     """Mask mails and numbers, restore them, and compare with the original."""
-    rows, found, book = _masked_mails(spark, sf_dir)
-    masked = mask.apply_spans(rows, codebook.with_codes(found, book), mask.has_spans(F.col("text"), (MAIL, NUMBER)))
-    back = codebook.restore(masked.select("doc_id", "part_no", "seq", "text", "masked"), book, "masked")
+    out = mask.mask(units(spark, sf_dir), codebook.empty(spark), (MAIL, NUMBER))
+    back = codebook.restore(out.units.select("doc_id", "part_no", "seq", "text", "masked"), out.delta, "masked")
     return back.select("doc_id", F.regexp_count("masked", F.lit("【[^【】]{1,40}】")).cast("long").alias("n_codes"), (F.col("restored") == F.col("text")).alias("equal"), F.size("unknown").cast("long").alias("n_unknown"))
 
 

@@ -48,8 +48,9 @@ def job_materials(spark, sf_dir):
 
 
 MATERIALS_SQL = """
-WITH j AS (SELECT l_orderkey AS job, l_orderkey || '-' || l_linenumber AS hash, l_returnflag AS name, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS sent FROM lineitem)
-SELECT job, hash, name, NOT sent AS guessed FROM j WHERE NOT sent OR name = 'R'
+WITH f AS (SELECT l_orderkey AS job, l_orderkey || '-' || l_linenumber AS hash, l_returnflag AS name FROM lineitem),
+     o AS (SELECT *, bool_or(name = 'R') OVER (PARTITION BY job, hash) AS own, bool_or(name = 'R') OVER (PARTITION BY job) AS sent FROM f)
+SELECT job, hash, name, NOT sent AS guessed FROM o WHERE own OR NOT sent
 """
 
 

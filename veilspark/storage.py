@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,10 +36,30 @@ def clean(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables kept since `temporary` was entered, if it was.
+_KEPT: ContextVar[list[str] | None] = ContextVar("kept tables", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept inside are removed at its end, for work whose results have been written by then,
+    as a batch of a stream."""
+    mark = _KEPT.set([])
+    try:
+        yield
+    finally:
+        for table in _KEPT.get() or ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _KEPT.reset(mark)
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor
     costs no more than a read of these files."""
     path = f"{work_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if (tables := _KEPT.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.patterns import KINDS
 from ..operators import codebook
-from ..operators.mask import apply_spans, mask
+from ..operators.mask import apply_found, spans_of, with_spans
+from ..storage import kept, temporary
 
 UNITS = "doc_id long, part_no int, seq int, text string"
 
@@ -30,10 +31,13 @@ def mask_stream(units: DataFrame, book: str, out: str, checkpoint: str, kinds: t
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = read_book(spark, book, number)
-        result = mask(batch, known, kinds)
-        result.delta.write.mode("overwrite").parquet(f"{book}/batch={number}")
-        whole = known.unionByName(spark.read.schema(codebook.SCHEMA).parquet(f"{book}/batch={number}"))
-        apply_spans(batch, codebook.with_codes(result.spans, whole)).select("doc_id", "part_no", "seq", "masked").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with temporary(spark):
+            known = read_book(spark, book, number)
+            found = kept(with_spans(batch, kinds), "found")
+            spans = spans_of(found)
+            codebook.allocate(spans, known).write.mode("overwrite").parquet(f"{book}/batch={number}")
+            whole = known.unionByName(spark.read.schema(codebook.SCHEMA).parquet(f"{book}/batch={number}"))
+            masked = apply_found(found, codebook.with_codes(spans, whole))
+            masked.select("doc_id", "part_no", "seq", "masked").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return units.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
