@@ -27,7 +27,7 @@ HIRAGANA = r"\p{IsHiragana}"
 LEVEL = "[市区町村郡]"
 PREFECTURE = r"(?:東京都|北海道|京都府|大阪府|\p{IsHan}{2,3}県)"
 #: Words that only sentences have; hiragana made up of them isn't of a name, but for a single の.
-FUNCTION_WORDS = ("から", "まで", "より", "など", "ほど", "だけ", "です", "ある", "いる", "する", "した", "して", "さん", "さま", "ちゃん", "は", "が", "を", "に", "で", "と", "へ", "も", "や", "の")
+FUNCTION_WORDS = ("から", "まで", "より", "など", "ほど", "だけ", "くらい", "ぐらい", "ごろ", "なら", "です", "ある", "いる", "する", "した", "して", "さん", "さま", "ちゃん", "は", "が", "を", "に", "で", "と", "へ", "も", "や", "の")
 #: Characters of a place, of a town in it, and of a municipality in kanji or behind a prefecture.
 PLACE_CHARS, TOWN_CHARS, KANJI_CHARS, NAME_CHARS = 40, 16, 6, 9
 _WORD = "(?:丁目|番地|番|号)"
