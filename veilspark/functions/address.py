@@ -15,7 +15,7 @@ from .patterns import DIGIT, HYPHEN, let, matches
 from .text import addr_canon
 
 # Municipalities with kana in their names, from north to south. Those of the modelled
-# behaviour, and the others that local governments bear.
+# behaviour, and five more; not checked against the national register.
 KANA_MUNICIPALITIES = (
     "上ノ国町 せたな町 ニセコ町 むかわ町 えりも町 新ひだか町 むつ市 つがる市 おいらせ町 にかほ市 いわき市 つくば市 ひたちなか市 かすみがうら市 つくばみらい市 "
     "さくら市 みどり市 みなかみ町 さいたま市 ふじみ野市 ときがわ町 いすみ市 あきる野市 日の出町 かほく市 あわら市 おおい町 南アルプス市 伊豆の国市 みよし市 あま市 "
