@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.patterns import SHAPES, candidates, located, shape_spans
 from ..operators import adjacent, cells, codebook, lineage, lookup, mask, records, registry, spans, suspects
 from ..storage import kept
-from . import cases, linked, marked
+from . import broken, cases, linked, marked
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHAPE = {s.kind: s for s in SHAPES}
@@ -423,5 +423,5 @@ ORACLE_SQL: dict[str, str] = {
     "multiset_difference": MULTISET_SQL, "near_words": NEAR_SQL, "users_of_conversations": USERS_SQL, "status_board": BOARD_SQL, "era_dates": ERA_SQL,
     "token_multiset": TOKENS_SQL, "interval_join": INTERVAL_SQL, "new_contents": NEW_SQL, "merged_customers": MERGED_SQL, "years_of_orders": YEARS_SQL,
 }
-QUERIES |= marked.QUERIES | linked.QUERIES | cases.QUERIES
-ORACLE_SQL |= marked.ORACLE_SQL | linked.ORACLE_SQL | cases.ORACLE_SQL
+QUERIES |= marked.QUERIES | linked.QUERIES | broken.QUERIES | cases.QUERIES
+ORACLE_SQL |= marked.ORACLE_SQL | linked.ORACLE_SQL | broken.ORACLE_SQL | cases.ORACLE_SQL
