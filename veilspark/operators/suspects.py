@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.address import address_spans, with_tail
 from ..functions.patterns import DATE, located, matches
 from ..functions.text import norm_name
-from ..storage import dimension_join
+from ..storage import dimension_join, kept
 from .mask import UNIT
 from .registry import near_names
 from .spans import context
@@ -26,6 +26,8 @@ JOBS = ("看護師", "介護士", "相談員", "ケアマネジャー", "ヘル
 DRUG_WORDS = ("錠", "カプセル", "散", "軟膏", "内服", "外用", "食後", "食前", "眠前", "朝食", "夕食", "用法", "用量", "処方", "薬局", "調剤", "頓服", "点眼", "湿布", "一包化")
 DOSE = r"[0-9０-９]+\s?(?:mg|ｍｇ|ml|錠|包|カプセル|滴)"
 
+#: Characters at a text's end that hold any date with the word behind it.
+DATED_TAIL = 64
 #: Kana, kanji, wide forms and their punctuation.
 JAPANESE = "[\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
 HAN = r"[\p{IsHan}々〆ヶ]"
@@ -100,7 +102,11 @@ def unhonoured(units: DataFrame) -> DataFrame:
 
 def beside_dates(units: DataFrame) -> DataFrame:
     """A date followed by nothing but a short kanji word to the end of the text."""
-    return _out(units, located(F.col("text"), rf"(?<={DATE}[ 　]{{0,2}}){HAN}{{2,4}}(?=[ 　]*$)"), "date", "name: behind a date")
+    # The word at the end decides first; a date is then looked for in what stands right before it only.
+    text = F.rtrim("text", F.lit(" 　"))
+    tail = F.right(text, F.lit(DATED_TAIL))
+    found = F.transform(located(tail, rf"(?<={DATE}[ 　]{{0,2}}){HAN}{{2,4}}$"), lambda m: F.struct((F.length(text) - F.length(tail) + m["st"]).cast("int").alias("st"), m["orig"].alias("orig")))
+    return _out(units.filter(F.right(text, F.lit(2)).rlike(f"^{HAN}{{2}}$") & tail.rlike("[0-9０-９元]")), found, "date", "name: behind a date")
 
 
 def near_registered(units: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -161,7 +167,8 @@ def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = Non
     # What a rule finds is Japanese or stands beside it; only an entry behind a label may have none itself.
     labels = units.filter(F.rtrim("text", F.lit(" 　：:")).isin(*NAME_LABELS, *FIELD_LABELS)).select("doc_id").distinct()
     entries = after_label(dimension_join(units, labels, "doc_id", "left_semi"))
-    units = units.filter(F.col("text").rlike(JAPANESE))
+    # Each rule reads this table of Japanese texts, not all texts again.
+    units = kept(units.filter(F.col("text").rlike(JAPANESE)), "japanese")
     rules = [labelled_names(units), unregistered_addresses(units), honoured(units), leftover_dates(units), beside_dates(units), entries, unhonoured(units)]
     if surfaces is not None:
         rules.insert(5, near_registered(units, surfaces))
@@ -170,11 +177,11 @@ def find(units: DataFrame, excluded: DataFrame, surfaces: DataFrame | None = Non
     every = every.filter(~F.col("word").contains("【"))
     merged = merge_contained(every)
     bare = F.regexp_replace(norm_name(F.col("word")), TITLE, "")
-    kept = merged.withColumn("bare", bare).join(excluded.select(norm_name(F.col("word")).alias("bare")).distinct(), "bare", "left_anti")
+    left = merged.withColumn("bare", bare).join(excluded.select(norm_name(F.col("word")).alias("bare")).distinct(), "bare", "left_anti")
     drug = drug_documents(units).withColumn("drug", F.lit(True))
     named = F.col("rule").isin("honoured", "label", "unhonoured", "date", "near", "glued label", "nurse", "contact", "kin", "given", "job", "dated", "stuck")
     drugs = "|".join(DRUG_WORDS)
-    return kept.join(drug, "doc_id", "left").filter(~(F.coalesce("drug", F.lit(False)) & named & (F.col("bare").rlike(drugs) | (F.length("bare") == 1)))).drop("drug", "bare")
+    return left.join(drug, "doc_id", "left").filter(~(F.coalesce("drug", F.lit(False)) & named & (F.col("bare").rlike(drugs) | (F.length("bare") == 1)))).drop("drug", "bare")
 
 
 def category(reason: Column) -> Column:
