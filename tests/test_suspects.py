@@ -87,3 +87,11 @@ def test_near_names_substitute_exactly_one(spark):
 def test_categories(spark):
     df = spark.createDataFrame([("name: before a title",), ("address: down to the lot",), ("entry of a field",)], "r string")
     assert [r[0] for r in df.select(suspects.category(F.col("r"))).collect()] == ["name", "addr", "other"]
+
+
+def test_names_behind_dates(spark):
+    """At the end of a text, also of a long one, with blanks behind; not without a date right before."""
+    texts = ["令和5年3月4日 柚木花子", "2024/3/4柚木", "令和5年3月4日", "令和5年3月4日  柚木　　", "柚木", "x" * 500 + "平成元年1月2日柚木花", "2024-1-2 ゆず", "2024.1.2柚木さん", "1日3回柚木", "", None]
+    units = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "doc_id long, part_no int, seq int, text string")
+    found = {(r.doc_id, r.word, texts[r.doc_id][r.st : r.st + len(r.word)]) for r in suspects.beside_dates(units).collect()}
+    assert {i for i, _, _ in found} == {0, 1, 3} and all(word == there for _, word, there in found)
