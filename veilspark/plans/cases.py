@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions.patterns import SHAPES, shape_spans
 from ..operators import adjacent, cells, codebook, edits, forms, lineage, lookup, names, records, registry, reports, spans, suspect_rules, suspects
 from ..sources import ooxml, tables
+from ..storage import dealt
 
 UNITS = "doc_id long, part_no int, seq int, text string"
 REGISTRY = "row_no int, kind string, name string, aliases array<string>, reading string"
@@ -37,7 +38,8 @@ class Given:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
-        self.keys = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey is not null").select(F.col("c_custkey").cast("long").alias("k")).distinct()
+        keys = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey is not null").select(F.col("c_custkey").cast("long").alias("k"))
+        self.keys = dealt(keys, "k").distinct()
 
     def __getattr__(self, name):
         return getattr(self.spark, name)

@@ -7,14 +7,16 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_list, tsv_escape, tsv_unescape
+from .batches import pairs, together
 
 ROWS = "path string, n int, encoding string, cells array<string>, reason string"
+SCHEMA = pa.schema([("path", pa.string()), ("n", pa.int32()), ("encoding", pa.string()), ("cells", pa.list_(pa.string())), ("reason", pa.string())])
 #: Bytes above which a delimited file isn't read; its row says so.
 MOST_BYTES = 64 << 20
 TOO_LARGE, DAMAGED = "too large", "damaged"
@@ -40,22 +42,21 @@ def delimited(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Rows of the delimited files in `files` (path, bytes, content), ragged as they are; blank rows go. A
     file that is too large or can't be parsed is one row without cells, with the reason."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(path: str, content: bytes | None) -> list[tuple]:
+        if content is None:
+            return [(path, 0, None, None, TOO_LARGE)]
+        text, encoding = decoded(content)
+        try:
+            reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text.partition("\n")[0]))
+            return [(path, n, encoding, row, None) for n, row in enumerate(reader) if any(c.strip() for c in row)]
+        except csv.Error as e:
+            return [(path, 0, encoding, None, f"{DAMAGED}: {e}")]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(most_bytes)
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                if content is None:
-                    rows = [(path, 0, None, None, TOO_LARGE)]
-                else:
-                    text, encoding = decoded(content)
-                    try:
-                        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text.partition("\n")[0]))
-                        rows = [(path, n, encoding, row, None) for n, row in enumerate(reader) if any(c.strip() for c in row)]
-                    except csv.Error as e:
-                        rows = [(path, 0, encoding, None, f"{DAMAGED}: {e}")]
-                yield pd.DataFrame(rows, columns=["path", "n", "encoding", "cells", "reason"])
-
-    return files.select("path", F.when(F.col("bytes") <= most_bytes, F.col("content")).alias("content")).mapInPandas(parse, ROWS)
+        yield from together((row for path, content in pairs(batches, "path", "content") for row in rows_of(path, content)), SCHEMA)
+
+    return files.select("path", F.when(F.col("bytes") <= most_bytes, F.col("content")).alias("content")).mapInArrow(parse, ROWS)
 
 
 def column_of(header: Column, token: str) -> Column:

@@ -64,6 +64,18 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that a task makes others of, or reads in Python.
+ROWS_OF_A_TASK = 8_192
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as its rows need, by keys if there are any. Many short rows are few bytes, so by
+    their size they are one split of a file or one part of a shuffle, whatever is then made of each. df is
+    counted, so it should be a table."""
+    rows, spark = df.count(), df.sparkSession
+    return df.repartition(max(min(rows, spark.sparkContext.defaultParallelism), -(-rows // ROWS_OF_A_TASK), 1), *keys)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
