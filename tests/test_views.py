@@ -74,3 +74,16 @@ def test_words_of_a_dictionary(spark, part):
 def test_no_dictionary(spark):
     df = spark.createDataFrame([("x",)], "text string")
     assert automaton.occurrences(df, spark.createDataFrame([], "word string")).first()["found"] == []
+
+
+def test_ampersands_of_broken_references_are_in_no_finding(spark, tmp_path):
+    import duckdb
+
+    from veilspark.plans import marked
+
+    pages = [(1, "<title>les&amp;&amp</title>a@b.com"), (2, "<p>loud&amp;&amp;&</p>"), (3, "<p>loud&amp;&amp;&amp</p>"), (4, "<p>loud&&amp;&amp;x</p>"), (5, "loud&amp;&amp;")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in marked.masked_pages(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert got == set(con.execute(marked.PAGES_SQL).fetchall())

@@ -33,6 +33,8 @@ HEADER = r'(?P<wall>&[LCR])|(?P<first>&&)|(?P<cut>&"[^"]*"|&K[0-9A-Fa-f]{6}|&[0-
 #: Character references that stand for a character of one's own.
 REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 REFERENCE = r"(?P<ref>&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});)"
+#: The same where only references are characters: an ampersand that begins none, as one broken off, is in no finding.
+STRICT = REFERENCE + "|(?P<bare>&)"
 
 
 def referred(reference: str) -> str:
@@ -46,7 +48,7 @@ def referred(reference: str) -> str:
 
 def segmented(text: str, pattern: re.Pattern) -> dict:
     """The view of a text. Groups of the pattern: cut and wall are left out, of first the first character
-    stays, ref becomes its character."""
+    stays, ref becomes its character, bare a NUL, which no pattern finds."""
     pieces, segments, at, last, wall = [], [], 0, 0, False
 
     def keep(piece: str, src: int, n: int) -> None:
@@ -66,6 +68,8 @@ def segmented(text: str, pattern: re.Pattern) -> dict:
         elif kind == "ref":
             character = referred(m[0])
             keep(character, m.start(), len(m[0]))
+        elif kind == "bare":
+            keep("\x00", m.start(), len(m[0]))
         elif kind == "wall":
             wall = True
     keep(text[last:], last, len(text) - last)
