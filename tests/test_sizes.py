@@ -2,9 +2,12 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from veilspark.plans import cases
-from veilspark.sources import batches, tables
+from veilspark import storage
+from veilspark.operators import asof, registry
+from veilspark.plans import broken, cases
+from veilspark.sources import batches, ooxml, tables
 
 
 @pytest.fixture(scope="module")
@@ -20,12 +23,51 @@ def parts(df) -> int:
     return df.groupBy("p").count().count()
 
 
-def test_delimited_files_are_dealt_and_batched(spark, customers):
-    from pyspark.sql import functions as F
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
+def test_delimited_files_are_dealt_and_batched(spark, customers):
     keys = cases.Given(spark, customers).keys
     assert keys.count() == 40_000 and parts(keys.select(F.spark_partition_id().alias("p"))) >= 4
     rows = ((str(i), i, "utf-8", ["a", None], None) for i in range(10_000))
     made = list(batches.together(rows, tables.SCHEMA))
     assert [b.num_rows for b in made] == [4096, 4096, 1808] and pa.Table.from_batches(made).column("n").to_pylist() == list(range(10_000))
     assert len(list(batches.together(((str(i), i, None, ["x" * (9 << 20)], None) for i in range(4)), tables.SCHEMA))) == 2
+
+
+def test_near_names_send_nothing_over_the_driver(spark):
+    words, surfaces = spark.createDataFrame([("柚本朔也",), ("柚木朔也",), ("柚木朔",)], "word string"), spark.createDataFrame([("柚木朔也",)], "surface string")
+    near = registry.near_names(words, surfaces)
+    assert "BroadcastHashJoin" not in plan(near) and [tuple(r) for r in near.collect()] == [("柚本朔也", "柚木朔也", 1)]
+
+
+def test_packages_are_rewritten_in_many_parts(spark):
+    files = spark.createDataFrame([(i, bytearray(ooxml.simple_document("題", ["次"]))) for i in range(100)], "doc_id long, content binary")
+    new = ooxml.rewritten_documents(files, spark.createDataFrame([(i, 1, "新") for i in range(100)], "doc_id long, seq int, text string"))
+    assert "BroadcastHashJoin" not in plan(new) and new.select(F.spark_partition_id()).distinct().count() == 4
+    assert ooxml.document_units(new).filter("text = '新'").count() == 100
+
+
+@pytest.mark.parametrize("join", ["spread", "dimension", "skewed"])
+def test_large_sides_are_not_broadcast(spark, monkeypatch, join):
+    monkeypatch.setattr(storage, "small", lambda df, rows=0: False)
+    big, one = spark.createDataFrame([(1, 2)], "k long, id long"), spark.createDataFrame([(1, 3)], "k long, v long")
+    met = {
+        "spread": lambda: storage.spread_join(big, one, ["k"], F.col("id")), "dimension": lambda: storage.dimension_join(big, one, "k"),
+        "skewed": lambda: storage.skewed_join(big, one, ["k"], F.col("id"), spark.createDataFrame([(1,)], "k long"), wide=True),
+    }[join]()
+    assert "SortMergeJoin" in plan(met) and met.collect() == [(1, 2, 3)]
+
+
+def test_as_of_writes_keys_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(asof, "kept", lambda df, what: written.append(df) or storage.kept(df, what))
+    rows, past = spark.createDataFrame([("a", 2, 7), ("b", 1, 8)], "k string, at int, n int"), spark.createDataFrame([("a", 1, 5)], "k string, at int, r int")
+    got = asof.as_of(rows, past, ["k"], "at", ["r"]).orderBy("n").collect()
+    assert [tuple(r[:3]) for r in got] == [("a", 2, 7), ("b", 1, 8)] and tuple(got[0]["found"]) == ("a", 1, 5) and got[1]["found"] is None
+    assert all("k" not in written[0].schema[c].dataType.names for c in ("_row", "_past"))
+
+
+def test_readings_are_dealt(spark, customers):
+    assert "REPARTITION_BY_NUM" in plan(broken.reading_parts(spark, customers))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import registered_core
 from ..functions.text import MASK_GLYPHS, hiragana, katakana, mask_key, norm_name
-from ..storage import salted_join
+from ..storage import shuffled
 
 EXCLUDED, ADDRESS = "除外", "住所"
 HONORIFIC = "(?:様|さま|さん|氏|殿|ちゃん|くん|君)"
@@ -99,13 +99,19 @@ def masked_owners(words: DataFrame, registry: DataFrame, most: int = 8) -> DataF
 
 def near_names(words: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Words (`word`) that differ from a surface of the same length in exactly one character: word,
-    surface, at. Both sides meet by the word with one place blanked."""
+    surface, at. Both sides meet by a hash of the word with one place blanked, and are compared then. At most a
+    word for each character there is has the same key, so no key is hot; a pair meets at one place only."""
+    def rest(c: str, i: Column) -> tuple[Column, Column]:
+        return F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))
+
     def blanked(c: str) -> Column:
-        return F.posexplode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.lit("\x00"), F.substring(c, i + 1, F.length(c)))))
+        return F.posexplode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(i, F.length(c), *rest(c, i))))
 
     a = words.select("word").distinct().filter(F.length("word") >= 2).select("word", blanked("word").alias("at", "key"))
-    b = surfaces.select("surface").distinct().filter(F.length("surface") >= 2).select("surface", blanked("surface").alias("at", "key"))
-    return salted_join(a, b.groupBy("at", "key").agg(F.collect_set("surface").alias("s")), ["at", "key"], F.col("word"), salts=4).select("word", F.explode("s").alias("surface"), "at").filter("word <> surface")
+    b = surfaces.select("surface").distinct().filter(F.length("surface") >= 2).select("surface", blanked("surface").alias("_at", "key"))
+    same = [x == y for x, y in zip(rest("word", F.col("at") + 1), rest("surface", F.col("at") + 1), strict=True)]
+    met = a.join(shuffled(b), "key").filter((F.col("word") != F.col("surface")) & (F.col("at") == F.col("_at")) & (F.length("word") == F.length("surface")) & same[0] & same[1])
+    return met.select("word", "surface", "at")
 
 
 def nearest_person(units: DataFrame, mentions: DataFrame, within: int = 3) -> DataFrame:

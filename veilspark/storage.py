@@ -81,9 +81,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join that must not send it over the driver: the size that is guessed of short or repeated rows,
+    and of those that an array becomes, is far below the size they have there."""
+    return df.hint("merge")
+
+
 def dimension_join(facts: DataFrame, dimension: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a dimension, broadcast only if its counted size allows it."""
-    return facts.join(F.broadcast(dimension) if small(dimension) else dimension, on, how)
+    return facts.join(F.broadcast(dimension) if small(dimension) else shuffled(dimension), on, how)
 
 
 #: A key is hot if it has more than this share of the rows; so there are at most as many hot keys.
@@ -97,29 +103,29 @@ def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
     return kept(big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*keys), "hot-keys")
 
 
-def skewed_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+def skewed_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = 64, wide: bool = False) -> DataFrame:
     """Join in which only hot keys are salted. `hot` (the keys alone) has at most HOT_KEYS rows however
-    large the tables are, so it is broadcast; `one` has one row for a key and is repeated for hot ones."""
+    large the tables are, so it is broadcast; `one` has one row for a key and is repeated for hot ones. wide: as in salted_join."""
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     big = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     one = one.join(marked, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
-    return big.join(one, [*keys, "_salt"], how).drop("_salt")
+    return big.join(shuffled(one) if wide else one, [*keys, "_salt"], how).drop("_salt")
 
 
-def salted_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+def salted_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 32, wide: bool = False) -> DataFrame:
     """Join in which no task gets all rows of a hot key. `one` has one row for a key and is repeated for
-    each of `salts` parts, so it should be small beside `big`."""
+    each of `salts` parts, so it should be small beside `big`. wide: it is known to be too large for a broadcast."""
     big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(one, [*keys, "_salt"], how).drop("_salt")
+    return big.join(shuffled(one) if wide else one, [*keys, "_salt"], how).drop("_salt")
 
 
 def spread_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """Join with a table of one row for a key, whose keys may be hot in `big`: broadcast if its counted size
     allows it, else salted."""
-    return big.join(F.broadcast(one), keys, how) if small(one) else salted_join(big, one, keys, spread, how, salts=8)
+    return big.join(F.broadcast(one), keys, how) if small(one) else salted_join(big, one, keys, spread, how, salts=8, wide=True)
 
 
 def ranked_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
