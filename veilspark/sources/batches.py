@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a batch, and bytes of its texts and contents above which it is closed before.
 ROWS, BYTES = 4_096, 16 << 20
@@ -17,6 +19,10 @@ def pairs(batches: Iterable[pa.RecordBatch], first: str, second: str) -> Iterato
             yield a.as_py(), b.as_py()
 
 
+def schema_of(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def weight(value: object) -> int:
     return sum(map(weight, value)) if isinstance(value, list) else len(value) if isinstance(value, str | bytes) else 8
 
