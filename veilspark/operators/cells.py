@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_column, cell_row
-from ..storage import kept
+from ..storage import dimension_join, kept, shuffled
 
 #: Rounds in which a formula that refers to a registered cell is registered itself.
 ROUNDS = 6
@@ -29,13 +29,13 @@ def registered(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> Da
     """doc_id, sheet, ref, label, round: configured cells (sheet, ref, label) of every workbook, and the
     formulas that reach them within `rounds` steps. Each round adds only new cells."""
     edges = kept(references(cells), "references")
-    frontier = cells.select("doc_id", "sheet", "ref").join(targets.select("sheet", "ref", "label"), ["sheet", "ref"]).select("doc_id", "sheet", "ref", "label").withColumn("round", F.lit(0))
+    frontier = dimension_join(cells.select("doc_id", "sheet", "ref"), targets.select("sheet", "ref", "label"), ["sheet", "ref"]).select("doc_id", "sheet", "ref", "label").withColumn("round", F.lit(0))
     found = kept(frontier, "registered")
     frontier = found
     for n in range(1, rounds + 1):
-        step = edges.join(frontier.select("doc_id", F.col("sheet").alias("dst_sheet"), F.col("ref").alias("dst_ref"), "label"), ["doc_id", "dst_sheet", "dst_ref"])
+        step = edges.join(shuffled(frontier.select("doc_id", F.col("sheet").alias("dst_sheet"), F.col("ref").alias("dst_ref"), "label")), ["doc_id", "dst_sheet", "dst_ref"])
         step = step.groupBy("doc_id", F.col("src_sheet").alias("sheet"), F.col("src_ref").alias("ref")).agg(F.min("label").alias("label"))
-        frontier = kept(step.join(found.select("doc_id", "sheet", "ref"), ["doc_id", "sheet", "ref"], "left_anti").withColumn("round", F.lit(n)), "registered")
+        frontier = kept(step.join(shuffled(found.select("doc_id", "sheet", "ref")), ["doc_id", "sheet", "ref"], "left_anti").withColumn("round", F.lit(n)), "registered")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -57,7 +57,7 @@ def beside_label(cells: DataFrame, label: str = "生年月日", within: int = 12
     at = cells.filter(F.regexp_replace("text", r"[\s　：:]", "") == label).select("doc_id", "sheet", F.col("row").alias("l_row"), F.col("col").alias("l_col"))
     reach = F.array(*[F.struct((F.col("l_row") + dr).alias("row"), (F.col("l_col") + dc).alias("col"), F.lit(dr + dc).alias("distance")) for d in range(1, within + 1) for dr, dc in ((0, d), (d, 0))])
     spread = at.select("doc_id", "sheet", F.explode(reach).alias("r")).select("doc_id", "sheet", "r.*").groupBy("doc_id", "sheet", "row", "col").agg(F.min("distance").alias("distance"))
-    return cells.join(spread, ["doc_id", "sheet", "row", "col"]).filter(F.trim("text") != "")
+    return cells.join(shuffled(spread), ["doc_id", "sheet", "row", "col"]).filter(F.trim("text") != "")
 
 
 def long_numbers(cells: DataFrame, excluded: DataFrame) -> DataFrame:
