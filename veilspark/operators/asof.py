@@ -6,7 +6,7 @@ parts, are merged in each, and the last row of a part is carried to the parts be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,12 +21,19 @@ def as_of(rows: DataFrame, past: DataFrame, keys: list[str], at: str, ties: list
 
     Rows with a null key or time find nothing and stay; rows of past with one are never found. Repeated
     rows stay repeated, and an empty table of either kind is fine. Columns of both tables may share names."""
-    whole, here = F.struct(*[past[c] for c in past.columns]), F.struct(*[rows[c] for c in rows.columns])
+    # Keys are written once; what is found gets them back from the row.
+    lean = lambda df: F.struct(F.lit(True).alias("_there"), *[df[c] for c in df.columns if c not in keys])
+    whole, here = lean(past), lean(rows)
     able = lambda df: df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, at))))
     key, time = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(at).alias("_at")
     mine = able(rows).select(*key, time, F.lit(0 if strictly else 1).alias("_side"), F.lit(None).cast(past.select(F.struct(*ties)).schema[0].dataType).alias("_tie"), F.lit(None).cast(past.select(whole.alias("s")).schema[0].dataType).alias("_past"), here.alias("_row"))
     theirs = able(past).select(*key, time, F.lit(1 if strictly else 0).alias("_side"), F.struct(*ties).alias("_tie"), whole.alias("_past"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
     names = [f"_k{i}" for i in range(len(keys))]
+    key_of = {c: F.col(n) for c, n in zip(keys, names, strict=True)}
+
+    def filled(s: str, columns: list[str]) -> Column:
+        return F.struct(*[key_of.get(c, F.col(s)[c]).alias(c) for c in columns])
+
     order = ["_at", "_side", "_tie"]
     parts = kept(mine.unionByName(theirs).repartitionByRange(*names, *order).withColumn("_part", F.spark_partition_id()), "as-of")
     seen = F.last("_past", ignorenulls=True).over(W.partitionBy("_part", *names).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -36,8 +43,8 @@ def as_of(rows: DataFrame, past: DataFrame, keys: list[str], at: str, ties: list
     carried = ends.select(*names, "_part", carried.alias("_carried")).filter("_carried IS NOT NULL")
     local = parts.withColumn("_seen", seen).filter("_row IS NOT NULL")
     # Few rows lack a match in their own part: those that stand before the part's first row of past.
-    done = local.filter("_seen IS NOT NULL").select("_row", F.col("_seen").alias("found"))
-    open_ = dimension_join(local.filter("_seen IS NULL").drop("_seen"), carried, [*names, "_part"], "left").select("_row", F.col("_carried").alias("found"))
+    done = local.filter("_seen IS NOT NULL").select(filled("_row", rows.columns).alias("_row"), filled("_seen", past.columns).alias("found"))
+    open_ = dimension_join(local.filter("_seen IS NULL").drop("_seen"), carried, [*names, "_part"], "left").select(filled("_row", rows.columns).alias("_row"), F.when(F.col("_carried").isNotNull(), filled("_carried", past.columns)).alias("found"))
     none = rows.filter(~F.coalesce(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, at))), F.lit(False)))
     none = none.select("*", F.lit(None).cast(done.schema["found"].dataType).alias("found"))
     return done.unionByName(open_).select("_row.*", "found").unionByName(none)
@@ -47,9 +54,11 @@ def restaged(ledger: DataFrame, stages: DataFrame) -> DataFrame:
     """stage, at, source, report and reported_at: for each staged file (stage, at) the sources that its
     hash goes back to, and of each the last report of its masking by then, null if there is none. Staged
     files that no source leads to are left out."""
-    m, _, _ = views(ledger)
-    met = stages.select("stage", "at").join(m.select("stage", "source").distinct(), "stage")
-    reports = ledger.filter((F.col("kind") == "M") & (F.col("status") == "ok")).select(F.col("h1").alias("source"), "at", F.col("ref").alias("report"))
+    # Links are made distinct once: hashes are dear to shuffle and to write.
+    done = (F.col("kind") == "M") & (F.col("status") == "ok")
+    links = ledger.filter(done).select(F.col("h2").alias("stage"), F.col("h1").alias("source")).distinct()
+    met = stages.select("stage", "at").join(links, "stage")
+    reports = ledger.filter(done).select(F.col("h1").alias("source"), "at", F.col("ref").alias("report"))
     found = as_of(met, reports, ["source"], "at", ["report"])
     return found.select("stage", "at", "source", F.col("found.report").alias("report"), F.col("found.at").alias("reported_at"))
 
