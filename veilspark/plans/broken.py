@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codebook, fragments, readings
+from ..storage import dealt
 from ..streaming import book
 
 #: An invented place, and what each address adds to it.
@@ -49,7 +50,7 @@ def reading_parts(spark, sf_dir):
         return F.array_join(F.transform(F.split(F.col("c_custkey").cast("string"), ""), lambda d: table[d]), "の")
 
     xml = F.concat(F.lit("<si><t>"), spelt(0), F.lit('</t><rPh sb="0" eb="1"><t>'), spelt(1), F.lit("</t></rPh></si>"))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.explode(readings.ruby_pairs(xml)).alias("p"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")).select("c_custkey", F.explode(readings.ruby_pairs(xml)).alias("p"))
     parts = F.filter(readings.aligned(F.col("p.base"), F.col("p.reading")), lambda p: p["base"] != "の")
     return rows.select("c_custkey", F.posexplode(parts).alias("place", "part")).select("c_custkey", F.col("place").cast("long").alias("place"), F.col("part.base").alias("base"), F.col("part.reading").alias("reading"))
 
