@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import dimension_join, kept
+from ..storage import dimension_join, kept, shuffled
 from .lineage import views
 
 
@@ -57,7 +57,7 @@ def restaged(ledger: DataFrame, stages: DataFrame) -> DataFrame:
     # Links are made distinct once: hashes are dear to shuffle and to write.
     done = (F.col("kind") == "M") & (F.col("status") == "ok")
     links = ledger.filter(done).select(F.col("h2").alias("stage"), F.col("h1").alias("source")).distinct()
-    met = stages.select("stage", "at").join(links, "stage")
+    met = stages.select("stage", "at").join(shuffled(links), "stage")
     reports = ledger.filter(done).select(F.col("h1").alias("source"), "at", F.col("ref").alias("report"))
     found = as_of(met, reports, ["source"], "at", ["report"])
     return found.select("stage", "at", "source", F.col("found.report").alias("report"), F.col("found.at").alias("reported_at"))
