@@ -100,3 +100,29 @@ def test_recall_of_blocks(spark):
     found = sum(r["other"] == r["class"] + 1 and r["class"] % 2 == 0 for r in met)
     assert found >= 0.93 * n
     assert len(met) - found < 0.1 * n * n
+
+
+def test_bands_meet_similar_sets(spark):
+    """Sets at a similarity of 0.8 share a band, those at a third hardly do; their number doesn't grow with the texts."""
+    rng, n, far = np.random.default_rng(5), 300, 0
+    factors, found = simhash.factors_of_bands(), 0
+    for _ in range(n):
+        base, new = rng.integers(0, 1 << 63, 360, dtype=np.uint64), rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+        bands = [simhash.bands_of(h, factors) for h in (base, np.concatenate([base[:320], new[:40]]), np.concatenate([base[:180], new]))]
+        assert all(len(b) == simhash.BANDS for b in bands)
+        found += bool((bands[0] == bands[1]).any())
+        far += bool((bands[0] == bands[2]).any())
+    assert found >= 0.98 * n and far <= 0.05 * n
+
+
+def test_rows_of_the_largest_group_are_not_crossed(spark, monkeypatch):
+    """A block of 200 near classes, which its leader links, two further ones that only another links, and one far off."""
+    sides = []
+    joined = simhash.skewed_join
+    monkeypatch.setattr(simhash, "skewed_join", lambda big, one, *a, **k: sides.append(one) or joined(big, one, *a, **k))
+    near = [sum(1 << b for b in bits) for bits in ((i % 16, 16 + i // 16) for i in range(200))]
+    classes = [0, *near, near[5] | 0b111 << 40, (1 << 60) - 1]
+    keyed = spark.createDataFrame([(1, c) for c in classes], "key long, class long")
+    roots = simhash.united(keyed, [], lambda x, y: F.bit_count(F.col(f"{x}.class").bitwiseXOR(F.col(f"{y}.class"))) <= 4)
+    assert {r["node"]: r["root"] for r in roots.collect()} == dict.fromkeys(classes[1:-1], 0)
+    assert sides[-1].count() == 2

@@ -7,17 +7,18 @@ A fingerprint's bit is the majority of that bit in the hashes of a text's shingl
   all such pairs meet on some choice of that many parts. The number of parts grows with the number of
   different fingerprints (`blocks_for`), so that chance meetings per fingerprint stay bounded.
 - `similar_groups` and `keepers`: links at a Jaccard similarity of the shingle sets. At 0.8 about 15 %
-  of the bits differ, which 64 bits can't tell from chance, so a fingerprint has BITS bits and `tables_for`
-  blocks of `width_for` of its bits; both grow with the number of texts, so that chance meetings of a text
-  stay few. A pair at 0.8 shares a block with a probability of 0.97 or more, at 0.85 of 0.99 or more.
-  Candidates are verified by the Hamming distance, of the first 64 bits and then of all, and what is left
-  by the sets themselves.
+  of the bits differ, which 64 bits can't tell from chance, so a block is a band of least hashes: BANDS
+  bands of BAND hashes each, whatever the number of texts. A pair at similarity s shares a band with a
+  probability of 1 - (1 - s^7)^24: 0.996 at 0.8, 0.9998 at 0.85, 0.17 at 0.5. Candidates are verified by the
+  Hamming distance of fingerprints, of the first 64 bits and then of BITS, and what is left by the sets
+  themselves. (`keyed_by_blocks` makes blocks of fingerprints alone, without the sets; their number grows
+  with the texts.)
 
 Equal fingerprints (or sets) are one class first: only classes are joined, copies cost a row each. A
 block's classes aren't crossed: they are verified against one of them and what this links is united. Blocks
-whose classes are still in different groups get further leaders (by similarity, about log2 of their rows),
-and only what these leave in different groups is compared pair by pair, hot blocks dealt over many tasks; no
-other pair can unite anything. By similarity both steps compare fingerprints of WIDE bits, so that hardly a
+whose classes are still in different groups get further leaders (by similarity, about log2 of their rows). In
+what these leave in different groups the rows outside of a block's largest group are compared with all of its
+rows, hot blocks dealt over many tasks; no other pair can unite anything. By similarity both steps compare fingerprints of WIDE bits, so that hardly a
 pair below it leaves the join.
 
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words (or null) have
@@ -42,6 +43,8 @@ from .common import HOT_KEYS, dimension_join, hot_keys, kept, skewed_join
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Of the use by similarity: bands of least hashes and hashes of a band.
+BANDS, BAND = 24, 7
 #: Of the use by similarity: words of a shingle, similarity, bits, tables of blocks of 20 bits.
 SIMILAR_SHINGLE, SIMILARITY, BITS, TABLES = 5, 0.8, 1024, 96
 #: Bits of the fingerprints by which a block's pairs are told apart: at 0.7 some 7 % of pairs pass, at 0.66 one in a thousand.
@@ -52,7 +55,7 @@ CARRIED, DIFFERING = 64, 0.1515
 ROOMY = 16
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 12
-SKETCH = "doc_id long, h long, class long, n int, print array<long>"
+SKETCH = "doc_id long, h long, class long, n int, print array<long>, bands array<int>"
 KEYED = "class long, w0 long, key long"
 
 
@@ -147,30 +150,36 @@ def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[
     def met_in_blocks(rows: DataFrame, other: DataFrame) -> DataFrame:
         return skewed_join(rows, other, ["key"], F.col("me.class"), hot)
 
-    def still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """rows with their roots, of blocks in which these differ."""
-        named = rows.join(roots.select(F.col("node").alias("class"), "root"), F.col("me.class") == F.col("class"), "left")
-        placed = kept(named.select("key", "rows", "me", F.coalesce("root", "me.class").alias("root")), "placed")
-        apart = kept(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "blocks")
-        return kept(met_in_blocks(placed, apart), "apart")
+    def rooted(rows: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+        named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return rows.join(named, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", of)).drop("_node", "_root")
 
     judged = kept(pairs_of(met_in_blocks(members.select("key", "me"), leaders), "me", "leader", near), "stars")
     links = kept(verified(judged), "links")
     roots = kept(components(links), "united")
-    # The leader meets everybody, so a block of two classes has no other pair.
-    placed = still_apart(members.filter("rows > 2"), roots)
-    if placed.isEmpty():
+    # The leader meets everybody, so a block of two classes has no other pair; and whom a link joins to it has its root.
+    large = members.filter("rows > 2")
+    led = rooted(leaders.select("key", F.col("leader.class").alias("head")), roots, "head", "led")
+    loose = met_in_blocks(large, led).select("key", F.col("me.class").alias("class"), "head", "led").filter("class <> head")
+    loose = loose.withColumn("a", F.least("class", "head")).withColumn("b", F.greatest("class", "head")).join(links, ["a", "b"], "left_anti")
+    apart = kept(rooted(loose, roots, "class", "root").filter("root <> led").select("key").distinct(), "blocks")
+    if apart.isEmpty():
         return roots
-    near, placed = nearer or near, kept(refined(placed), "whole")
+    near, placed = nearer or near, kept(refined(rooted(met_in_blocks(large, apart), roots, "me.class", "root")), "whole")
     if leading is not None:
         more = placed.filter(F.pmod(F.xxhash64("key", "me.class"), F.col("rows")) < leading).select("key", F.col("me").alias("leader"), F.col("root").alias("led"))
         stars = kept(pairs_of(met_in_blocks(placed, more).filter("root <> led"), "me", "leader", near).join(judged, ["a", "b"], "left_anti"), "stars")
         links, judged = kept(links.union(verified(stars)), "links"), judged.union(stars)
         roots = kept(components(links), "united")
-        placed = still_apart(placed.drop("root"), roots)
-    x, y = (placed.select("key", F.col("me").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy")
-    rest = skewed_join(x, y, ["key"], F.col("x.class"), hot).filter("x.class < y.class and root_x <> root_y")
-    rest = kept(pairs_of(rest, "x", "y", near).join(judged, ["a", "b"], "left_anti"), "rest")
+        placed = kept(rooted(placed.drop("root"), roots, "me.class", "root"), "placed")
+    # Of two rows in different groups one at least is outside of the block's largest.
+    largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("groups"))
+    largest = kept(largest.filter("groups > 1").select("key", "major"), "largest")
+    placed = kept(met_in_blocks(placed, largest).select("key", "me", "root", (F.col("root") != F.col("major")).alias("minor")), "apart")
+    x = placed.select("key", "me", F.col("root").alias("root_x"), "minor")
+    y = placed.filter("minor").select("key", F.col("me").alias("other"), F.col("root").alias("root_y"))
+    rest = met_in_blocks(x, y).filter("root_x <> root_y and (not minor or me.class < other.class)")
+    rest = kept(pairs_of(rest, "me", "other", near).join(judged, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     return components(kept(links.union(verified(rest)), "links"))
@@ -208,24 +217,44 @@ def tables_for(width: int, tables: int = TABLES) -> int:
     return max(tables, int(np.ceil(tables * np.log1p(-(share**20)) / np.log1p(-(share**width)))))
 
 
+def bands_of(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of the least values of BAND mixes of h; factors: two for each mix."""
+    from xxhash import xxh32_intdigest
+
+    x, least = (h >> np.uint64(32)).astype(np.uint32), np.full(len(factors), (1 << 32) - 1, dtype=np.uint32)
+    for at in range(0, len(x), STEP):
+        np.minimum(least, (factors[:, :1] * x[at : at + STEP] + factors[:, 1:]).min(axis=1), out=least)
+    return np.array([xxh32_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, BAND)], dtype=np.uint32).view(np.int32)
+
+
+def factors_of_bands() -> np.ndarray:
+    found = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * BAND, 2), dtype=np.uint32)
+    found[:, 0] |= 1
+    return found
+
+
 def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, bits: int = BITS) -> DataFrame:
     """For each row of docs its doc_id, the hash of all its columns, the hash and size of its set of
-    shingles, and its fingerprint."""
+    shingles, its fingerprint and its bands."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        def lists(rows: list[np.ndarray], width: int, kind: type) -> pa.Array:
+            ends = pa.array(np.arange(0, len(rows) * width + 1, width, dtype=np.int32))
+            return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows) if rows else np.zeros(0, kind)))
+
+        factors = factors_of_bands()
         for batch in batches:
-            classes, sizes, prints = [], [], []
+            classes, sizes, prints, bands = [], [], [], []
             for text in batch.column("text").cast(pa.large_binary()):
                 found = np.unique(hashes(text.as_py() or b"", shingle))
                 classes.append(xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 prints.append(majority(found, bits).view("<i8"))
-            ends = pa.array(np.arange(0, len(prints) * (bits // 64) + 1, bits // 64, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64)))
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "class", "n", "print"])
+                bands.append(bands_of(found, factors))
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(prints, bits // 64, np.int64), lists(bands, BANDS, np.int32)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "class", "n", "print", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns).alias("h"), "text").mapInArrow(batches_of, SKETCH)
 
@@ -277,11 +306,11 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     """doc_id, h (of the row), class, root (of the group) and component_id, for groups over links of at
     least `similarity`, which is SIMILARITY or more."""
     found = kept(sketches(docs, shingle), "sketches")
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n", "print")
-    classes = kept(found.groupBy("class").agg(F.min(row).alias("row"), F.count("*").alias("copies")).select("class", "copies", F.col("row.doc_id").alias("least"), "row.h", "row.n", "row.print"), "classes")
-    width = width_for(classes.count())
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n", "print", "bands")
+    classes = kept(found.groupBy("class").agg(F.min(row).alias("row"), F.count("*").alias("copies")).select("class", "copies", F.col("row.doc_id").alias("least"), "row.h", "row.n", "row.print", "row.bands"), "classes")
     # Texts without words are one class and similar to nothing else.
-    keyed = keyed_by_blocks(classes.filter("n > 0"), width, tables_for(width))
+    keyed = classes.filter("n > 0").select("class", F.col("print")[0].alias("w0"), F.posexplode("bands").alias("band", "least"))
+    keyed = keyed.select("class", "w0", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("least")).alias("key"))
 
     def fit(n: Column, m: Column) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
