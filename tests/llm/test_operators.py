@@ -347,6 +347,20 @@ def test_passages_of_51_words_hold_a_run_wherever_they_stand(spark):
         assert gone == 0 if i % 2 == 0 else 20 <= gone <= 51
 
 
+def test_runs_of_many_texts_are_hashed_at_once():
+    """The same parts have the same hashes wherever they stand, and no run goes over a text's end."""
+    rng = np.random.default_rng(2)
+    one, sizes = rng.integers(0, 1 << 63, 12, dtype=np.uint64), np.array([7, 0, 9, 8, 3, 3, 20, 4, 4, 4, 4, 4])
+    both = substring.runs(np.concatenate([one, one[:3], one]), np.concatenate([sizes, sizes[:3], sizes]), np.array([12, 15, 27]))
+    alone = substring.runs(one, sizes, np.array([12]))
+    at, n = alone[1].tolist(), alone[2].tolist()
+    assert [(i, k) for i, k in zip(at, n, strict=True)] == [(i, next(k for k in range(2, 13 - i) if sizes[i : i + k].sum() >= 20)) for i in range(12) if sizes[i:].sum() >= 20 and i < 11]
+    own = both[0] == 0
+    assert set(both[0].tolist()) == {0, 2} and both[1][~own].tolist() == [i + 15 for i in at] and both[2].tolist() == n + n
+    for h, g in zip(both[3], alone[3], strict=True):
+        assert (h[own] == g).all() and (h[~own] == g).all() and len(set(g.tolist())) == len(g)
+
+
 def test_substring_of_empty_null_and_clashing_columns(spark):
     line = " ".join(f"w{i}" for i in range(60)) + ". "
     df = spark.createDataFrame([(None, line), (3, line), (3, "x " + line), (4, None)], "doc_id long, text string").withColumn("h", F.lit("z")).withColumn("covered", F.lit(1))
