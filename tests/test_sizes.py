@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark import storage
+from veilspark.functions import patterns
 from veilspark.operators import asof, registry
 from veilspark.plans import broken, cases
 from veilspark.sources import batches, ooxml, tables
@@ -71,3 +72,14 @@ def test_as_of_writes_keys_once(spark, monkeypatch):
 
 def test_readings_are_dealt(spark, customers):
     assert "REPARTITION_BY_NUM" in plan(broken.reading_parts(spark, customers))
+
+
+def test_no_text_is_cast_in_vain_and_texts_are_cut_at_a_sign(spark):
+    texts = ["昭和9年1月2日、S.30.4.5、1964/7/8、1966/7/8", "\x1e1964/7/8\x1eと1930/1/2", "なし", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    old = next(s for s in patterns.SHAPES if s.kind == "古い日付")
+    got = df.select("i", patterns.shape_spans(F.col("text"), old).alias("s"), patterns.pieces(F.col("text"), "(?=1)").alias("p"))
+    assert "try_cast" not in plan(got.select("s"))
+    rows = {r["i"]: r for r in got.collect()}
+    assert {i: [(s["st"], s["orig"]) for s in r["s"]] for i, r in rows.items()} == {0: [(0, "昭和9年1月2日"), (9, "S.30.4.5"), (18, "1964/7/8")], 1: [(1, "1964/7/8"), (11, "1930/1/2")], 2: [], 3: [], 4: []}
+    assert rows[1]["p"] == ["\x1e", "1964/7/8\x1eと", "1930/", "1/2"] and rows[2]["p"] == ["なし"] and rows[3]["p"] == [""]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import DIGIT, HYPHEN, let, matches
+from .patterns import DIGIT, HYPHEN, let, matches, pieces
 from .text import addr_canon
 
 # Municipalities with kana in their names, from north to south. Those of the modelled
@@ -69,7 +69,7 @@ def _place(before: Column) -> Column:
         good = F.filter(cuts, lambda c: (c["name"] != "") & (F.length(c["town"]) <= TOWN_CHARS) & ~_sentence(c["town"]))
         return F.coalesce(F.get(F.transform(good, lambda c: F.concat(c["name"], c["town"])), F.lit(0)), F.lit(""))
 
-    return let(F.split(run, f"(?<={LEVEL})", -1), first)
+    return let(pieces(run, f"(?<={LEVEL})"), first)
 
 
 def address_spans(text: Column) -> Column:

@@ -39,6 +39,20 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: A sign that no text has, or few.
+CUT = "\x1e"
+
+
+def pieces(text: Column, regex: str) -> Column:
+    """What stands between the matches of regex, one more than there are matches. Spark compiles what it splits at for each
+    text, but not what it replaces, nor a single sign: matches become a sign, unless the text has it."""
+    signed = F.split(F.regexp_replace(text, F.lit(regex), F.lit(CUT)), CUT, -1)
+    own = F.split(text, regex, -1)
+    # A split drops the empty piece before a match without width at the start.
+    whole = F.concat(F.when(F.size(own) > F.size(F.regexp_extract_all(text, F.lit(regex), F.lit(0))), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))), own)
+    return F.when(text.contains(CUT), whole).otherwise(signed)
+
+
 def matches(text: Column, regex: str) -> Column:
     """Matches of regex in order: array<struct<st, orig, before, after>>; before and after are the text
     between a match and its neighbours, or the neighbour where they touch. Places are added up in parts
@@ -68,10 +82,12 @@ def matches(text: Column, regex: str) -> Column:
 
     def cut(pairs: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: placed(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK))))
-        return F.when(F.size(pairs) == 0, none).when(F.size(pairs) <= CHUNK, placed(pairs)["out"]).otherwise(let(chunks, moved))
+        return F.when(F.size(pairs) <= CHUNK, placed(pairs)["out"]).otherwise(let(chunks, moved))
+
+    def around(found: Column) -> Column:
+        return F.when(F.size(found) == 0, none).otherwise(let(pieces(text, regex), lambda gaps: let(paired(gaps, found), cut)))
 
-    both = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"))
-    return let(both, lambda b: let(paired(b["gaps"], b["found"]), cut))
+    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), around)
 
 
 def located(text: Column, regex: str) -> Column:
@@ -91,9 +107,10 @@ def _phone(m: Column) -> Column:
 
 
 def _old(m: Column) -> Column:
-    """An old era, or a year of the calendar up to the last old one."""
+    """An old era, or a year of the calendar up to the last old one. Years of four digits are compared as they are
+    written: a cast that fails, as of no year at all, makes an error for each text."""
     plain = half_digits(m["orig"])
-    return plain.rlike("^(?:" + "|".join(OLD_ERAS) + ")") | F.regexp_extract(plain, "^([0-9]{4})", 1).try_cast("int").between(*OLD_YEARS)
+    return plain.rlike("^(?:" + "|".join(OLD_ERAS) + ")") | F.regexp_extract(plain, "^([0-9]{4})", 1).between(*map(str, OLD_YEARS))
 
 
 def _age(m: Column) -> Column:

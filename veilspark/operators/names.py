@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import address_lumps
-from ..functions.patterns import SPAN, candidates, let
+from ..functions.patterns import SPAN, candidates, let, pieces
 from ..storage import kept, salted_join, small, spread_join
 from . import codebook
 from .mask import FOUND, UNIT, Masked, apply_found
@@ -56,18 +56,15 @@ def _everywhere(text: Column, words: list[str]) -> Column:
     """All places of the words, which are of one length, also where they overlap: array<struct<st, orig>>."""
     ahead = "(?=(" + "|".join(map(re.escape, words)) + "))"
     none = F.array().cast("array<struct<st:int,orig:string>>")
-    both = F.struct(F.split(text, ahead, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(ahead), F.lit(1)).alias("found"))
 
     def step(acc: Column, p: Column) -> Column:
         return F.struct((acc["at"] + F.length(p["piece"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["piece"])).alias("st"), p["v"].alias("orig")))).alias("out"))
 
-    def placed(b: Column) -> Column:
-        # A split drops the empty piece before a match at the start.
-        pieces = F.when(F.size(b["pieces"]) > F.size(b["found"]), b["pieces"]).otherwise(F.concat(F.array(F.lit("")), b["pieces"]))
-        pairs = F.zip_with(F.slice(pieces, 1, F.size(b["found"])), b["found"], lambda p, v: F.struct(p.alias("piece"), v.alias("v")))
-        return F.when(F.size(b["found"]) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(pieces(text, ahead), 1, F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("v")))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
 
-    return let(both, placed)
+    return let(F.regexp_extract_all(text, F.lit(ahead), F.lit(1)), placed)
 
 
 def name_candidates(units: DataFrame, entries: DataFrame, expression_surfaces: int = EXPRESSION_SURFACES) -> DataFrame:
