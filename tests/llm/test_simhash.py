@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import simhash
+from veilspark.llm import components, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -126,3 +126,31 @@ def test_rows_of_the_largest_group_are_not_crossed(spark, monkeypatch):
     roots = simhash.united(keyed, [], lambda x, y: F.bit_count(F.col(f"{x}.class").bitwiseXOR(F.col(f"{y}.class"))) <= 4)
     assert {r["node"]: r["root"] for r in roots.collect()} == dict.fromkeys(classes[1:-1], 0)
     assert sides[-1].count() == 2
+
+
+def test_hot_keys_are_counted_over_tables(spark, monkeypatch):
+    # Counted over a join with the first side's classes, that join ran twice more.
+    texts = [" ".join(f"w{j}" if j else f"x{i}" for j in range(60)) for i in range(40)]
+    docs, real, plans = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash.hot_keys, []
+
+    def counted(pairs, keys):
+        plans.append(pairs._jdf.queryExecution().analyzed().toString())
+        return real(pairs, keys)
+
+    monkeypatch.setattr(simhash, "hot_keys", counted)
+    assert {r["component_id"] for r in simhash.similar_groups(docs).collect()} == {0}
+    assert plans and not any("Join" in p for p in plans)
+
+
+def test_further_links_extend_roots(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 2000 + i) for i in range(50)]
+    rng.shuffle(edges)
+    first, later = (spark.createDataFrame(e, "a long, b long") for e in (edges[:170], edges[170:]))
+    got = {r["node"]: r["root"] for r in components.extended(components.components(first), later).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {a: b for a, b in root.items() if a != b}
+    assert components.extended(components.components(first.limit(0)), later.limit(0)).count() == 0

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import HOT_KEYS, dimension_join, hot_keys, kept, salted_join, skewed_join, work_folder
+from ..storage import HOT_KEYS, dimension_join, hot_keys, kept, salted_join, skewed_join, spread_join, work_folder
 
-__all__ = ["HOT_KEYS", "WORD", "dimension_join", "documents", "free_names", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "work_folder"]
+__all__ = ["HOT_KEYS", "WORD", "dimension_join", "documents", "free_names", "hot_keys", "kept", "ranked", "salted_join", "skewed_join", "spread_join", "work_folder"]
 
 #: A word: what stands between white space, that is space and 0x09 to 0x0D.
 WORD = r"[^ \t-\r]+"

@@ -5,31 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, salted_join
+from ..storage import BROADCAST_ROWS, ROWS_OF_A_TASK
+from .common import hot_keys, kept, salted_join, skewed_join, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (or other) neighbours to the smallest node around it."""
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """Link each node's larger (or other) neighbours to the smallest node around it. rows: about how many edges
+    there are; few are joined by a broadcast and stay in as many tasks as they need."""
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    met = salted_join(around, least, ["a"], F.col("b"), salts=8)
+    tasks = -(-rows // ROWS_OF_A_TASK) or 1
+    least = around.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")).coalesce(tasks)
+    met = around.join(F.broadcast(least), "a") if rows <= BROADCAST_ROWS // 2 else salted_join(around, least, ["a"], F.col("b"), salts=8)
     if large:
-        return met.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        return met.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct().coalesce(tasks)
     own = least.filter("a <> least").select("a", F.col("least").alias("b"))
-    return met.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own).distinct()
+    return met.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own).distinct().coalesce(tasks)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge (a, b) at most and no b has any: all edges lead to roots."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    return nodes.filter("out > 1 or out = 1 and into = 1").isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root, the smallest node that it reaches, for the nodes of edges (a, b). Each round is
-    written to the shared folder; only its count and checksum reach the driver."""
-    edges, before = edges.select("a", "b").filter("a <> b"), None
+    """node and root, the smallest node that it reaches, for the nodes of edges (a, b) that aren't roots. Each
+    round is written to the shared folder; only its count reaches the driver."""
+    edges = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        edges = kept(_star(_star(edges, large=True), large=False), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _settled(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        rows = edges.count()
+        edges = kept(_star(_star(edges, True, rows), False, rows), "stars")
     raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots, as `components` returns them, after further links (a, b). Only what these unite is crossed again: links between
+    roots, and not those that made the roots."""
+    for end, other in (("a", "b"), ("b", "a")):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        links = kept(skewed_join(links, named, [end], F.col(other), hot_keys(links, [end]), "left").select(F.coalesce("_root", end).alias(end), other), "ends")
+    more = kept(components(links), "more")
+    moved = spread_join(roots, more.select(F.col("node").alias("root"), F.col("root").alias("_root")), ["root"], F.col("node"), "left")
+    return moved.select("node", F.coalesce("_root", "root").alias("root")).unionByName(more)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, dimension_join, hot_keys, kept, skewed_join
-from .components import components
+from .components import components, extended
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Of the use by similarity: bands of least hashes and hashes of a band.
@@ -169,8 +169,7 @@ def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[
     if leading is not None:
         more = placed.filter(F.pmod(F.xxhash64("key", "me.class"), F.col("rows")) < leading).select("key", F.col("me").alias("leader"), F.col("root").alias("led"))
         stars = kept(pairs_of(met_in_blocks(placed, more).filter("root <> led"), "me", "leader", near).join(judged, ["a", "b"], "left_anti"), "stars")
-        links, judged = kept(links.union(verified(stars)), "links"), judged.union(stars)
-        roots = kept(components(links), "united")
+        judged, roots = judged.union(stars), kept(extended(roots, kept(verified(stars), "links")), "united")
         placed = kept(rooted(placed.drop("root"), roots, "me.class", "root"), "placed")
     # Of two rows in different groups one at least is outside of the block's largest.
     largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("groups"))
@@ -182,7 +181,7 @@ def united(keyed: DataFrame, carried: list[str], near: Near, verified: Callable[
     rest = kept(pairs_of(rest, "me", "other", near).join(judged, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
-    return components(kept(links.union(verified(rest)), "links"))
+    return extended(roots, kept(verified(rest), "links"))
 
 
 def grouped(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -337,16 +336,19 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
         wide = whole(wide.join(chosen.select("class", "n"), "class"), WIDE)
         return rows.join(wide, F.col("me.class") == wide["class"]).drop("me", "class").withColumnRenamed("whole", "me")
 
-    def with_class(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
-        other = "b" if side == "a" else "a"
-        return skewed_join(pairs, table.withColumnRenamed("class", side), [side], F.col(other), hot_keys(pairs, [side]))
+    def with_both(pairs: DataFrame, table: DataFrame, column: str, x: str, y: str) -> DataFrame:
+        """pairs, a table, with `column` of a as x and of b as y. Hot keys are those of the pairs, not of a join that counting would run again."""
+        hot = {side: hot_keys(pairs, [side]) for side in ("a", "b")}
+        for side, other, name in (("a", "b", x), ("b", "a", y)):
+            pairs = skewed_join(pairs, table.select(F.col("class").alias(side), F.col(column).alias(name)), [side], F.col(other), hot[side])
+        return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        met = with_class(with_class(pairs, prints.withColumnRenamed("whole", "p"), "a"), prints.withColumnRenamed("whole", "q"), "b")
+        met = with_both(pairs, prints, "whole", "p", "q")
         close = kept(met.filter(nearer("p", "q")).select("a", "b"), "close")
         wanted = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
         sets = kept(sets_of(docs, classes.select("class", "h").join(wanted, "class"), shingle), "sets")
-        met = with_class(with_class(close, sets.withColumnRenamed("shingles", "x"), "a"), sets.withColumnRenamed("shingles", "y"), "b")
+        met = with_both(close, sets, "shingles", "x", "y")
         both = F.size(F.array_intersect("x", "y"))
         return met.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
