@@ -83,3 +83,9 @@ def test_no_text_is_cast_in_vain_and_texts_are_cut_at_a_sign(spark):
     rows = {r["i"]: r for r in got.collect()}
     assert {i: [(s["st"], s["orig"]) for s in r["s"]] for i, r in rows.items()} == {0: [(0, "昭和9年1月2日"), (9, "S.30.4.5"), (18, "1964/7/8")], 1: [(1, "1964/7/8"), (11, "1930/1/2")], 2: [], 3: [], 4: []}
     assert rows[1]["p"] == ["\x1e", "1964/7/8\x1eと", "1930/", "1/2"] and rows[2]["p"] == ["なし"] and rows[3]["p"] == [""]
+
+
+@pytest.mark.parametrize("query", ["nearest_people"])
+def test_rows_of_many_keys_are_not_broadcast(spark, customers, query):
+    # Their size is guessed from the keys, before each becomes several rows.
+    assert "BroadcastExchange" not in plan(cases.QUERIES[query](spark, customers))

@@ -118,6 +118,6 @@ def nearest_person(units: DataFrame, mentions: DataFrame, within: int = 3) -> Da
     """For each unit the person mentioned nearest to it in its document, at most `within` units away;
     at equal distance the later unit wins. mentions: doc_id, seq, person."""
     spread = mentions.select("doc_id", "person", F.col("seq").alias("m_seq"), F.explode(F.sequence(F.col("seq") - within, F.col("seq") + within)).alias("seq"))
-    met = units.select("doc_id", "seq").join(spread, ["doc_id", "seq"])
+    met = units.select("doc_id", "seq").join(shuffled(spread), ["doc_id", "seq"])
     best = F.min_by("person", F.struct(F.abs(F.col("m_seq") - F.col("seq")), -F.col("m_seq"), F.col("person")))
     return met.groupBy("doc_id", "seq").agg(best.alias("person"), F.min(F.abs(F.col("m_seq") - F.col("seq"))).alias("distance"))
