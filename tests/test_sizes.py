@@ -85,7 +85,7 @@ def test_no_text_is_cast_in_vain_and_texts_are_cut_at_a_sign(spark):
     assert rows[1]["p"] == ["\x1e", "1964/7/8\x1eと", "1930/", "1/2"] and rows[2]["p"] == ["なし"] and rows[3]["p"] == [""]
 
 
-@pytest.mark.parametrize("query", ["nearest_people"])
+@pytest.mark.parametrize("query", ["nearest_people", "colliding_renames"])
 def test_rows_of_many_keys_are_not_broadcast(spark, customers, query):
     # Their size is guessed from the keys, before each becomes several rows.
     assert "BroadcastExchange" not in plan(cases.QUERIES[query](spark, customers))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import DATE, located
 from ..functions.text import flexible_date, norm_name
+from ..storage import shuffled
 from .mask import UNIT
 from .suspects import category
 
@@ -83,7 +84,7 @@ def rename_collisions(files: DataFrame) -> DataFrame:
     """Files (dir, from, to) whose new name another file of the folder gets or has, with how many do."""
     taken = files.groupBy("dir", "to").agg(F.count("*").alias("n"))
     stays = files.filter(F.col("from") == F.col("to")).select("dir", "to").distinct().withColumn("is_there", F.lit(True))
-    met = files.filter(F.col("from") != F.col("to")).join(taken, ["dir", "to"]).join(stays, ["dir", "to"], "left")
+    met = files.filter(F.col("from") != F.col("to")).join(shuffled(taken), ["dir", "to"]).join(shuffled(stays), ["dir", "to"], "left")
     return met.filter((F.col("n") > 1) | F.coalesce("is_there", F.lit(False))).select("dir", "from", "to", "n")
 
 
