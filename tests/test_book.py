@@ -1,7 +1,9 @@
 """Codes in a stream's state and rows handed over once, over several batches."""
 
 import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 
 from veilspark.streaming import book
@@ -62,3 +64,54 @@ def test_rows_are_handed_over_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         got = book.run(book.handed_over(stream), path).collect()
         assert len(got) == upto == len({(r.a, r.b) for r in got}) == len({r.content_hash for r in got})
+
+
+class Handle:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+
+def test_a_counter_holds_no_more_than_a_chunk(spark):
+    def chunks():
+        for c in reversed(range(60)):
+            ids = range(c * 5000, c * 5000 + 5000)
+            yield pd.DataFrame({"doc_id": ids, "part_no": 0, "seq": 0, "st": 0, "prefix": "p", "orig": [f"original-{i % 7}" for i in ids], "part": 3})
+
+    counter = book.Counter(16)
+    counter.init(Handle())
+    tracemalloc.start()
+    rows, codes, new = 0, {}, {}
+    for out in counter.handleInputRows(("p", 3), chunks(), None):
+        rows += len(out)
+        codes |= dict(zip(out["orig"], out["n"], strict=True))
+        new |= {o: d for o, d, n in zip(out["orig"], out["doc_id"], out["new"], strict=True) if n}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 300_000 and peak < 12e6
+    assert codes == {f"original-{i}": 16 * i + 4 for i in range(7)} and new == {f"original-{i}": i for i in range(7)}

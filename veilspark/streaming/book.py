@@ -14,6 +14,8 @@ A batch that fails is run again from the state before it, so it gives the same c
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ PARTS = 16
 #: Spark keeps entries of a state apart in this store only.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+#: Where a place without a value stands: before all others.
+NULL = float("-inf")
 CODED = "doc_id long, part_no int, seq int, st int, prefix string, orig string, n long, new boolean"
 
 
@@ -51,23 +55,37 @@ class Counter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         prefix, part = key
-        # The rows of a batch for one part: as many as a trigger's limits let in, over the parts.
-        frame = pd.concat(list(rows)).sort_values(ORDER, kind="stable", na_position="first")
-        given = self.given.get()[0] if self.given.exists() else 0
-        numbers, before = {}, given
-        for orig in frame["orig"].drop_duplicates():
-            if self.known.containsKey((orig,)):
-                numbers[orig] = (self.known.getValue((orig,))[0], False)
-            else:
-                numbers[orig] = (given * self.parts + int(part) + 1, True)
-                self.known.updateValue((orig,), (numbers[orig][0],))
-                given += 1
-        if given > before:
-            self.given.update((given,))
-        # The first row of a new original is the one that goes into the book.
-        first = ~frame["orig"].duplicated()
-        out = frame[ORDER].astype("Int64")
-        yield out.assign(prefix=prefix, orig=frame["orig"], n=frame["orig"].map(lambda o: numbers[o][0]), new=frame["orig"].map(lambda o: numbers[o][1]) & first)[["doc_id", "part_no", "seq", "st", "prefix", "orig", "n", "new"]]
+        with tempfile.TemporaryFile() as spool:
+            # Rows are put aside chunk by chunk; of each original only the first of its rows is held.
+            first: dict[str, tuple] = {}
+            chunks = 0
+            for frame in rows:
+                frame = frame[[*ORDER, "orig"]].astype(dict.fromkeys(ORDER, "Int64")).reset_index(drop=True)
+                pickle.dump(frame, spool)
+                led = frame.sort_values(ORDER, kind="stable", na_position="first").drop_duplicates("orig")
+                for orig, at, *place in zip(led["orig"], led.index, *(led[c].to_numpy(object, na_value=NULL) for c in ORDER), strict=True):
+                    row = (*place, chunks, at)
+                    if orig not in first or row < first[orig]:
+                        first[orig] = row
+                chunks += 1
+            given = before = self.given.get()[0] if self.given.exists() else 0
+            numbers: dict[str, int] = {}
+            for orig in sorted(first, key=first.__getitem__):
+                if self.known.containsKey((orig,)):
+                    numbers[orig] = self.known.getValue((orig,))[0]
+                    del first[orig]
+                else:
+                    numbers[orig] = given * self.parts + int(part) + 1
+                    self.known.updateValue((orig,), (numbers[orig],))
+                    given += 1
+            if given > before:
+                self.given.update((given,))
+            spool.seek(0)
+            for chunk in range(chunks):
+                out = pickle.load(spool)  # noqa: S301  written above
+                # The first row of a new original is the one that goes into the book.
+                new = [first.get(o, ())[-2:] == (chunk, at) for at, o in enumerate(out["orig"])]
+                yield out.assign(prefix=prefix, n=out["orig"].map(numbers), new=new)[[*ORDER, "prefix", "orig", "n", "new"]]
 
     def close(self) -> None:
         pass
