@@ -1,11 +1,14 @@
 """The pipeline stage by stage on the smallest tables."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.llm import language
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -83,3 +86,13 @@ def test_odd_rows_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
         assert none.count() == 0
+
+
+def test_training_holds_no_row_of_buckets_for_each_text():
+    tracemalloc.start()
+    try:
+        model = language.train([f"{'wort' if i % 2 else 'mot'} {i % 9} und".encode() for i in range(1000)], [str(i % 2) for i in range(1000)], epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 1000 * language.BUCKETS * 4
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["0", "1"]

@@ -142,6 +142,21 @@ def test_hot_keys_are_counted_over_tables(spark, monkeypatch):
     assert plans and not any("Join" in p for p in plans)
 
 
+def test_rounds_of_few_edges_are_one_task(spark, monkeypatch):
+    """Without shuffle and broadcast, which each round made before; with the same stars as over shuffles."""
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(200), rng.randrange(200)) for _ in range(300)], "a long, b long").filter("a <> b")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    for large in (True, False):
+        star = components._star(edges, large, 300)
+        plan = star._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and star.rdd.getNumPartitions() == 1
+        assert key(star) == key(components._star(edges, large, components.EDGES_OF_A_TASK + 1))
+    few = key(components.components(edges))
+    monkeypatch.setattr(components, "EDGES_OF_A_TASK", 0)
+    assert key(components.components(edges)) == few
+
+
 def test_further_links_extend_roots(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 2000 + i) for i in range(50)]

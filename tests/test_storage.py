@@ -16,6 +16,20 @@ def test_skewed_join_equals_join(spark):
         assert key(skewed_join(big, one, ["k"], F.col("id"), hot, how)) == key(big.join(one, "k", how))
 
 
+def test_few_hot_keys_are_not_broadcast(spark):
+    """Few keys are named in the plan, none leave a plain join, many are broadcast; each equals the join. Before, all were broadcast."""
+    big = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(200)).cast("string")).alias("k"))
+    one = spark.range(0, 200, 3).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    key = lambda df: sorted(map(str, df.select("id", "k", "v").collect()))
+    for n, sent in ((0, False), (1, False), (64, False), (65, True)):
+        hot = spark.createDataFrame([(str(i),) for i in range(n)] + [(None,)] * (n == 1), "k string")
+        for how in ("inner", "left"):
+            joined = skewed_join(big, one, ["k"], F.col("id"), hot, how)
+            plan = joined._jdf.queryExecution().analyzed().toString()
+            assert ("strategy=broadcast" in plan, "_salt" in plan) == (sent, n > 0)
+            assert key(joined) == key(big.join(one, "k", how))
+
+
 def test_ranks_within_few_large_groups(spark):
     df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id")
     rows = sorted(ranked_within(df, "g", ["v", "id"], "n").collect(), key=lambda r: (r["g"], r["v"], r["id"]))

@@ -66,6 +66,14 @@ def counts(text: bytes) -> np.ndarray:
     return total / max(1.0, total.sum())
 
 
+def dense(seen: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of all buckets for each text, from those that occur in it; only a few texts have such rows at once."""
+    x = np.zeros((len(seen), BUCKETS), dtype=np.float32)
+    for row, (at, share) in zip(x, seen, strict=True):
+        row[at] = share
+    return x
+
+
 def runs_of_three(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes below 2 ** 24 of the runs of three folded bytes, and which are more than spaces."""
     code = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
@@ -96,9 +104,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float =
     share of true texts that the threshold may reject."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    x = np.zeros((len(texts), BUCKETS), dtype=np.float32)
-    for i, text in enumerate(texts):
-        x[i] = counts(text)
+    seen = [(at := np.flatnonzero(c := counts(t)).astype(np.uint16), c[at].astype(np.float32)) for t in texts]
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
@@ -110,7 +116,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float =
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 16)):
-            rows = x[batch]
+            rows = dense([seen[i] for i in batch])
             average = rows @ embedding
             z = average @ softmax + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -127,7 +133,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 30, rate: float =
         known[runs_of_three(FOLD[np.frombuffer(texts[i] + b"  ", dtype=np.uint8)])[0]] = True
     model = Model(languages, embedding @ softmax, bias, 1.0, 0.0, np.packbits(known), 0.0)
     check = np.flatnonzero(left_out) if left_out.any() else fit
-    z = x[check] @ model.table
+    z = np.concatenate([dense([seen[i] for i in check[at : at + 64]]) @ model.table for at in range(0, len(check), 64)])
 
     def loss(t: float) -> float:
         model.temperature = t

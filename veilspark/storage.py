@@ -103,14 +103,36 @@ def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
     return kept(big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*keys), "hot-keys")
 
 
+#: Hot keys up to which a plan names them; more are broadcast.
+NAMED_KEYS = 64
+
+
+def named_keys(hot: DataFrame) -> list | None:
+    """The keys of hot, read once, if they are whole numbers or texts and at most NAMED_KEYS. The driver holds a broadcast table
+    of one key in a megabyte or two until it collects garbage, and one is made for each side of a join."""
+    if "_named_keys" not in hot.__dict__:
+        plain = len(hot.columns) == 1 and hot.dtypes[0][1] in ("int", "bigint", "string")
+        found = hot.limit(NAMED_KEYS + 1).collect() if plain else []
+        hot._named_keys = [r[0] for r in found if r[0] is not None] if plain and len(found) <= NAMED_KEYS else None
+    return hot._named_keys
+
+
 def skewed_join(big: DataFrame, one: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = 64, wide: bool = False) -> DataFrame:
     """Join in which only hot keys are salted. `hot` (the keys alone) has at most HOT_KEYS rows however
-    large the tables are, so it is broadcast; `one` has one row for a key and is repeated for hot ones. wide: as in salted_join."""
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    large the tables are, so it is named in the plan or broadcast; `one` has one row for a key and is repeated for hot ones. wide: as in salted_join."""
+    names = named_keys(hot)
+    if names is None:
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        big, one = big.join(marked, keys, "left"), one.join(marked, keys, "left")
+    elif names:
+        is_hot = F.col(keys[0]).isin(names)
+        big, one = big.withColumn("_hot", is_hot), one.withColumn("_hot", is_hot)
+    else:
+        return big.join(shuffled(one) if wide else one, keys, how)
     part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    big = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+    big = big.withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    one = one.join(marked, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    one = one.withColumn("_salt", F.explode(parts)).drop("_hot")
     return big.join(shuffled(one) if wide else one, [*keys, "_salt"], how).drop("_salt")
 
 
