@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark import storage
 from veilspark.functions import patterns
-from veilspark.operators import asof, registry
+from veilspark.operators import asof, codebook, registry
 from veilspark.plans import broken, cases
 from veilspark.sources import batches, ooxml, tables
 
@@ -89,3 +89,21 @@ def test_no_text_is_cast_in_vain_and_texts_are_cut_at_a_sign(spark):
 def test_rows_of_many_keys_are_not_broadcast(spark, customers, query):
     # Their size is guessed from the keys, before each becomes several rows.
     assert "BroadcastExchange" not in plan(cases.QUERIES[query](spark, customers))
+
+
+ORIGINALS = ("12345678", "1234567890123456", "a.b@c.example", "the.given.name.of.somebody@c.example", "03-1234-5678", "昭和15年3月2日", "99年9月", "x@y.zz", "1@b.example")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_gate_makes_rows_of_runs_with_a_sign_only(spark, monkeypatch, few):
+    met, join = [], codebook.salted_join
+    monkeypatch.setattr(codebook, "small", lambda df: few)
+    monkeypatch.setattr(codebook, "salted_join", lambda big, *a, **kw: met.append(big) or join(big, *a, **kw))
+    rest = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(4_000))
+    texts = [*ORIGINALS, *(f"{o}{rest}" for o in ORIGINALS), *(f"{rest}9{o}1{rest}" for o in ORIGINALS), rest + "".join(ORIGINALS), "\x1e".join(ORIGINALS), "1234567", "", None, rest]
+    rows = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "doc_id long, part_no int, seq int, masked string")
+    book = spark.createDataFrame([(f"型|番号|{o}", "番号", i, f"【番号{i:03}】", o, o, False, False) for i, o in enumerate(ORIGINALS)], codebook.SCHEMA)
+    got = codebook.leftovers(rows, book).filter(F.col("orig").isin(*ORIGINALS))
+    assert {(r["doc_id"], r["orig"]) for r in got.collect()} == {(i, o) for i, t in enumerate(texts) for o in ORIGINALS if len(o) >= 6 and o in (t or "")}
+    # Were each character a row, they would be some 80,000.
+    assert len(met) == (not few) and all(df.count() < 5_000 for df in met)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CODE, TOKEN, located
+from ..functions.patterns import CODE, CUT, TOKEN, let, located
 from ..functions.text import norm_name, sanitize_prefix
 from ..storage import dimension_join, hot_keys, kept, ranked_within, salted_join, skewed_join, small
 from .spans import replaced
@@ -91,8 +91,12 @@ def restore(units: DataFrame, book: DataFrame, text: str = "text", unit: tuple[s
     return out.unionByName(units.filter(~coded).withColumn("restored", F.col(text)).withColumn("unknown", none))
 
 
-#: Characters of an original that the gate looks it up by.
+#: Characters that an original has for the gate to look for it.
 KEY_CHARS = 6
+#: Further lengths by which originals are looked up, so that few share what longer ones are looked up by.
+LONG_KEYS = (8, 11, 16)
+#: Of these every original of a shape has one at least.
+SIGNS = "0-9０-９@"
 
 
 def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", registry: DataFrame | None = None, at_least: int = KEY_CHARS) -> DataFrame:
@@ -100,8 +104,8 @@ def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", registry:
 
     That are mail addresses, names and addresses of the registry, and originals of shapes in the book that
     have `at_least` characters, wherever they stand, also inside other words; runs of one digit are
-    forgiven. Originals meet the texts by their first characters, as do all runs of so many characters of a
-    text with a digit or an at sign, and are then looked for in full."""
+    forgiven. Originals meet the texts by a key, some of their characters with a digit or an at sign among them; only
+    such runs of a text are rows. They are then looked for in full, in a text that is moved once."""
     from ..functions.patterns import SHAPES, shape_spans
     from . import names
 
@@ -113,12 +117,19 @@ def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", registry:
         spans = names.find_spans(rows, registry).filter(F.col("space") != "型")
         found.append(spans.select(*unit, F.col("matched").alias("orig")))
     known = book.filter(F.col("key").startswith("型|") & (F.length("orig") >= at_least) & ~F.col("orig").rlike(r"^(\d)\1*$")).select("orig").distinct()
-    known = known.withColumn("gram", F.left("orig", F.lit(at_least)))
-    with_shape = rows.filter(F.col("text").rlike("[0-9０-９@]"))
-    grams = with_shape.select(*unit, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{at_least}}}))"), F.lit(1)))).alias("gram"))
-    keys = known.select("gram").distinct()
-    met = grams.join(F.broadcast(keys), "gram", "left_semi") if small(keys) else salted_join(grams, keys, ["gram"], F.struct(*unit), salts=8)
-    near = with_shape.join(met.groupBy(*unit).agg(F.collect_set("gram").alias("grams")), unit).select(*unit, "text", F.explode("grams").alias("gram"))
-    near = dimension_join(near, known, "gram").filter(F.col("text").contains(F.col("orig")))
-    found.append(near.select(*unit, "orig"))
+    lengths = sorted({at_least, *(n for n in LONG_KEYS if n > at_least)})
+    n = reduce(lambda out, k: F.when(F.length("orig") >= k, k).otherwise(out), lengths[1:], F.lit(at_least))
+    # The first characters of an original or, if its first sign stands behind them, those that end there.
+    sign = F.length(F.regexp_extract("orig", f"^[^{SIGNS}]*", 0)) + 1
+    known = known.select("orig", F.substring("orig", F.greatest(F.lit(1), sign + 1 - n), n).alias("gram"))
+    with_shape = rows.filter(F.col("text").rlike(f"[{SIGNS}]"))
+    around = f"[^{SIGNS}]{{{lengths[-1] - 1}}}"
+    # Of long stretches without a sign only what a run with one can reach.
+    cut = F.regexp_replace("text", F.lit(f"({around})[^{SIGNS}]+({around})"), F.lit(f"$1{CUT}$2"))
+    runs = lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=[^{SIGNS}]{{0,{k - 1}}}[{SIGNS}])(?=(.{{{k}}}))"), F.lit(1)) for k in lengths])
+    grams = with_shape.select(*unit, F.explode(F.array_distinct(let(cut, runs))).alias("gram"))
+    met = grams.join(F.broadcast(known), "gram") if small(known) else salted_join(grams, known, ["gram"], F.struct(*unit), salts=8, wide=True)
+    near = with_shape.join(met.groupBy(*unit).agg(F.collect_set("orig").alias("origs")), unit)
+    near = near.select(*unit, F.explode(F.filter("origs", lambda o: F.col("text").contains(o))).alias("orig"))
+    found.append(near)
     return reduce(DataFrame.unionByName, found).distinct()
