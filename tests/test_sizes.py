@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspark import storage
 from veilspark.functions import patterns
 from veilspark.operators import asof, codebook, registry
-from veilspark.plans import broken, cases
+from veilspark.plans import broken, cases, linked
 from veilspark.sources import batches, ooxml, tables
 
 
@@ -107,3 +107,27 @@ def test_gate_makes_rows_of_runs_with_a_sign_only(spark, monkeypatch, few):
     assert {(r["doc_id"], r["orig"]) for r in got.collect()} == {(i, o) for i, t in enumerate(texts) for o in ORIGINALS if len(o) >= 6 and o in (t or "")}
     # Were each character a row, they would be some 80,000.
     assert len(met) == (not few) and all(df.count() < 5_000 for df in met)
+
+
+@pytest.mark.parametrize("hot_rows, tables", [(0, 2), (150, 2), (10_000, 1)])
+def test_as_of_deals_hot_keys_only_by_range(spark, monkeypatch, hot_rows, tables):
+    written = []
+    monkeypatch.setattr(asof, "kept", lambda df, what: written.append(df) or storage.kept(df, what))
+    monkeypatch.setattr(asof, "HOT_ROWS", hot_rows)
+    key = lambda i: "hot" if i % 3 else f"k{i % 7}"
+    rows, past = [(key(i), i * 31 % 100, i) for i in range(600)], [(key(i), i * 17 % 100, i) for i in range(0, 300, 2)]
+    left, right = spark.createDataFrame(rows, "k string, at int, n int"), spark.createDataFrame(past, "k string, at int, r int")
+    got = {r["n"]: r["found"] and tuple(r["found"]) for r in asof.as_of(left, right, ["k"], "at", ["r"]).collect()}
+    want = {n: max(((k, t, r) for k, t, r in past if k == q and t <= at), key=lambda p: p[1:], default=None) for q, at, n in rows}
+    assert got == want and len(written) == tables
+    # Keys and times stand there once, beside what else the two tables have.
+    assert written[0].columns == ["_k0", "_at", "_side", "_past", "_row"] and [written[0].schema[c].dataType.names for c in ("_past", "_row")] == [["r"], ["n"]]
+
+
+def test_orders_are_staged_by_key_and_met_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(asof, "kept", lambda df, what: written.append(df) or storage.kept(df, what))
+    df = linked.restaged_orders(spark, "/root/testdata/sf0.001")
+    assert dict(written[0].dtypes)["_k0"] == "bigint" and "_row:struct<stage:bigint>" in written[0]._jdf.schema().simpleString()
+    # What was met is read from the table; the orders aren't read again for those without a key.
+    assert "Join" not in plan(df) and df.count() > 0

@@ -1,7 +1,8 @@
 """As-of join: for each row the last row of another table at or before it, and what a ledger says by it.
 
-Keys may be hot: both tables are dealt by range of key and time together, so a key's rows lie in many
-parts, are merged in each, and the last row of a part is carried to the parts behind it.
+Both tables are written once, as one, and dealt by key. Keys may be hot: their rows are dealt by range of key and
+time, so a key's rows lie in many parts, are merged in each, and the last row of a part is carried to the parts
+behind it.
 """
 
 from __future__ import annotations
@@ -10,10 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import dimension_join, kept, shuffled
+from ..storage import HOT_KEYS, ROWS_OF_A_TASK, dimension_join, kept, shuffled
 from .lineage import views
 
 
+#: Keys that are watched to find the hot ones; as many as this that a key of 1 / HOT_KEYS of all rows can't be missed.
+WATCHED_KEYS = 10_000
+#: Rows up to which a key isn't hot, whatever its share.
+HOT_ROWS = ROWS_OF_A_TASK
+
+
+def _hot(parts: DataFrame, key: Column) -> list[int]:
+    """The hashes key of parts, a table, that have more than 1 / HOT_KEYS of its rows. Each task counts on its own."""
+    tops = F.call_function("approx_top_k", key, F.lit(HOT_KEYS), F.lit(WATCHED_KEYS)).alias("tops")
+    n, found = parts.agg(F.count("*"), tops).first()
+    return [r["item"] for r in found or () if r["count"] > max(n / HOT_KEYS, HOT_ROWS)]
+
+
 def as_of(rows: DataFrame, past: DataFrame, keys: list[str], at: str, ties: list[str], strictly: bool = False) -> DataFrame:
     """rows with `found`: the row of past (a struct of its columns) with equal keys and the largest `at`
     not after theirs (with strictly: before theirs), of equal ones that with the largest `ties`; null if
@@ -21,33 +35,48 @@ def as_of(rows: DataFrame, past: DataFrame, keys: list[str], at: str, ties: list
 
     Rows with a null key or time find nothing and stay; rows of past with one are never found. Repeated
     rows stay repeated, and an empty table of either kind is fine. Columns of both tables may share names."""
-    # Keys are written once; what is found gets them back from the row.
-    lean = lambda df: F.struct(F.lit(True).alias("_there"), *[df[c] for c in df.columns if c not in keys])
+    # Keys and times are written once; rows, and what they find, get them back.
+    def lean(df: DataFrame) -> Column:
+        return F.struct(*[df[c] for c in df.columns if c not in (*keys, at)] or [F.lit(True).alias("_there")])
+
     whole, here = lean(past), lean(rows)
-    able = lambda df: df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, at))))
     key, time = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(at).alias("_at")
-    mine = able(rows).select(*key, time, F.lit(0 if strictly else 1).alias("_side"), F.lit(None).cast(past.select(F.struct(*ties)).schema[0].dataType).alias("_tie"), F.lit(None).cast(past.select(whole.alias("s")).schema[0].dataType).alias("_past"), here.alias("_row"))
-    theirs = able(past).select(*key, time, F.lit(1 if strictly else 0).alias("_side"), F.struct(*ties).alias("_tie"), whole.alias("_past"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
     names = [f"_k{i}" for i in range(len(keys))]
     key_of = {c: F.col(n) for c, n in zip(keys, names, strict=True)}
+    able = F.expr(" AND ".join(f"{n} IS NOT NULL" for n in (*names, "_at")))
+    side = lambda n: F.lit(n).cast("byte").alias("_side")
+    mine = rows.select(*key, time, side(0 if strictly else 1), F.lit(None).cast(past.select(whole.alias("s")).schema[0].dataType).alias("_past"), here.alias("_row"))
+    theirs = past.select(*key, time, side(1 if strictly else 0), whole.alias("_past"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row")).filter(able)
+    parts = kept(mine.unionByName(theirs), "as-of")
+
+    def filled(df: DataFrame, s: str, time: str) -> Column:
+        return F.struct(*[(key_of[c] if c in key_of else F.col(time).cast(df.schema[at].dataType) if c == at else F.col(s)[c]).alias(c) for c in df.columns])
+
+    def with_found(df: DataFrame, seen: str) -> DataFrame:
+        return df.select(filled(rows, "_row", "_at").alias("_row"), F.when(F.col(seen).isNotNull(), filled(past, f"{seen}.past", f"{seen}.at")).alias("found"))
+
+    order = ["_at", "_side", *[F.col("_past")[c] for c in ties if c not in (*keys, at)]]
+    there = F.when(F.col("_past").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_past").alias("past")))
+
+    def last_seen(df: DataFrame, *group: str) -> DataFrame:
+        w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn("_seen", F.last(there, ignorenulls=True).over(w)).filter("_row IS NOT NULL")
 
-    def filled(s: str, columns: list[str]) -> Column:
-        return F.struct(*[key_of.get(c, F.col(s)[c]).alias(c) for c in columns])
-
-    order = ["_at", "_side", "_tie"]
-    parts = kept(mine.unionByName(theirs).repartitionByRange(*names, *order).withColumn("_part", F.spark_partition_id()), "as-of")
-    seen = F.last("_past", ignorenulls=True).over(W.partitionBy("_part", *names).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    # A row for each key of a part: parts are as many as the shuffle has, however hot a key is.
-    ends = parts.groupBy(*names, "_part").agg(F.max_by("_past", F.when(F.col("_past").isNotNull(), F.struct(*order))).alias("_end"))
-    carried = F.last("_end", ignorenulls=True).over(W.partitionBy(*names).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    carried = ends.select(*names, "_part", carried.alias("_carried")).filter("_carried IS NOT NULL")
-    local = parts.withColumn("_seen", seen).filter("_row IS NOT NULL")
-    # Few rows lack a match in their own part: those that stand before the part's first row of past.
-    done = local.filter("_seen IS NOT NULL").select(filled("_row", rows.columns).alias("_row"), filled("_seen", past.columns).alias("found"))
-    open_ = dimension_join(local.filter("_seen IS NULL").drop("_seen"), carried, [*names, "_part"], "left").select(filled("_row", rows.columns).alias("_row"), F.when(F.col("_carried").isNotNull(), filled("_carried", past.columns)).alias("found"))
-    none = rows.filter(~F.coalesce(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, at))), F.lit(False)))
-    none = none.select("*", F.lit(None).cast(done.schema["found"].dataType).alias("found"))
-    return done.unionByName(open_).select("_row.*", "found").unionByName(none)
+    none = parts.filter(~F.coalesce(able, F.lit(False))).withColumn("_seen", F.lit(None).cast(parts.select(there.alias("s")).schema[0].dataType))
+    one = F.xxhash64(*names)
+    hot = _hot(parts.filter(able), one)
+    is_hot = one.isin(hot) if hot else F.lit(False)
+    # Dealt before the window, which would have its order and what it looks for dealt as further columns.
+    out = with_found(last_seen(parts.filter(able & ~is_hot).repartition(*names), *names), "_seen").unionByName(with_found(none, "_seen"))
+    if hot:
+        dealt = kept(parts.filter(able & is_hot).repartitionByRange(*names, *order).withColumn("_part", F.spark_partition_id()), "as-of")
+        # A row for each key of a part: parts are as many as the shuffle has, however hot a key is.
+        ends = dealt.groupBy(*names, "_part").agg(F.max_by(there, F.when(F.col("_past").isNotNull(), F.struct(*order))).alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(W.partitionBy(*names).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+        carried = ends.select(*names, "_part", carried.alias("_carried")).filter("_carried IS NOT NULL")
+        met = dimension_join(last_seen(dealt.repartition("_part", *names), "_part", *names), carried, [*names, "_part"], "left")
+        out = out.unionByName(with_found(met.withColumn("_seen", F.coalesce("_seen", "_carried")), "_seen"))
+    return out.select("_row.*", "found")
 
 
 def restaged(ledger: DataFrame, stages: DataFrame) -> DataFrame:

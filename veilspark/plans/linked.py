@@ -14,20 +14,21 @@ STAGED = 60
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A masking of a part (source) for an order (stage), reported on the day it was shipped."""
+    """A masking of a part (source) for an order (stage), reported on the day it was shipped; both by their key, as a
+    hash of it is eight times as long."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     report = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return items.select(
-        F.lit("M").alias("kind"), F.col("l_shipdate").cast("date").alias("at"), F.sha2(F.concat(F.lit("part"), F.col("l_partkey").cast("string")), 256).alias("h1"),
-        F.lit("ok").alias("status"), F.sha2(F.concat(F.lit("order"), F.col("l_orderkey").cast("string")), 256).alias("h2"), report.cast("long").alias("ref"),
+        F.lit("M").alias("kind"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_partkey").alias("h1"), F.lit("ok").alias("status"), F.col("l_orderkey").alias("h2"), report.cast("long").alias("ref"),
     )
 
 
 def restaged_orders(spark, sf_dir):
     """For each order 60 days on: the parts that its hash goes back to, and the last report of each by then."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    stages = orders.select(F.sha2(F.concat(F.lit("order"), F.col("o_orderkey").cast("string")), 256).alias("stage"), F.date_add(F.col("o_orderdate").cast("date"), STAGED).alias("at"))
-    return asof.restaged(_ledger(spark, sf_dir), stages).select("stage", "source", "report", F.datediff("at", "reported_at").cast("long").alias("age"))
+    stages = orders.select(F.col("o_orderkey").alias("stage"), F.date_add(F.col("o_orderdate").cast("date"), STAGED).alias("at"))
+    hashed = lambda what, key: F.sha2(F.concat(F.lit(what), F.col(key).cast("string")), 256).alias(key)
+    return asof.restaged(_ledger(spark, sf_dir), stages).select(hashed("order", "stage"), hashed("part", "source"), "report", F.datediff("at", "reported_at").cast("long").alias("age"))
 
 
 RESTAGED_SQL = f"""
