@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import CODE, CUT, TOKEN, let, located
 from ..functions.text import norm_name, sanitize_prefix
-from ..storage import dimension_join, hot_keys, kept, ranked_within, salted_join, skewed_join, small
+from ..storage import dimension_join, hot_keys, kept, ranked_within, salted_join, shuffled, skewed_join, small
 from .spans import replaced
 
 SCHEMA = "key string, prefix string, n long, code string, orig string, restore string, is_name boolean, is_numeric boolean"
@@ -129,7 +129,7 @@ def leftovers(units: DataFrame, book: DataFrame, text: str = "masked", registry:
     runs = lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=[^{SIGNS}]{{0,{k - 1}}}[{SIGNS}])(?=(.{{{k}}}))"), F.lit(1)) for k in lengths])
     grams = with_shape.select(*unit, F.explode(F.array_distinct(let(cut, runs))).alias("gram"))
     met = grams.join(F.broadcast(known), "gram") if small(known) else salted_join(grams, known, ["gram"], F.struct(*unit), salts=8, wide=True)
-    near = with_shape.join(met.groupBy(*unit).agg(F.collect_set("orig").alias("origs")), unit)
+    near = with_shape.join(shuffled(met.groupBy(*unit).agg(F.collect_set("orig").alias("origs"))), unit)
     near = near.select(*unit, F.explode(F.filter("origs", lambda o: F.col("text").contains(o))).alias("orig"))
     found.append(near)
     return reduce(DataFrame.unionByName, found).distinct()
