@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark import storage
 from veilspark.functions import patterns
-from veilspark.operators import asof, codebook, registry
+from veilspark.operators import asof, codebook, registry, suspect_rules
 from veilspark.plans import broken, cases, linked
 from veilspark.sources import batches, ooxml, tables
 
@@ -131,3 +131,15 @@ def test_orders_are_staged_by_key_and_met_once(spark, monkeypatch):
     assert dict(written[0].dtypes)["_k0"] == "bigint" and "_row:struct<stage:bigint>" in written[0]._jdf.schema().simpleString()
     # What was met is read from the table; the orders aren't read again for those without a key.
     assert "Join" not in plan(df) and df.count() > 0
+
+
+def test_known_words_and_texts_of_the_gate_are_not_broadcast(spark, customers, monkeypatch):
+    # Titles become words, and keys become texts, of which the guessed size knows nothing.
+    assert "Broadcast" not in plan(cases.QUERIES["suspects_by_rule"](spark, customers))
+    units = lambda text: spark.range(1, 4).select(F.col("id").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("seq"), F.replace(F.lit(text), F.lit("~"), F.col("id").cast("string")).alias("text"))
+    jobs = suspect_rules.jobs_with_names(units("主任：例田、例田さんと主任：他田~"))
+    assert "Broadcast" not in plan(jobs) and sorted((r["doc_id"], r["word"]) for r in jobs.collect()) == [(i, "例田") for i in (1, 2, 3)]
+    monkeypatch.setattr(codebook, "small", lambda df: False)
+    book = spark.range(2, 4).select(F.concat(F.lit("型|番号|1234567"), "id").alias("key"), F.concat(F.lit("1234567"), "id").alias("orig"))
+    left = codebook.leftovers(units("登録A1234567~号"), book, "text")
+    assert "Broadcast" not in plan(left) and sorted((r["doc_id"], r["orig"]) for r in left.collect()) == [(2, "12345672"), (3, "12345673")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import BUILDING
 from ..functions.patterns import DATE, DIGIT, HYPHEN, located, matches
+from ..storage import shuffled
 from .suspects import HAN, JOBS, NAME_LABELS, PERSON_NOUNS, TITLES, _any, _out, honoured_words
 
 KIN = ("長男", "長女", "次男", "次女", "三男", "三女", "妻", "夫", "息子", "娘", "兄", "姉", "弟", "妹", "父", "母", "孫", "嫁", "叔父", "叔母")
@@ -85,7 +86,8 @@ def jobs_with_names(units: DataFrame, jobs: tuple[str, ...] = JOBS, surnames: tu
     shape = rf"(?<={_any(jobs)}[：:の・ 　]?)(?!{_any(jobs)}){HAN}{{1,4}}{END}|(?<!{HAN}){HAN}{{1,4}}?(?=[ 　]?{_any(jobs)})"
     found = _out(units.filter(F.col("text").rlike(_any(jobs))), located(F.col("text"), shape), "job", "name: behind a job")
     known = honoured_words(units).withColumn("known", F.lit(True))
-    return found.join(known, ["doc_id", "word"], "left").filter(F.coalesce("known", F.lit(False)) | F.col("word").isin(*surnames)).select(found.columns)
+    # Each title makes up to four words, so known words are more than their guessed size says.
+    return found.join(shuffled(known), ["doc_id", "word"], "left").filter(F.coalesce("known", F.lit(False)) | F.col("word").isin(*surnames)).select(found.columns)
 
 
 def building_after_codes(units: DataFrame) -> DataFrame:
